@@ -1,8 +1,8 @@
 """The queries of this subpackage and, where SQL can say the same, their SQL."""
 
-from . import near_dedup
+from . import decontaminate, near_dedup, substring_dedup
 
-_MODULES = [near_dedup]
+_MODULES = [near_dedup, decontaminate, substring_dedup]
 
 
 def queries() -> dict:
