@@ -1,8 +1,8 @@
 """The queries of this subpackage and, where SQL can say the same, their SQL."""
 
-from . import decontaminate, near_dedup, substring_dedup
+from . import decontaminate, near_dedup, quality_rules, substring_dedup
 
-_MODULES = [near_dedup, decontaminate, substring_dedup]
+_MODULES = [near_dedup, decontaminate, substring_dedup, quality_rules]
 
 
 def queries() -> dict:
