@@ -1,8 +1,8 @@
 """The queries of this subpackage and, where SQL can say the same, their SQL."""
 
-from . import decontaminate, near_dedup, quality_rules, substring_dedup
+from . import decontaminate, mixing, near_dedup, quality_rules, substring_dedup, toxicity, warc
 
-_MODULES = [near_dedup, decontaminate, substring_dedup, quality_rules]
+_MODULES = [near_dedup, decontaminate, warc, substring_dedup, toxicity, quality_rules, mixing]
 
 
 def queries() -> dict:
