@@ -1,8 +1,8 @@
 """The queries of this subpackage and, where SQL can say the same, their SQL."""
 
-from . import decontaminate, mixing, near_dedup, quality_rules, substring_dedup, token_counts, toxicity, warc
+from . import decontaminate, mixing, near_dedup, quality_rules, secrets, substring_dedup, token_counts, toxicity, warc
 
-_MODULES = [near_dedup, token_counts, decontaminate, warc, substring_dedup, toxicity, quality_rules, mixing]
+_MODULES = [near_dedup, token_counts, decontaminate, warc, substring_dedup, secrets, toxicity, quality_rules, mixing]
 
 
 def queries() -> dict:
