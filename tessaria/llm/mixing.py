@@ -142,7 +142,9 @@ def mix(docs: DataFrame, budget: int | None = None, entropy: float | None = None
     rows = rows.withColumn("start", F.col("before") + F.coalesce(F.sum("n_tokens").over(order), F.lit(0))).filter("start < budget")
     rows = rows.select("doc_id", "source", "n_tokens", "epoch", (F.col("start") / F.col("budget")).alias("mix_order"))
     if carry:
-        extra = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry).dropDuplicates(["doc_id"])
+        extra = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry)
+        if slim.count() != slim.select("doc_id").distinct().count():
+            extra = extra.dropDuplicates(["doc_id"])
         rows = rows.join(extra, "doc_id", "left")
     return rows
 

@@ -206,9 +206,9 @@ def _score(shared):
     return run
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """One row per input row: doc_id, held_out, score (0 to 1), predicted (1 from 0.5 on), neighbours (evidence: the
-    ids of the nearest labelled examples, nearest first).
+def toxicity(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = (), **options) -> DataFrame:
+    """One row per input row: doc_id, held_out, the columns to carry, score (0 to 1), predicted (1 from 0.5 on),
+    neighbours (evidence: the ids of the nearest labelled examples, nearest first).
 
     docs needs doc_id and text, labels doc_id and toxic; other columns are ignored. held_out: crc32 of the id as text
     is divisible by 5; labels of such rows are never read. A text without a known term (a null or empty one too) gets
@@ -218,8 +218,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """
     index = fit(docs, labels, **options)
     shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by examples, n_terms
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (fold(F.col("doc_id")) == 0).alias("held_out"))
-    return rows.mapInArrow(_score(shared), "doc_id long, held_out boolean, score double, predicted int, neighbours array<bigint>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_scored"), (fold(F.col("doc_id")) == 0).alias("held_out"), *carry)
+    extra = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return rows.mapInArrow(_score(shared), f"doc_id long, held_out boolean{extra}, score double, predicted int, neighbours array<bigint>")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
