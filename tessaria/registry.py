@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-_MODULES: list = []
+from .plans import dedup_queries, retrieval_queries, text_queries
+
+_MODULES = [dedup_queries, retrieval_queries, text_queries]
 
 
 def queries() -> dict:
@@ -14,4 +16,4 @@ def oracle_sql() -> dict:
 
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return dedup_queries.flagship(spark, sf_dir)
