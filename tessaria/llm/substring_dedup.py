@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, shuffle_partitions, sliding_min, table, window_hashes, word_hashes, word_spans
+from .common import SPACES, cut, shared_dir, shuffle_partitions, sliding_min, table, window_hashes, word_hashes, word_spans
 
 #: Bytes of packed strings that a task holds before it sends blocks, and that it unfolds at once.
 _FLUSH, _BLOCK = 48 << 20, 4 << 20
@@ -52,7 +52,7 @@ def super_kmers(text: bytes, starts: np.ndarray, ends: np.ndarray, window: int,
 def _send(window: int, m: int, parts: int):
     """Rows with a block: packed strings for a partition; rows without: words removed at once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1)
+        squeeze = zstandard.ZstdCompressor(level=6)
         boxes: dict[int, list] = {}
         size = 0
 
@@ -68,7 +68,7 @@ def _send(window: int, m: int, parts: int):
 
         for batch in batches:
             sent: dict[bytes, tuple[int, int]] = {}
-            local = []
+            local: list[tuple] = []
             order = np.argsort(np.array(batch.column(0).to_pylist(), np.int64), kind="stable").tolist()
             for i in order:
                 doc, text = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
@@ -82,7 +82,11 @@ def _send(window: int, m: int, parts: int):
                 for a, b, part, h, x, y in zip(lo.tolist(), hi.tolist(), to, key, cut_from, cut_to):
                     s = joined[x:y]
                     if s in sent:
-                        if sent[s] != (doc, a):
+                        if sent[s] == (doc, a):
+                            continue
+                        if local and local[-1][1] == doc and local[-1][3] >= a:
+                            local[-1] = (*local[-1][:3], b + window - 1, None)
+                        else:
                             local.append((doc % parts, doc, a, b + window - 1, None))
                         continue
                     sent[s] = (doc, a)
@@ -224,14 +228,14 @@ def _kept(with_text: bool):
     return run
 
 
-def repeated_ranges(docs: DataFrame, window: int = 20, m: int = 8) -> DataFrame:
+def repeated_ranges(docs: DataFrame, window: int = 20, m: int = 4) -> DataFrame:
     """(doc_id, lo, hi): word ranges that windows starting earlier elsewhere cover; ranges of a document may overlap."""
     parts = 4 * shuffle_partitions(docs.sparkSession)
     sent = docs.mapInArrow(_send(window, m, parts), SENT).repartition(parts, "part").sortWithinPartitions("part")
     return sent.mapInArrow(_count(window, m), "doc_id long, lo long, hi long")
 
 
-def substring_dedup(docs: DataFrame, window: int = 20, m: int = 8, with_text: bool = True) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 20, m: int = 4, with_text: bool = True, broadcast_rows: int = 1_000_000) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text.
 
     docs needs doc_id (long) and text; other columns are ignored. Words are runs of anything but ASCII white space.
@@ -242,8 +246,15 @@ def substring_dedup(docs: DataFrame, window: int = 20, m: int = 8, with_text: bo
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
     ranges = repeated_ranges(docs, window, m).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    ranges = cut(ranges, shared_dir(docs.sparkSession), "ranges")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return docs.join(ranges, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_kept(with_text), schema)
+    ids = ranges.select("doc_id")
+    if ids.count() > broadcast_rows:
+        return docs.join(ranges, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_kept(with_text), schema)
+    # While the ids of documents that lose words are few enough to broadcast, only those documents' texts travel.
+    whole = docs.join(F.broadcast(ids), "doc_id", "left_anti").withColumn("spans", F.lit(None).cast("array<struct<lo:bigint,hi:bigint>>"))
+    part = docs.join(F.broadcast(ids), "doc_id", "left_semi").join(ranges, "doc_id").select("doc_id", "text", "spans")
+    return whole.unionByName(part).mapInArrow(_kept(with_text), schema)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
