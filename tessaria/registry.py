@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import dedup_queries, evidence_queries, fact_queries, retrieval_queries, text_queries
+from .plans import catalog_queries, dedup_queries, evidence_queries, fact_queries, retrieval_queries, stream_queries, text_queries
 
-_MODULES = [dedup_queries, evidence_queries, fact_queries, retrieval_queries, text_queries]
+_MODULES = [catalog_queries, dedup_queries, evidence_queries, fact_queries, retrieval_queries, stream_queries, text_queries]
 
 
 def queries() -> dict:
