@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.shared import cut, shared_dir
+
 #: Modulus of the permutations (fixed value).
 PRIME = 2147483647
 
@@ -171,11 +173,12 @@ def lineage(edges: DataFrame, starts: DataFrame, most: int = 20) -> DataFrame:
     """DUP-20: (start, ancestor): everything reached over (new_document_id, previous_document_id), in doubling steps.
 
     Ends when nothing new is reached; `most` bounds the doublings (a lineage of 2**20 versions)."""
-    e = edges.select(F.col("new_document_id").alias("x"), F.col("previous_document_id").alias("y")).distinct()
+    folder = shared_dir(edges.sparkSession)
+    e = cut(edges.select(F.col("new_document_id").alias("x"), F.col("previous_document_id").alias("y")).distinct(), folder, "0")
     n = e.count()
-    for _ in range(most):
+    for k in range(most):
         hop = e.join(e.select(F.col("x").alias("y"), F.col("y").alias("z")), "y").select("x", F.col("z").alias("y"))
-        e = e.unionByName(hop).distinct().checkpoint() if e.sparkSession.conf.get("spark.checkpoint.dir", None) else e.unionByName(hop).distinct()
+        e = cut(e.unionByName(hop).distinct(), folder, str(k + 1))
         now = e.count()
         if now == n:
             break

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,12 +48,3 @@ def first_seen(stream: DataFrame, keys: list[str], time: str, ttl: str) -> DataF
 def read_files(spark: SparkSession, path: str, schema: str, per_trigger: int = 1000) -> DataFrame:
     """A stream of the parquet files that arrive under path (a folder, or a pattern that names files or folders)."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
-
-
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared place (spark.checkpoint.dir), for a query's output and checkpoint."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessaria-")
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
