@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import cut, shared_dir, table
 
 RECORD = "page_id string, record_type string, refers_to string, payload_digest string, payload_bytes long, segment int, total long, url string, block binary, path string"
 _BREAK = "\r\n"
@@ -119,7 +119,7 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, segment_bytes:
     first = seen.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").drop("n")
     again = seen.join(first, "payload_digest").filter("page_id <> refers_to").select("page_id", "refers_to")
     rows = pages.join(again, "page_id", "left").select("page_id", "url", "html", "refers_to")
-    rows.mapInArrow(_records(segment_bytes, chunk_bytes), "value string").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    rows.mapInArrow(_records(segment_bytes, chunk_bytes), "value string").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -213,6 +213,7 @@ def round_trip(pages: DataFrame, path: str, **options) -> DataFrame:
     refers_to per page. A revisit's length is that of the response it refers to, found by its id."""
     write_warc(pages, path, **options)
     back = read_warc(pages.sparkSession, path).select(F.col("page_id").cast("long").alias("page_id"), F.octet_length("payload").cast("long").alias("n"), "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+    back = cut(back, shared_dir(pages.sparkSession), "read-back")
     revisits = back.filter("record_type = 'revisit'")
     sizes = back.filter("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("n").alias("m"))
     revisits = revisits.join(sizes, "refers_to", "left").select("page_id", F.col("m").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
