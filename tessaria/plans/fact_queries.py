@@ -17,7 +17,7 @@ BOOK = Book()
 
 #: One record per customer segment and year: revenue in thousands, and the sentence that states it.
 YEARLY = """select concat('r', seg, '-', y) as record_id, seg, y, v, concat('In ', y, ' the revenue was ', v, ' thousand in all.') as quote from (
- select cast(o_custkey % 20 as {s}) as seg, cast(year(o_orderdate) as {s}) as y, cast(cast(floor(sum(o_totalprice) / 1000) as bigint) as {s}) as v from {orders} group by 1, 2) t"""
+ select cast(o_custkey % 20 as {s}) as seg, cast(year(o_orderdate) as {s}) as y, cast(cast(floor(sum(o_totalprice) / 10) as bigint) as {s}) as v from {orders} group by 1, 2) t"""
 _YEARLY = YEARLY.replace("{s}", "varchar").replace("{orders}", "orders")
 
 

@@ -21,7 +21,7 @@ def test_table_layout_counts(spark):
 
 
 def test_weights_and_scores(spark):
-    base = " ".join(f"sentence number {i} about the valley." for i in range(40))
+    base = " ".join(f"{i * 7919 % 10007:x}w{i * 104729 % 9973:x}" for i in range(300))
     docs = _rows(spark, base, base + " One more sentence at the end.", "quite different words here, nothing shared", "xyz", base.upper(), "abcdefgh")
     g, n = D.grams(D.profiles(docs)), 6
     w, u = D.frequency_weights(g, n), D.unseen_weight(n)
