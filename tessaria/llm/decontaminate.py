@@ -126,4 +126,16 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_decontamination": op3_decontamination}
-ORACLE = {}
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_SQL = f"""
+with b as (select item_id, {_WORDS} as w from benchmark where item_id is not null),
+t as (select distinct item_id, least(10, len(w)) as n, list_aggregate(w[i:i+least(10, len(w))-1], 'string_agg', ' ') as p from (select item_id, w, unnest(range(1, greatest(2, len(w) - 8))) as i from b where len(w) > 0)),
+d as (select doc_id, {_WORDS} as w from documents),
+g as (select doc_id, i, n, list_aggregate(w[i:i+n-1], 'string_agg', ' ') as p from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from d, (select distinct n from t) where len(w) >= n)),
+h as (select doc_id, i, n, item_id from g join t using (n, p)),
+c as (select doc_id, count(distinct i) as n_hit from (select doc_id, unnest(range(i, i + n)) as i from h) group by doc_id),
+s as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as ids from h group by doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join c using (doc_id) left join s using (doc_id)
+"""
+ORACLE = {"op3_decontamination": _SQL}

@@ -262,4 +262,13 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op5_substring_dedup": op5_substring_dedup}
-ORACLE = {}
+_SQL = r"""
+with w as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+g as (select doc_id, i, list_aggregate(w[i:i+19], 'string_agg', ' ') as p from (select doc_id, w, unnest(range(1, len(w) - 18)) as i from w where len(w) >= 20)),
+f as (select doc_id, i, row_number() over (partition by p order by doc_id, i) as k from g),
+x as (select distinct doc_id, unnest(range(i, i + 20)) as i from f where k > 1),
+u as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as i from w),
+k as (select doc_id, count(*) filter (x.i is not null) as n, string_agg(word, ' ' order by u.i) filter (x.i is null) as t from u left join x using (doc_id, i) group by doc_id)
+select w.doc_id, len(w)::bigint as n_words, coalesce(n, 0)::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256 from w left join k using (doc_id)
+"""
+ORACLE = {"op5_substring_dedup": _SQL}
