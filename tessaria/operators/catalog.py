@@ -168,7 +168,8 @@ def verify_copy(source: DataFrame, copy: DataFrame) -> DataFrame:
 def plan_rows(briefs: DataFrame, rules: DataFrame) -> DataFrame:
     """SRC-24: (project_id, chapter_no, queries): rules (chapter_no, template, only_if) filled with the brief; a rule with
     only_if holds for briefs of that focus; equal queries once, in order of the rules' position."""
-    r = briefs.join(F.broadcast(rules.limit(10_000)), F.col("only_if").isNull() | (F.col("only_if") == F.col("focus")))
+    rules = F.broadcast(rules) if rules.count() <= 10_000 else rules
+    r = briefs.join(rules, F.col("only_if").isNull() | (F.col("only_if") == F.col("focus")))
     q = r.select("project_id", "chapter_no", "position", F.replace("template", F.lit("{topic}"), F.col("topic")).alias("q"))
     return q.groupBy("project_id", "chapter_no").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("position", "q"))), lambda x: x["q"])).alias("queries"))
 
