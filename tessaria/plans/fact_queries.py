@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import evidence as E
 from ..operators import facts as X
 from ..operators import scenarios as C
 from .base import Book, derived, table

@@ -1,6 +1,6 @@
 import datetime
 
-from pyspark.sql import functions as F
+
 
 from tessaria.operators import scenarios as C
 
