@@ -8,35 +8,32 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
-def _digest(e: DataFrame) -> tuple:
-    return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-
-
 def connected_components(links: DataFrame, folder: str) -> DataFrame:
     """(node, component) for every node in links(a, b); component is the smallest node reachable.
 
-    Each round links every node to the smallest neighbour it knows, so stars grow until only stars are left; the
-    number of rounds is logarithmic in the longest path. Edges stay on the executors; the driver sees a count and a
-    digest. Self links are allowed, null ends are dropped, and empty links give an empty table.
+    Each round links every node to the smallest neighbour it knows, until only stars are left: no node is the centre
+    of one edge and the tip of another. The number of rounds is logarithmic in the longest path. Edges stay on the
+    executors; the driver only sees whether a round is needed. Self links are allowed, null ends are dropped, and
+    empty links give an empty table. Joins with a large star's centre are left to adaptive skew splitting.
     """
     e = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct()
     e = cut(e, folder, "edges-0")
-    seen, k = _digest(e), 0
-    while seen[0]:
+    k = 0
+    while not e.join(e.select(F.col("v").alias("u")), "u", "left_semi").isEmpty() or not _one_centre(e):
         k += 1
         # Large star: neighbours above u move to u's smallest neighbour (or u).
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u > v").distinct()
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
         # Small star: u and its neighbours below it move to the smallest of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).filter("u > v").distinct()
         e = cut(small, folder, f"edges-{k}")
-        now = _digest(e)
-        if now == seen:
-            break
-        seen = now
-    stars = e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
+    stars = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
+
+
+def _one_centre(e: DataFrame) -> bool:
+    """Whether every tip belongs to one star only."""
+    return e.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()

@@ -5,12 +5,13 @@ representative carries a signature of minwise tokens. A number of independent tr
 chooses, by a hash of its own path, on average 1 / threshold positions of the signature, and a document goes to the
 child named by its token at each chosen position. Two sets of similarity s share on average s / threshold children, so
 similar pairs survive from level to level while others fall apart. Small nodes are compared exhaustively on
-signatures, and what they propose is confirmed on the full sets. Trees repeat to reach the target recall.
+signatures; members with a likely partner are then compared on their full sets, and stars are kept that join the
+same documents as the links found. Trees repeat to reach the target recall.
 
 Groups larger than a node may be (thousands of near copies never fall apart, as all their tokens agree) are dealt
-into blocks of bounded size; blocks propose spanning forests only, and after the confirmed links are joined into
-components, only pairs between different components are compared, minority against all, block by block. No step
-lists all pairs of a group and no step holds a whole group in one task.
+into blocks of bounded size, which are settled alone; after the links are joined into components, only different
+components are compared, minority against all, block by block. No step lists all pairs of a group and no step holds a
+whole group in one task.
 """
 
 from __future__ import annotations
@@ -24,14 +25,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import (SPACES, cut, only_ids, raw_bytes, shared_dir, shuffle_partitions, table, window_hashes,
-                     word_hashes, word_spans)
+from .common import SPACES, cut, only_ids, raw_bytes, shared_dir, shuffle_partitions, table, window_hashes, word_hashes, word_spans
 from .graph import connected_components
 
+#: Tokens of 32 bits that name children, and tokens of 8 bits that estimate similarity.
+PATHS, BYTES = 16, 256
 SKETCH = "doc_id long, n_shingles long, digest binary, sig binary"
 _seeds = np.random.default_rng(7_2017)
-_MUL = _seeds.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _seeds.integers(0, 1 << 63, 256, dtype=np.uint64)
+_MUL = _seeds.integers(1, 1 << 63, PATHS + BYTES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = _seeds.integers(0, 1 << 63, PATHS + BYTES, dtype=np.uint64)
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
@@ -42,15 +44,15 @@ def shingles(text: str | None, k: int) -> np.ndarray:
     return np.unique(window_hashes(words, min(k, len(words)))) if len(words) else np.zeros(0, np.uint64)
 
 
-def signature(items: np.ndarray, t: int) -> bytes:
-    """t minwise tokens of 32 bits."""
-    best = np.full(t, np.uint64((1 << 64) - 1))
-    for i in range(0, len(items), 4096):
-        np.minimum(best, (items[None, i : i + 4096] * _MUL[:t, None] + _ADD[:t, None]).min(axis=1), out=best)
-    return (best >> np.uint64(32)).astype(np.uint32).tobytes()
+def signature(items: np.ndarray) -> bytes:
+    """The minwise tokens: PATHS of 32 bits, then BYTES of 8 bits, all of different hash functions."""
+    best = np.full(PATHS + BYTES, np.uint64((1 << 64) - 1))
+    for i in range(0, len(items), 1024):
+        np.minimum(best, (items[None, i : i + 1024] * _MUL[:, None] + _ADD[:, None]).min(axis=1), out=best)
+    return (best[:PATHS] >> np.uint64(32)).astype(np.uint32).tobytes() + (best[PATHS:] >> np.uint64(20)).astype(np.uint8).tobytes()
 
 
-def _sketch(k: int, t: int):
+def _sketch(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, counts, digests, sigs = [], [], [], []
@@ -59,26 +61,27 @@ def _sketch(k: int, t: int):
                 ids.append(doc)
                 counts.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()) + struct.pack("<I", len(s)) if len(s) else None)
-                sigs.append(signature(s, t) if len(s) else None)
+                sigs.append(signature(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "digest", "sig"])
 
     return run
 
 
-def _branch(rows: DataFrame, t: int, threshold: float) -> DataFrame:
+def _branch(rows: DataFrame, threshold: float) -> DataFrame:
     """(doc, sig, node) to the children of each node: one position, and a second for the share of nodes that makes
     the mean 1 / threshold. Both are hashes of the node, so all its documents choose alike."""
     extra = int((1 / threshold - 1) * 10_000)
-    first = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(t))
-    second = F.when(F.pmod(F.xxhash64("node", F.lit(2)), F.lit(10_000)) < extra, F.pmod(F.xxhash64("node", F.lit(3)), F.lit(t)))
+    first = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(PATHS))
+    second = F.when(F.pmod(F.xxhash64("node", F.lit(2)), F.lit(10_000)) < extra, F.pmod(F.xxhash64("node", F.lit(3)), F.lit(PATHS)))
     at = F.explode(F.array_compact(F.array(first, second)))
     return rows.select("doc", "sig", "node", at.alias("at")).select(
-        "doc", F.xxhash64("node", "at", F.expr("substring(sig, cast(4 * at + 1 as int), 4)")).alias("node"))
+        "doc", "sig", F.xxhash64("node", "at", F.expr("substring(sig, cast(4 * at + 1 as int), 4)")).alias("node"))
 
 
-def _forest(a: np.ndarray, b: np.ndarray, order: np.ndarray, labels: np.ndarray) -> list[int]:
-    """Positions of the edges (a, b) that, taken in the order given, join different trees over the labels."""
-    up = {x: x for x in labels.tolist()}
+def _stars(a: np.ndarray, b: np.ndarray, doc: np.ndarray, comp: np.ndarray) -> list[tuple[int, int]]:
+    """Links (centre, doc) that join the same documents as the edges (a, b): each component that they make of the
+    given ones gets its smallest document as the centre of a star over one document of each of these."""
+    up = {x: x for x in comp.tolist()}
 
     def root(x):
         while up[x] != x:
@@ -86,90 +89,125 @@ def _forest(a: np.ndarray, b: np.ndarray, order: np.ndarray, labels: np.ndarray)
             x = up[x]
         return x
 
-    taken = []
-    for i in order.tolist():
-        x, y = root(labels[a[i]].item()), root(labels[b[i]].item())
+    for x, y in zip(comp[a].tolist(), comp[b].tolist()):
+        x, y = root(x), root(y)
         if x != y:
-            up[x] = y
-            taken.append(i)
-    return taken
-
-
-def _compare(t: int, least: float, forest: bool):
-    """Compares the rows of each group (g, doc, comp, ask, sig): pairs with an estimate of `least` or more that
-    lie in different components and of which one side asks; with forest, only a spanning forest of them."""
-    def pairs(g: list, out: tuple[list, list]) -> None:
-        doc, comp, ask = (np.array([r[i] for r in g]) for i in (1, 2, 3))
-        sig = np.frombuffer(b"".join(r[4] for r in g), np.uint32).reshape(len(g), t)
-        ii, jj, ee = [], [], []
-        for i in range(len(g) - 1):
-            same = (sig[i + 1 :] == sig[i]).sum(axis=1)
-            j = np.flatnonzero((same >= least * t) & (comp[i + 1 :] != comp[i]) & (ask[i + 1 :] | ask[i])) + i + 1
-            ii.append(np.full(len(j), i))
-            jj.append(j)
-            ee.append(same[j - i - 1])
-        if not ii:
-            return
-        a, b, e = (np.concatenate(x) for x in (ii, jj, ee))
-        if forest and len(a):
-            keep = _forest(a, b, np.argsort(-e, kind="stable"), comp)
-            a, b = a[keep], b[keep]
-        out[0].extend(np.minimum(doc[a], doc[b]).tolist())
-        out[1].extend(np.maximum(doc[a], doc[b]).tolist())
+            up[max(x, y)] = min(x, y)
+    first: dict[int, int] = {}
+    for d, c in zip(doc.tolist(), comp.tolist()):
+        first[c] = min(d, first.get(c, d))
+    centre: dict[int, int] = {}
+    for c, d in first.items():
+        r = root(c)
+        centre[r] = min(d, centre.get(r, d))
+    return [(centre[root(c)], d) for c, d in first.items() if centre[root(c)] != d]
+
+
+def _by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows of each group of two or more; groups are neighbours and named by the first column."""
+    held: list = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and held[0][0] != row[0]:
+                if len(held) > 1:
+                    yield held
+                held = []
+            held.append(row)
+    if len(held) > 1:
+        yield held
+
+
+def _packed(items: Iterator[tuple], kinds: tuple, names: list[str], size: int = 20_000) -> Iterator[pa.RecordBatch]:
+    rows: list[tuple] = []
+    for row in items:
+        rows.append(row)
+        if len(rows) >= size:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+            rows = []
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) if rows else [[]] * len(kinds), kinds)], names=names)
+
+
+def _partnered(least: float):
+    """Of each group (g, doc, comp, ask, sig), the members with a partner: another component, one of the two asks,
+    and an estimate of `least` or more."""
+    def members(groups: Iterator[list[tuple]]) -> Iterator[tuple]:
+        for g in groups:
+            comp, ask = (np.array([r[i] for r in g]) for i in (2, 3))
+            sig = np.frombuffer(b"".join(r[4][4 * PATHS :] for r in g), np.uint8).reshape(len(g), -1)
+            found = np.zeros(len(g), bool)
+            for i in range(len(g) - 1):
+                ok = ((sig[i + 1 :] == sig[i]).mean(axis=1) >= least) & (comp[i + 1 :] != comp[i]) & (ask[i + 1 :] | ask[i])
+                found[i] |= ok.any()
+                found[i + 1 :] |= ok
+            for i in np.flatnonzero(found).tolist():
+                yield g[i][:4]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []
-        for batch in batches:
-            out: tuple[list, list] = ([], [])
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and held[0][0] != row[0]:
-                    if len(held) > 1:
-                        pairs(held, out)
-                    held = []
-                held.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
-        out = ([], [])
-        if len(held) > 1:
-            pairs(held, out)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
+        yield from _packed(members(_by_group(batches)), (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), ["g", "doc", "comp", "ask"])
 
     return run
 
 
-def _propose(groups: DataFrame, t: int, least: float, forest: bool) -> DataFrame:
-    n = shuffle_partitions(groups.sparkSession)
-    dealt = groups.select("g", "doc", "comp", "ask", "sig").repartition(n, "g").sortWithinPartitions("g", "doc")
-    return dealt.mapInArrow(_compare(t, least, forest), "a long, b long").distinct()
-
+def _intersections(sets: list[np.ndarray], columns: int = 16_384) -> np.ndarray:
+    """Sizes of all pairwise intersections: products of slices of the incidence matrix of shared items."""
+    if len(sets) == 2:
+        n = len(np.intersect1d(*sets, assume_unique=True))
+        return np.array([[0, n], [n, 0]])
+    items = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(items, kind="stable")
+    items, owner = items[order], owner[order]
+    new = np.concatenate(([True], items[1:] != items[:-1]))
+    column = np.cumsum(new) - 1
+    shared = np.bincount(column)[column] > 1
+    owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
+    out = np.zeros((len(sets), len(sets)))
+    last = int(column.max(initial=-1)) + 1
+    for lo in range(0, last, columns):
+        part = (column >= lo) & (column < lo + columns)
+        m = np.zeros((len(sets), min(columns, last - lo)), np.float32)
+        m[owner[part], column[part] - lo] = 1
+        out += m @ m.T
+    return out
+
+
+def _linked(k: int, percent: int):
+    """Of each group (g, doc, comp, ask, text) stars that join what its links, confirmed on the full sets, join."""
+    def links(groups: Iterator[list[tuple]]) -> Iterator[tuple]:
+        for g in groups:
+            doc, comp, ask = (np.array([r[i] for r in g]) for i in (1, 2, 3))
+            sets = [shingles(r[4], k) for r in g]
+            size = np.array([len(s) for s in sets])
+            both = _intersections(sets)
+            ok = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+            a, b = np.nonzero(np.triu(ok & (comp[:, None] != comp[None, :]) & (ask[:, None] | ask[None, :]), 1))
+            yield from _stars(a, b, doc, comp)
 
-def _confirm(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, mine = None, None
-        for batch in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-                if (x := x.as_py()) != name:
-                    name, mine = x, shingles(x, k)
-                other = shingles(y.as_py(), k)
-                both = len(np.intersect1d(mine, other, assume_unique=True))
-                if 100 * both >= percent * (len(mine) + len(other) - both):
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([batch.column(j).take(pa.array(keep, pa.int64())) for j in (0, 1)], names=["a", "b"])
+        yield from _packed(links(_by_group(batches)), (pa.int64(), pa.int64()), ["a", "b"])
 
     return run
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the similarity. Only texts of documents in a pair travel."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = only_ids(docs.select("doc_id", "text"), ids, "doc_id", ids.count()).dropDuplicates(["doc_id"])
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_confirm(k, percent), "a long, b long")
-
+def _links(groups: DataFrame, reps: DataFrame, docs: DataFrame, folder: str, k: int, percent: int, least: float) -> DataFrame:
+    """Confirmed links (a, b) that join the components of each group (g, doc, comp, ask) as all its links would.
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, trees: int = 8, tokens: int = 64,
-                    node_limit: int = 128, levels: int = 3, slack: float = 0.19) -> DataFrame:
+    Signatures first leave only members with a likely partner, then equal groups count once, then the texts of the
+    rest travel, once for each group that a document is in; pairs never travel.
+    """
+    n = shuffle_partitions(groups.sparkSession)
+    dealt = groups.join(reps.select("doc", "sig"), "doc").select("g", "doc", "comp", "ask", "sig").repartition(n, "g").sortWithinPartitions("g", "doc")
+    left = cut(dealt.mapInArrow(_partnered(least), "g long, doc long, comp long, ask boolean"), folder, "partnered")
+    same = left.groupBy("g").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc", "ask")).alias("x"), F.bit_xor(F.xxhash64("doc", "ask", F.lit(1))).alias("y"))
+    once = left.join(same.groupBy("n", "x", "y").agg(F.min("g").alias("g")).select("g"), "g", "left_semi")
+    ids = once.select(F.col("doc").alias("doc_id")).distinct()
+    texts = only_ids(docs.select("doc_id", "text"), ids, "doc_id", ids.count()).select(F.col("doc_id").alias("doc"), "text")
+    dealt = once.join(texts, "doc").select("g", "doc", "comp", "ask", "text").repartition(n, "g").sortWithinPartitions("g", "doc")
+    return cut(dealt.mapInArrow(_linked(k, percent), "a long, b long"), folder, "links").distinct()
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, trees: int = 7, node_limit: int = 400,
+                    depths: tuple[int, int] = (2, 3), slack: float = 0.10) -> DataFrame:
     """One row per document id: doc_id, n_shingles, rep (smallest id with the same set), component_id, kept.
 
     docs needs doc_id (long) and text; other columns are ignored, so clashing names do no harm. Words are runs of
@@ -177,23 +215,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, trees: int =
     has one shingle, its whole sequence; a null or empty text has none and links with nothing. Two sets link if
     100 * intersection >= percent * union, which is confirmed on full sets of 64-bit shingle hashes. component_id is
     the smallest doc_id reachable over links, kept is doc_id = component_id. Rows that repeat a doc_id count once,
-    with the text whose set sorts first; rows without a doc_id are left out. An empty table gives an empty result.
+    with the smallest of their texts; rows without a doc_id are left out. An empty table gives an empty result.
 
-    Recall: a pair at the threshold meets in a level-1 node of one tree with probability about 0.83, so 8 trees miss
-    it with probability below 1e-5; where nodes are large it must survive up to `levels` levels (about 0.6 a tree),
-    which makes 6e-4. slack is what a signature's estimate may fall short of the threshold (over four standard
-    errors for 64 tokens).
+    Nodes are first compared at depth depths[0], where a token shared by chance or by one common passage is not
+    enough; large nodes branch on, until they no longer shrink or depths[1] is reached. Recall: a pair at the threshold
+    shares a node at depth 2 of one tree with probability about 0.77, at depth 3 with 0.70, at depth 6 with 0.5, so 7
+    trees miss it with probability 3e-5, 2e-4 and 8e-3. slack is what a signature's estimate may fall short of the
+    threshold: 4.5 standard errors of 256 tokens.
     """
     spark = docs.sparkSession
     folder = shared_dir(spark)
     threshold = percent / 100
     least = threshold - slack
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
-    sketch = cut(docs.mapInArrow(_sketch(k, tokens), SKETCH), folder, "sketch")
-    one = sketch.groupBy("doc_id").agg(F.min("digest").alias("digest"), F.max("n_shingles").alias("n_shingles")) \
-        if sketch.count() != sketch.select("doc_id").distinct().count() else sketch.select("doc_id", "digest", "n_shingles")
+    sketch = cut(docs.mapInArrow(_sketch(k), SKETCH), folder, "sketch")
+    if sketch.count() != sketch.select("doc_id").distinct().count():
+        docs = docs.groupBy("doc_id").agg(F.min("text").alias("text"))
+        sketch = cut(docs.mapInArrow(_sketch(k), SKETCH), folder, "sketch-of-ids")
+    one = sketch.select("doc_id", "digest", "n_shingles")
     reps = cut(sketch.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig")), folder, "reps")
-    links = _tree_links(spark, reps, docs, folder, k, percent, threshold, least, trees, tokens, node_limit, levels)
+    links = _tree_links(spark, reps, docs, folder, k, percent, threshold, least, trees, node_limit, depths)
     comps = connected_components(links, f"{folder}/final")
     classes = reps.select("digest", F.col("doc").alias("rep")).join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     classes = classes.select("digest", "rep", F.coalesce("component", "rep").alias("component"))
@@ -202,70 +243,57 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, trees: int =
                       (F.col("doc_id") == F.coalesce("component", "doc_id")).alias("kept"))
 
 
-def _tree_links(spark, reps, docs, folder, k, percent, threshold, least, trees, tokens, node_limit, levels) -> DataFrame:
+def _tree_links(spark, reps, docs, folder, k, percent, threshold, least, trees, limit, depths) -> DataFrame:
     roots = F.explode(F.array(*(F.xxhash64(F.lit(f"tree {i}")) for i in range(trees)))).alias("node")
-    members = _branch(reps.select("doc", "sig", roots), tokens, threshold)
-    leaves, big = [], None
-    for level in range(1, levels + 1):
-        members = cut(members.distinct(), folder, f"level-{level}")
+    members = reps.select("doc", "sig", roots)
+    for _ in range(depths[0] - 1):
+        members = _branch(members, threshold)
+    members = _branch(members, threshold).drop("sig")
+    groups, before, heavy = [], None, None
+    for depth in range(depths[0], depths[1] + 1):
+        members = cut(members.distinct(), folder, f"depth-{depth}")
         nodes = members.groupBy("node").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc")).alias("x"),
-                                            F.bit_xor(F.xxhash64("doc", F.lit(level))).alias("y")).filter("n > 1")
+                                            F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("y")).filter("n > 1")
         # Trees often make the same small node; it is compared once.
-        small = nodes.filter(F.col("n") <= node_limit).groupBy("n", "x", "y").agg(F.min("node").alias("g"))
-        leaves.append(members.join(small.select(F.col("g").alias("node")), "node").select(F.col("node").alias("g"), "doc", F.lit(False).alias("big")))
-        large = members.join(nodes.filter(F.col("n") > node_limit).select("node", "n"), "node")
-        large = cut(large, folder, f"large-{level}")
-        if large.isEmpty():
+        small = nodes.filter(F.col("n") <= limit).groupBy("n", "x", "y").agg(F.min("node").alias("node"))
+        groups.append(members.join(small.select("node"), "node").select(F.col("node").alias("g"), "doc", F.lit(0).alias("n")))
+        large = cut(members.join(nodes.filter(F.col("n") > limit).select("node", "n"), "node"), folder, f"large-{depth}")
+        size = large.count()
+        if not size:
             break
-        if level == levels:
-            big = large.select(F.col("node").alias("g"), "doc", F.lit(True).alias("big"))
-        else:
-            members = _branch(large.join(reps, "doc"), tokens, threshold)
-    groups = leaves[0]
-    for x in leaves[1:] + ([big] if big is not None else []):
-        groups = groups.unionByName(x)
-    groups = cut(groups, folder, "groups")
-
-    links, comps = None, None
-    for turn in range(4):
-        # Turn 0: spanning forests of nodes, large ones in blocks. Later turns: only nodes that still hold more than
-        # one component; large ones dealt into blocks anew, and in the last turn minority against all.
-        now = groups.withColumn("comp", F.col("doc"))
-        if comps is not None:
-            now = groups.join(comps.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
-            mixed = now.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("g")
-            now = cut(now.join(mixed, "g"), folder, f"mixed-{turn}")
-            if now.isEmpty():
-                break
-        flat = now.filter("not big").withColumn("ask", F.lit(True))
-        heavy = now.filter("big")
-        parts = [flat] if turn < 2 else []
-        last = turn == 3
-        if big is not None and not heavy.isEmpty():
-            if last:
-                parts.append(_minority(heavy, node_limit))
-            else:
-                n = heavy.groupBy("g").agg(F.count("*").alias("n"))
-                block = F.xxhash64("g", F.lit(turn), F.pmod(F.xxhash64("doc", F.lit(turn)), F.ceil(F.col("n") / node_limit)))
-                parts.append(heavy.join(n, "g").withColumn("g", block).withColumn("ask", F.lit(True)).drop("n"))
-        elif turn > 1:
+        # Nodes of documents that only share a passage shrink at every level; what no longer shrinks is dense.
+        if depth == depths[1]:
+            heavy = large.select(F.col("node").alias("g"), "doc", F.col("n").cast("int").alias("n"))
+            groups.append(heavy)
             break
-        proposed = None
-        for p in parts:
-            made = _propose(p.join(reps.select("doc", "sig"), "doc"), tokens, least, forest=turn == 0 or (turn < 3 and p is not flat))
-            proposed = made if proposed is None else proposed.unionByName(made)
-        proposed = cut(proposed.distinct(), folder, f"pairs-{turn}")
-        if proposed.isEmpty():
-            continue
-        found = cut(confirmed(proposed, docs, k, percent), folder, f"links-{turn}")
-        links = found if links is None else links.unionByName(found)
-        if turn < 3 and not found.isEmpty():
-            comps = cut(connected_components(links, f"{folder}/turn-{turn}"), folder, f"comps-{turn}")
-    return links if links is not None else spark.createDataFrame([], "a long, b long")
+        before = size
+        members = _branch(large.join(reps, "doc").select("doc", "sig", "node"), threshold).drop("sig")
+    every = groups[0]
+    for x in groups[1:]:
+        every = every.unionByName(x)
+    every = cut(every, folder, "groups")
+
+    def block(turn: int) -> F.Column:
+        return F.when(F.col("n") == 0, F.col("g")).otherwise(F.xxhash64("g", F.lit(turn), F.pmod(F.xxhash64("doc", F.lit(turn)), F.ceil(F.col("n") / limit))))
+
+    # Small nodes are settled at once, large ones within blocks; then blocks are dealt anew among nodes that still
+    # hold several components, and at last what lies outside a node's largest component meets all of the node.
+    links = _links(every.select(block(0).alias("g"), "doc", F.col("doc").alias("comp"), F.lit(True).alias("ask")), reps, docs, f"{folder}/turn-0", k, percent, least)
+    for turn in (1, 2) if heavy is not None else ():
+        comps = connected_components(links, f"{folder}/components-{turn}").withColumnRenamed("node", "doc")
+        now = heavy.join(comps, "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
+        mixed = now.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("g")
+        now = cut(now.join(mixed, "g", "left_semi"), folder, f"mixed-{turn}")
+        if now.isEmpty():
+            break
+        dealt = _minority(now, limit) if turn == 2 else now.select(block(turn).alias("g"), "doc", "comp", F.lit(True).alias("ask"))
+        links = links.unionByName(_links(dealt, reps, docs, f"{folder}/turn-{turn}", k, percent, least))
+    return links
 
 
 def _minority(heavy: DataFrame, limit: int) -> DataFrame:
     """Blocks of members outside their node's largest component (they ask), each against each block of all members."""
+    heavy = heavy.drop("n")
     sizes = heavy.groupBy("g", "comp").agg(F.count("*").alias("n"))
     main = sizes.groupBy("g").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"))
     rows = heavy.join(main, "g").withColumn("chunks", F.ceil((F.col("n") - F.col("most")) / limit)).withColumn("blocks", F.ceil(F.col("n") / limit))
@@ -275,8 +303,18 @@ def _minority(heavy: DataFrame, limit: int) -> DataFrame:
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("rep")
 
 
 QUERIES = {"op1_near_dedup": op1_near_dedup}
-ORACLE = {}
+_SQL = r"""
+with recursive w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+s as (select distinct doc_id, list_aggregate(w[i:i+4], 'string_agg', ' ') as g from (select doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) as i from w where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+l as (select a.doc_id as a, b.doc_id as b from s a join s b using (g) join n x on x.doc_id = a.doc_id join n y on y.doc_id = b.doc_id where a.doc_id <> b.doc_id
+      group by a.doc_id, b.doc_id, x.n, y.n having 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+r as (select doc_id, doc_id as c from w union select l.b, r.c from r join l on l.a = r.doc_id),
+c as (select doc_id, min(c) as component_id from r group by doc_id)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, doc_id = component_id as kept from c left join n using (doc_id)
+"""
+ORACLE = {"op1_near_dedup": _SQL}
