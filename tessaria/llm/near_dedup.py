@@ -207,7 +207,7 @@ def _links(groups: DataFrame, reps: DataFrame, docs: DataFrame, folder: str, k:
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, trees: int = 7, node_limit: int = 400,
-                    depths: tuple[int, int] = (2, 3), slack: float = 0.10) -> DataFrame:
+                    depths: tuple[int, int] = (2, 12), slack: float = 0.10) -> DataFrame:
     """One row per document id: doc_id, n_shingles, rep (smallest id with the same set), component_id, kept.
 
     docs needs doc_id (long) and text; other columns are ignored, so clashing names do no harm. Words are runs of
@@ -262,7 +262,7 @@ def _tree_links(spark, reps, docs, folder, k, percent, threshold, least, trees,
         if not size:
             break
         # Nodes of documents that only share a passage shrink at every level; what no longer shrinks is dense.
-        if depth == depths[1]:
+        if depth == depths[1] or before and size > 0.85 * before:
             heavy = large.select(F.col("node").alias("g"), "doc", F.col("n").cast("int").alias("n"))
             groups.append(heavy)
             break
