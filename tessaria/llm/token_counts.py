@@ -49,7 +49,7 @@ def atoms(text: str) -> list[str]:
 class Counter:
     """(pre-tokens, tokens) of atoms, each distinct one encoded once (what is known is forgotten when it grows large)."""
 
-    def __init__(self, vocabulary: str, most: int = 500_000) -> None:
+    def __init__(self, vocabulary: str, most: int = 200_000) -> None:
         import tiktoken
 
         with open(vocabulary, "rb") as f:
