@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import MARKS, cut, raw_bytes, shared_dir, sliding_min, table, window_hashes, word_hashes, word_spans
+from .common import MARKS, bounded_batches, cut, raw_bytes, shared_dir, sliding_min, table, window_hashes, word_hashes, word_spans
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 WINDOWS = "id long, text_key long, n_words long, start long, length long, print long, words binary"
@@ -74,7 +74,7 @@ def _keyed(df: DataFrame, key: str) -> DataFrame:
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 6, filter_bound: int = 1_000_000) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(words, hits, owners): words(doc_id, text_key, n_words) per input row; hits(doc_id, text_key, start, length,
     words), one for each occurrence of an item's window in a document; owners(words, item_id)."""
-    spark = docs.sparkSession
+    spark = bounded_batches(docs).sparkSession
     folder = shared_dir(spark)
     items = cut(_keyed(benchmark, "item_id").mapInArrow(_windows(window, k, [], None, True), WINDOWS).filter("start is not null"), folder, "items")
     owners = items.select(F.col("id").alias("item_id"), "words", "print", "length").distinct()

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, cut, only_ids, raw_bytes, shared_dir, shuffle_partitions, table, window_hashes, word_hashes, word_spans
+from .common import SPACES, bounded_batches, cut, only_ids, raw_bytes, shared_dir, shuffle_partitions, table, window_hashes, word_hashes, word_spans
 from .graph import connected_components
 
 #: Tokens of 32 bits that name children, and tokens of 8 bits that estimate similarity.
@@ -223,7 +223,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, trees: int =
     trees miss it with probability 3e-5, 2e-4 and 8e-3. slack is what a signature's estimate may fall short of the
     threshold: 4.5 standard errors of 256 tokens.
     """
-    spark = docs.sparkSession
+    spark = bounded_batches(docs).sparkSession
     folder = shared_dir(spark)
     threshold = percent / 100
     least = threshold - slack

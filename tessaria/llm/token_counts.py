@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded_batches, table
 
 #: The pre-token pattern of the byte-level vocabularies (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -194,7 +194,7 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     n_pre_tokens_after for a full count. Special tokens' strings are ordinary text.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("edits").cast("array<struct<start:int,end:int,put:string>>").alias("edits"))
-    return rows.mapInArrow(_follow(vocabulary), COUNTS)
+    return bounded_batches(rows).mapInArrow(_follow(vocabulary), COUNTS)
 
 
 def with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MARKS, only_ids, raw_bytes, table, word_hashes, word_spans
+from .common import MARKS, bounded_batches, only_ids, raw_bytes, table, word_hashes, word_spans
 
 FOLDS = 5
 
@@ -216,7 +216,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = (), **
     is the share of toxic labels (0 if there are none). A document labelled twice is toxic if either label says so;
     repeated rows get equal scores. Scores depend on the text alone.
     """
-    index = fit(docs, labels, **options)
+    index = fit(bounded_batches(docs), labels, **options)
     shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by examples, n_terms
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_scored"), (fold(F.col("doc_id")) == 0).alias("held_out"), *carry)
     extra = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
