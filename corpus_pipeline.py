@@ -21,6 +21,8 @@ from tessaria.llm.toxicity import toxicity
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Up to so many ids (8 MB) are broadcast to drop their documents where they are read; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Near-duplicates share this much of their five-word shingles (op1_near_dedup has a contract of its own, 85).
+NEAR_PERCENT = 80
 
 
 def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
@@ -34,7 +36,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, near_duplicates(docs).filter("not kept").select("doc_id"), "copies")
+    return _without(docs, near_duplicates(docs, percent=NEAR_PERCENT).filter("not kept").select("doc_id"), "copies")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

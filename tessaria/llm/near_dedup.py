@@ -303,7 +303,7 @@ def _minority(heavy: DataFrame, limit: int) -> DataFrame:
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("rep")
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85).drop("rep")
 
 
 QUERIES = {"op1_near_dedup": op1_near_dedup}
