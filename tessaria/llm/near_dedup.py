@@ -6,7 +6,8 @@ chooses, by a hash of its own path, on average 1 / threshold positions of the si
 child named by its token at each chosen position. Two sets of similarity s share on average s / threshold children, so
 similar pairs survive from level to level while others fall apart. Small nodes are compared exhaustively on
 signatures; members with a likely partner are then compared on their full sets, and stars are kept that join the
-same documents as the links found. Trees repeat to reach the target recall.
+same documents as the links found. Trees repeat to reach the target recall; documents whose nodes are still large after
+a further level, where a tree loses more, go through further trees.
 
 Groups larger than a node may be (thousands of near copies never fall apart, as all their tokens agree) are dealt
 into blocks of bounded size, which are settled alone; after the links are joined into components, only different
@@ -28,12 +29,13 @@ from pyspark.sql import functions as F
 from .common import SPACES, bounded_batches, cut, only_ids, raw_bytes, shared_dir, shuffle_partitions, table, window_hashes, word_hashes, word_spans
 from .graph import connected_components
 
-#: Tokens of 32 bits that name children, and tokens of 8 bits that estimate similarity.
-PATHS, BYTES = 16, 256
+#: Minwise tokens: 16 bits of each name children, 8 others estimate similarity. Trees share them, so there must be many:
+#: with 16, a pair that agrees on few of them by chance is missed by all trees alike.
+TOKENS = 256
 SKETCH = "doc_id long, n_shingles long, digest binary, sig binary"
 _seeds = np.random.default_rng(7_2017)
-_MUL = _seeds.integers(1, 1 << 63, PATHS + BYTES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _seeds.integers(0, 1 << 63, PATHS + BYTES, dtype=np.uint64)
+_MUL = _seeds.integers(1, 1 << 63, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = _seeds.integers(0, 1 << 63, TOKENS, dtype=np.uint64)
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
@@ -45,11 +47,11 @@ def shingles(text: str | None, k: int) -> np.ndarray:
 
 
 def signature(items: np.ndarray) -> bytes:
-    """The minwise tokens: PATHS of 32 bits, then BYTES of 8 bits, all of different hash functions."""
-    best = np.full(PATHS + BYTES, np.uint64((1 << 64) - 1))
+    """The minwise tokens, all of different hash functions: 16 bits of each, then 8 other bits of each."""
+    best = np.full(TOKENS, np.uint64((1 << 64) - 1))
     for i in range(0, len(items), 1024):
         np.minimum(best, (items[None, i : i + 1024] * _MUL[:, None] + _ADD[:, None]).min(axis=1), out=best)
-    return (best[:PATHS] >> np.uint64(32)).astype(np.uint32).tobytes() + (best[PATHS:] >> np.uint64(20)).astype(np.uint8).tobytes()
+    return (best >> np.uint64(28)).astype(np.uint16).tobytes() + (best >> np.uint64(20)).astype(np.uint8).tobytes()
 
 
 def _sketch(k: int):
@@ -71,11 +73,11 @@ def _branch(rows: DataFrame, threshold: float) -> DataFrame:
     """(doc, sig, node) to the children of each node: one position, and a second for the share of nodes that makes
     the mean 1 / threshold. Both are hashes of the node, so all its documents choose alike."""
     extra = int((1 / threshold - 1) * 10_000)
-    first = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(PATHS))
-    second = F.when(F.pmod(F.xxhash64("node", F.lit(2)), F.lit(10_000)) < extra, F.pmod(F.xxhash64("node", F.lit(3)), F.lit(PATHS)))
+    first = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(TOKENS))
+    second = F.when(F.pmod(F.xxhash64("node", F.lit(2)), F.lit(10_000)) < extra, F.pmod(F.xxhash64("node", F.lit(3)), F.lit(TOKENS)))
     at = F.explode(F.array_compact(F.array(first, second)))
     return rows.select("doc", "sig", "node", at.alias("at")).select(
-        "doc", "sig", F.xxhash64("node", "at", F.expr("substring(sig, cast(4 * at + 1 as int), 4)")).alias("node"))
+        "doc", "sig", F.xxhash64("node", "at", F.expr("substring(sig, cast(2 * at + 1 as int), 2)")).alias("node"))
 
 
 def _stars(a: np.ndarray, b: np.ndarray, doc: np.ndarray, comp: np.ndarray) -> list[tuple[int, int]]:
@@ -128,12 +130,12 @@ def _packed(items: Iterator[tuple], kinds: tuple, names: list[str], size: int =
 
 
 def _partnered(least: float):
-    """Of each group (g, doc, comp, ask, sig), the members with a partner: another component, one of the two asks,
+    """Of each group (g, doc, comp, ask, bytes), the members with a partner: another component, one of the two asks,
     and an estimate of `least` or more."""
     def members(groups: Iterator[list[tuple]]) -> Iterator[tuple]:
         for g in groups:
             comp, ask = (np.array([r[i] for r in g]) for i in (2, 3))
-            sig = np.frombuffer(b"".join(r[4][4 * PATHS :] for r in g), np.uint8).reshape(len(g), -1)
+            sig = np.frombuffer(b"".join(r[4] for r in g), np.uint8).reshape(len(g), -1)
             found = np.zeros(len(g), bool)
             for i in range(len(g) - 1):
                 ok = ((sig[i + 1 :] == sig[i]).mean(axis=1) >= least) & (comp[i + 1 :] != comp[i]) & (ask[i + 1 :] | ask[i])
@@ -196,7 +198,8 @@ def _links(groups: DataFrame, reps: DataFrame, docs: DataFrame, folder: str, k:
     rest travel, once for each group that a document is in; pairs never travel.
     """
     n = shuffle_partitions(groups.sparkSession)
-    dealt = groups.join(reps.select("doc", "sig"), "doc").select("g", "doc", "comp", "ask", "sig").repartition(n, "g").sortWithinPartitions("g", "doc")
+    estimates = reps.select("doc", F.expr(f"substring(sig, {2 * TOKENS + 1}, {TOKENS})").alias("bytes"))
+    dealt = groups.join(estimates, "doc").select("g", "doc", "comp", "ask", "bytes").repartition(n, "g").sortWithinPartitions("g", "doc")
     left = cut(dealt.mapInArrow(_partnered(least), "g long, doc long, comp long, ask boolean"), folder, "partnered")
     same = left.groupBy("g").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc", "ask")).alias("x"), F.bit_xor(F.xxhash64("doc", "ask", F.lit(1))).alias("y"))
     once = left.join(same.groupBy("n", "x", "y").agg(F.min("g").alias("g")).select("g"), "g", "left_semi")
@@ -206,8 +209,8 @@ def _links(groups: DataFrame, reps: DataFrame, docs: DataFrame, folder: str, k:
     return cut(dealt.mapInArrow(_linked(k, percent), "a long, b long"), folder, "links").distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, trees: int = 7, node_limit: int = 400,
-                    depths: tuple[int, int] = (2, 12), slack: float = 0.10) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, trees: int = 10, node_limit: int = 400,
+                    depths: tuple[int, int] = (2, 12), slack: float = 0.10, deep_trees: int = 18) -> DataFrame:
     """One row per document id: doc_id, n_shingles, rep (smallest id with the same set), component_id, kept.
 
     docs needs doc_id (long) and text; other columns are ignored, so clashing names do no harm. Words are runs of
@@ -218,10 +221,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, trees: int =
     with the smallest of their texts; rows without a doc_id are left out. An empty table gives an empty result.
 
     Nodes are first compared at depth depths[0], where a token shared by chance or by one common passage is not
-    enough; large nodes branch on, until they no longer shrink or depths[1] is reached. Recall: a pair at the threshold
-    shares a node at depth 2 of one tree with probability about 0.77, at depth 3 with 0.70, at depth 6 with 0.5, so 7
-    trees miss it with probability 3e-5, 2e-4 and 8e-3. slack is what a signature's estimate may fall short of the
-    threshold: 4.5 standard errors of 256 tokens.
+    enough; large nodes branch on, until they no longer shrink or depths[1] is reached. Members of nodes that are large
+    at depth depths[0] + 1 and branch on go through deep_trees further trees among themselves. Recall: given that a pair
+    agrees on m of the 256 tokens, trees miss it independently, so its miss is the mean over the binomial m of (1 -
+    survival) ** trees. At the threshold of 0.85 (0.80) 10 trees miss 8e-7 (5e-6) at depth 2 and 1.4e-5 (6e-5) at depth
+    3; 28 trees miss 3e-8 (4e-7) at depth 6, 1e-6 (1e-5) at depth 8 and 6e-5 (3e-4) at depth 12. slack is what a
+    signature's estimate may fall short of the threshold: 4.5 standard errors of 256 tokens.
     """
     spark = bounded_batches(docs).sparkSession
     folder = shared_dir(spark)
@@ -234,7 +239,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, trees: int =
         sketch = cut(docs.mapInArrow(_sketch(k), SKETCH), folder, "sketch-of-ids")
     one = sketch.select("doc_id", "digest", "n_shingles")
     reps = cut(sketch.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig")), folder, "reps")
-    links = _tree_links(spark, reps, docs, folder, k, percent, threshold, least, trees, node_limit, depths)
+    links = _tree_links(reps, docs, folder, k, percent, threshold, least, (trees, deep_trees), node_limit, depths)
     comps = connected_components(links, f"{folder}/final")
     classes = reps.select("digest", F.col("doc").alias("rep")).join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     classes = classes.select("digest", "rep", F.coalesce("component", "rep").alias("component"))
@@ -243,13 +248,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, trees: int =
                       (F.col("doc_id") == F.coalesce("component", "doc_id")).alias("kept"))
 
 
-def _tree_links(spark, reps, docs, folder, k, percent, threshold, least, trees, limit, depths) -> DataFrame:
-    roots = F.explode(F.array(*(F.xxhash64(F.lit(f"tree {i}")) for i in range(trees)))).alias("node")
+def _descend(reps: DataFrame, folder: str, trees: range, threshold: float, limit: int, depths: tuple[int, int]) -> tuple[list, DataFrame | None, DataFrame | None]:
+    """(groups, heavy, deep) of the trees: groups are tables (g, doc, n), n being 0 for small nodes; heavy is the one of
+    large nodes, if any; deep has the documents whose nodes are still large a level after the first comparison."""
+    roots = F.explode(F.array(*(F.xxhash64(F.lit(f"tree {i}")) for i in trees))).alias("node")
     members = reps.select("doc", "sig", roots)
     for _ in range(depths[0] - 1):
         members = _branch(members, threshold)
     members = _branch(members, threshold).drop("sig")
-    groups, before, heavy = [], None, None
+    groups, before, heavy, deep = [], None, None, None
     for depth in range(depths[0], depths[1] + 1):
         members = cut(members.distinct(), folder, f"depth-{depth}")
         nodes = members.groupBy("node").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc")).alias("x"),
@@ -266,8 +273,21 @@ def _tree_links(spark, reps, docs, folder, k, percent, threshold, least, trees,
             heavy = large.select(F.col("node").alias("g"), "doc", F.col("n").cast("int").alias("n"))
             groups.append(heavy)
             break
+        if depth == depths[0] + 1:
+            deep = large.select("doc").distinct()
         before = size
         members = _branch(large.join(reps, "doc").select("doc", "sig", "node"), threshold).drop("sig")
+    return groups, heavy, deep
+
+
+def _tree_links(reps, docs, folder, k, percent, threshold, least, trees, limit, depths) -> DataFrame:
+    groups, heavy, deep = _descend(reps, folder, range(trees[0]), threshold, limit, depths)
+    if deep is not None and trees[1]:
+        # A pair of two such documents may have been lost further down; any other pair is settled by the first trees.
+        some = cut(reps.join(deep, "doc", "left_semi"), folder, "deep")
+        more, dense, _ = _descend(some, f"{folder}/deeper", range(trees[0], sum(trees)), threshold, limit, depths)
+        groups += more
+        heavy = dense if heavy is None else heavy if dense is None else heavy.unionByName(dense)
     every = groups[0]
     for x in groups[1:]:
         every = every.unionByName(x)
