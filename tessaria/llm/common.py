@@ -27,6 +27,11 @@ def bounded_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     return df
 
 
+def carried(carry: tuple[str, ...], taken: tuple[str, ...]) -> list[F.Column]:
+    """The columns to carry; one that is named like an output gets `_carried` after its name."""
+    return [F.col(f"`{c}`").alias(f"{c}_carried" if c in taken else c) for c in carry]
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,12 +1,14 @@
 """Operator 8, toxicity by nearest labelled examples.
 
-A bounded sample of labelled documents picks the terms that tell the classes apart; document frequencies of those
-terms are counted over all documents. The examples' TF-IDF vectors go into an inverted index whose posting lists are
-cut into blocks with the block's largest weight. A document's upper bound for every block follows from these maxima;
-blocks are opened in falling order of their bound until none can hold a nearer example, so the neighbours are exact.
-Votes weighted by similarity are calibrated by isotonic regression on a part of the sample that neither picks terms
-nor enters the index. Index and
-calibration are of bounded size and go to the tasks; documents are scored where they are read, without a shuffle.
+A bounded sample of labelled documents becomes TF-IDF vectors over every term that occurs in it; how many documents a
+term is in is counted over all documents. The vectors go into an inverted index whose posting lists are cut into
+blocks with the block's largest weight. A document's upper bound for every block follows from these maxima; blocks of
+a bound below the k-th nearest example found are never opened, so the neighbours are those of the exact cosine.
+
+A neighbour's vote weighs as much as what it shares with the document, each shared term counted by how well it tells
+the classes apart among the examples; all terms make the distance, telling ones make the vote. Votes are calibrated by
+isotonic regression on examples that are not in the index. Index and calibration are of bounded size and go to the
+tasks; documents are scored where they are read, without a shuffle.
 """
 
 from __future__ import annotations
@@ -19,9 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MARKS, bounded_batches, only_ids, raw_bytes, table, word_hashes, word_spans
+from .common import MARKS, bounded_batches, carried, only_ids, raw_bytes, table, word_hashes, word_spans
 
 FOLDS = 5
+OUTPUTS = ("doc_id", "held_out", "score", "predicted", "neighbours")
 
 
 def fold(doc_id: F.Column) -> F.Column:
@@ -35,10 +38,12 @@ def term_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's distinct terms and counts, and how many characters it has."""
     for batch in batches:
-        for doc, text in zip(batch.column(0), batch.column(1)):
-            t, n = term_counts(text.as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), doc.as_py()), pa.int64()), pa.array(t), pa.array(n.astype(np.int64))], names=["doc_id", "term", "n"])
+        found = [term_counts(text.as_py()) for text in batch.column(1)]
+        chars = [len(text.as_py() or "") for text in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t.tobytes() for t, _ in found], pa.binary()), pa.array([n.astype(np.int32).tobytes() for _, n in found], pa.binary()), pa.array(chars, pa.int64())],
+                                         names=["doc_id", "terms", "counts", "chars"])
 
 
 def _document_counts(terms: np.ndarray):
@@ -56,61 +61,86 @@ def _document_counts(terms: np.ndarray):
     return run
 
 
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """lo[0]..hi[0]-1, lo[1]..hi[1]-1, and so on, in one array."""
+    n = hi - lo
+    return np.arange(int(n.sum())) + np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n)
+
+
 @dataclass
 class Index:
-    """Blocked inverted index over the examples. weights of a term's postings lie between ptr[term, b] and ptr[term, b + 1]."""
+    """Blocked inverted index over the examples. A cell is the postings of one term in one block: those of a term lie
+    between cells[term] and cells[term + 1], the postings of cell c between lo[c] and lo[c + 1]."""
 
     terms: np.ndarray
     idf: np.ndarray
+    telling: np.ndarray  # how well a term tells the classes apart
     ids: np.ndarray  # of the examples, in index order
     label: np.ndarray
+    cells: np.ndarray
+    block_of: np.ndarray  # of a cell
+    most: np.ndarray  # largest weight in a cell
+    lo: np.ndarray
     postings: np.ndarray
     weights: np.ndarray
-    ptr: np.ndarray
-    most: np.ndarray  # largest weight of a term in a block
     block: int
     k: int
-    damp: float
-    rest: float
-    xs: np.ndarray
-    ys: np.ndarray
-    no_terms: float
+    damp: float = 0.0
+    xs: np.ndarray | None = None
+    ys: np.ndarray | None = None
+    no_terms: float = 0.0
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of a text's known terms, and its TF-IDF vector of length 1 over them."""
         if not len(self.terms):
             return np.zeros(0, np.int64), np.zeros(0)
         i = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
         known = self.terms[i] == terms
         i, w = i[known], (1 + np.log(counts[known])) * self.idf[i[known]]
-        # All other terms count as one coordinate of the weight of `rest` mean terms, so a lone term is no full match.
-        return i, w / float(np.sqrt(w @ w + (self.rest * self.idf.mean()) ** 2))
-
-    def nearest(self, i: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest cosine above 0 (ties: first in the index) and their cosines."""
-        bound = w @ self.most[i]
-        found: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(found) >= self.k and bound[b] < found[self.k - 1][0]:
+        return i, w / float(np.sqrt(w @ w)) if len(w) else w
+
+    def nearest(self, i: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k examples of largest cosine above 0 (ties: first in the index), their cosines and telling shares."""
+        n_cells = self.cells[i + 1] - self.cells[i]
+        c, of = _ranges(self.cells[i], self.cells[i + 1]), np.repeat(np.arange(len(i)), n_cells)
+        block = self.block_of[c]
+        bound = np.bincount(block, w[of] * self.most[c], minlength=-(-len(self.ids) // self.block))
+        n, least = len(self.ids), 0.0
+        cosine, told = np.zeros(n), np.zeros(n)
+        closed = bound > 0
+        while closed.any():
+            # First the blocks of the highest bounds that hold k examples, then all that may still hold a nearer one.
+            some = closed & (bound >= least * (1 - 1e-9))
+            if least == 0.0:
+                first = np.argsort(-bound, kind="stable")[: -(-self.k // self.block) + 1]
+                some = np.zeros_like(closed)
+                some[first] = closed[first]
+            if not some.any():
                 break
-            acc = np.zeros(self.block)
-            for t, x in zip(i.tolist(), w.tolist()):
-                lo, hi = self.ptr[t, b], self.ptr[t, b + 1]
-                acc[self.postings[lo:hi] - b * self.block] += x * self.weights[lo:hi]
-            at = np.flatnonzero(acc > 0)
-            found += [(s, b * self.block + j) for s, j in zip(acc[at].tolist(), at.tolist())]
-            found.sort(key=lambda x: (-x[0], x[1]))
-            del found[self.k :]
-        return np.array([x[1] for x in found], np.int64), np.array([x[0] for x in found])
-
-    def vote(self, i: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray]:
-        at, s = self.nearest(i, w)
-        return float((s * self.label[at]).sum() / (s.sum() + self.damp)), at
+            closed &= ~some
+            at = np.flatnonzero(some[block])
+            p = _ranges(self.lo[c[at]], self.lo[c[at] + 1])
+            t = np.repeat(of[at], self.lo[c[at] + 1] - self.lo[c[at]])
+            part = w[t] * self.weights[p]
+            cosine += np.bincount(self.postings[p], part, minlength=n)
+            told += np.bincount(self.postings[p], part * self.telling[i[t]], minlength=n)
+            least = np.partition(cosine, n - self.k)[n - self.k] if n > self.k else 0.0
+            if least <= 0.0:
+                least = np.finfo(float).tiny
+        at = np.argsort(-cosine, kind="stable")[: self.k]
+        at = at[cosine[at] > 0]
+        return at, cosine[at], told[at]
+
+    def vote(self, i: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray, float]:
+        at, _, told = self.nearest(i, w)
+        total = float(told.sum())
+        return float((told * self.label[at]).sum() / (total + self.damp)) if total + self.damp > 0 else 0.0, at, total
 
     def score(self, text: str | None) -> tuple[float, list[int]]:
         i, w = self.vector(*term_counts(text))
-        if not len(i):
+        if not len(i) or self.xs is None:
             return self.no_terms, []
-        v, at = self.vote(i, w)
+        v, at, _ = self.vote(i, w)
         return float(np.clip(0.98 * np.interp(v, self.xs, self.ys) + 0.02 * v, 0, 1)), self.ids[at].tolist()
 
 
@@ -126,71 +156,74 @@ def _isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray,
     return np.array([p[0] for p in points]), np.array([p[1] for p in points])
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = 1500, n_terms: int = 4096, least_z: float = 3.0, support: float = 0.015, k: int = 15,
-        block: int = 32, damp: float = 2.0, rest: float = 1.5) -> Index:
-    """Fits the index on at most `examples` labelled documents of either class, chosen by a hash of their id, outside
-    the held-out fold; of ten, seven pick terms and make the index, three calibrate. At most n_terms terms are kept,
-    each in 3 documents and a share `support` of one class at least. Document frequencies are those of all of docs."""
+def fit(docs: DataFrame, labels: DataFrame, examples: int = 1500, example_chars: int = 8_000_000, k: int = 100, block: int = 32) -> Index:
+    """Fits the index on at most `examples` labelled documents of either class, of example_chars characters at most in
+    all (a longer text is passed over), in the order of a hash of their id, outside the held-out fold; of ten, seven
+    make the index and three calibrate. All their terms are in the index; document frequencies are those of docs."""
     labels = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     labels = labels.filter(fold(F.col("doc_id")) != 0)
     size = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()}  # two rows
+    base = size.get(1, 0) / max(1, sum(size.values()))
     chosen = [r for y in (0, 1) for r in labels.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples).collect()]
-    spark = docs.sparkSession
-    kinds = [[r for r in chosen if r["toxic"] == y] for y in (0, 1)]
-    ids = spark.createDataFrame([(r["doc_id"], r["toxic"], i % 10 < 7) for rows in kinds for i, r in enumerate(rows)], "doc_id long, toxic int, learn boolean")
-    texts = only_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids.select("doc_id"), "doc_id", len(chosen))
-    counts = texts.mapInArrow(_terms, "doc_id long, term long, n long").groupBy("doc_id", "term").agg(F.max("n").alias("n")).join(F.broadcast(ids), "doc_id")
-    there = texts.select("doc_id").distinct().join(F.broadcast(ids), "doc_id").groupBy("toxic", "learn").agg(F.count("*").alias("n")).collect()
-    seen = {y: {r["learn"]: r["n"] for r in there if r["toxic"] == y} for y in (0, 1)}
-    n0, n1 = (max(1, seen[y].get(True, 0)) for y in (0, 1))
-    by_term = counts.filter("learn").groupBy("term").agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count_if(F.col("toxic") == 0).alias("b"))
-    p = (F.col("a") + F.col("b")) / (n0 + n1)
-    z = (F.col("a") / n1 - F.col("b") / n0) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12)
-    odds = F.abs(F.log((F.col("a") + 0.5) / (n1 + 1) * (n0 + 1) / (F.col("b") + 0.5)))
-    enough = (F.col("a") >= max(3, support * n1)) | (F.col("b") >= max(3, support * n0))
-    telling = by_term.filter(enough & (F.abs(z) >= least_z) & (odds >= 1.0))
-    terms = np.sort(np.array([r["term"] for r in telling.orderBy(F.abs(z).desc(), "term").limit(n_terms).collect()], np.int64))
-    blank = Index(terms, np.ones(len(terms)), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0), np.zeros((len(terms), 1), np.int64),
-                  np.zeros((len(terms), 0)), block, k, damp, rest, np.array([0.0]), np.array([0.0]), size.get(1, 0) / max(1, sum(size.values())))
-    if not len(terms) or not all(seen[y].get(True) and seen[y].get(False) for y in (0, 1)):
-        blank.terms = terms[:0]
-        return blank
+    ids = docs.sparkSession.createDataFrame([(r["doc_id"],) for r in chosen], "doc_id long")
+    texts = only_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids, "doc_id", len(chosen))
+    # One row per example comes to the driver; the bounds are those of the parameters.
+    found: dict[int, tuple] = {}
+    for r in texts.mapInArrow(_terms, "doc_id long, terms binary, counts binary, chars long").filter(F.col("chars") <= example_chars).collect():
+        one = (bytes(r["terms"]), bytes(r["counts"]), r["chars"])
+        found[r["doc_id"]] = min(one, found.get(r["doc_id"], one))
+    kinds: list[list[tuple]] = []
+    for y in (0, 1):
+        mine, chars = [], 0
+        for r in chosen:
+            if r["toxic"] == y and r["doc_id"] in found and chars + found[r["doc_id"]][2] <= example_chars:
+                t, n, c = found[r["doc_id"]]
+                chars += c
+                mine.append((r["doc_id"], y, np.frombuffer(t, np.int64), np.frombuffer(n, np.int32), len(mine) % 10 < 7))
+        kinds.append(mine)
+    learn, held = ([x for mine in kinds for x in mine if x[4] == part] for part in (True, False))
+    terms = np.unique(np.concatenate([x[2] for x in learn])) if learn else np.zeros(0, np.int64)
+    if not len(terms) or any(len({x[1] for x in part}) < 2 for part in (learn, held)):
+        return Index(terms[:0], np.zeros(0), np.zeros(0), np.zeros(0, np.int64), np.zeros(0), *(np.zeros(1, np.int64) for _ in range(5)), np.zeros(0), block, k, no_terms=base)
     df = docs.select("text").mapInArrow(_document_counts(terms), "term long, n long, total boolean").groupBy("term", "total").agg(F.sum("n").alias("n")).collect()
     total = next(r["n"] for r in df if r["total"])
     of = {r["term"]: r["n"] for r in df if not r["total"]}
     idf = np.log((total + 1) / (np.array([of.get(t, 0) for t in terms.tolist()]) + 1)) + 1
-    picked = counts.join(F.broadcast(spark.createDataFrame([(int(t),) for t in terms], "term long")), "term").select("doc_id", "term", "n", "toxic", "learn").collect()
-    return _index(blank, idf, picked, {y: size[y] / seen[y][False] for y in (0, 1)}, {y: seen[y][False] for y in (0, 1)})
-
-
-def _index(index: Index, idf: np.ndarray, rows: list, weight: dict, seen: dict) -> Index:
-    index.idf = idf
-    docs: dict[int, list] = {}
-    for r in rows:
-        docs.setdefault(r["doc_id"], [r["toxic"], [], [], r["learn"]])
-        docs[r["doc_id"]][1].append(r["term"])
-        docs[r["doc_id"]][2].append(r["n"])
-    vectors = {}
-    for d, (y, t, n, _) in docs.items():
-        order = np.argsort(t)
-        vectors[d] = index.vector(np.array(t)[order], np.array(n)[order])
-    # Neighbouring examples share their class and heaviest term, so block maxima are tight.
-    order = sorted((d for d in docs if docs[d][3]), key=lambda d: (docs[d][0], int(vectors[d][0][np.argmax(vectors[d][1])]), d))
-    blocks = -(-len(order) // index.block)
-    entries = sorted((t, e, w) for e, d in enumerate(order) for t, w in zip(vectors[d][0].tolist(), vectors[d][1].tolist()))
-    index.ids, index.label = np.array(order, np.int64), np.array([docs[d][0] for d in order], float)
-    index.postings, index.weights = np.array([x[1] for x in entries], np.int64), np.array([x[2] for x in entries])
-    keys = np.array([x[0] for x in entries], np.int64) * (blocks + 1) + index.postings // index.block
-    cells = np.arange(len(index.terms))[:, None] * (blocks + 1) + np.arange(blocks + 1)[None, :]
-    index.ptr = np.searchsorted(keys, cells)
-    index.most = np.zeros((len(index.terms), blocks))
-    np.maximum.at(index.most, (np.array([x[0] for x in entries]), index.postings // index.block), index.weights)
-    held = [d for d in docs if not docs[d][3]]
-    votes, label = np.array([index.vote(*vectors[d])[0] for d in held]), np.array([docs[d][0] for d in held], float)
-    if held:
+    return _index(terms, idf, learn, held, {y: size[y] / sum(x[1] == y for x in held) for y in (0, 1)}, base, block, k)
+
+
+def _telling(terms: np.ndarray, learn: list, prior: float = 3.0) -> np.ndarray:
+    """The squared log odds of a term between the classes, drawn to 0 as if `prior` more examples held it by chance."""
+    n = [sum(x[1] == y for x in learn) for y in (0, 1)]
+    seen = [np.bincount(np.searchsorted(terms, np.concatenate([x[2] for x in learn if x[1] == y])), minlength=len(terms)) for y in (0, 1)]
+    rate = [(seen[y] + prior * n[y] / sum(n)) / (n[y] + prior * n[y] / sum(n)) for y in (0, 1)]
+    return np.log(rate[1] / rate[0]) ** 2
+
+
+def _index(terms: np.ndarray, idf: np.ndarray, learn: list, held: list, weight: dict, base: float, block: int, k: int) -> Index:
+    index = Index(terms, idf, _telling(terms, learn), *(np.zeros(0, np.int64) for _ in range(8)), block, k)
+    vectors = {x[0]: index.vector(x[2], x[3]) for x in learn + held}
+    # Neighbouring examples share their class and their most telling term, so block maxima are tight.
+    top = {d: int(i[np.argmax(w * index.telling[i])]) if len(i) else -1 for d, (i, w) in vectors.items()}
+    learn = sorted(learn, key=lambda x: (x[1], top[x[0]], x[0]))
+    index.ids, index.label = np.array([x[0] for x in learn], np.int64), np.array([x[1] for x in learn], float)
+    term = np.concatenate([vectors[x[0]][0] for x in learn])
+    example = np.repeat(np.arange(len(learn)), [len(vectors[x[0]][0]) for x in learn])
+    weights = np.concatenate([vectors[x[0]][1] for x in learn])
+    order = np.lexsort((example, term))
+    term, example, weights = term[order], example[order], weights[order]
+    new = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (example[1:] // block != example[:-1] // block))))
+    index.postings, index.weights = example.astype(np.int32), weights
+    index.lo, index.block_of = np.append(new, len(term)), example[new] // block
+    index.cells, index.most = np.searchsorted(term[new], np.arange(len(terms) + 1)), np.maximum.reduceat(weights, new)
+    index.damp = 0.3 * float(np.median([index.vote(*vectors[x[0]])[2] for x in held if len(vectors[x[0]][0])] or [1.0]))
+    known = [x for x in held if len(vectors[x[0]][0])]
+    blank = np.array([x[1] for x in held if not len(vectors[x[0]][0])])
+    if known:
+        votes, label = np.array([index.vote(*vectors[x[0]])[0] for x in known]), np.array([x[1] for x in known], float)
         index.xs, index.ys = _isotonic(votes, label, np.where(label == 1, weight[1], weight[0]))
-    rest = {y: (seen[y] - int((label == y).sum())) * weight[y] for y in (0, 1)}
-    index.no_terms = rest[1] / max(1e-9, rest[0] + rest[1])
+    w = np.where(blank == 1, weight[1], weight[0])
+    index.no_terms = float((w * blank).sum() / w.sum()) if len(blank) else base
     return index
 
 
@@ -211,15 +244,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = (), **
     neighbours (evidence: the ids of the nearest labelled examples, nearest first).
 
     docs needs doc_id and text, labels doc_id and toxic; other columns are ignored. held_out: crc32 of the id as text
-    is divisible by 5; labels of such rows are never read. A text without a known term (a null or empty one too) gets
-    the share of toxic documents among labelled ones without such terms. Without labels of both classes every score
-    is the share of toxic labels (0 if there are none). A document labelled twice is toxic if either label says so;
-    repeated rows get equal scores. Scores depend on the text alone.
+    is divisible by 5; labels of such rows are never read. A text without a term of any example (a null or empty one
+    too) gets the share of toxic documents among labelled ones of that kind (of all, if there are none). Without labels
+    of both classes every score is the share of toxic labels (0 if there are none). A document labelled twice is toxic if either label says so;
+    repeated rows get equal scores. Scores depend on the text alone. A carried column named like an output comes out
+    with `_carried` after its name.
     """
     index = fit(bounded_batches(docs), labels, **options)
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by examples, n_terms
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_scored"), (fold(F.col("doc_id")) == 0).alias("held_out"), *carry)
-    extra = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by examples and example_chars
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_scored"), (fold(F.col("doc_id")) == 0).alias("held_out"), *carried(carry, OUTPUTS))
+    extra = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[3:])
     return rows.mapInArrow(_score(shared), f"doc_id long, held_out boolean{extra}, score double, predicted int, neighbours array<bigint>")
 
 
