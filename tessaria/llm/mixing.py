@@ -19,6 +19,7 @@ from pyspark.sql.window import Window
 
 from .common import cut, shared_dir, table
 
+OUTPUTS = ("doc_id", "source", "n_tokens", "epoch", "mix_order")
 STEPS = 5  # halvings answered by one aggregate
 
 
@@ -102,7 +103,7 @@ def _least_exponent(sources: DataFrame, measure, wanted: float) -> float:
 
 
 def mix(docs: DataFrame, budget: int | None = None, entropy: float | None = None, max_repeat: float | None = None,
-        tokens: str | None = None, block_docs: int = 512, seed: int = 17, carry: tuple[str, ...] = ()) -> DataFrame:
+        tokens: str | None = None, block_docs: int = 512, seed: int = 17, carry: tuple[str, ...] = (), max_epochs: int = 1_000_000) -> DataFrame:
     """The mixed corpus: doc_id, source, n_tokens, epoch, mix_order, the columns to carry, one row per reading of a document.
 
     docs needs doc_id, text and source (null is a source of its own); tokens names a column with token counts, else
@@ -111,22 +112,31 @@ def mix(docs: DataFrame, budget: int | None = None, entropy: float | None = None
     within. Documents are read while the tokens read before them are below the budget, so a source exceeds its budget
     by less than one document. mix_order orders the corpus: a document's place in its source's budget, from 0 to 1, so
     sources are spread evenly; ties break by hash. Documents without tokens are read where they fall, once an epoch at
-    most. Repeated rows are rows of their own with equal places. An empty table gives an empty result.
+    most. Repeated rows, and rows without an id or with another row's id, are rows of their own and keep what they carry;
+    a carried column named like an output comes out with `_carried` after its name. A target that would have a source
+    read more than max_epochs times is an error. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    folder = shared_dir(spark)
+    folder = shared_dir(docs.sparkSession)
     count = F.coalesce(F.col(tokens).cast("long"), F.lit(0)) if tokens else token_count(F.col("text"))
-    slim = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", count.alias("n_tokens")), folder, "tokens")
+    # A row is known by a number of its own, as ids may be null or repeat; `tie` tells rows of one id apart by what they hold.
+    names = [f"c{i}" for i in range(len(carry))]
+    row = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", count.alias("n_tokens"), F.xxhash64("text", *carry).alias("tie"),
+                      F.monotonically_increasing_id().alias("row"), *[F.col(f"`{c}`").alias(n) for c, n in zip(carry, names)])
+    whole = cut(row, folder, "tokens")
+    slim = whole.drop(*names)
     sources, _, budget = source_weights(slim, budget, entropy, max_repeat)
     key = F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))
     sources = sources.withColumn("key", key).withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("docs") / block_docs))).filter("budget > 0 and tokens > 0")
+    most = sources.agg(F.max(F.col("budget") / F.col("tokens"))).first()[0] or 0.0
+    if most > max_epochs:
+        raise ValueError(f"a source would be read {most:.0f} times, max_epochs is {max_epochs}")
     keyed = slim.withColumn("key", key)
     # Documents to blocks: the number of blocks of a source comes by a salted join, as a source may hold a third of all rows.
     salts = 16
     side = sources.select("key", "blocks", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(side, ["key", "salt"]).drop("salt")
-    keyed = keyed.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("blocks")))
-    keyed = cut(keyed.select("doc_id", "source", "n_tokens", "key", "block"), folder, "blocks")
+    keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(salts)).cast("int")).join(side, ["key", "salt"]).drop("salt")
+    keyed = keyed.withColumn("block", F.pmod(F.xxhash64("doc_id", "tie", F.lit(seed)), F.col("blocks")))
+    keyed = cut(keyed.select("row", "doc_id", "source", "n_tokens", "tie", "key", "block"), folder, "blocks")
     blocks = keyed.groupBy("key", "block").agg(F.sum("n_tokens").alias("n"))
     # Each epoch orders the blocks by a hash; prefix sums first over ranges of the hash, then inside a range.
     epochs = sources.select("key", "budget", "tokens", F.explode(F.sequence(F.lit(0), F.ceil(F.col("budget") / F.col("tokens")).cast("int") - 1)).alias("epoch"))
@@ -138,15 +148,12 @@ def mix(docs: DataFrame, budget: int | None = None, entropy: float | None = None
     laid = laid.join(ranges, ["key", "epoch", "range"]).withColumn("before", F.col("before_range") + F.coalesce(F.sum("n").over(inside), F.lit(0))).filter("before < budget")
     laid = laid.select("key", "block", "epoch", "before", "budget")
     rows = keyed.join(laid, ["key", "block"])
-    order = Window.partitionBy("key", "block", "epoch").orderBy(F.xxhash64("doc_id", "epoch", F.lit(seed)), "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("key", "block", "epoch").orderBy(F.xxhash64("doc_id", "tie", "epoch", F.lit(seed)), "doc_id", "n_tokens", "tie", "row").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("start", F.col("before") + F.coalesce(F.sum("n_tokens").over(order), F.lit(0))).filter("start < budget")
-    rows = rows.select("doc_id", "source", "n_tokens", "epoch", (F.col("start") / F.col("budget")).alias("mix_order"))
+    rows = rows.select("row", "doc_id", "source", "n_tokens", "epoch", (F.col("start") / F.col("budget")).alias("mix_order"))
     if carry:
-        extra = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry)
-        if slim.count() != slim.select("doc_id").distinct().count():
-            extra = extra.dropDuplicates(["doc_id"])
-        rows = rows.join(extra, "doc_id", "left")
-    return rows
+        rows = rows.join(whole.select("row", *[F.col(n).alias(f"{c}_carried" if c in OUTPUTS else c) for c, n in zip(carry, names)]), "row")
+    return rows.drop("row")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

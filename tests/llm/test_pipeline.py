@@ -15,6 +15,9 @@ def test_pipeline(spark, tmp_path):
     leak = prose(rng, 30)
     texts += [texts[1], texts[2] + " more", f"{prose(rng, 15)} {leak} {prose(rng, 15)}", f'{prose(rng, 20)} token = "{"0a1b" * 10}" {prose(rng, 20)}', None, ""]
     docs = [(i, t, "en", f"s{i % 4}" if i % 3 else "hot", len(t or "")) for i, t in enumerate(texts)]
+    # Rows without an id pass every filter with their own texts, and so do both texts of an id that repeats.
+    odd = [prose(rng, 12) for _ in range(4)]
+    docs += [(None, odd[0], "en", "s1", 1), (None, odd[1], "en", "hot", 1), (5000, odd[2], "en", "s2", 1), (5000, odd[3], "en", None, 1)]
     spark.createDataFrame(docs, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, 1, y) for i, _, y in base], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(1, leak), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
@@ -32,12 +35,18 @@ def test_pipeline(spark, tmp_path):
             toxic = {i for i, _, y in base if y}
             assert len(set(after) & toxic) <= 0.05 * len(toxic) and len(ids - toxic - set(after)) <= 0.02 * n
         elif name == "near_dedup":
-            assert set(after) == {x[0] for x in brute_near(before) if x[3]}
+            assert set(after) == {x[0] for x in brute_near([r for r in before if r[0] is not None]) if x[3]} | {None}
         elif name == "decontamination":
             assert set(after) == {x[0] for x in brute_leaks(before, [(1, leak)]) if not x[5]}
         elif name == "secret_scans":
             assert set(after) == ids and "0a1b0a1b" not in after[903]["text"] and "<secret>" in after[903]["text"]
             assert all(after[r[0]]["text"] == (r[1] or "") for r in before if r[0] not in (903,))
         else:
-            assert set(after) <= ids and kept.count() > 0
+            # Every reading is of a row with its own text, and each source has its budget of words.
+            assert {(r["doc_id"], r["text"]) for r in kept.collect()} <= {(r[0], r[1]) for r in before}
+            words = {s: sum(len((r[1] or "").split()) for r in before if r[3] == s) for s in {r[3] for r in before}}
+            read = {s: sum(len((r["text"] or "").split()) for r in kept.collect() if r["source"] == s) for s in words}
+            assert abs(sum(read.values()) - sum(words.values())) <= 200 * len(words) and all(read[s] <= 4.1 * words[s] + 200 for s in words)
+        if k < 4:
+            assert {(r["doc_id"], r["text"]) for r in kept.collect()} >= {(None, t) for t in odd[:2]} | {(5000, t) for t in odd[2:]}
     assert {r["doc_id"] for r in pipeline.run(spark, str(tmp_path)).collect()} == set(after)
