@@ -6,9 +6,14 @@ bucket that the minimiser names; equal windows have equal minimisers, at equal o
 There the packed strings are unfolded again, their windows sorted and counted exactly: equal fingerprints are
 confirmed on the words themselves. What goes back per document are ranges of words to remove.
 
-Before the shuffle each task sets aside packed strings it has sent before: every later copy has an earlier start in
-the same task, so its words are removed without travelling. A passage that a third of all documents share costs one
-string per task. Strings for one partition travel as compressed blocks.
+Partitions hold a bounded number of bytes of text on average, whatever the input's size. A minimiser that is common (a
+phrase that very many documents share in different surroundings) would still make one bucket too large for a task: a
+bucket that outgrows its bound is dealt on by windows instead. Its strings are counted against each other by parts,
+and the first place of each window of a part travels as a 128-bit fingerprint to a bucket named by the fingerprint.
+
+Before the shuffle each task sets aside packed strings it has sent before, as far back as a bounded memory goes: every
+later copy has an earlier start in the same task, so its words are removed without travelling. A passage that a third
+of all documents share costs few strings per task. Strings for one partition travel as compressed blocks.
 """
 
 from __future__ import annotations
@@ -23,10 +28,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, cut, shared_dir, shuffle_partitions, sliding_min, table, window_hashes, word_hashes, word_spans
+from .common import SPACES, bounded_batches, cut, shared_dir, shuffle_partitions, sliding_min, table, window_hashes, word_hashes, word_spans
 
-#: Bytes of packed strings that a task holds before it sends blocks, and that it unfolds at once.
-_FLUSH, _BLOCK = 48 << 20, 4 << 20
+#: Bytes of packed strings that a task holds before it sends blocks, that it unfolds at once, and that it remembers as sent.
+_FLUSH, _BLOCK, _SENT = 32 << 20, 4 << 20, 24 << 20
+#: Bytes of text per partition on average, and of strings that a task holds before it looks for buckets to deal on.
+PART_BYTES, HELD_BYTES = 16 << 20, 64 << 20
 
 
 def _packed(text: str | None) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -66,8 +73,9 @@ def _send(window: int, m: int, parts: int):
             size = 0
             return _sent(rows)
 
+        sent: dict[bytes, tuple[int, int]] = {}
+        remembered = 0
         for batch in batches:
-            sent: dict[bytes, tuple[int, int]] = {}
             local: list[tuple] = []
             order = np.argsort(np.array(batch.column(0).to_pylist(), np.int64), kind="stable").tolist()
             for i in order:
@@ -81,14 +89,16 @@ def _send(window: int, m: int, parts: int):
                 key = key.astype(np.int64).tolist()
                 for a, b, part, h, x, y in zip(lo.tolist(), hi.tolist(), to, key, cut_from, cut_to):
                     s = joined[x:y]
-                    if s in sent:
-                        if sent[s] == (doc, a):
+                    if (was := sent.get(s)) is not None and was <= (doc, a):
+                        if was == (doc, a):
                             continue
                         if local and local[-1][1] == doc and local[-1][3] >= a:
                             local[-1] = (*local[-1][:3], b + window - 1, None)
                         else:
                             local.append((doc % parts, doc, a, b + window - 1, None))
                         continue
+                    if was is None:
+                        remembered += len(s) + 100
                     sent[s] = (doc, a)
                     box = boxes.setdefault(part, ([], []))
                     box[0].append((h, doc, a))
@@ -96,6 +106,9 @@ def _send(window: int, m: int, parts: int):
                     size += len(s)
                 if size > _FLUSH:
                     yield flush()
+                if remembered > _SENT:
+                    sent.clear()
+                    remembered = 0
             yield _sent(local)
         yield flush()
 
@@ -143,13 +156,59 @@ def _later(keys: np.ndarray, docs: np.ndarray, firsts: np.ndarray, strings: list
     return doc[again], start[again]
 
 
-def _count(window: int, m: int):
+def _fingerprints(docs: np.ndarray, firsts: np.ndarray, strings: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the windows of these strings (fingerprint, second fingerprint, doc, start) of each sequence's first place, and
+    (doc, start) of all other places."""
+    raw = np.frombuffer(b" ".join(strings), np.uint8)
+    words = word_hashes(raw, *word_spans(raw, SPACES), fold=False)
+    lengths = np.fromiter((s.count(b" ") + 1 for s in strings), np.int64, len(strings))
+    n = lengths - window + 1
+    which = np.repeat(np.arange(len(strings)), n)
+    offset = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+    at = (np.cumsum(lengths) - lengths)[which] + offset
+    h, g = (window_hashes(words, window, second)[at].view(np.int64) for second in (False, True))
+    return _firsts(np.column_stack([h, g, docs[which], firsts[which] + offset]))
+
+
+def _firsts(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows (h, g, doc, start) of the first place of each (h, g), and (doc, start) of its other places."""
+    rows = rows[np.lexsort((rows[:, 3], rows[:, 2], rows[:, 1], rows[:, 0]))]
+    again = np.zeros(len(rows), bool)
+    again[1:] = (rows[1:, :2] == rows[:-1, :2]).all(axis=1)
+    lead = np.maximum.accumulate(np.where(again, 0, np.arange(len(rows))))
+    same = again & (rows[:, 2:] == rows[lead, 2:]).all(axis=1)
+    return rows[~again], rows[again & ~same, 2:]
+
+
+def _ranges(doc: np.ndarray, start: np.ndarray, window: int) -> pa.RecordBatch:
+    """Removed windows as ranges of words: FOUND rows without a block."""
+    order = np.lexsort((start, doc))
+    doc, start = doc[order], start[order]
+    new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)))) if len(doc) else np.zeros(0, np.int64)
+    last = np.append(new[1:], len(doc)) - 1 if len(new) else new
+    none = pa.nulls(len(new), pa.int64()), pa.nulls(len(new), pa.binary())
+    return pa.RecordBatch.from_arrays([none[0], pa.array(doc[new]), pa.array(start[new]), pa.array(start[last] + window), none[1]], names=["part", "doc_id", "lo", "hi", "block"])
+
+
+def _count(window: int, m: int, parts: int, held_bytes: int):
+    """FOUND rows: ranges to remove, and blocks of window fingerprints of buckets that are dealt on."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_ = zstandard.ZstdDecompressor()
-        part, metas, strings = None, [], []
+        open_, squeeze = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
+        part, metas, strings, held, hot = None, [], [], 0, np.zeros(0, np.int64)
+
+        def deal(meta: np.ndarray, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+            at, sizes = 0, np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+            while at < len(texts):
+                to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + _BLOCK)))
+                firsts, again = _fingerprints(meta[at:to, 1], meta[at:to, 2], texts[at:to], window)
+                yield _ranges(again[:, 0], again[:, 1], window)
+                to_part = (firsts[:, 0].view(np.uint64) % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(to_part, kind="stable")
+                bounds = np.append(np.flatnonzero(np.concatenate(([True], np.diff(to_part[order]) > 0))), len(order))
+                yield _sent([(int(to_part[order[x]]), None, None, None, squeeze.compress(firsts[order[x:y]].tobytes())) for x, y in zip(bounds, bounds[1:])])
+                at = to
 
-        def done() -> pa.RecordBatch:
-            meta = np.concatenate(metas) if metas else np.zeros((0, 3), np.int64)
+        def done(meta: np.ndarray) -> Iterator[pa.RecordBatch]:
             order = np.lexsort((meta[:, 2], meta[:, 1], meta[:, 0]))
             key = meta[order, 0]
             shared = np.zeros(len(key), bool)
@@ -157,7 +216,6 @@ def _count(window: int, m: int):
             shared[:-1] |= key[1:] == key[:-1]
             # A bucket with one string has no equal windows: two in one string would have the minimiser at two places.
             order = order[shared]
-            out = []
             bounds = np.flatnonzero(np.diff(meta[order, 0])) + 1
             sizes = np.cumsum(np.fromiter((len(strings[i]) for i in order.tolist()), np.int64, len(order)))
             at = 0
@@ -166,29 +224,65 @@ def _count(window: int, m: int):
                 after = bounds[bounds > to]
                 to = int(after[0]) if len(after) else len(order)
                 rows = order[at:to]
-                out.append(_later(meta[rows, 0], meta[rows, 1], meta[rows, 2], [strings[i] for i in rows.tolist()], window, m))
+                yield _ranges(*_later(meta[rows, 0], meta[rows, 1], meta[rows, 2], [strings[i] for i in rows.tolist()], window, m), window)
                 at = to
-            doc, start = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            order = np.lexsort((start, doc))
-            doc, start = doc[order], start[order]
-            new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)))) if len(doc) else np.zeros(0, np.int64)
-            last = np.append(new[1:], len(doc)) - 1 if len(new) else new
-            return pa.RecordBatch.from_arrays([pa.array(doc[new]), pa.array(start[new]), pa.array(start[last] + window)], names=["doc_id", "lo", "hi"])
 
         for batch in batches:
-            yield batch.filter(pc.is_valid(batch.column(1))).select([1, 2, 3])
+            yield batch.filter(pc.is_valid(batch.column(1)))
             for p, block in zip(batch.column(0).to_pylist(), batch.column(4)):
                 if not block.is_valid:
                     continue
                 if part is not None and p != part:
-                    yield done()
-                    metas, strings = [], []
+                    if metas:
+                        yield from done(np.concatenate(metas))
+                    metas, strings, held, hot = [], [], 0, np.zeros(0, np.int64)
                 part = p
                 data = open_.decompress(block.as_py())
                 n = int.from_bytes(data[:8], "little")
-                metas.append(np.frombuffer(data[8 : 8 + 24 * n], np.int64).reshape(n, 3))
-                strings.extend(data[8 + 24 * n :].split(b"\n"))
-        if part is not None:
+                meta, texts = np.frombuffer(data[8 : 8 + 24 * n], np.int64).reshape(n, 3), data[8 + 24 * n :].split(b"\n")
+                gone = np.isin(meta[:, 0], hot)
+                if gone.any():
+                    yield from deal(meta[gone], [texts[i] for i in np.flatnonzero(gone).tolist()])
+                    texts, meta = [texts[i] for i in np.flatnonzero(~gone).tolist()], meta[~gone]
+                if len(meta):
+                    metas.append(meta)
+                    strings.extend(texts)
+                    held += sum(map(len, texts))
+                if held > held_bytes:
+                    # Buckets with an eighth of what a task may hold are dealt on, now and as more of them comes.
+                    meta = np.concatenate(metas)
+                    keys, which = np.unique(meta[:, 0], return_inverse=True)
+                    large = np.bincount(which, np.fromiter(map(len, strings), np.int64, len(strings))) > held_bytes / 8
+                    hot = np.union1d(hot, keys[large])
+                    gone = large[which]
+                    yield from deal(meta[gone], [strings[i] for i in np.flatnonzero(gone).tolist()])
+                    strings = [strings[i] for i in np.flatnonzero(~gone).tolist()]
+                    metas = [meta[~gone]] if len(strings) else []
+                    # Without a large bucket the partition is large as a whole; the bound is raised until the next look.
+                    held = sum(map(len, strings)) if gone.any() else 0
+        if part is not None and metas:
+            yield from done(np.concatenate(metas))
+
+    return run
+
+
+def _count_dealt(window: int):
+    """Ranges to remove of one fingerprint's bucket: rows sorted by part, each a block of fingerprints."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = zstandard.ZstdDecompressor()
+        part, rows = None, []
+
+        def done() -> pa.RecordBatch:
+            return _ranges(*_firsts(np.concatenate(rows))[1].T, window).select([1, 2, 3])
+
+        for batch in batches:
+            for p, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if part is not None and p != part:
+                    yield done()
+                    rows = []
+                part = p
+                rows.append(np.frombuffer(open_.decompress(block), np.int64).reshape(-1, 4))
+        if rows:
             yield done()
 
     return run
@@ -228,25 +322,35 @@ def _kept(with_text: bool):
     return run
 
 
-def repeated_ranges(docs: DataFrame, window: int = 20, m: int = 4) -> DataFrame:
+def repeated_ranges(docs: DataFrame, folder: str, window: int = 20, m: int = 4, part_bytes: int = PART_BYTES, held_bytes: int = HELD_BYTES) -> DataFrame:
     """(doc_id, lo, hi): word ranges that windows starting earlier elsewhere cover; ranges of a document may overlap."""
-    parts = 4 * shuffle_partitions(docs.sparkSession)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(4 * shuffle_partitions(docs.sparkSession), -(-size // part_bytes))
     sent = docs.mapInArrow(_send(window, m, parts), SENT).repartition(parts, "part").sortWithinPartitions("part")
-    return sent.mapInArrow(_count(window, m), "doc_id long, lo long, hi long")
+    found = cut(sent.mapInArrow(_count(window, m, parts, held_bytes), SENT), folder, "found")
+    ranges, dealt = found.filter("block is null").select("doc_id", "lo", "hi"), found.filter("block is not null").select("part", "block")
+    if dealt.isEmpty():
+        return ranges
+    again = dealt.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_count_dealt(window), "doc_id long, lo long, hi long")
+    return ranges.unionByName(again)
 
 
-def substring_dedup(docs: DataFrame, window: int = 20, m: int = 4, with_text: bool = True, broadcast_rows: int = 1_000_000) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 20, m: int = 4, with_text: bool = True, broadcast_rows: int = 1_000_000,
+                    part_bytes: int = PART_BYTES, held_bytes: int = HELD_BYTES) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text.
 
     docs needs doc_id (long) and text; other columns are ignored. Words are runs of anything but ASCII white space.
     A word goes if a window of `window` words over it has a word sequence that also starts earlier: in a document with
     a smaller doc_id, or earlier in the same one. Windows are judged on the input. Null and empty texts and texts of
     fewer words than a window lose nothing. doc_id must be unique and not null for the order to be defined: rows
-    without one are left out, and of rows that repeat one, each gets the union of what is removed under that id.
+    without one are left out, and of rows that repeat one, each gets the union of what is removed under that id. A
+    task holds some held_bytes of strings; larger buckets are dealt on by 128-bit fingerprints of their windows, where
+    two different sequences would be taken for one with a probability of 1e-18 among 10^10 windows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
-    ranges = repeated_ranges(docs, window, m).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    ranges = cut(ranges, shared_dir(docs.sparkSession), "ranges")
+    folder = shared_dir(docs.sparkSession)
+    docs = bounded_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null"))
+    ranges = repeated_ranges(docs, folder, window, m, part_bytes, held_bytes).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    ranges = cut(ranges, folder, "ranges")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     ids = ranges.select("doc_id")
     if ids.count() > broadcast_rows:
