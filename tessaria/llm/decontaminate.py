@@ -7,7 +7,8 @@ items are joined; a match is then extended: the whole windows around it are comp
 words themselves. Items shorter than a window are one window, their own fingerprint (k = their length, w = 1).
 
 The benchmark's fingerprints are a filter for the documents' ones while they are few (their number is checked); above
-that bound, documents' fingerprints are shuffled and joined with them.
+that bound, documents' fingerprints are shuffled and joined with them: one row for each run of windows that share a
+fingerprint's place, without words. Only for runs whose fingerprint the benchmark has are the words read again.
 """
 
 from __future__ import annotations
@@ -42,15 +43,53 @@ def prints(hashes: np.ndarray, length: int, k: int) -> np.ndarray:
     return grams[sliding_min(grams, w)] if len(grams) >= w else grams[:0]
 
 
-def _windows(window: int, k: int, lengths: list[int], known: np.ndarray | None, short_is_whole: bool):
-    """One row per window whose fingerprint may be known, and one without a window per input row."""
+def _table(rows: list[tuple], kinds: tuple, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) if rows else [[]] * len(kinds), kinds)], names=names)
+
+
+RUNS = "id long, text_key long, n_words long, lo long, hi long, length long, print long"
+
+
+def _runs(k: int, lengths: list[int]):
+    """One row per run of windows (lo to hi) that share a fingerprint at one place, and one without a run per input row."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for i, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                words, hashes = words_of(text.as_py())
+                rows.append((i, key, len(words), None, None, None, None))
+                for length in lengths:
+                    if length <= len(words):
+                        grams = window_hashes(hashes, min(k, length))
+                        at = sliding_min(grams, length - min(k, length) + 1)
+                        lo = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+                        hi = np.append(lo[1:], len(at)) - 1
+                        rows.extend((i, key, None, a, b, length, p) for a, b, p in zip(lo.tolist(), hi.tolist(), grams[at[lo]].view(np.int64).tolist()))
+            yield _table(rows, (pa.int64(),) * 7, ["id", "text_key", "n_words", "lo", "hi", "length", "print"])
+
+    return run
+
+
+def _words_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of the runs of each text, with their words."""
+    for batch in batches:
+        rows: list[tuple] = []
+        for i, key, text, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+            words, _ = words_of(text.as_py())
+            rows.extend((i, key, a, r["length"], r["print"], b" ".join(words[a : a + r["length"]])) for r in runs.as_py() for a in range(r["lo"], r["hi"] + 1))
+        yield _table(rows, (pa.int64(),) * 5 + (pa.binary(),), ["id", "text_key", "start", "length", "print", "words"])
+
+
+def _windows(window: int, k: int, lengths: list[int], known: np.ndarray | None):
+    """One row per window whose fingerprint is known, and one without a window per input row. Without known ones: each
+    text's own windows, a short text's being all of it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
             for i, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 words, hashes = words_of(text.as_py())
                 rows.append((i, key, len(words), None, None, None, None))
-                for length in lengths if not short_is_whole else [min(window, len(words))]:
+                for length in lengths if known is not None else [min(window, len(words))]:
                     if not 0 < length <= len(words):
                         continue
                     p = prints(hashes, length, k)
@@ -60,9 +99,7 @@ def _windows(window: int, k: int, lengths: list[int], known: np.ndarray | None,
                         at = np.flatnonzero(known[np.minimum(j, len(known) - 1)] == p).tolist() if len(known) else []
                     signed = p.view(np.int64)
                     rows.extend((i, key, None, a, length, int(signed[a]), b" ".join(words[a : a + length])) for a in at)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            cols = list(zip(*rows)) if rows else [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["id", "text_key", "n_words", "start", "length", "print", "words"])
+            yield _table(rows, (pa.int64(),) * 6 + (pa.binary(),), ["id", "text_key", "n_words", "start", "length", "print", "words"])
 
     return run
 
@@ -76,17 +113,26 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: i
     words), one for each occurrence of an item's window in a document; owners(words, item_id)."""
     spark = bounded_batches(docs).sparkSession
     folder = shared_dir(spark)
-    items = cut(_keyed(benchmark, "item_id").mapInArrow(_windows(window, k, [], None, True), WINDOWS).filter("start is not null"), folder, "items")
+    items = cut(_keyed(benchmark, "item_id").mapInArrow(_windows(window, k, [], None), WINDOWS).filter("start is not null"), folder, "items")
     owners = items.select(F.col("id").alias("item_id"), "words", "print", "length").distinct()
     lengths = sorted({window} | {r[0] for r in items.select("length").distinct().collect()})  # at most `window` values
     keys = items.select("print").distinct()
-    few = keys.count() <= filter_bound
-    known = np.sort(np.array([r[0] for r in keys.collect()], np.int64).view(np.uint64)) if few else None
-    made = cut(_keyed(docs, "doc_id").mapInArrow(_windows(window, k, lengths, known, False), WINDOWS), folder, "windows")
+    rows = _keyed(docs, "doc_id")
+    if keys.count() <= filter_bound:
+        known = np.sort(np.array([r[0] for r in keys.collect()], np.int64).view(np.uint64))
+        made = cut(rows.mapInArrow(_windows(window, k, lengths, known), WINDOWS), folder, "windows")
+        windows = made.filter("start is not null")
+    else:
+        made = cut(rows.mapInArrow(_runs(k, lengths), RUNS), folder, "runs")
+        found = made.filter("lo is not null").join(items.select("print", "length").distinct(), ["print", "length"], "left_semi").distinct()
+        found = cut(found.groupBy("id", "text_key").agg(F.collect_list(F.struct("lo", "hi", "length", "print")).alias("runs")), folder, "found")
+        ids = found.select(F.col("id").alias("i"), F.col("text_key").alias("t"), "runs")
+        texts = rows.dropDuplicates(["id", "text_key"]).join(ids, [rows.id.eqNullSafe(ids.i), rows.text_key == ids.t]).select("id", "text_key", "text", "runs")
+        windows = texts.mapInArrow(_words_of_runs, "id long, text_key long, start long, length long, print long, words binary")
     words = made.filter("n_words is not null").select(F.col("id").alias("doc_id"), "text_key", "n_words")
     # The fingerprints meet, then the windows around them are compared in full.
     targets = owners.select("print", "length", F.col("words").alias("target")).distinct()
-    hits = made.filter("start is not null").join(targets, ["print", "length"]).filter("words = target")
+    hits = windows.join(targets, ["print", "length"]).filter("words = target")
     return words, hits.select(F.col("id").alias("doc_id"), "text_key", "start", "length", "words"), owners
 
 
