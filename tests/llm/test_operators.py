@@ -111,6 +111,17 @@ def test_substring_dedup(docs, rows, most):
     assert {tuple(r) for r in got.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()} == brute_repeats(rows)
 
 
+@pytest.mark.parametrize("held", [200, 3000])
+def test_substring_dedup_deals_large_buckets_on(spark, docs, rows, held):
+    # A phrase of six words in many surroundings is one bucket; with such bounds nearly every bucket is dealt on.
+    rng = random.Random(9)
+    more = [(1000 + i, f"{prose(rng, 14)} the six words that all share {prose(rng, 14)}") for i in range(80)]
+    more += [(2000 + i, t) for i, (_, t) in enumerate(more[::3])]
+    both = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string").repartition(3))
+    got = substring_dedup.substring_dedup(both, held_bytes=held, part_bytes=20_000)
+    assert {tuple(r) for r in got.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()} == brute_repeats([*rows, *more])
+
+
 def test_substring_dedup_odd_rows(spark, nothing):
     assert substring_dedup.substring_dedup(nothing).count() == 0
     t = " ".join(map(str, range(30)))
