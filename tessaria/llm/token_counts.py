@@ -7,6 +7,9 @@ and every inner node the sum of its children. An edit replaces a span of charact
 the two characters before it touch, and the leaf of the character behind it, are cut and encoded again; the borders
 around them stay borders, as the characters that make them so are unchanged. Updated sums rise to the root.
 
+Trees are kept: token_trees() makes a table of documents with the leaves of their trees, apply_edits() takes such a
+table with edits and returns the edited texts with their leaves, ready for the next edits, beside the counts.
+
 Distinct atoms are few, so a task cuts and encodes each once and keeps its counts.
 """
 
@@ -21,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, table
+from .common import bounded_batches, cut, shared_dir, table
 
 #: The pre-token pattern of the byte-level vocabularies (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -156,14 +159,37 @@ def edit(tree: SegmentTree, text: str, start: int, end: int, put: str, count: Ca
     return SegmentTree(np.concatenate([old[:first], leaves_of(pieces, count), old[last + 1 :]])), new, len(pieces)
 
 
-def _follow(vocabulary: str):
+TREES = "doc_id long, text string, leaves binary"
+
+
+def _plant(vocabulary: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = counter(vocabulary)
+        for batch in batches:
+            leaves = [leaves_of(atoms(t) if (t := text.as_py()) else [], count).astype(np.int32).tobytes() for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(leaves, pa.binary()), *batch.columns[2:]], names=["doc_id", "text", "leaves", *batch.schema.names[2:]])
+
+    return run
+
+
+def token_trees(docs: DataFrame, vocabulary: str = VOCABULARY, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text, leaves) and the columns to carry: each document with the leaves of its segment tree, an int32 row
+    (characters, pre-tokens, tokens) for each. A null or empty text has no leaves. vocabulary is a file of ranks that
+    every worker can read at this path."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry)
+    extra = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return bounded_batches(rows).mapInArrow(_plant(vocabulary), TREES + extra)
+
+
+def _follow(vocabulary: str, with_trees: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(vocabulary)
         for batch in batches:
             rows: list[tuple] = []
-            for doc, text, edits in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            for doc, text, leaves, edits in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3)):
                 text = text.as_py() or ""
-                tree = build(text, count)
+                kept = np.frombuffer(leaves or b"", np.int32).reshape(-1, 3).astype(np.int64)
+                tree = SegmentTree(kept if len(kept) else np.zeros((1, 3), np.int64))
                 before = tree.total.copy()
                 again, done = 0, 0
                 # Right to left, so an edit does not move the places of those to come; an overlapping one is cut short.
@@ -174,9 +200,11 @@ def _follow(vocabulary: str):
                     tree, text, n = edit(tree, text, start, end, e["put"] or "", count)
                     again, done, limit = again + n, done + 1, start
                 rows.append((doc, int(before[1]), int(before[2]), done, again, int(tree.total[1]), int(tree.total[2])))
-            kinds = [pa.int64()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) if rows else [[]] * 7, kinds)],
-                                             names=["doc_id", "n_pre_tokens", "n_tokens", "n_edits", "n_encoded_again", "n_pre_tokens_after", "n_tokens_after"])
+                if with_trees:
+                    now = tree.nodes[tree.size : tree.size + tree.n]
+                    rows[-1] += (text, now[now[:, 0] > 0].astype(np.int32).tobytes())
+            kinds = [pa.int64()] * 7 + [pa.string(), pa.binary()] * with_trees
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) if rows else [[]] * 9, kinds)], names=[x.split()[0] for x in (COUNTS + ", text string, leaves binary" * with_trees).split(", ")])
 
     return run
 
@@ -184,17 +212,24 @@ def _follow(vocabulary: str):
 COUNTS = "doc_id long, n_pre_tokens long, n_tokens long, n_edits long, n_encoded_again long, n_pre_tokens_after long, n_tokens_after long"
 
 
-def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Token counts before and after edits, one row per input row.
+def apply_edits(trees: DataFrame, vocabulary: str = VOCABULARY, with_trees: bool = True) -> DataFrame:
+    """Token counts before and after edits, one row per input row, and if asked for the edited text and its leaves, so
+    that the next edits go on from there.
 
-    docs needs doc_id, text and edits, an array of struct<start int, end int, put string> in characters of the text
-    given (a null start is 0, a null end is start, a null put is empty; places beyond the text are its end; of
-    overlapping edits the left one ends where the right one starts; null or empty: no edit). Other columns are
-    ignored. Null text counts as empty. n_encoded_again is what the edits cost in atoms, against some
-    n_pre_tokens_after for a full count. Special tokens' strings are ordinary text.
+    trees needs doc_id, text, the leaves that token_trees or an earlier call gave for that text, and edits, an array of
+    struct<start int, end int, put string> in characters of the text (a null start is 0, a null end is start, a null
+    put is empty; places beyond the text are its end; of overlapping edits the left one ends where the right one
+    starts; null or empty: no edit). Other columns are ignored. Null text counts as empty. n_encoded_again is what the
+    edits cost in atoms, against some n_pre_tokens_after for a full count. Special tokens' strings are ordinary text.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("edits").cast("array<struct<start:int,end:int,put:string>>").alias("edits"))
-    return bounded_batches(rows).mapInArrow(_follow(vocabulary), COUNTS)
+    rows = trees.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "leaves", F.col("edits").cast("array<struct<start:int,end:int,put:string>>").alias("edits"))
+    return bounded_batches(rows).mapInArrow(_follow(vocabulary, with_trees), COUNTS + ", text string, leaves binary" * with_trees)
+
+
+def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """Token counts before and after edits of documents that have no trees yet: docs needs doc_id, text and edits. See
+    apply_edits for what edits may be."""
+    return apply_edits(token_trees(docs, vocabulary, carry=("edits",)), vocabulary, with_trees=False)
 
 
 def with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
@@ -208,8 +243,11 @@ def line_edits(docs: DataFrame) -> DataFrame:
     digits or more is masked. Places come from built-in functions, in characters."""
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     rows = docs.select("doc_id", "text", lines.alias("l"))
-    i = F.array_position(F.transform("l", lambda x, i: (F.trim(x) != "") & (F.array_position("l", x) <= i)), True)
-    rows = rows.withColumn("i", i.cast("int"))
+    # Lines sorted with their numbers: one that equals the line before it repeats an earlier one.
+    rows = rows.withColumn("s", F.array_sort(F.filter(F.transform("l", lambda x, i: F.struct(x.alias("x"), (i + 1).alias("i"))), lambda p: F.trim(p["x"]) != "")))
+    pairs = F.arrays_zip(F.slice("s", 1, F.greatest(F.lit(0), F.size("s") - 1)).alias("a"), F.slice("s", 2, F.greatest(F.lit(0), F.size("s") - 1)).alias("b"))
+    i = F.array_min(F.transform(F.filter(pairs, lambda p: p["a"]["x"] == p["b"]["x"]), lambda p: p["b"]["i"]))
+    rows = rows.withColumn("i", F.coalesce(i, F.lit(0)).cast("int"))
     start = F.aggregate(F.slice("l", 1, F.greatest(F.lit(0), F.col("i") - 1)), F.lit(0), lambda a, x: a + F.length(x) + 1)
     again = F.when(F.col("i") > 0, F.struct(start.alias("start"), (start + F.length(F.try_element_at("l", F.col("i"))) + 1).cast("int").alias("end"), F.lit("").alias("put")))
     number = F.regexp_extract("text", r"[0-9]{12,}", 0)
@@ -219,7 +257,9 @@ def line_edits(docs: DataFrame) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(line_edits(table(spark, sf_dir, "documents")))
+    # Trees are planted and kept in a table, then a clean-up's edits are applied to what is kept.
+    trees = cut(token_trees(line_edits(table(spark, sf_dir, "documents")), carry=("edits",)), shared_dir(spark), "trees")
+    return apply_edits(trees, with_trees=False)
 
 
 QUERIES = {"op2_token_counts": op2_token_counts}
