@@ -5,7 +5,8 @@ record that refers to the response with an equal payload. A response block longe
 record and continuation records with WARC-Segment-Number, WARC-Segment-Origin-ID and, on the last, the total length.
 Spark's text writer puts the records into files; its line separator is the record separator of the format.
 
-Reading: files are parsed record by record by their Content-Length; continuation records are grouped by the record
+Reading: Spark's text reader streams each compressed file and cuts it where a record seems to end; pieces are put
+together again until a record has its Content-Length, so a task holds a record at a time, not a file. Continuation records are grouped by the record
 they continue, ordered by segment number and checked against the total length; the HTTP head is split off, chunked
 framing is decoded, and the payload's digest is checked. Records of one origin are few and bounded by one page, and
 only segmented records are shuffled.
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir, table
+from .common import bounded_batches, cut, shared_dir, table
 
 RECORD = "page_id string, record_type string, refers_to string, payload_digest string, payload_bytes long, segment int, total long, url string, block binary, path string"
 _BREAK = "\r\n"
@@ -102,13 +104,13 @@ def _segments(message: bytes, size: int) -> list[bytes]:
     return out + [message[at:]]
 
 
-def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, segment_bytes: int = 32_768, chunk_bytes: int = 8_192) -> None:
+def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, segment_bytes: int = 32_768, chunk_bytes: int = 8_192, file_records: int = 20_000) -> None:
     """Writes one record per page (page_id long, url, html) into WARC files under path, by Spark's writer.
 
     Of pages with equal payloads of at least least_bytes bytes the one with the smallest page_id is written as a
     response, the others as revisits that refer to it; shorter payloads are all responses. A null html is an empty
     payload. page_id must be there and unique: rows without one are left out, of rows that repeat one the smallest
-    (url, html) is written. A file holds what one task writes.
+    (url, html) is written. A file holds what one task writes, file_records records at most.
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").filter("page_id is not null")
     seen = pages.select("page_id", "html").mapInArrow(_digests, "page_id long, payload_digest string, payload_bytes long")
@@ -119,24 +121,37 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, segment_bytes:
     first = seen.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").drop("n")
     again = seen.join(first, "payload_digest").filter("page_id <> refers_to").select("page_id", "refers_to")
     rows = pages.join(again, "page_id", "left").select("page_id", "url", "html", "refers_to")
-    rows.mapInArrow(_records(segment_bytes, chunk_bytes), "value string").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
-
-
-def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields in lower case, block) of each record of a WARC file."""
-    at = 0
-    while at < len(data):
-        if not data.startswith(b"WARC/", at):
-            raise ValueError(f"no record starts at byte {at}")
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
+    rows.mapInArrow(_records(segment_bytes, chunk_bytes), "value string").write.option("maxRecordsPerFile", file_records).option("lineSep", "\r\n\r\n").option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
+
+
+#: Where Spark's reader cuts files: the end of a record and the start of the next one. A payload may hold it too.
+_CUT = "\r\n\r\nWARC/"
+
+
+def parse_records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(header fields in lower case, block) of each record of a WARC file that comes cut at _CUT."""
+    first, open_ = True, b""
+    for piece in pieces:
+        if not first:
+            piece = _CUT.encode()[4:] + piece if not open_ else _CUT.encode() + piece
+        first = False
+        open_ += piece
+        if not open_.startswith(b"WARC/"):
+            raise ValueError("a file doesn't start with a record")
+        end = open_.find(b"\r\n\r\n")
+        if end < 0:
+            raise ValueError("a record's head doesn't end")
+        lines = open_[:end].decode("utf-8", "replace").split("\r\n")[1:]
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
         n = int(fields["content-length"])
-        yield fields, data[end + 4 : end + 4 + n]
-        at = end + 4 + n
-        if data[at : at + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record before byte {at} doesn't end where its length says")
-        at += 4
+        if len(open_) < end + 4 + n:
+            continue
+        if open_[end + 4 + n :] not in (b"", b"\r\n\r\n"):
+            raise ValueError("a record doesn't end where its length says")
+        yield fields, open_[end + 4 : end + 4 + n]
+        open_ = b""
+    if open_:
+        raise ValueError("the last record is shorter than its length says")
 
 
 def _id(value: str | None) -> str | None:
@@ -144,28 +159,20 @@ def _id(value: str | None) -> str | None:
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import zlib
-
-    for batch in batches:
-        for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-            data, parts = content.as_py(), []
-            while data[:2] == b"\x1f\x8b":  # one member or one for each record
-                z = zlib.decompressobj(31)
-                parts.append(z.decompress(data) + z.flush())
-                data = z.unused_data
-            data = b"".join(parts) if parts else data
-            rows: list[tuple] = []
-            size = 0
-            for f, block in parse_records(data):
-                origin = f.get("warc-segment-origin-id")
-                digest = f.get("warc-payload-digest", "").removeprefix("sha1:") or None
-                rows.append((_id(origin or f["warc-record-id"]), f["warc-type"], _id(f.get("warc-refers-to")), digest, None, int(f["warc-segment-number"]) if "warc-segment-number" in f else None,
-                             int(f["warc-segment-total-length"]) if "warc-segment-total-length" in f else None, f.get("warc-target-uri"), block, path))
-                size += len(block)
-                if size > 8 << 20:
-                    yield _rows(rows)
-                    rows, size = [], 0
-            yield _rows(rows)
+    pieces = ((p, v) for batch in batches for p, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+    rows: list[tuple] = []
+    size = 0
+    for path, mine in itertools.groupby(pieces, key=lambda x: x[0]):
+        for f, block in parse_records(v for _, v in mine):
+            origin = f.get("warc-segment-origin-id")
+            digest = f.get("warc-payload-digest", "").removeprefix("sha1:") or None
+            rows.append((_id(origin or f["warc-record-id"]), f["warc-type"], _id(f.get("warc-refers-to")), digest, None, int(f["warc-segment-number"]) if "warc-segment-number" in f else None,
+                         int(f["warc-segment-total-length"]) if "warc-segment-total-length" in f else None, f.get("warc-target-uri"), block, path))
+            size += len(block)
+            if size > 8 << 20:
+                yield _rows(rows)
+                rows, size = [], 0
+    yield _rows(rows)
 
 
 def _rows(rows: list) -> pa.RecordBatch:
@@ -177,8 +184,8 @@ def _payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Whole HTTP messages to payloads, checked against their digests."""
     for batch in batches:
         bodies, digests, kinds = [], [], []
-        for kind, digest, block in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), batch.column(5)):
-            head, _, body = block.as_py().partition(b"\r\n\r\n")
+        for kind, digest, blocks in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), batch.column(5)):
+            head, _, body = b"".join(blocks.as_py()).partition(b"\r\n\r\n")
             if re.search(rb"(?im)^transfer-encoding:\s*chunked\s*$", head):
                 body = unchunked(body)
             bodies.append(body if kind == "response" else None)
@@ -192,19 +199,22 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, record_type, refers_to, payload_digest, url, payload) of each page in the archives under path.
 
     Segmented records are put together again; a record whose segments are missing, doubled or of another total length
-    than stated, a broken chunk or a wrong digest fails the job. The payload of a revisit is null.
+    than stated, a broken chunk or a wrong digest fails the job. The payload of a revisit is null. Files are those whose
+    names end in .gz, of one gzip member or of many; a compressed file is read by one task from start to end.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    records = files.mapInArrow(_parse, RECORD)
-    whole = records.filter("segment is null").select("page_id", "record_type", "refers_to", "payload_digest", "url", "block")
+    lines = spark.read.option("lineSep", _CUT).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").text(path)
+    pieces = lines.select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("piece"))
+    records = bounded_batches(pieces).mapInArrow(_parse, RECORD)
+    whole = records.filter("segment is null").select("page_id", "record_type", "refers_to", "payload_digest", "url", F.array("block").alias("blocks"))
     part = F.struct("segment", "block", "total", "record_type", "payload_digest", "url")
     joined = records.filter("segment is not null").groupBy("page_id").agg(F.array_sort(F.collect_list(part)).alias("s"))
-    block = F.array_join(F.transform("s", lambda x: F.hex(x["block"])), "")
-    joined = joined.withColumn("block", F.unhex(block)).withColumn("total", F.element_at("s", -1)["total"])
-    broken = (F.size("s") != F.element_at("s", -1)["segment"]) | F.col("total").isNull() | (F.length("block") != F.col("total"))
-    joined = joined.withColumn("block", F.when(broken, F.raise_error(F.concat(F.lit("segments of record "), F.col("page_id"), F.lit(" are not whole")))).otherwise(F.col("block")))
+    joined = joined.withColumn("total", F.element_at("s", -1)["total"])
+    length = F.aggregate("s", F.lit(0).cast("long"), lambda n, x: n + F.length(x["block"]))
+    broken = (F.size("s") != F.element_at("s", -1)["segment"]) | F.col("total").isNull() | (length != F.col("total"))
+    blocks = F.transform("s", lambda x: x["block"])
+    joined = joined.withColumn("blocks", F.when(broken, F.raise_error(F.concat(F.lit("segments of record "), F.col("page_id"), F.lit(" are not whole")))).otherwise(blocks))
     first = F.element_at("s", 1)
-    joined = joined.select("page_id", first["record_type"].alias("record_type"), F.lit(None).cast("string").alias("refers_to"), first["payload_digest"].alias("payload_digest"), first["url"].alias("url"), "block")
+    joined = joined.select("page_id", first["record_type"].alias("record_type"), F.lit(None).cast("string").alias("refers_to"), first["payload_digest"].alias("payload_digest"), first["url"].alias("url"), "blocks")
     return whole.unionByName(joined).mapInArrow(_payloads, "page_id string, record_type string, refers_to string, payload_digest string, url string, payload binary")
 
 
