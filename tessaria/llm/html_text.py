@@ -6,8 +6,9 @@ text, with weights for features and for neighbouring labels, and Viterbi decodin
 
 The field is trained by maximum likelihood on labelled pages: a bounded sample of the given pages, labelled where
 their mark-up says what a block is (an article or main element, against navigation, header, footer, side and form
-elements), and small pages written and labelled here, which show what the given ones may lack. Marks that decide the
-label alone are hidden at random in training, so text and neighbours also learn to speak.
+elements), and small pages written and labelled here, which show what the given ones may lack: other wraps, comments
+without a mark. The marks that the labels came from are hidden in much of the training, so text, links, place and
+neighbours learn to speak without them.
 """
 
 from __future__ import annotations
@@ -30,8 +31,10 @@ BLOCK = frozenset(
 )
 #: Elements without content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is not text of the page.
-RAW = frozenset("script style template noscript iframe svg math object canvas audio video".split())
+#: Elements whose content is not text of the page. Those that hold raw text end at their own end tag only, or with the
+#: page; the others, if they are never closed, are read as if their start tag were not there.
+RAW = frozenset("script style template noscript iframe svg object canvas audio video".split())
+RAW_TEXT = frozenset("script style".split())
 #: Opening one of the key closes an open one of the values.
 CLOSES = {t: frozenset({"p"}) for t in BLOCK - {"html", "head", "body", "button", "td", "th", "option", "legend", "summary", "li", "dd", "dt"}} | {
     "li": frozenset({"li", "p"}), "dt": frozenset({"dt", "dd", "p"}), "dd": frozenset({"dt", "dd", "p"}), "tr": frozenset({"tr", "td", "th", "p"}), "td": frozenset({"td", "th", "p"}), "th": frozenset({"td", "th", "p"}), "option": frozenset({"option"})}
@@ -53,6 +56,11 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDDEN = re.compile(r"""\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _WORDS = re.compile(r"[a-z]+")
+_CLOSE = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
+#: Headings of reader comments, and words with which comments and their controls go (both fixed lists of ours).
+_TALK = re.compile(r"\b(comments?|responses|replies|reader (letters|opinions)|discussion|join the conversation|kommentare?|commentaires?|comentarios?)\b", re.I)
+_SAID = re.compile(r"\b(reply|replied|upvotes?|downvotes?|(said|wrote|says|writes)( on [^.]{3,30})?:|posted by|posted on|(minutes?|hours?|days?|weeks?|months?|years?) ago|report abuse|flag this|log in to comment|great article|thanks for (sharing|this))", re.I)
+_HEADING = re.compile(r"own:<(h[1-6]|summary|legend|strong|b|div|p|header|span)>|own:none")
 
 
 def blocks_of(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
@@ -96,8 +104,12 @@ def blocks_of(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
                     del stack[k]
             continue
         if tag in RAW and not m[0].endswith("/>"):
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = close.end() if close else len(page)
+            close = _CLOSE[tag].search(page, at)
+            if close or tag in RAW_TEXT:
+                at = close.end() if close else len(page)
+                continue
+            if tag in BLOCK:
+                end()
             continue
         if tag in BLOCK:
             end()
@@ -126,16 +138,29 @@ def blocks_of(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
 
 
 def features(blocks: list[tuple[tuple[str, ...], str, int]], hide: frozenset[str] = frozenset()) -> list[list[str]]:
+    """The features of each block; marks in `hide` are left out. A block knows whether a heading of reader comments
+    stands before it and no heading of another kind since."""
     out = []
+    talk = False
     for i, (marks, text, linked) in enumerate(blocks):
         words = text.count(" ") + 1
         f = {"bias", f"words:{min(7, int(math.log2(words)))}", f"links:{min(4, int(5 * linked / max(1, len(text))))}"}
         own = [m for m in marks if m[0] == "<" and m[1:-1] in BLOCK]
-        f.add(f"own:{own[-1]}" if own else "own:none")
+        own = f"own:{own[-1]}" if own else "own:none"
+        f.add(own)
         f |= {f"in:{m}" for m in marks if m not in hide}
         f.add(f"stop:{text[-1] in '.!?:;…。！？\"”»'}")
         if "©" in text or "copyright" in text.lower():
             f.add("copyright")
+        if words <= 6 and _TALK.search(text) and text[-1] not in ".!?" and _HEADING.fullmatch(own):
+            talk = True
+            f.add("comments heading")
+        elif own in ("own:<h1>", "own:<h2>", "own:<footer>"):
+            talk = False
+        elif talk:
+            f |= {"after comments heading", f"after comments heading, {own}"}
+        if _SAID.search(text):
+            f |= {"said", f"said, words:{min(7, int(math.log2(words)))}"} | ({"said, after comments heading"} if talk else set())
         if i == 0:
             f.add("first")
         if i == len(blocks) - 1:
@@ -251,6 +276,12 @@ PARTS: tuple[tuple[str, int], ...] = (
     ("<div class='related'><h3>Related</h3><a href='/3'>Floods of the past</a></div>", 0),
     (f"<div class='comments'><h3>2 comments</h3><div class='comment'><p>Anna: {_SENTENCE}</p></div><div class='comment'><p>So sorry to hear this!</p></div></div>", 0),
     (f"<section id='comments'><p>{_LONG}</p></section>", 0),
+    # Comments without a mark of their own, as they may stand inside an article.
+    (f"<section><h3>Comments</h3><p>{_SENTENCE}</p><p>So sorry to hear this!</p></section>", 0),
+    (f"<h3>3 comments</h3><ul><li>Ben wrote: {_SENTENCE}</li><li>{_LONG}</li></ul>", 0),
+    (f"<h4>Reader comments</h4><p><b>Carla</b> 3 days ago</p><p>{_SENTENCE}</p><p>Reply</p>", 0),
+    (f"<div><div>Discussion (12)</div><div>{_SENTENCE}</div><div>Great article, thanks for sharing.</div></div>", 0),
+    (f"<div><p>Dora said: {_SENTENCE}</p><p><a href='#r'>Reply</a></p></div>", 0),
     ("<footer>&copy; 2020 The Daily Valley. All rights reserved.</footer>", 0),
     ("<div class='footer'><p>Copyright The Daily Valley</p></div>", 0),
 )
@@ -261,6 +292,7 @@ def written_pages(n: int, seed: int) -> list[tuple[list, list[int]]]:
     """Pages put together from the labelled parts, with their blocks and labels."""
     rng = np.random.default_rng(seed)
     before, inside, after = PARTS[:9], PARTS[9:18], (*PARTS[18:], *PARTS[4:7])
+    talk = [part for part in PARTS if "omments</h" in part[0] or "Discussion" in part[0] or "said:" in part[0]]
     out = []
     for _ in range(n):
         blocks, labels = [], []
@@ -268,6 +300,8 @@ def written_pages(n: int, seed: int) -> list[tuple[list, list[int]]]:
         wrap = WRAPS[rng.integers(len(WRAPS))]
         if rng.random() < 0.3:
             body.insert(int(rng.integers(0, len(body) + 1)), PARTS[[4, 5, 7, 18][rng.integers(4)]])
+        if rng.random() < 0.35:
+            body.append(talk[int(rng.integers(len(talk)))])
         groups = [[before[i] for i in rng.integers(0, len(before), rng.integers(0, 5))], body, [after[i] for i in rng.integers(0, len(after), rng.integers(0, 5))]]
         for g, parts in enumerate(groups):
             for part, y in parts:
@@ -279,20 +313,39 @@ def written_pages(n: int, seed: int) -> list[tuple[list, list[int]]]:
     return out
 
 
-def fit(pages: DataFrame, sample: int = 400, written: int = 400, seed: int = 9) -> Field:
-    """Trains on at most `sample` pages, chosen by a hash of their id, and `written` pages made here."""
-    html_rows = pages.select("page_id", "html").filter("html is not null")
-    n = html_rows.count()
-    if n > 4 * sample:
-        html_rows = html_rows.filter(F.pmod(F.xxhash64("page_id", F.lit(seed)), F.lit(1_000_000)) < int(4_000_000 * sample / n))
-    chosen = html_rows.filter(F.length("html") < 100_000).orderBy(F.xxhash64("page_id", F.lit(seed)), "html").limit(sample).collect()
-    labelled = [(b, y) for r in chosen if (b := blocks_of(r["html"])) and (y := labels_by_markup(b))] + written_pages(written, seed)
+#: Marks that the labels of given pages are made from, by element.
+TELLING = tuple(f"<{t}>" for t in sorted(KEPT | DROPPED))
+_TALKS = ("Comments", "4 comments", "Reader comments", "Join the conversation", "Responses (7)")
+
+
+def commented(blocks: list, labels: list[int], rng: np.random.Generator) -> tuple[list, list[int]]:
+    """A labelled page with some of its own main text again as unmarked reader comments at the end of its article."""
+    main = [i for i, y in enumerate(labels) if y]
+    marks = tuple(m for m in blocks[main[-1]][0] if m not in ("<p>", "<li>", "<ul>"))
+    added = [((*marks, "<h3>"), _TALKS[int(rng.integers(len(_TALKS)))], 0)]
+    for i in rng.choice(main, size=min(len(main), int(rng.integers(1, 5)))):
+        text = blocks[int(i)][1]
+        added.append(((*marks, "<p>"), text if rng.random() < 0.5 else text.split(". ")[0] + ".", 0))
+    at = main[-1] + 1
+    return blocks[:at] + added + blocks[at:], labels[:at] + [0] * len(added) + labels[at:]
+
+
+def fit(pages: DataFrame, sample: int = 400, page_chars: int = 100_000, written: int = 600, seed: int = 9) -> Field:
+    """Trains on at most `sample` pages of at most page_chars characters, chosen by a hash of their id, and `written`
+    pages made here. Labels of the given pages come from their mark-up; half the time the marks they came from are
+    hidden, all or each by chance, so the field cannot only repeat that rule, and some get comments without a mark."""
+    chosen = pages.select("page_id", "html").filter(F.length("html") <= page_chars).orderBy(F.xxhash64("page_id", F.lit(seed)), "html").limit(sample).collect()
+    given = [(b, y) for r in chosen if (b := blocks_of(r["html"])) and (y := labels_by_markup(b))]
     rng = np.random.default_rng(seed)
-    telling = ["in:<article>", "in:<main>", "in:<nav>", "in:<footer>", "in:<header>", "in:<aside>", "in:<form>"]
     made = []
-    for blocks, y in labelled:
-        hide = frozenset(t[3:] for t in telling if rng.random() < 0.25)
-        made.append((features(blocks, hide), y))
+    for k, (blocks, y) in enumerate([*given, *given, *written_pages(written, seed)]):
+        if k < len(given) and rng.random() < 0.5:
+            blocks, y = commented(blocks, y, rng)
+        share = (0.0, 0.25, 1.0)[int(rng.integers(3))]
+        hide = {t for t in TELLING if rng.random() < share}
+        if rng.random() < share / 2:
+            hide |= {m for marks, _, _ in blocks for m in marks if m.startswith("hint:")}
+        made.append((features(blocks, frozenset(hide)), y))
     return train(made)
 
 

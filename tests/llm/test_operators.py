@@ -195,7 +195,11 @@ def test_warc_round_trip(spark, tmp_path):
 
 def test_warc_empty_and_broken(spark, tmp_path):
     assert warc.round_trip(spark.createDataFrame([], PAGES), str(tmp_path / "e")).count() == 0
-    spark.createDataFrame([("WARC/1.1\r\nWARC-Type: continuation\r\nWARC-Record-ID: <urn:page:1:segment:2>\r\nWARC-Segment-Origin-ID: <urn:page:1>\r\nWARC-Segment-Number: 2\r\nWARC-Segment-Total-Length: 9\r\nContent-Length: 3\r\n\r\nabc",)], "value string").write.option("lineSep", "\r\n\r\n").text(str(tmp_path / "b"))
+    spark.createDataFrame([("WARC/1.1\r\nWARC-Type: continuation\r\nWARC-Record-ID: <urn:page:1:segment:2>\r\nWARC-Segment-Origin-ID: <urn:page:1>\r\nWARC-Segment-Number: 2\r\nWARC-Segment-Total-Length: 9\r\nContent-Length: 3\r\n\r\nabc",)], "value string").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(str(tmp_path / "b"))
+    many = spark.createDataFrame([(i, "u", f"page {i}\r\n\r\nWARC/1.1 \r\n\r\nWARC/{'x' * (i % 50)}") for i in range(90)], PAGES).repartition(2)
+    warc.write_warc(many, str(tmp_path / "m"), segment_bytes=120, file_records=7)
+    back = {int(r["page_id"]): bytes(r["payload"]).decode() for r in warc.read_warc(spark, str(tmp_path / "m")).collect()}
+    assert back == {r["page_id"]: r["html"] for r in many.collect()} and len(list((tmp_path / "m").glob("*.gz"))) > 10
     with pytest.raises(Exception, match="not whole"):
         warc.read_warc(spark, str(tmp_path / "b")).collect()
     assert warc.unchunked(b"3;x=1\r\nabc\r\n0\r\nT: 1\r\n\r\n") == b"abc"
@@ -222,6 +226,21 @@ def test_token_counts_follow_edits(spark):
     assert token_counts.token_counts(d.limit(0)).count() == 0
 
 
+def test_kept_trees_follow_batches_of_edits(spark):
+    rng = random.Random(3)
+    count = token_counts.counter(token_counts.VOCABULARY)
+    texts = {i: prose(rng, rng.choice([0, 5, 400])) for i in range(20)}
+    trees = token_counts.token_trees(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    for _ in range(3):
+        edits = {i: sorted({(a, min(len(t), a + rng.choice([0, 3, 40])), prose(rng, 2)) for a in [rng.randint(0, len(t))]}) for i, t in texts.items()}
+        with_edits = token_counts.with_edits(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.createDataFrame([(i, *e) for i, es in edits.items() for e in es], "doc_id long, start int, end int, put string"))
+        out = token_counts.apply_edits(trees.join(with_edits.select("doc_id", "edits"), "doc_id")).collect()
+        texts = {i: t[: edits[i][0][0]] + edits[i][0][2] + t[edits[i][0][1] :] for i, t in texts.items()}
+        for r in out:
+            assert r["text"] == texts[r["doc_id"]] and r["n_tokens_after"] == len(count.encoding.encode_ordinary(r["text"]))
+        trees = spark.createDataFrame([(r["doc_id"], r["text"], r["leaves"]) for r in out], token_counts.TREES)
+
+
 def test_line_edits_place_spans(spark):
     t = "first line\nsecond\nfirst line\nend 1234567890123456"
     e = token_counts.line_edits(spark.createDataFrame([(1, t), (2, None), (3, "")], "doc_id long, text string")).orderBy("doc_id").collect()
@@ -314,6 +333,33 @@ def test_html_main_text(spark):
     assert html_text.extract_text(d.limit(0), written=50).count() == 0
 
 
+def altered(page, how):
+    """A page whose article is the same but whose mark-up is not."""
+    if how == "video":
+        return page.replace("<article>", "<article><video src='x.mp4'>", 1)
+    if how == "div":
+        return page.replace("<article", "<div").replace("</article>", "</div>")
+    if how == "comments":
+        return page.replace("</article>", "<section><h3>Comments</h3><p>I have read this twice, and I still do not see why it should be so.</p><p>Thanks, this helped me a lot today.</p></section></article>", 1)
+    return page.replace("<p>", "<p>for <math><mi>x</mi><mo>=</mo><mn>2</mn></math> ", 1)
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir("/root/testdata/sf0.01"), reason="the given tables are not here")
+def test_html_of_altered_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    field = html_text.fit(pages)
+    right = Counter()
+    rows = pages.orderBy(F.xxhash64("page_id", F.lit(1))).limit(150).collect()
+    for r in rows:
+        blocks = html_text.blocks_of(r["html"])
+        want = "\n\n".join(b[1] for b, y in zip(blocks, html_text.labels_by_markup(blocks)) if y)
+        for how in ("video", "div", "comments"):
+            right[how] += html_text.main_text(altered(r["html"], how), field) == want
+        # The formula stays in its sentence.
+        right["math"] += html_text.main_text(altered(r["html"], "math"), field).count("for x=2 ") == 1
+    assert all(right[how] >= 0.97 * len(rows) for how in ("video", "div", "comments", "math")), right
+
+
 def test_html_field_on_held_out_pages():
     made = [(html_text.features(b), y) for b, y in html_text.written_pages(250, 1)]
     field = html_text.train(made)
