@@ -210,7 +210,7 @@ def _links(groups: DataFrame, reps: DataFrame, docs: DataFrame, folder: str, k:
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, trees: int = 10, node_limit: int = 400,
-                    depths: tuple[int, int] = (2, 40), slack: float = 0.10, deep_trees: int = 18) -> DataFrame:
+                    depths: tuple[int, int] = (2, 12), slack: float = 0.10, deep_trees: int = 18) -> DataFrame:
     """One row per document id: doc_id, n_shingles, rep (smallest id with the same set), component_id, kept.
 
     docs needs doc_id (long) and text; other columns are ignored, so clashing names do no harm. Words are runs of
@@ -225,9 +225,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, trees: int =
     at depth depths[0] + 1 and branch on go through deep_trees further trees among themselves. Recall: given that a pair
     agrees on m of the 256 tokens, trees miss it independently, so its miss is the mean over the binomial m of (1 -
     survival) ** trees. At the threshold of 0.85 (0.80) 10 trees miss 8e-7 (5e-6) at depth 2 and 1.4e-5 (6e-5) at depth
-    3; 28 trees miss 3e-8 (4e-7) at depth 6, 1e-6 (1e-5) at depth 8 and 6e-5 (3e-4) at depth 12. Only crowds whose
-    members are nearly as alike as the threshold go deeper; what depth depths[1] still leaves large is settled exactly,
-    by blocks. slack is what a
+    3; 28 trees miss 3e-8 (4e-7) at depth 6, 1e-6 (1e-5) at depth 8 and 6e-5 (3e-4) at depth 12. What
+    no longer shrinks, or depth depths[1] still leaves large, is settled exactly, by blocks. slack is what a
     signature's estimate may fall short of the threshold: 4.5 standard errors of 256 tokens.
     """
     spark = bounded_batches(docs).sparkSession
@@ -270,9 +269,8 @@ def _descend(reps: DataFrame, folder: str, trees: range, threshold: float, limit
         size = large.count()
         if not size:
             break
-        # Nodes of documents that are less alike than the threshold shrink at every level, by their similarity over the
-        # threshold on average; what no longer shrinks is made of near-duplicates.
-        if depth == depths[1] or before and size > 0.98 * before:
+        # Nodes of documents that only share a passage shrink at every level; what no longer shrinks is dense.
+        if depth == depths[1] or before and size > 0.85 * before:
             heavy = large.select(F.col("node").alias("g"), "doc", F.col("n").cast("int").alias("n"))
             groups.append(heavy)
             break
