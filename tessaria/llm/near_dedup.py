@@ -257,20 +257,24 @@ def _descend(reps: DataFrame, folder: str, trees: range, threshold: float, limit
     for _ in range(depths[0] - 1):
         members = _branch(members, threshold)
     members = _branch(members, threshold).drop("sig")
-    groups, before, heavy, deep = [], None, None, None
+    groups, before, large, heavy, deep = [], 0, None, None, None
     for depth in range(depths[0], depths[1] + 1):
         members = cut(members.distinct(), folder, f"depth-{depth}")
         nodes = members.groupBy("node").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc")).alias("x"),
                                             F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("y")).filter("n > 1")
+        nodes = cut(nodes, folder, f"nodes-{depth}")
         # Trees often make the same small node; it is compared once.
         small = nodes.filter(F.col("n") <= limit).groupBy("n", "x", "y").agg(F.min("node").alias("node"))
         groups.append(members.join(small.select("node"), "node").select(F.col("node").alias("g"), "doc", F.lit(0).alias("n")))
-        large = cut(members.join(nodes.filter(F.col("n") > limit).select("node", "n"), "node"), folder, f"large-{depth}")
-        size = large.count()
+        size = nodes.filter(F.col("n") > limit).agg(F.sum("n")).first()[0] or 0
         if not size:
             break
-        # Nodes of documents that only share a passage shrink at every level; what no longer shrinks is dense.
-        if depth == depths[1] or before and size > 0.85 * before:
+        # Nodes of documents that only share a passage shrink at every level; what no longer shrinks is dense, and is
+        # settled in the nodes of the level above, which hold every pair of these.
+        dense = large is not None and size > 0.85 * before
+        if not dense:
+            large = cut(members.join(nodes.filter(F.col("n") > limit).select("node", "n"), "node"), folder, f"large-{depth}")
+        if dense or depth == depths[1]:
             heavy = large.select(F.col("node").alias("g"), "doc", F.col("n").cast("int").alias("n"))
             groups.append(heavy)
             break
