@@ -105,7 +105,7 @@ class Index:
         c, of = _ranges(self.cells[i], self.cells[i + 1]), np.repeat(np.arange(len(i)), n_cells)
         block = self.block_of[c]
         bound = np.bincount(block, w[of] * self.most[c], minlength=-(-len(self.ids) // self.block))
-        n, least = len(self.ids), 0.0
+        n, least, opened = len(self.ids), 0.0, []
         cosine, told = np.zeros(n), np.zeros(n)
         closed = bound > 0
         while closed.any():
@@ -121,14 +121,19 @@ class Index:
             at = np.flatnonzero(some[block])
             p = _ranges(self.lo[c[at]], self.lo[c[at] + 1])
             t = np.repeat(of[at], self.lo[c[at] + 1] - self.lo[c[at]])
-            part = w[t] * self.weights[p]
-            cosine += np.bincount(self.postings[p], part, minlength=n)
-            told += np.bincount(self.postings[p], part * self.telling[i[t]], minlength=n)
+            example, part = self.postings[p], w[t] * self.weights[p]
+            cosine += np.bincount(example, part, minlength=n)
+            opened.append((example, part, t))
             least = np.partition(cosine, n - self.k)[n - self.k] if n > self.k else 0.0
             if least <= 0.0:
                 least = np.finfo(float).tiny
-        at = np.argsort(-cosine, kind="stable")[: self.k]
-        at = at[cosine[at] > 0]
+        at = np.flatnonzero(cosine >= max(least, np.finfo(float).tiny))
+        at = at[np.argsort(-cosine[at], kind="stable")][: self.k]
+        near = np.zeros(n, bool)
+        near[at] = True
+        for example, part, t in opened:
+            mine = near[example]
+            told += np.bincount(example[mine], part[mine] * self.telling[i[t[mine]]], minlength=n)
         return at, cosine[at], told[at]
 
     def vote(self, i: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray, float]:
