@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import nfkc
 from ..sources.shared import cut, shared_dir
 
 #: Modulus of the permutations (fixed value).
@@ -18,10 +19,11 @@ PRIME = 2147483647
 
 
 def profiles(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """DUP-1: normalised non-empty paragraphs, their joined text, its hash and length. Paragraphs are lines."""
-    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.lower(F.regexp_replace(x, r"\s+", "")))
-    kept = F.filter(lines, lambda x: x != "")
-    out = docs.select(F.col(key).alias("doc_id"), kept.alias("paragraphs"))
+    """DUP-1: non-empty paragraphs in compatibility normal form without white space in lower case, their joined text,
+    its hash and length. Paragraphs are lines."""
+    normal = docs.select(F.col(key).alias("doc_id"), nfkc(F.coalesce(text, F.lit(""))).alias("text"))
+    lines = F.transform(F.split("text", "\n"), lambda x: F.lower(F.regexp_replace(x, r"\s+", "")))
+    out = normal.select("doc_id", F.filter(lines, lambda x: x != "").alias("paragraphs"))
     body = F.array_join("paragraphs", "\n")
     return out.withColumn("body", body).withColumn("text_hash", F.sha2("body", 256)).withColumn("characters", F.length(F.array_join("paragraphs", "")).cast("long"))
 

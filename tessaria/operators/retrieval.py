@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType
 from pyspark.sql.window import Window
 
 
@@ -21,29 +24,46 @@ def slices(c: Column, window: int = 1000, stride: int = 850) -> Column:
     return F.transform(starts, lambda i: F.substring(c, i + 1, F.lit(window)))
 
 
-def pack_flush(items: Column, budget: int, size: Column | None = None) -> Column:
-    """PACK-1: group number of each item of an array: items are taken while the sum stays within the budget, then a new
-    group starts; an item above the budget is a group of its own."""
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("g"), F.expr("cast(array() as array<int>)").alias("out"))
+@F.pandas_udf(ArrayType(IntegerType()))
+def _flushed(sizes: pd.Series, budget: pd.Series) -> pd.Series:
+    def one(row, most):
+        out, used, g = np.zeros(len(row), np.int32), 0, 0
+        for i, n in enumerate(row.tolist()):
+            if used > 0 and used + n > most:
+                used, g = 0, g + 1
+            used += n
+            out[i] = g
+        return out
 
-    def step(a, x):
-        n = F.length(x).cast("long")
-        new = (a["used"] > 0) & (a["used"] + n > budget)
-        g = F.when(new, a["g"] + 1).otherwise(a["g"])
-        return F.struct(F.when(new, n).otherwise(a["used"] + n).alias("used"), g.alias("g"), F.concat(a["out"], F.array(g)).alias("out"))
+    return pd.Series([None if row is None else one(row, most) for row, most in zip(sizes, budget)])
 
-    return F.aggregate(items, start, step, lambda a: a["out"])
 
+@F.pandas_udf(ArrayType(BooleanType()))
+def _skipped(sizes: pd.Series, budget: pd.Series) -> pd.Series:
+    def one(row, most):
+        out, used = np.zeros(len(row), bool), 0
+        for i, n in enumerate(row.tolist()):
+            out[i] = used + n <= most
+            used += n if out[i] else 0
+        return out
 
-def pack_skip(items: Column, budget: int) -> Column:
-    """PACK-2: whether each item of an array is taken: in order, items that do not fit are passed over."""
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.expr("cast(array() as array<boolean>)").alias("out"))
+    return pd.Series([None if row is None else one(row, most) for row, most in zip(sizes, budget)])
+
+
+def _sizes(items: Column) -> Column:
+    return F.transform(items, lambda x: F.coalesce(F.length(x), F.lit(0)).cast("long"))
 
-    def step(a, x):
-        fits = a["used"] + F.length(x) <= budget
-        return F.struct(F.when(fits, a["used"] + F.length(x)).otherwise(a["used"]).cast("long").alias("used"), F.concat(a["out"], F.array(fits)).alias("out"))
 
-    return F.aggregate(items, start, step, lambda a: a["out"])
+def pack_flush(items: Column, budget: int) -> Column:
+    """PACK-1: group number of each item of an array: items are taken while the sum stays within the budget, then a new
+    group starts; an item above the budget is a group of its own. One pass over the lengths, in an Arrow function, as
+    the built-in aggregate would copy what it has for every item. A null item counts as empty, a null array gives null."""
+    return _flushed(_sizes(items), F.lit(budget).cast("long"))
+
+
+def pack_skip(items: Column, budget: int) -> Column:
+    """PACK-2: whether each item of an array is taken: in order, items that do not fit are passed over."""
+    return _skipped(_sizes(items), F.lit(budget).cast("long"))
 
 
 def pack_pages(items: Column, limit: int, per_page: int) -> Column:

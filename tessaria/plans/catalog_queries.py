@@ -9,8 +9,10 @@ from ..operators import quality as Q
 from ..operators import retrieval as R
 from .base import Book, derived, table
 from .evidence_queries import EV, _EV
+from .text_queries import _url_sql
 
 BOOK = Book()
+_KEY_GRADING, _KEY_COLLECTION = _url_sql("utm_|spm|from", "host"), _url_sql("utm_|spm|ref", r"regexp_replace(host, '^www\.', '')")
 _LINES = "l as (select doc_id, unnest(string_split(text, chr(10))) as line, (generate_subscripts(string_split(text, chr(10)), 1) - 1)::int as pos from documents)"
 
 
@@ -43,16 +45,16 @@ def _typed(s, d):
     return K.typed_blocks(b, [(r"(?i)\bthe\b", "first"), (r"(?i)\bde\b", "second")], [(r"(?i)\bof\b", "issue"), (r"(?i)\band\b", "advice")])
 
 
-_TB = r"""b as (select doc_id, pos, line like '% | %' as r, case when pos % 5 = 0 then '# ' else '' end || case when line like '% | %' then array_to_string(list_transform(string_split(line, '|'), lambda x: trim(x)), ' | ') else trim(line) end as text from l where trim(line) <> ''),
-h as (select *, case when pos % 5 = 0 then 'heading' when r then 'table_row' else 'paragraph' end as kind, case when pos % 5 = 0 then case when regexp_matches(text, '(?i)\bthe\b') then 'first' when regexp_matches(text, '(?i)\bde\b') then 'second' end end as m,
- case when pos % 5 = 0 then case when regexp_matches(text, '(?i)\bof\b') then 'issue' when regexp_matches(text, '(?i)\band\b') then 'advice' end end as x from b),
+_TB = r"""b as (select doc_id, pos, case when pos % 5 = 0 then '# ' else '' end || case when line like '% | %' then array_to_string(list_transform(list_filter(range(1, len(c) + 1), lambda i: list_position(c, c[i]) = i), lambda i: c[i]), ' | ') else trim(line) end as text
+  from (select *, list_transform(string_split(line, '|'), lambda x: trim(x)) as c from l) where trim(line) <> ''),
+h as (select *, case when text like '#%' then 'heading' when text like '% | %' then 'table_row' else 'paragraph' end as kind, case when text like '#%' then case when regexp_matches(text, '(?i)\bthe\b') then 'first' when regexp_matches(text, '(?i)\bde\b') then 'second' end end as m,
+ case when text like '#%' then case when regexp_matches(text, '(?i)\bof\b') then 'issue' when regexp_matches(text, '(?i)\band\b') then 'advice' end end as x from b),
 t as (select doc_id, pos, kind, last_value(m ignore nulls) over w as module, last_value(x ignore nulls) over w as section from h window w as (partition by doc_id order by pos rows unbounded preceding))"""
 
 
-@BOOK.add("src_7_block_typing", f"with {_LINES}, {_TB} select kind, module, section, count(*)::bigint as n from t where doc_id in (select doc_id from documents where text not like '% | %') group by all")
+@BOOK.add("src_7_block_typing", f"with {_LINES}, {_TB} select kind, module, section, count(*)::bigint as n from t group by all")
 def _(s, d):
-    plain = _docs(s, d).filter(~F.contains("text", F.lit(" | "))).select("doc_id")
-    return _typed(s, d).join(plain, "doc_id", "left_semi").groupBy("kind", "module", "section").agg(F.count("*").alias("n"))
+    return _typed(s, d).groupBy("kind", "module", "section").agg(F.count("*").alias("n"))
 
 
 @BOOK.add("src_8_table_capture", f"with {_LINES}, c as (select doc_id, pos as ordinal, unnest(string_split(line, ' | ')) as x from l where line like '% | %') select doc_id, count(distinct ordinal)::bigint as table_rows, count(*)::bigint as cells from c group by doc_id")
@@ -83,11 +85,10 @@ def _(s, d):
     return K.score_conflicts(p, p.withColumn("value", F.when(F.col("doc_id") % 3 == 0, F.col("value") + 1).otherwise(F.col("value")))).select("doc_id", "module", "table_value")
 
 
-@BOOK.add("src_12_report_quality", f"with {_LINES}, {_TB}, q as (select doc_id, (not coalesce(bool_or(module = 'first'), false))::int + (not coalesce(bool_or(module = 'second'), false))::int as missing from t group by doc_id) select doc_id, missing, case when missing > 0 or doc_id % 4 = 0 then 'needs_review' else 'ready' end as status from q where doc_id in (select doc_id from documents where text not like '% | %')")
+@BOOK.add("src_12_report_quality", f"with {_LINES}, {_TB}, q as (select doc_id, (not coalesce(bool_or(module = 'first'), false))::int + (not coalesce(bool_or(module = 'second'), false))::int as missing from t group by doc_id) select doc_id, missing, case when missing > 0 or doc_id % 4 = 0 then 'needs_review' else 'ready' end as status from q")
 def _(s, d):
     c = _docs(s, d).filter("doc_id % 4 = 0").select("doc_id")
-    plain = _docs(s, d).filter(~F.contains("text", F.lit(" | "))).select("doc_id")
-    return K.report_quality(_typed(s, d), ["first", "second"], c).join(plain, "doc_id", "left_semi").select("doc_id", F.size("missing").alias("missing"), "status")
+    return K.report_quality(_typed(s, d), ["first", "second"], c).select("doc_id", F.size("missing").alias("missing"), "status")
 
 
 @BOOK.add("src_13_relations", "with p as (select o_custkey as doc_id, o_orderstatus as module, o_orderkey as ordinal, case when o_orderkey % 2 = 0 then 'issue' else 'advice' end as section from orders) select left(sha256(a.doc_id || '|' || a.module || '|' || a.ordinal || '|' || b.ordinal), 24) as id from p a join p b using (doc_id, module) where a.section = 'issue' and b.section = 'advice'")
@@ -108,11 +109,10 @@ def _(s, d):
     return K.normalised_results(r).select("id", "excerpt", "publisher", "score")
 
 
-@BOOK.add("src_16_idempotent_collect", r"""with p as (select page_id as id, page_id % 5 as project_id, 1 as chapter_no, regexp_replace(lower(regexp_extract(url, '://([^/?#]+)', 1)), '^www\.', '') as url_key from pages),
+@BOOK.add("src_16_idempotent_collect", rf"""with p as (select page_id as id, page_id % 5 as project_id, 1 as chapter_no, url_key from ({_KEY_COLLECTION})),
 o as (select distinct project_id, chapter_no, url_key from p where id % 7 = 0), n as (select * from p anti join o using (project_id, chapter_no, url_key)) select min(id) as id from n group by project_id, chapter_no, url_key""")
 def _(s, d):
-    host = F.regexp_extract("url", r"^([a-z]+://[^/?#]+)", 1)
-    p = table(s, d, "pages").select(F.col("page_id").alias("id"), (F.col("page_id") % 5).alias("project_id"), F.lit(1).alias("chapter_no"), F.regexp_replace(host, "^[a-z]+:", "http:").alias("url"), F.lit(1).alias("rank"))
+    p = table(s, d, "pages").select(F.col("page_id").alias("id"), (F.col("page_id") % 5).alias("project_id"), F.lit(1).alias("chapter_no"), "url", F.lit(1).alias("rank"))
     return K.collect_new(p, p.filter("id % 7 = 0")).select("id")
 
 
@@ -185,16 +185,16 @@ def _(s, d):
 
 
 def _blocks(s, d):
-    return _docs(s, d).select(F.col("doc_id").alias("block_id"), "doc_id", F.left("text", F.lit(50)).alias("text"), F.col("lang").alias("module"))
+    return _docs(s, d).select(F.col("doc_id").alias("block_id"), "doc_id", "text", F.col("lang").alias("module"))
 
 
 def _edits(s, d):
     return table(s, d, "labels").select(F.col("doc_id").alias("block_id"), F.when(F.col("quality") == 0, F.concat(F.lit("e"), F.col("doc_id").cast("string"))).alias("text"), F.lit(None).cast("string").alias("module"), (F.col("toxic") == 1).alias("deleted"))
 
 
-@BOOK.add("cat_1_effective_blocks", "select d.doc_id as block_id, coalesce(case when quality = 0 then 'e' || d.doc_id end, left(text, 50)) as text, lang as module, l.doc_id is not null as edited from documents d left join labels l using (doc_id) where toxic is distinct from 1")
+@BOOK.add("cat_1_effective_blocks", "select d.doc_id as block_id, sha256(coalesce(case when quality = 0 then 'e' || d.doc_id end, text)) as text, lang as module, l.doc_id is not null as edited from documents d left join labels l using (doc_id) where toxic is distinct from 1")
 def _(s, d):
-    return K.effective_blocks(_blocks(s, d), _edits(s, d)).select("block_id", "text", "module", "edited")
+    return K.effective_blocks(_blocks(s, d), _edits(s, d)).select("block_id", F.sha2("text", 256).alias("text"), "module", "edited")
 
 
 @BOOK.add("cat_2_apply_changes", "select doc_id as block_id, case when doc_id % 3 = 0 then 'new' when quality = 0 then 'e' || doc_id end as text, case when doc_id % 3 = 0 then false when doc_id % 3 = 1 then true else toxic = 1 end as deleted from labels")
@@ -254,14 +254,14 @@ def _(s, d):
     return K.progress(table(s, d, "orders").select(F.col("o_custkey").alias("project_id"), (F.col("o_orderstatus") == "F").alias("complete")))
 
 
-@BOOK.add("qlt_1_chapter_rules", r"""select doc_id, concat_ws(',', case when length(rtrim(text)) > 0 and not regexp_matches(rtrim(text), '[.!?:;)\]|"''”»。！？；：）%*]$') then 'unfinished' end, case when regexp_matches(text, '(?i)\b(?:todo|tbd|lorem ipsum|undefined|nan)\b') then 'stray_token' end) as issues from documents""")
+@BOOK.add("qlt_1_chapter_rules", r"""select doc_id, concat_ws(',', case when length(rtrim(text)) > 0 and not regexp_matches(rtrim(text), '[.!?:;)\]|"''”»。！？；：）%*]$') then 'unfinished' end, case when regexp_matches(rtrim(text), '\n\s*(?:[-*+]|[0-9]+[.)])\s*$') then 'cut_list' end, case when regexp_matches(text, '(?i)\b(?:todo|tbd|lorem ipsum|undefined|nan)\b') then 'stray_token' end, case when regexp_matches(text, '\\(?:frac|text|times|mathrm)\b|\$\$') then 'raw_formula' end) as issues from documents""")
 def _(s, d):
-    return _docs(s, d).select("doc_id", F.array_join(F.array_except(Q.chapter_rules(F.col("text")), F.array(F.lit("cut_list"), F.lit("raw_formula"))), ",").alias("issues"))
+    return _docs(s, d).select("doc_id", F.array_join(Q.chapter_rules(F.col("text")), ",").alias("issues"))
 
 
-@BOOK.add("qlt_2_content_rules", "select doc_id, concat_ws(',', case when length(trim(text)) < 80 then 'too_short' end, case when regexp_matches(text, '[a-z]\\?[a-z]') then 'spliced_question' end) as issues from documents where not regexp_matches(text, '(?i)^\\s*(?:as an assistant|here is the|sure,)')")
+@BOOK.add("qlt_2_content_rules", "select doc_id, concat_ws(',', case when regexp_matches(text, '(?i)^\\s*(?:as an assistant|here is the|sure,)') then 'echo' end, case when length(trim(text)) < 80 then 'too_short' end, case when regexp_matches(text, '[a-z]\\?[a-z]') then 'spliced_question' end) as issues from documents")
 def _(s, d):
-    return _docs(s, d).filter(~F.col("text").rlike(r"(?i)^\s*(?:as an assistant|here is the|sure,)")).select("doc_id", F.array_join(Q.content_rules(F.col("text")), ",").alias("issues"))
+    return _docs(s, d).select("doc_id", F.array_join(Q.content_rules(F.col("text")), ",").alias("issues"))
 
 
 @BOOK.add("qlt_3_decision_rules", r"""select doc_id, concat_ws(',', case when not contains(lower(text), 'the') then 'missing_token' end, case when regexp_matches(text, '(?i)\b(?:go|no-go|approve|reject)\b') and not regexp_matches(text, '[0-9]') then 'no_bands' end,
@@ -275,29 +275,29 @@ def _(s, d):
     return _docs(s, d).select("doc_id", F.array_join(Q.topic_coverage(F.col("text"), {"a": r"(?i)\bthe\b", "b": "[0-9]"}), ",").alias("missing"))
 
 
-@BOOK.add("qlt_5_blocking", r"""select doc_id, (length(rtrim(text)) > 0 and not regexp_matches(rtrim(text), '[.!?:;)\]|"''”»。！？；：）%*]$'))::int + (length(trim(text)) < 80)::int + regexp_matches(text, '(?i)\b(?:todo|tbd|lorem ipsum|undefined|nan)\b')::int + (regexp_matches(text, '[a-z]\?[a-z]'))::int as n from documents where not regexp_matches(text, '(?i)^\s*(?:as an assistant|here is the|sure,)')""")
+@BOOK.add("qlt_5_blocking", r"""select doc_id, (length(rtrim(text)) > 0 and not regexp_matches(rtrim(text), '[.!?:;)\]|"''”»。！？；：）%*]$'))::int + (length(trim(text)) < 80)::int + regexp_matches(text, '(?i)\b(?:todo|tbd|lorem ipsum|undefined|nan)\b')::int + (regexp_matches(text, '[a-z]\?[a-z]'))::int + regexp_matches(text, '(?i)^\s*(?:as an assistant|here is the|sure,)')::int + regexp_matches(rtrim(text), '\n\s*(?:[-*+]|[0-9]+[.)])\s*$')::int + regexp_matches(text, '\\(?:frac|text|times|mathrm)\b|\$\$')::int as n from documents""")
 def _(s, d):
     c = F.col("text")
-    return _docs(s, d).filter(~c.rlike(r"(?i)^\s*(?:as an assistant|here is the|sure,)")).select("doc_id", F.size(F.array_except(Q.blocking(Q.chapter_rules(c), Q.content_rules(c)), F.array(F.lit("cut_list"), F.lit("raw_formula")))).alias("n"))
+    return _docs(s, d).select("doc_id", F.size(Q.blocking(Q.chapter_rules(c), Q.content_rules(c))).alias("n"))
 
 
-@BOOK.add("qlt_6_conclusion_filter", f"with {_LINES}, k as (select *, contains(line, 'idiot') as gone from l) select doc_id, bool_or(gone) as cut, sum(case when gone then 0 else length(line) + 1 end)::bigint - 1 + case when bool_or(gone) then 5 else 0 end as chars from k where doc_id in (select doc_id from documents where not regexp_matches(text, '(?:^|\\n)#')) group by doc_id having sum(case when gone then 0 else 1 end) > 0")
+@BOOK.add("qlt_6_conclusion_filter", f"""with {_LINES}, h as (select *, last_value(case when line like '#%' then regexp_matches(line, '(?i)conclusion') end ignore nulls) over (partition by doc_id order by pos rows unbounded preceding) as bad from l),
+k as (select *, coalesce(bad, false) or contains(line, 'idiot') as gone from h) select doc_id, bool_or(gone) as cut, sum(case when gone then 0 else length(line) + 1 end)::bigint - 1 + case when bool_or(gone) then 5 else 0 end as chars from k group by doc_id having sum(case when gone then 0 else 1 end) > 0""")
 def _(s, d):
-    docs = _docs(s, d).filter(~F.col("text").rlike(r"(?:^|\n)#"))
-    out = Q.without_conclusions(docs, "(?i)conclusion", "idiot", "Note")
+    out = Q.without_conclusions(_docs(s, d), "(?i)conclusion", "idiot", "Note")
     return out.filter("text <> 'Note'").select("doc_id", "cut", F.length("text").cast("long").alias("chars"))
 
 
-@BOOK.add("qlt_7_new_numbers", "select o_orderkey as id, case when o_custkey % 3 = 0 then o_custkey::varchar else '' end as fresh from orders where o_custkey <> o_orderkey")
+@BOOK.add("qlt_7_new_numbers", "select o_orderkey as id, case when o_custkey % 3 = 0 and o_custkey <> o_orderkey then o_custkey::varchar else '' end as fresh from orders")
 def _(s, d):
     k, c = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
     source = F.concat(F.lit("There were "), k, F.when(F.col("o_custkey") % 3 == 0, "").otherwise(F.concat(F.lit(" and "), c)))
-    return table(s, d, "orders").filter("o_custkey <> o_orderkey").select(F.col("o_orderkey").alias("id"), F.array_join(Q.new_numbers(F.concat(F.lit("About "), k, F.lit(" or "), c), source), ",").alias("fresh"))
+    return table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.array_join(Q.new_numbers(F.concat(F.lit("About "), k, F.lit(" or "), c), source), ",").alias("fresh"))
 
 
-@BOOK.add("qlt_8_reference_separation", r"""with p as (select page_id % 10 as chapter_no, page_id as number, lower(regexp_extract(url, '^([a-z]+)://', 1)) || '://' || lower(regexp_extract(url, '://([^/?#]+)', 1)) as url_key from pages) select url_key, string_agg(distinct chapter_no || '-' || number, ',' order by chapter_no || '-' || number) as refs, count(*)::bigint as n from p group by url_key""")
+@BOOK.add("qlt_8_reference_separation", rf"""with p as (select page_id % 10 as chapter_no, page_id as number, url_key from ({_KEY_GRADING})) select url_key, string_agg(distinct chapter_no || '-' || number, ',' order by chapter_no || '-' || number) as refs, count(*)::bigint as n from p group by url_key""")
 def _(s, d):
-    r = table(s, d, "pages").select((F.col("page_id") % 10).alias("chapter_no"), F.col("page_id").alias("number"), F.regexp_extract("url", r"^([a-z]+://[^/?#]+)", 1).alias("url"))
+    r = table(s, d, "pages").select((F.col("page_id") % 10).alias("chapter_no"), F.col("page_id").alias("number"), "url")
     return Q.merge_sources(r).select("url_key", F.array_join("refs", ",").alias("refs"), "n")
 
 

@@ -12,9 +12,9 @@ BOOK = Book()
 _LINES = "select doc_id, unnest(string_split(text, chr(10))) as line from documents"
 
 
-@BOOK.add("txt_1_norm_key", r"""select doc_id, lower(regexp_replace(left(text, 200), '[^\p{L}\p{M}\p{N}_]', '', 'g')) as norm_key from documents""")
+@BOOK.add("txt_1_norm_key", r"""select doc_id, sha256(lower(regexp_replace(text, '[^\p{L}\p{M}\p{N}_]', '', 'g'))) as norm_key from documents""")
 def _(s, d):
-    return table(s, d, "documents").select("doc_id", T.norm_key(F.left("text", F.lit(200))).alias("norm_key"))
+    return table(s, d, "documents").select("doc_id", F.sha2(T.norm_key(F.col("text")), 256).alias("norm_key"))
 
 
 @BOOK.add("txt_2_name_key", r"""select page_id, lower(regexp_replace(regexp_replace(url, '\s', '', 'g'), '\.docx$', '')) as name_key from pages""")
@@ -22,9 +22,9 @@ def _(s, d):
     return table(s, d, "pages").select("page_id", T.name_key(F.col("url")).alias("name_key"))
 
 
-@BOOK.add("txt_3_content_form", r"""select doc_id, sha256(lower(regexp_replace(text, '\s', '', 'g'))) as content_hash from documents where not regexp_matches(text, 'ß')""")
+@BOOK.add("txt_3_content_form", r"""select doc_id, sha256(replace(lower(regexp_replace(text, '\s', '', 'g')), 'ß', 'ss')) as content_hash from documents""")
 def _(s, d):
-    return table(s, d, "documents").filter(~F.contains("text", F.lit("ß"))).select("doc_id", F.sha2(T.content_form(F.col("text")), 256).alias("content_hash"))
+    return table(s, d, "documents").select("doc_id", F.sha2(T.content_form(F.col("text")), 256).alias("content_hash"))
 
 
 @BOOK.add("txt_4_stable_id", "select doc_id, left(sha256(text), 24) as id24, left(sha1(text), 10) as id10 from documents")
@@ -159,10 +159,10 @@ def _(s, d):
 
 @BOOK.add("txt_20_ngrams", r"""
 select doc_id, count(*)::bigint as n, sha256(string_agg(x, ' ' order by x)) as digest from (
-  select distinct doc_id, unnest(regexp_extract_all(lower(text), '([a-z][a-z0-9]+)', 1)) as x from documents where lang = 'en') where x not in ('the', 'of', 'and', 'to', 'in', 'is', 'a', 'for') group by doc_id""")
+  select distinct doc_id, unnest(regexp_extract_all(lower(text), '([a-z][a-z0-9]+)', 1)) as x from documents) where x not in ('the', 'of', 'and', 'to', 'in', 'is', 'a', 'for') group by doc_id""")
 def _(s, d):
     g = T.ngrams(F.col("text"))
-    return table(s, d, "documents").filter("lang = 'en'").select("doc_id", g.alias("g")).filter(F.size("g") > 0).select("doc_id", F.size("g").cast("long").alias("n"), F.sha2(F.array_join(F.array_sort("g"), " "), 256).alias("digest"))
+    return table(s, d, "documents").select("doc_id", g.alias("g")).filter(F.size("g") > 0).select("doc_id", F.size("g").cast("long").alias("n"), F.sha2(F.array_join(F.array_sort("g"), " "), 256).alias("digest"))
 
 
 def _url_sql(drop: str, host: str) -> str:
@@ -190,17 +190,18 @@ def _(s, d):
 
 
 @BOOK.add("txt_24_math_to_text", """
-select o_orderkey as id, '((' || (o_orderkey % 9) || ')/(b))/(c) × ' || o_custkey || ' ≤ 5%' as plain from orders""")
+select o_orderkey as id, '((' || (o_orderkey % 9) || ') ÷ (b)) ÷ (c) × ' || o_custkey || ' ≤ 5% for $' || o_orderkey || ' and x^2 = √(y_1)' as plain from orders""")
 def _(s, d):
-    made = F.concat(F.lit(r"$\frac{\frac{"), (F.col("o_orderkey") % 9).cast("string"), F.lit(r"}{\text{b}}}{c} \times "), F.col("o_custkey").cast("string"), F.lit(r" \le 5\%$"))
+    made = F.concat(F.lit(r"$\frac{\frac{"), (F.col("o_orderkey") % 9).cast("string"), F.lit(r"}{\text{b}}}{c} \times "), F.col("o_custkey").cast("string"), F.lit(r" \le 5\%$ for $"), F.col("o_orderkey").cast("string"), F.lit(r" and $x^{2} = \sqrt{y_{1}}$"))
     return table(s, d, "orders").select(F.col("o_orderkey").alias("id"), T.plain_math(made).alias("plain"))
 
 
 @BOOK.add("txt_25_sanitise", r"""
-select doc_id, sha256(trim(regexp_replace(replace(array_to_string(list_filter(string_split(text, chr(10)), lambda x: not regexp_matches(x, '(?i)licen[sc]e')), chr(10)), 'idiot', '[removed]'), '\n{3,}', chr(10) || chr(10), 'g'))) as digest
-from documents where not regexp_matches(text, '[\\$]')""")
+select doc_id, sha256(trim(regexp_replace(replace(t, 'idiot', '[removed]'), '\n{3,}', chr(10) || chr(10), 'g'))) as digest
+from (select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(array_to_string(list_filter(string_split(text, chr(10)), lambda x: not regexp_matches(x, '(?i)licen[sc]e')), chr(10)),
+  '(?s)\$\$(.+?)\$\$', '\1', 'g'), '\$([^$\n]*[\\^_=][^$\n]*)\$', '\1', 'g'), '\$([A-Za-z][^$ \t\r\n]{0,20})\$', '\1', 'g'), '\\[()\[\]]', '', 'g'), '\\([A-Za-z]+)', '\1', 'g') as t from documents)""")
 def _(s, d):
-    return table(s, d, "documents").filter(~F.col("text").rlike(r"[\\$]")).select("doc_id", F.sha2(T.sanitised(F.col("text"), [r"(?i)licen[sc]e"], {"idiot": "[removed]"}), 256).alias("digest"))
+    return table(s, d, "documents").select("doc_id", F.sha2(T.sanitised(F.col("text"), [r"(?i)licen[sc]e"], {"idiot": "[removed]"}), 256).alias("digest"))
 
 
 @BOOK.add("txt_26_citations", """

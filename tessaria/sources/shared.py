@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession, name: str = "tessaria") -> str:
-    """A new folder in the place that spark.checkpoint.dir names; only where it is unset (tests) a local one."""
+    """A new folder in the place that spark.checkpoint.dir names; a session in one process may leave it unset and then gets a local one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="tessaria-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    base = base or tempfile.mkdtemp(prefix="tessaria-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -59,3 +59,29 @@ def test_price(spark):
     got = {x["scenario"]: x for x in C.price_scenarios(r, [-10]).collect()}
     assert (got["s"]["utilization_pct"], got["s"]["gross_profit"], round(got["s"]["shock_gross_profit"], 6)) == (80.0, 1800.0, 1100.0)
     assert got["z"]["margin_pct"] is None
+
+
+def test_math_text_keeps_currency(spark):
+    from pyspark.sql import functions as F
+
+    from tessaria.functions import text as T
+    cases = {
+        "It cost $100 in all, not $90.": "It cost $100 in all, not $90.",
+        r"$$\frac{\text{a}}{b}$$ and $x_1 = 2$": "(a) ÷ (b) and x_1 = 2",
+        r"\(x^{2}\) or \[y^{a+b}\] of $V$": "x^2 or y^(a+b) of V",
+        r"\begin{aligned}\sqrt{\frac{a}{b}} \cdot \sum x \\ \unknown\end{aligned}": "√((a) ÷ (b)) × 求和 x \n unknown",
+        r"\frac{\frac{\frac{\frac{\frac{a}{b}}{c}}{d}}{e}}{f}": "(((((a) ÷ (b)) ÷ (c)) ÷ (d)) ÷ (e)) ÷ (f)",
+    }
+    rows = spark.createDataFrame(list(cases.items()), "text string, want string").select(T.plain_math(F.col("text")).alias("got"), "want", "text").collect()
+    assert [(r["text"], r["got"]) for r in rows] == [(r["text"], r["want"]) for r in rows]
+
+
+def test_packing_long_rows_and_nulls(spark):
+    from pyspark.sql import functions as F
+
+    from tessaria.operators import retrieval as R
+    d = spark.createDataFrame([(1, ["ab"] * 30_000), (2, []), (3, None), (4, ["a" * 9, None, "bb", "c" * 7])], "id int, s array<string>")
+    got = {r["id"]: (r["f"], r["k"]) for r in d.select("id", R.pack_flush(F.col("s"), 8).alias("f"), R.pack_skip(F.col("s"), 9).alias("k")).collect()}
+    assert got[1][0] == [i // 4 for i in range(30_000)] and sum(got[1][1]) == 4
+    assert got[2] == ([], []) and got[3] == (None, None)
+    assert got[4] == ([0, 1, 1, 2], [True, True, False, False])
