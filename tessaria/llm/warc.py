@@ -5,8 +5,8 @@ record that refers to the response with an equal payload. A response block longe
 record and continuation records with WARC-Segment-Number, WARC-Segment-Origin-ID and, on the last, the total length.
 Spark's text writer puts the records into files; its line separator is the record separator of the format.
 
-Reading: Spark's text reader streams each compressed file and cuts it where a record seems to end; pieces are put
-together again until a record has its Content-Length, so a task holds a record at a time, not a file. Continuation records are grouped by the record
+Reading: a file's compressed bytes are one row; they are inflated piece by piece and parsed record by record by their
+Content-Length, so a task holds one compressed file and a record at a time, not the file's content. Continuation records are grouped by the record
 they continue, ordered by segment number and checked against the total length; the HTTP head is split off, chunked
 framing is decoded, and the payload's digest is checked. Records of one origin are few and bounded by one page, and
 only segmented records are shuffled.
@@ -16,15 +16,15 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import itertools
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, shared_dir, table
+from .common import cut, shared_dir, table
 
 RECORD = "page_id string, record_type string, refers_to string, payload_digest string, payload_bytes long, segment int, total long, url string, block binary, path string"
 _BREAK = "\r\n"
@@ -124,34 +124,53 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, segment_bytes:
     rows.mapInArrow(_records(segment_bytes, chunk_bytes), "value string").write.option("maxRecordsPerFile", file_records).option("lineSep", "\r\n\r\n").option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
-#: Where Spark's reader cuts files: the end of a record and the start of the next one. A payload may hold it too.
-_CUT = "\r\n\r\nWARC/"
+def inflated(data: bytes, step: int = 1 << 18) -> Iterator[bytes]:
+    """The content of a file piece by piece: gzip members one after the other, or the bytes as they are."""
+    at, z = 0, None
+    while at < len(data):
+        if z is None:
+            if data[at : at + 2] != b"\x1f\x8b":
+                yield data[at:]
+                return
+            z = zlib.decompressobj(31)
+        piece = data[at : at + step]
+        out = z.decompress(piece)
+        at += len(piece) - len(z.unused_data)
+        if out:
+            yield out
+        if z.eof:
+            z = None
+    if z is not None:
+        raise ValueError("a compressed file is cut off")
 
 
 def parse_records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields in lower case, block) of each record of a WARC file that comes cut at _CUT."""
-    first, open_ = True, b""
-    for piece in pieces:
-        if not first:
-            piece = _CUT.encode()[4:] + piece if not open_ else _CUT.encode() + piece
-        first = False
-        open_ += piece
-        if not open_.startswith(b"WARC/"):
-            raise ValueError("a file doesn't start with a record")
-        end = open_.find(b"\r\n\r\n")
-        if end < 0:
-            raise ValueError("a record's head doesn't end")
-        lines = open_[:end].decode("utf-8", "replace").split("\r\n")[1:]
+    """(header fields in lower case, block) of each record of a WARC file whose content comes in pieces."""
+    held, at, over = bytearray(), 0, False
+
+    def until(ready) -> None:
+        nonlocal over
+        while not over and not ready():
+            piece = next(pieces, None)
+            over = piece is None
+            held.extend(piece or b"")
+
+    while True:
+        until(lambda: held.find(b"\r\n\r\n") >= 0)
+        end = held.find(b"\r\n\r\n")
+        if not held:
+            return
+        if end < 0 or not held.startswith(b"WARC/"):
+            raise ValueError(f"no record starts at byte {at}")
+        lines = held[:end].decode("utf-8", "replace").split("\r\n")[1:]
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        n = int(fields["content-length"])
-        if len(open_) < end + 4 + n:
-            continue
-        if open_[end + 4 + n :] not in (b"", b"\r\n\r\n"):
-            raise ValueError("a record doesn't end where its length says")
-        yield fields, open_[end + 4 : end + 4 + n]
-        open_ = b""
-    if open_:
-        raise ValueError("the last record is shorter than its length says")
+        last = end + 4 + int(fields["content-length"])
+        until(lambda: len(held) >= last + 4)
+        if held[last : last + 4] != b"\r\n\r\n":
+            raise ValueError(f"the record at byte {at} doesn't end where its length says")
+        yield fields, bytes(held[end + 4 : last])
+        at += last + 4
+        del held[: last + 4]
 
 
 def _id(value: str | None) -> str | None:
@@ -159,11 +178,10 @@ def _id(value: str | None) -> str | None:
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pieces = ((p, v) for batch in batches for p, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
     rows: list[tuple] = []
     size = 0
-    for path, mine in itertools.groupby(pieces, key=lambda x: x[0]):
-        for f, block in parse_records(v for _, v in mine):
+    for path, content in ((p, v) for batch in batches for p, v in zip(batch.column(0).to_pylist(), batch.column(1))):
+        for f, block in parse_records(inflated(content.as_py())):
             origin = f.get("warc-segment-origin-id")
             digest = f.get("warc-payload-digest", "").removeprefix("sha1:") or None
             rows.append((_id(origin or f["warc-record-id"]), f["warc-type"], _id(f.get("warc-refers-to")), digest, None, int(f["warc-segment-number"]) if "warc-segment-number" in f else None,
@@ -199,12 +217,11 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, record_type, refers_to, payload_digest, url, payload) of each page in the archives under path.
 
     Segmented records are put together again; a record whose segments are missing, doubled or of another total length
-    than stated, a broken chunk or a wrong digest fails the job. The payload of a revisit is null. Files are those whose
-    names end in .gz, of one gzip member or of many; a compressed file is read by one task from start to end.
+    than stated, a broken chunk or a wrong digest fails the job. The payload of a revisit is null. Files are
+    plain or of one or many gzip members; a compressed file of 2 GB or more is beyond what Spark reads as one row.
     """
-    lines = spark.read.option("lineSep", _CUT).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").text(path)
-    pieces = lines.select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("piece"))
-    records = bounded_batches(pieces).mapInArrow(_parse, RECORD)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    records = files.mapInArrow(_parse, RECORD)
     whole = records.filter("segment is null").select("page_id", "record_type", "refers_to", "payload_digest", "url", F.array("block").alias("blocks"))
     part = F.struct("segment", "block", "total", "record_type", "payload_digest", "url")
     joined = records.filter("segment is not null").groupBy("page_id").agg(F.array_sort(F.collect_list(part)).alias("s"))
