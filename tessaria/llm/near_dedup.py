@@ -19,11 +19,12 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import SPACES, bounded_batches, cut, only_ids, raw_bytes, shared_dir, shuffle_partitions, table, window_hashes, word_hashes, word_spans
@@ -32,7 +33,12 @@ from .graph import connected_components
 #: Minwise tokens: 16 bits of each name children, 8 others estimate similarity. Trees share them, so there must be many:
 #: with 16, a pair that agrees on few of them by chance is missed by all trees alike.
 TOKENS = 256
-SKETCH = "doc_id long, n_shingles long, digest binary, sig binary"
+SKETCH = "doc_id long, n_shingles long, digest binary, sig binary, bits long"
+#: Nodes of so much mean agreement are not branched: on the way down to depth 12 their copies in all the trees would
+#: cost as many comparisons as the node itself, block by block.
+DENSE = 0.6
+#: Tokens of which one further bit measures a node's mean agreement.
+BITS = 64
 _seeds = np.random.default_rng(7_2017)
 _MUL = _seeds.integers(1, 1 << 63, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _seeds.integers(0, 1 << 63, TOKENS, dtype=np.uint64)
@@ -46,25 +52,30 @@ def shingles(text: str | None, k: int) -> np.ndarray:
     return np.unique(window_hashes(words, min(k, len(words)))) if len(words) else np.zeros(0, np.uint64)
 
 
-def signature(items: np.ndarray) -> bytes:
-    """The minwise tokens, all of different hash functions: 16 bits of each, then 8 other bits of each."""
+def signature(items: np.ndarray) -> tuple[bytes, int]:
+    """The minwise tokens, all of different hash functions: 16 bits of each, then 8 other bits of each; and one more
+    bit of the first ones as a long."""
     best = np.full(TOKENS, np.uint64((1 << 64) - 1))
     for i in range(0, len(items), 1024):
         np.minimum(best, (items[None, i : i + 1024] * _MUL[:, None] + _ADD[:, None]).min(axis=1), out=best)
-    return (best >> np.uint64(28)).astype(np.uint16).tobytes() + (best >> np.uint64(20)).astype(np.uint8).tobytes()
+    bits = np.packbits((best[:BITS] >> np.uint64(19)).astype(np.uint8) & 1).view(np.int64)
+    return (best >> np.uint64(28)).astype(np.uint16).tobytes() + (best >> np.uint64(20)).astype(np.uint8).tobytes(), int(bits[0])
 
 
 def _sketch(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, counts, digests, sigs = [], [], [], []
+            ids, counts, digests, sigs, bits = [], [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 s = shingles(text.as_py(), k)
                 ids.append(doc)
                 counts.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()) + struct.pack("<I", len(s)) if len(s) else None)
-                sigs.append(signature(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "digest", "sig"])
+                sig, bit = signature(s) if len(s) else (None, None)
+                sigs.append(sig)
+                bits.append(bit)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bits, pa.int64())],
+                                             names=["doc_id", "n_shingles", "digest", "sig", "bits"])
 
     return run
 
@@ -221,12 +232,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, trees: int =
     with the smallest of their texts; rows without a doc_id are left out. An empty table gives an empty result.
 
     Nodes are first compared at depth depths[0], where a token shared by chance or by one common passage is not
-    enough; large nodes branch on, until they no longer shrink or depths[1] is reached. Members of nodes that are large
-    at depth depths[0] + 1 and branch on go through deep_trees further trees among themselves. Recall: given that a pair
+    enough; large nodes branch on, unless their members agree on DENSE of their tokens in the mean, down to depths[1].
+    Members of nodes that branch on at depth depths[0] + 1 go through deep_trees further trees among themselves. Recall: given that a pair
     agrees on m of the 256 tokens, trees miss it independently, so its miss is the mean over the binomial m of (1 -
     survival) ** trees. At the threshold of 0.85 (0.80) 10 trees miss 8e-7 (5e-6) at depth 2 and 1.4e-5 (6e-5) at depth
-    3; 28 trees miss 3e-8 (4e-7) at depth 6, 1e-6 (1e-5) at depth 8 and 6e-5 (3e-4) at depth 12. What
-    no longer shrinks, or depth depths[1] still leaves large, is settled exactly, by blocks. slack is what a
+    3; 28 trees miss 3e-8 (4e-7) at depth 6, 1e-6 (1e-5) at depth 8 and 6e-5 (3e-4) at depth 12. Dense
+    nodes, and those that depth depths[1] still leaves large, are settled exactly, by blocks; pairs that several of them
+    share are settled in one. slack is what a
     signature's estimate may fall short of the threshold: 4.5 standard errors of 256 tokens.
     """
     spark = bounded_batches(docs).sparkSession
@@ -239,7 +251,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, trees: int =
         docs = docs.groupBy("doc_id").agg(F.min("text").alias("text"))
         sketch = cut(docs.mapInArrow(_sketch(k), SKETCH), folder, "sketch-of-ids")
     one = sketch.select("doc_id", "digest", "n_shingles")
-    reps = cut(sketch.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig")), folder, "reps")
+    reps = cut(sketch.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig"), F.first("bits").alias("bits")), folder, "reps")
     links = _tree_links(reps, docs, folder, k, percent, threshold, least, (trees, deep_trees), node_limit, depths)
     comps = connected_components(links, f"{folder}/final")
     classes = reps.select("digest", F.col("doc").alias("rep")).join(comps.withColumnRenamed("node", "rep"), "rep", "left")
@@ -249,34 +261,44 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, trees: int =
                       (F.col("doc_id") == F.coalesce("component", "doc_id")).alias("kept"))
 
 
-def _descend(reps: DataFrame, folder: str, trees: range, threshold: float, limit: int, depths: tuple[int, int]) -> tuple[list, DataFrame | None, DataFrame | None]:
-    """(groups, heavy, deep) of the trees: groups are tables (g, doc, n), n being 0 for small nodes; heavy is the one of
-    large nodes, if any; deep has the documents whose nodes are still large a level after the first comparison."""
+def _agreement(large: DataFrame) -> DataFrame:
+    """(node, agree): the share of its pairs that agree on a token, in the mean. The square of a sum of signs, one by
+    token, estimates the number of agreeing pairs without listing them, so sums by node are all that is shuffled."""
+    n = F.count("*").cast("double")
+    return large.groupBy("node").agg(sum((F.pow((2 * F.sum(F.shiftright("bits", i).bitwiseAND(1)) - n) / n, 2) for i in range(BITS)), F.lit(0.0)).alias("agree")).withColumn("agree", F.col("agree") / BITS)
+
+
+def _descend(reps: DataFrame, folder: str, trees: range, threshold: float, limit: int, depths: tuple[int, int]) -> tuple[list, list, DataFrame | None]:
+    """(groups, heavy, deep) of the trees: groups are tables (g, doc) of small nodes, heavy tables (g, doc, n) of large
+    ones that do not branch on; deep has the documents that branch on a level after the first comparison."""
     roots = F.explode(F.array(*(F.xxhash64(F.lit(f"tree {i}")) for i in trees))).alias("node")
     members = reps.select("doc", "sig", roots)
     for _ in range(depths[0] - 1):
         members = _branch(members, threshold)
     members = _branch(members, threshold).drop("sig")
-    groups, before, heavy, deep = [], None, None, None
+    groups, heavy, deep = [], [], None
     for depth in range(depths[0], depths[1] + 1):
         members = cut(members.distinct(), folder, f"depth-{depth}")
         nodes = members.groupBy("node").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc")).alias("x"),
                                             F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("y")).filter("n > 1")
-        # Trees often make the same small node; it is compared once.
+        nodes = cut(nodes, folder, f"nodes-{depth}")
+        # Trees often make the same node; it is settled once, but branches on in each of them.
         small = nodes.filter(F.col("n") <= limit).groupBy("n", "x", "y").agg(F.min("node").alias("node"))
-        groups.append(members.join(small.select("node"), "node").select(F.col("node").alias("g"), "doc", F.lit(0).alias("n")))
-        large = cut(members.join(nodes.filter(F.col("n") > limit).select("node", "n"), "node"), folder, f"large-{depth}")
-        size = large.count()
-        if not size:
+        groups.append(members.join(small.select("node"), "node").select(F.col("node").alias("g"), "doc"))
+        large = members.join(nodes.filter(F.col("n") > limit).select("node", "n"), "node").join(reps.select("doc", "bits"), "doc")
+        large = cut(large, folder, f"large-{depth}")
+        if large.isEmpty():
             break
-        # Nodes of documents that only share a passage shrink at every level; what no longer shrinks is dense.
-        if depth == depths[1] or before and size > 0.85 * before:
-            heavy = large.select(F.col("node").alias("g"), "doc", F.col("n").cast("int").alias("n"))
-            groups.append(heavy)
+        stays = _agreement(large).select("node", (F.col("agree") >= DENSE if depth < depths[1] else F.lit(True)).alias("stays"))
+        twin = F.min("node").over(Window.partitionBy("n", "x", "y"))
+        stays = nodes.join(stays, "node").withColumn("twin", twin).filter("node = twin or not stays").select("node", "stays")
+        large = cut(large.drop("bits").join(stays, "node"), folder, f"told-{depth}")
+        heavy.append(large.filter("stays").select(F.col("node").alias("g"), "doc", "n"))
+        large = large.filter("not stays")
+        if large.isEmpty():
             break
         if depth == depths[0] + 1:
             deep = large.select("doc").distinct()
-        before = size
         members = _branch(large.join(reps, "doc").select("doc", "sig", "node"), threshold).drop("sig")
     return groups, heavy, deep
 
@@ -287,38 +309,53 @@ def _tree_links(reps, docs, folder, k, percent, threshold, least, trees, limit,
         # A pair of two such documents may have been lost further down; any other pair is settled by the first trees.
         some = cut(reps.join(deep, "doc", "left_semi"), folder, "deep")
         more, dense, _ = _descend(some, f"{folder}/deeper", range(trees[0], sum(trees)), threshold, limit, depths)
-        groups += more
-        heavy = dense if heavy is None else heavy if dense is None else heavy.unionByName(dense)
-    every = groups[0]
-    for x in groups[1:]:
-        every = every.unionByName(x)
-    every = cut(every, folder, "groups")
-
-    def block(turn: int) -> F.Column:
-        return F.when(F.col("n") == 0, F.col("g")).otherwise(F.xxhash64("g", F.lit(turn), F.pmod(F.xxhash64("doc", F.lit(turn)), F.ceil(F.col("n") / limit))))
+        groups, heavy = groups + more, heavy + dense
+    every = reduce(DataFrame.unionByName, groups).select("g", "doc")
+    if heavy:
+        heavy = cut(reduce(DataFrame.unionByName, heavy), folder, "heavy")
+        # Large nodes of different trees hold much the same documents. Each document is at home in the largest of its
+        # nodes and is settled there first.
+        home = heavy.groupBy("doc").agg(F.max(F.struct("n", "g"))["g"].alias("home"))
+        heavy = cut(heavy.join(home, "doc"), folder, "homes")
+        at_home = heavy.filter("g = home")
+
+    def blocks(turn: int) -> F.Column:
+        return F.xxhash64("g", F.lit(turn), F.pmod(F.xxhash64("doc", F.lit(turn)), F.ceil(F.col("n") / limit))).alias("g")
 
     # Small nodes are settled at once, large ones within blocks; then blocks are dealt anew among nodes that still
-    # hold several components, and at last what lies outside a node's largest component meets all of the node.
-    links = _links(every.select(block(0).alias("g"), "doc", F.col("doc").alias("comp"), F.lit(True).alias("ask")), reps, docs, f"{folder}/turn-0", k, percent, least)
-    for turn in (1, 2) if heavy is not None else ():
+    # hold several components, and at last what lies outside a node's largest component, or its members' commonest
+    # home, meets all of the node.
+    if heavy:
+        every = every.unionByName(at_home.select(blocks(0), "doc"))
+    links = _links(cut(every, folder, "groups").select("g", "doc", F.col("doc").alias("comp"), F.lit(True).alias("ask")), reps, docs, f"{folder}/turn-0", k, percent, least)
+    for turn, rows in ((1, at_home), (2, heavy)) if heavy else ():
         comps = connected_components(links, f"{folder}/components-{turn}").withColumnRenamed("node", "doc")
-        now = heavy.join(comps, "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
+        now = rows.join(comps, "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
         mixed = now.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("g")
         now = cut(now.join(mixed, "g", "left_semi"), folder, f"mixed-{turn}")
         if now.isEmpty():
-            break
-        dealt = _minority(now, limit) if turn == 2 else now.select(block(turn).alias("g"), "doc", "comp", F.lit(True).alias("ask"))
+            continue
+        dealt = _minority(now, limit) if turn == 2 else now.select(blocks(turn), "doc", "comp", F.lit(True).alias("ask"))
         links = links.unionByName(_links(dealt, reps, docs, f"{folder}/turn-{turn}", k, percent, least))
     return links
 
 
 def _minority(heavy: DataFrame, limit: int) -> DataFrame:
-    """Blocks of members outside their node's largest component (they ask), each against each block of all members."""
-    heavy = heavy.drop("n")
-    sizes = heavy.groupBy("g", "comp").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("g").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"))
-    rows = heavy.join(main, "g").withColumn("chunks", F.ceil((F.col("n") - F.col("most")) / limit)).withColumn("blocks", F.ceil(F.col("n") / limit))
-    asks = rows.filter("comp != main").withColumn("i", F.pmod(F.xxhash64("doc"), F.col("chunks"))).select("g", "doc", "comp", "i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("ask"))
+    """Blocks of the members (g, doc, comp, home) that ask, each against each block of all members of their node.
+
+    Those outside the node's largest component ask, or those whose home isn't the commonest one of its members, if they
+    are fewer: pairs with both at that home meet there. A node that is itself its members' commonest home asks by
+    component.
+    """
+    def commonest(by: str) -> DataFrame:
+        n = heavy.groupBy("g", by).agg(F.count("*").alias("n"))
+        return n.groupBy("g").agg(F.max_by(by, F.struct("n", by)).alias(f"most_{by}"), F.sum("n").alias("n"), F.max("n").alias(f"n_{by}"))
+
+    told = commonest("comp").join(commonest("home").drop("n"), "g").withColumn("by_home", F.expr("most_home <> g and n_home > n_comp"))
+    told = told.withColumn("chunks", F.ceil((F.col("n") - F.expr("if(by_home, n_home, n_comp)")) / limit)).withColumn("blocks", F.ceil(F.col("n") / limit)).filter("chunks > 0")
+    rows = heavy.drop("n").join(told, "g")
+    asks = rows.filter("if(by_home, home <> most_home, comp <> most_comp)").withColumn("i", F.pmod(F.xxhash64("doc"), F.col("chunks")))
+    asks = asks.select("g", "doc", "comp", "i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("ask"))
     others = rows.withColumn("j", F.pmod(F.xxhash64("doc", F.lit(5)), F.col("blocks"))).select("g", "doc", "comp", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("i"), "j", F.lit(False).alias("ask"))
     return asks.unionByName(others).groupBy(F.xxhash64("g", "i", "j").alias("g"), "doc", "comp").agg(F.max("ask").alias("ask"))
 
