@@ -87,8 +87,8 @@ def _branch(rows: DataFrame, threshold: float) -> DataFrame:
     first = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(TOKENS))
     second = F.when(F.pmod(F.xxhash64("node", F.lit(2)), F.lit(10_000)) < extra, F.pmod(F.xxhash64("node", F.lit(3)), F.lit(TOKENS)))
     at = F.explode(F.array_compact(F.array(first, second)))
-    return rows.select("doc", "sig", "node", at.alias("at")).select(
-        "doc", "sig", F.xxhash64("node", "at", F.expr("substring(sig, cast(2 * at + 1 as int), 2)")).alias("node"))
+    return rows.select("doc", "sig", "bits", "node", at.alias("at")).select(
+        "doc", "sig", "bits", F.xxhash64("node", "at", F.expr("substring(sig, cast(2 * at + 1 as int), 2)")).alias("node"))
 
 
 def _stars(a: np.ndarray, b: np.ndarray, doc: np.ndarray, comp: np.ndarray) -> list[tuple[int, int]]:
@@ -272,7 +272,7 @@ def _descend(reps: DataFrame, folder: str, trees: range, threshold: float, limit
     """(groups, heavy, deep) of the trees: groups are tables (g, doc) of small nodes, heavy tables (g, doc, n) of large
     ones that do not branch on; deep has the documents that branch on a level after the first comparison."""
     roots = F.explode(F.array(*(F.xxhash64(F.lit(f"tree {i}")) for i in trees))).alias("node")
-    members = reps.select("doc", "sig", roots)
+    members = reps.select("doc", "sig", "bits", roots)
     for _ in range(depths[0] - 1):
         members = _branch(members, threshold)
     members = _branch(members, threshold).drop("sig")
@@ -285,21 +285,22 @@ def _descend(reps: DataFrame, folder: str, trees: range, threshold: float, limit
         # Trees often make the same node; it is settled once, but branches on in each of them.
         small = nodes.filter(F.col("n") <= limit).groupBy("n", "x", "y").agg(F.min("node").alias("node"))
         groups.append(members.join(small.select("node"), "node").select(F.col("node").alias("g"), "doc"))
-        large = members.join(nodes.filter(F.col("n") > limit).select("node", "n"), "node").join(reps.select("doc", "bits"), "doc")
-        large = cut(large, folder, f"large-{depth}")
-        if large.isEmpty():
-            break
+        large = members.join(nodes.filter(F.col("n") > limit).select("node", "n"), "node")
         stays = _agreement(large).select("node", (F.col("agree") >= DENSE if depth < depths[1] else F.lit(True)).alias("stays"))
         twin = F.min("node").over(Window.partitionBy("n", "x", "y"))
-        stays = nodes.join(stays, "node").withColumn("twin", twin).filter("node = twin or not stays").select("node", "stays")
-        large = cut(large.drop("bits").join(stays, "node"), folder, f"told-{depth}")
-        heavy.append(large.filter("stays").select(F.col("node").alias("g"), "doc", "n"))
-        large = large.filter("not stays")
-        if large.isEmpty():
+        stays = nodes.join(stays, "node").withColumn("twin", twin).filter("node = twin or not stays").select("node", "n", "stays")
+        # A row for each large node, so few that what is left to do is known without reading the members again.
+        stays = cut(stays, folder, f"large-{depth}")
+        branches, ends = (stays.agg(F.coalesce(F.sum(F.when(c, 1)), F.lit(0)).alias("k")) for c in (~F.col("stays"), F.col("stays")))
+        branches, ends = branches.first()["k"], ends.first()["k"]
+        if ends:
+            heavy.append(members.join(stays.filter("stays").select("node", "n"), "node").select(F.col("node").alias("g"), "doc", "n"))
+        if not branches:
             break
+        large = members.join(stays.filter("not stays").select("node"), "node").select("doc", "node")
         if depth == depths[0] + 1:
             deep = large.select("doc").distinct()
-        members = _branch(large.join(reps, "doc").select("doc", "sig", "node"), threshold).drop("sig")
+        members = _branch(large.join(reps, "doc").select("doc", "sig", "bits", "node"), threshold).drop("sig")
     return groups, heavy, deep
 
 
