@@ -4,13 +4,13 @@ Every document is a set of distinct shingles. Equal sets are first collapsed int
 representative carries a signature of minwise tokens. A number of independent trees then branch recursively: a node
 chooses, by a hash of its own path, on average 1 / threshold positions of the signature, and a document goes to the
 child named by its token at each chosen position. Two sets of similarity s share on average s / threshold children, so
-similar pairs survive from level to level while others fall apart. Small nodes are compared exhaustively on
-signatures; members with a likely partner are then compared on their full sets, and stars are kept that join the
-same documents as the links found. Trees repeat to reach the target recall; documents whose nodes are still large after
+similar pairs survive from level to level while others fall apart. Nodes of bounded size are compared exhaustively on
+signatures and part into the components that likely pairs make; small components are then compared on their full
+sets, and stars are kept that join the same documents as the links found. Trees repeat to reach the target recall; documents whose nodes are still large after
 a further level, where a tree loses more, go through further trees.
 
-Groups larger than a node may be (thousands of near copies never fall apart, as all their tokens agree) are dealt
-into blocks of bounded size, which are settled alone; after the links are joined into components, only different
+Nodes that stay large (thousands of near copies never fall apart, as all their tokens agree) and large components are
+dealt into blocks of bounded size, which are settled alone; after the links are joined into components, only different
 components are compared, minority against all, block by block. No step lists all pairs of a group and no step holds a
 whole group in one task.
 """
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, bounded_batches, cut, only_ids, raw_bytes, shared_dir, shuffle_partitions, table, window_hashes, word_hashes, word_spans
+from .common import SPACES, bounded_batches, cut, only_ids, raw_bytes, shared_dir, table, window_hashes, word_hashes, word_spans
 from .graph import connected_components
 
 #: Minwise tokens: 16 bits of each name children, 8 others estimate similarity. Trees share them, so there must be many:
@@ -81,11 +81,11 @@ def _sketch(k: int):
 
 
 def _branch(rows: DataFrame, threshold: float) -> DataFrame:
-    """(doc, sig, node) to the children of each node: one position, and a second for the share of nodes that makes
+    """(doc, sig, node) to the children of each node: one position, and a second, other one for the share of nodes that makes
     the mean 1 / threshold. Both are hashes of the node, so all its documents choose alike."""
     extra = int((1 / threshold - 1) * 10_000)
     first = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(TOKENS))
-    second = F.when(F.pmod(F.xxhash64("node", F.lit(2)), F.lit(10_000)) < extra, F.pmod(F.xxhash64("node", F.lit(3)), F.lit(TOKENS)))
+    second = F.when(F.pmod(F.xxhash64("node", F.lit(2)), F.lit(10_000)) < extra, F.pmod(F.lit(1) + first + F.pmod(F.xxhash64("node", F.lit(3)), F.lit(TOKENS - 1)), F.lit(TOKENS)))
     at = F.explode(F.array_compact(F.array(first, second)))
     return rows.select("doc", "sig", "bits", "node", at.alias("at")).select(
         "doc", "sig", "bits", F.xxhash64("node", "at", F.expr("substring(sig, cast(2 * at + 1 as int), 2)")).alias("node"))
@@ -140,18 +140,65 @@ def _packed(items: Iterator[tuple], kinds: tuple, names: list[str], size: int =
     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) if rows else [[]] * len(kinds), kinds)], names=names)
 
 
+def _likely(sig: np.ndarray, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, others) for each row of byte tokens with later rows that agree with it on a share of `least` or more.
+
+    A product of signs, one bit of each token, first leaves the pairs that may; where tokens differ, their signs agree
+    by chance with a standard error below 1/32, so what it drops is more than six of these away.
+    """
+    n, tokens = sig.shape
+    signs = (sig & 1).astype(np.float32) * 2 - 1
+    for lo in range(0, n, 256):
+        near = signs[lo : lo + 256] @ signs[lo:].T >= (least - 0.2) * tokens
+        a, b = np.nonzero(np.triu(near, 1))
+        ok = np.zeros(len(a), bool)
+        for at in range(0, len(a), 65_536):
+            same = sig[lo + a[at : at + 65_536]] == sig[lo + b[at : at + 65_536]]
+            # Bytes add up in lanes of a word, 32 at most in each.
+            ok[at : at + 65_536] = same.view(np.uint64).sum(axis=1).view(np.uint8).reshape(-1, 8).sum(axis=1) >= least * tokens
+        a, b = a[ok], b[ok]
+        cuts = np.flatnonzero(np.diff(a)) + 1
+        for rows, others in zip(np.split(a, cuts), np.split(b, cuts)):
+            if len(rows):
+                yield lo + int(rows[0]), lo + others
+
+
+def _tokens(rows: list[tuple]) -> np.ndarray:
+    return np.frombuffer(b"".join(r[-1] for r in rows), np.uint8).reshape(len(rows), -1)
+
+
+def _parted(least: float):
+    """Of each group (g, doc, bytes) the components (g, doc, n), n documents each, that its likely pairs make."""
+    def parts(groups: Iterator[list[tuple]]) -> Iterator[tuple]:
+        for g in groups:
+            label = np.arange(len(g))
+            for i, others in _likely(_tokens(g), least):
+                joined = np.unique(label[others])
+                if len(joined) > 1 or joined[0] != label[i]:
+                    label[np.isin(label, joined)] = label[i]
+            _, label, n = np.unique(label, return_inverse=True, return_counts=True)
+            name = [xxhash.xxh3_64_intdigest(struct.pack("<qq", g[0][0], c)) - (1 << 63) for c in range(len(n))]
+            for row, c in zip(g, label.tolist()):
+                if n[c] > 1:
+                    yield name[c], row[1], int(n[c])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _packed(parts(_by_group(batches)), (pa.int64(), pa.int64(), pa.int64()), ["g", "doc", "n"])
+
+    return run
+
+
 def _partnered(least: float):
     """Of each group (g, doc, comp, ask, bytes), the members with a partner: another component, one of the two asks,
     and an estimate of `least` or more."""
     def members(groups: Iterator[list[tuple]]) -> Iterator[tuple]:
         for g in groups:
             comp, ask = (np.array([r[i] for r in g]) for i in (2, 3))
-            sig = np.frombuffer(b"".join(r[4] for r in g), np.uint8).reshape(len(g), -1)
             found = np.zeros(len(g), bool)
-            for i in range(len(g) - 1):
-                ok = ((sig[i + 1 :] == sig[i]).mean(axis=1) >= least) & (comp[i + 1 :] != comp[i]) & (ask[i + 1 :] | ask[i])
-                found[i] |= ok.any()
-                found[i + 1 :] |= ok
+            for i, others in _likely(_tokens(g), least):
+                others = others[(comp[others] != comp[i]) & (ask[others] | ask[i])]
+                found[i] |= len(others) > 0
+                found[others] = True
             for i in np.flatnonzero(found).tolist():
                 yield g[i][:4]
 
@@ -202,25 +249,36 @@ def _linked(k: int, percent: int):
     return run
 
 
-def _links(groups: DataFrame, reps: DataFrame, docs: DataFrame, folder: str, k: int, percent: int, least: float) -> DataFrame:
-    """Confirmed links (a, b) that join the components of each group (g, doc, comp, ask) as all its links would.
-
-    Signatures first leave only members with a likely partner, then equal groups count once, then the texts of the
-    rest travel, once for each group that a document is in; pairs never travel.
-    """
-    n = shuffle_partitions(groups.sparkSession)
+def _by_node(groups: DataFrame, reps: DataFrame, *columns: str) -> DataFrame:
+    """The members of each group together, with their byte tokens. No number of partitions is given, so that adaptive
+    execution joins small ones."""
     estimates = reps.select("doc", F.expr(f"substring(sig, {2 * TOKENS + 1}, {TOKENS})").alias("bytes"))
-    dealt = groups.join(estimates, "doc").select("g", "doc", "comp", "ask", "bytes").repartition(n, "g").sortWithinPartitions("g", "doc")
-    left = cut(dealt.mapInArrow(_partnered(least), "g long, doc long, comp long, ask boolean"), folder, "partnered")
-    same = left.groupBy("g").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc", "ask")).alias("x"), F.bit_xor(F.xxhash64("doc", "ask", F.lit(1))).alias("y"))
-    once = left.join(same.groupBy("n", "x", "y").agg(F.min("g").alias("g")).select("g"), "g", "left_semi")
-    ids = once.select(F.col("doc").alias("doc_id")).distinct()
+    return groups.join(estimates, "doc").select("g", "doc", *columns, "bytes").repartition("g").sortWithinPartitions("g", "doc")
+
+
+def _once(groups: DataFrame, *columns: str) -> DataFrame:
+    """Of groups with the same rows, one."""
+    same = groups.groupBy("g").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("doc", *columns)).alias("x"), F.bit_xor(F.xxhash64("doc", *columns, F.lit(1))).alias("y"))
+    return groups.join(same.groupBy("k", "x", "y").agg(F.min("g").alias("g")).select("g"), "g", "left_semi")
+
+
+def _partners(groups: DataFrame, reps: DataFrame, folder: str, least: float) -> DataFrame:
+    """The members of each group (g, doc, comp, ask) that have a likely partner, equal groups once."""
+    left = _by_node(groups, reps, "comp", "ask").mapInArrow(_partnered(least), "g long, doc long, comp long, ask boolean")
+    return _once(cut(left, folder, "partnered"), "ask")
+
+
+def _links(groups: DataFrame, docs: DataFrame, folder: str, k: int, percent: int) -> DataFrame:
+    """Confirmed links (a, b) that join the components of each group (g, doc, comp, ask) as all its links would. Texts
+    travel once for each group that a document is in; pairs never travel."""
+    groups = cut(groups, folder, "asked")
+    ids = groups.select(F.col("doc").alias("doc_id")).distinct()
     texts = only_ids(docs.select("doc_id", "text"), ids, "doc_id", ids.count()).select(F.col("doc_id").alias("doc"), "text")
-    dealt = once.join(texts, "doc").select("g", "doc", "comp", "ask", "text").repartition(n, "g").sortWithinPartitions("g", "doc")
-    return cut(dealt.mapInArrow(_linked(k, percent), "a long, b long"), folder, "links").distinct()
+    dealt = groups.join(texts, "doc").select("g", "doc", "comp", "ask", "text").repartition("g").sortWithinPartitions("g", "doc")
+    return cut(dealt.mapInArrow(_linked(k, percent), "a long, b long"), folder, "links")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, trees: int = 10, node_limit: int = 400,
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, trees: int = 10, node_limit: int = 4000, group_limit: int = 400,
                     depths: tuple[int, int] = (2, 12), slack: float = 0.10, deep_trees: int = 18) -> DataFrame:
     """One row per document id: doc_id, n_shingles, rep (smallest id with the same set), component_id, kept.
 
@@ -232,8 +290,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, trees: int =
     with the smallest of their texts; rows without a doc_id are left out. An empty table gives an empty result.
 
     Nodes are first compared at depth depths[0], where a token shared by chance or by one common passage is not
-    enough; large nodes branch on, unless their members agree on DENSE of their tokens in the mean, down to depths[1].
-    Members of nodes that branch on at depth depths[0] + 1 go through deep_trees further trees among themselves. Recall: given that a pair
+    enough. Up to node_limit members meet on signatures in one task (3 MB); larger nodes branch on, unless their members
+    agree on DENSE of their tokens in the mean, down to depths[1]. Members of nodes that branch on at depth depths[0] + 1
+    go through deep_trees further trees among themselves. No more than group_limit documents meet on their full sets in
+    one task. Recall: given that a pair
     agrees on m of the 256 tokens, trees miss it independently, so its miss is the mean over the binomial m of (1 -
     survival) ** trees. At the threshold of 0.85 (0.80) 10 trees miss 8e-7 (5e-6) at depth 2 and 1.4e-5 (6e-5) at depth
     3; 28 trees miss 3e-8 (4e-7) at depth 6, 1e-6 (1e-5) at depth 8 and 6e-5 (3e-4) at depth 12. Dense
@@ -252,7 +312,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, trees: int =
         sketch = cut(docs.mapInArrow(_sketch(k), SKETCH), folder, "sketch-of-ids")
     one = sketch.select("doc_id", "digest", "n_shingles")
     reps = cut(sketch.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig"), F.first("bits").alias("bits")), folder, "reps")
-    links = _tree_links(reps, docs, folder, k, percent, threshold, least, (trees, deep_trees), node_limit, depths)
+    links = _tree_links(reps, docs, folder, k, percent, threshold, least, (trees, deep_trees), node_limit, group_limit, depths)
     comps = connected_components(links, f"{folder}/final")
     classes = reps.select("digest", F.col("doc").alias("rep")).join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     classes = classes.select("digest", "rep", F.coalesce("component", "rep").alias("component"))
@@ -278,7 +338,7 @@ def _descend(reps: DataFrame, folder: str, trees: range, threshold: float, limit
     members = _branch(members, threshold).drop("sig")
     groups, heavy, deep = [], [], None
     for depth in range(depths[0], depths[1] + 1):
-        members = cut(members.distinct(), folder, f"depth-{depth}")
+        members = cut(members, folder, f"depth-{depth}")
         nodes = members.groupBy("node").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc")).alias("x"),
                                             F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("y")).filter("n > 1")
         nodes = cut(nodes, folder, f"nodes-{depth}")
@@ -304,16 +364,21 @@ def _descend(reps: DataFrame, folder: str, trees: range, threshold: float, limit
     return groups, heavy, deep
 
 
-def _tree_links(reps, docs, folder, k, percent, threshold, least, trees, limit, depths) -> DataFrame:
-    groups, heavy, deep = _descend(reps, folder, range(trees[0]), threshold, limit, depths)
+def _tree_links(reps, docs, folder, k, percent, threshold, least, trees, node_limit, limit, depths) -> DataFrame:
+    groups, heavy, deep = _descend(reps, folder, range(trees[0]), threshold, node_limit, depths)
     if deep is not None and trees[1]:
         # A pair of two such documents may have been lost further down; any other pair is settled by the first trees.
         some = cut(reps.join(deep, "doc", "left_semi"), folder, "deep")
-        more, dense, _ = _descend(some, f"{folder}/deeper", range(trees[0], sum(trees)), threshold, limit, depths)
+        more, dense, _ = _descend(some, f"{folder}/deeper", range(trees[0], sum(trees)), threshold, node_limit, depths)
         groups, heavy = groups + more, heavy + dense
-    every = reduce(DataFrame.unionByName, groups).select("g", "doc")
-    if heavy:
-        heavy = cut(reduce(DataFrame.unionByName, heavy), folder, "heavy")
+    # Nodes fall apart into the components of their likely pairs. Those of bounded size are settled at once; larger
+    # ones, like nodes that could not be compared, within blocks.
+    every = _by_node(reduce(DataFrame.unionByName, groups).select("g", "doc"), reps)
+    parts = cut(_once(cut(every.mapInArrow(_parted(least), "g long, doc long, n long"), folder, "parts")), folder, "groups")
+    asked = parts.filter(F.col("n") <= limit).select("g", "doc", F.col("doc").alias("comp"), F.lit(True).alias("ask"))
+    crowds = parts.filter(F.col("n") > limit)
+    if heavy or not crowds.isEmpty():
+        heavy = cut(reduce(DataFrame.unionByName, [*heavy, crowds]), folder, "heavy")
         # Large nodes of different trees hold much the same documents. Each document is at home in the largest of its
         # nodes and is settled there first.
         home = heavy.groupBy("doc").agg(F.max(F.struct("n", "g"))["g"].alias("home"))
@@ -323,12 +388,12 @@ def _tree_links(reps, docs, folder, k, percent, threshold, least, trees, limit,
     def blocks(turn: int) -> F.Column:
         return F.xxhash64("g", F.lit(turn), F.pmod(F.xxhash64("doc", F.lit(turn)), F.ceil(F.col("n") / limit))).alias("g")
 
-    # Small nodes are settled at once, large ones within blocks; then blocks are dealt anew among nodes that still
-    # hold several components, and at last what lies outside a node's largest component, or its members' commonest
-    # home, meets all of the node.
+    # Blocks are settled first; then they are dealt anew among nodes that still hold several components, and at last
+    # what lies outside a node's largest component, or its members' commonest home, meets all of the node.
     if heavy:
-        every = every.unionByName(at_home.select(blocks(0), "doc"))
-    links = _links(cut(every, folder, "groups").select("g", "doc", F.col("doc").alias("comp"), F.lit(True).alias("ask")), reps, docs, f"{folder}/turn-0", k, percent, least)
+        first = at_home.select(blocks(0), "doc", F.col("doc").alias("comp"), F.lit(True).alias("ask"))
+        asked = asked.unionByName(_partners(first, reps, f"{folder}/turn-0", least))
+    links = _links(asked, docs, f"{folder}/turn-0", k, percent)
     for turn, rows in ((1, at_home), (2, heavy)) if heavy else ():
         comps = connected_components(links, f"{folder}/components-{turn}").withColumnRenamed("node", "doc")
         now = rows.join(comps, "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
@@ -337,7 +402,8 @@ def _tree_links(reps, docs, folder, k, percent, threshold, least, trees, limit,
         if now.isEmpty():
             continue
         dealt = _minority(now, limit) if turn == 2 else now.select(blocks(turn), "doc", "comp", F.lit(True).alias("ask"))
-        links = links.unionByName(_links(dealt, reps, docs, f"{folder}/turn-{turn}", k, percent, least))
+        asked = _partners(dealt, reps, f"{folder}/turn-{turn}", least)
+        links = links.unionByName(_links(asked, docs, f"{folder}/turn-{turn}", k, percent))
     return links
 
 

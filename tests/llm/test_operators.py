@@ -10,7 +10,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tessaria.llm import decontaminate, html_text, mixing, near_dedup, quality_rules, secrets, substring_dedup, token_counts, toxicity, warc
+from tessaria.llm import decontaminate, graph, html_text, mixing, near_dedup, quality_rules, secrets, substring_dedup, token_counts, toxicity, warc
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -79,13 +79,22 @@ def brute_near(rows):
     return {(d, len(s[d]), c[d], c[d] == d) for d in s}
 
 
-@pytest.mark.parametrize("limit", [400, 3])
-def test_near_duplicates(docs, rows, limit):
-    # A node limit of 3 sends even small groups through blocks and minority comparison.
-    got = near_dedup.near_duplicates(docs, node_limit=limit, trees=10)
+@pytest.mark.parametrize("nodes, groups", [(4000, 400), (4000, 3), (3, 3)])
+def test_near_duplicates(docs, rows, nodes, groups):
+    # A node limit of 3 makes even small nodes branch on; a group limit of 3 sends small groups through blocks and
+    # minority comparison.
+    got = near_dedup.near_duplicates(docs, node_limit=nodes, group_limit=groups)
     assert {tuple(r) for r in got.select("doc_id", "n_shingles", "component_id", "kept").collect()} == brute_near(rows)
 
 
+def test_components_of_edges_in_several_partitions(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(graph, "EDGES", 5)
+    links = [(i, i + 1) for i in range(100, 160)] + [(7, 3), (3, 7), (3, 3), (None, 4), (9, 9)]
+    got = graph.connected_components(spark.createDataFrame(links, "a long, b long").repartition(9), str(tmp_path / "c"))
+    assert {tuple(r) for r in got.collect()} == {(i, 100) for i in range(100, 161)} | {(3, 3), (7, 3)}
+    assert graph.connected_components(spark.createDataFrame([], "a long, b long"), str(tmp_path / "d")).count() == 0
+
+
 def test_near_duplicates_odd_rows(spark, nothing):
     assert near_dedup.near_duplicates(nothing).count() == 0
     d = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a b"), (2, "A  B"), (3, None)], "doc_id long, text string")
