@@ -1,8 +1,8 @@
 """The queries of this subpackage and, where SQL can say the same, their SQL."""
 
-from . import decontaminate, html_text, mixing, near_dedup, quality_rules, secrets, substring_dedup, token_counts, toxicity, warc
+from . import alignment, decontaminate, html_text, mixing, near_dedup, quality_rules, secrets, substring_dedup, token_counts, toxicity, url_filters, warc, whitening
 
-_MODULES = [near_dedup, token_counts, decontaminate, warc, substring_dedup, secrets, html_text, toxicity, quality_rules, mixing]
+_MODULES = [near_dedup, token_counts, decontaminate, warc, substring_dedup, secrets, html_text, toxicity, quality_rules, mixing, alignment, whitening, url_filters]
 
 
 def queries() -> dict:
