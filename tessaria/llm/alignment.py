@@ -35,7 +35,7 @@ _AFTER = re.compile(f"(?<=[^{SPACE}])[{SPACE}]")
 #: A pair of ids is a * PAIR + b.
 PAIR = 1 << 32
 #: Code points of a block, segments that a worker remembers for long, and the longest one that it does.
-BLOCK_CHARS, KNOWN, KNOWN_CHARS = 2_000_000, 200_000, 64
+BLOCK_CHARS, KNOWN, KNOWN_CHARS = 1_000_000, 80_000, 64
 #: A group with more links than this is expanded from its distinct ids.
 LARGE_GROUP = 4096
 
@@ -77,7 +77,7 @@ class Tokenizers:
         self.apart = byte_level.get("type") == "ByteLevel" and byte_level.get("use_regex", True) and not any("\n" in p for p in kept)
 
     def ids_a(self, texts: list[str]) -> list[list[int]]:
-        some = (self.a.encode_batch_fast(texts[k : k + 2000], add_special_tokens=False) for k in range(0, len(texts), 2000))
+        some = (self.a.encode_batch_fast(texts[k : k + 500], add_special_tokens=False) for k in range(0, len(texts), 500))
         return [e.ids for x in some for e in x]
 
     def ids_b(self, segments: list[str]) -> list[list[int]]:
