@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import dedup as D
+from ..operators import similarity as S
+from ..operators.duplicate_index import DuplicateIndex
+from ..sources.shared import cut, shared_dir
 from .base import Book, derived, table
 
 BOOK = Book()
@@ -32,6 +35,14 @@ def _weighted(s, d, name="documents"):
     return n, g, D.frequency_weights(g, n), D.unseen_weight(n)
 
 
+def _sets(s, d):
+    """(doc_id, body, grams, minima) of documents, written once; the rows of it that stand for their copies; and how many documents there are."""
+    p = _profile(s, d).select("doc_id", "text_hash", S.gram_ids(F.col("body")).alias("grams"))
+    p = cut(p.withColumn("minima", S.minima("grams")), shared_dir(s, "sets"), "sets")
+    first = p.groupBy("text_hash").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    return p, p.join(first.select("doc_id", "copies"), "doc_id"), p.count()
+
+
 @BOOK.add("dup_1_profiles", _DOCS + _PROFILE + " select doc_id, sha256(body) as text_hash, length(array_to_string(p, ''))::bigint as characters, len(p)::int as n_paragraphs from pb")
 def _(s, d):
     return _profile(s, d).select("doc_id", "text_hash", "characters", F.size("paragraphs").alias("n_paragraphs"))
@@ -44,9 +55,8 @@ def _(s, d):
 
 @BOOK.add("dup_3_frequency_weights", _DOCS + _WEIGHTS + " select df::bigint as df, count(*)::bigint as grams, round(max(weight), 6)::double as weight from w group by df")
 def _(s, d):
-    n, g, w, _ = _weighted(s, d)
-    df = g.groupBy("gram").agg(F.count("*").alias("df")).join(w, "gram")
-    return df.groupBy("df").agg(F.count("*").alias("grams"), F.round(F.max("weight"), 6).alias("weight"))
+    p = _profile(s, d).select("doc_id", S.gram_ids(F.col("body")).alias("grams"))
+    return S.gram_weights(p, table(s, d, "documents").count()).groupBy("df").agg(F.count("*").alias("grams"), F.round(F.max("weight"), 6).alias("weight"))
 
 
 _SIG_COLS = ", ".join(f"min((v * {a} + {b}) % {D.PRIME}) as s{i}" for i, (a, b) in enumerate(D.permutations(64)))
@@ -58,39 +68,49 @@ def _bands_sql(rows: int) -> str:
 
 
 def _sig(s, d):
-    return D.signatures(D.hashed(D.grams(_profile(s, d))), ["doc_id"])
+    return _profile(s, d).select("doc_id", S.minima(S.gram_ids(F.col("body"))).alias("m"))
 
 
 @BOOK.add("dup_6_minhash", _DOCS + _SIGS + " select doc_id, s0, s1, s31, s63 from sg")
 def _(s, d):
-    return _sig(s, d).select("doc_id", "s0", "s1", "s31", "s63")
+    return _sig(s, d).select("doc_id", *(F.get("m", F.lit(i)).alias(f"s{i}") for i in (0, 1, 31, 63)))
 
 
 @BOOK.add("dup_7_lsh_bands", _DOCS + _SIGS + _bands_sql(2) + " select band, count(distinct bucket)::bigint as buckets, count(*)::bigint as docs from bk group by band")
 def _(s, d):
-    return D.bands(_sig(s, d), ["doc_id"]).groupBy("band").agg(F.countDistinct("bucket").alias("buckets"), F.count("*").alias("docs"))
+    b = _sig(s, d).select("doc_id", F.explode(S.buckets(F.col("m"))).alias("x")).select("doc_id", "x.band", "x.bucket")
+    return b.groupBy("band").agg(F.countDistinct("bucket").alias("buckets"), F.count("*").alias("docs"))
 
 
-@BOOK.add("dup_12_fast_candidates", _DOCS + _SIGS + _bands_sql(4) + " select distinct x.doc_id as a, y.doc_id as b from bk x join bk y using (band, bucket) where x.doc_id < y.doc_id")
-def _(s, d):
-    b = D.bands(_sig(s, d), ["doc_id"], rows=4)
+_REPS = ", rp as (select min(doc_id) as doc_id, count(*) as copies from pb group by body)"
+_CANDIDATES = _REPS + _bands_sql(2) + ", rb as (select b.* from bk b join rp using (doc_id)), c as (select distinct x.doc_id as a, y.doc_id as b from rb x join rb y using (band, bucket) where x.doc_id < y.doc_id)"
+
+
+def _candidates(reps):
+    """Pairs (a < b) of documents that stand for their copies and share a bucket."""
+    b = reps.select("doc_id", F.explode(S.buckets(F.col("minima"))).alias("x")).select("doc_id", "x.band", "x.bucket")
     return D.fast_candidates(b, b).filter("a < b")
 
 
-_SCORED = """, sh as (select c.a, c.b, sum(w.weight) as s from c join g x on x.doc_id = c.a join g y on y.doc_id = c.b and y.gram = x.gram join w on w.gram = x.gram group by c.a, c.b),
-sc as (select c.a, c.b, coalesce(s, 0) / greatest(1e-12, ta.total + tb.total - coalesce(s, 0)) as similarity from c left join sh using (a, b) join tot ta on ta.doc_id = c.a join tot tb on tb.doc_id = c.b)"""
+@BOOK.add("dup_12_fast_candidates", _DOCS + _SIGS + _CANDIDATES + " select a, b, x.copies::bigint as copies_a, y.copies::bigint as copies_b from c join rp x on x.doc_id = a join rp y on y.doc_id = b")
+def _(s, d):
+    _, reps, _ = _sets(s, d)
+    side = lambda x: reps.select(F.col("doc_id").alias(x), F.col("copies").alias(f"copies_{x}"))
+    return _candidates(reps).join(side("a"), "a").join(side("b"), "b").select("a", "b", "copies_a", "copies_b")
 
 
-def _candidates(s, d):
-    b = D.bands(_sig(s, d), ["doc_id"], rows=4)
-    return D.fast_candidates(b, b).filter("a < b")
+_SCORED = """, sh as (select c.a, c.b, sum(w.weight) as s from c join g x on x.doc_id = c.a join g y on y.doc_id = c.b and y.gram = x.gram join w on w.gram = x.gram group by c.a, c.b),
+sc as (select c.a, c.b, coalesce(s, 0) / greatest(1e-12, ta.total + tb.total - coalesce(s, 0)) as similarity from c left join sh using (a, b) join tot ta on ta.doc_id = c.a join tot tb on tb.doc_id = c.b)"""
 
 
-@BOOK.add("dup_4_weighted_jaccard", _DOCS + _WEIGHTS + f", v as (select doc_id, ('0x' || substr(sha256(gram), 1, 8))::bigint as v from g), sg as (select doc_id, {_SIG_COLS} from v group by doc_id)" + _bands_sql(4)
-          + ", c as (select distinct x.doc_id as a, y.doc_id as b from bk x join bk y using (band, bucket) where x.doc_id < y.doc_id)" + _SCORED + " select a, b, round(similarity, 6) as similarity from sc")
+@BOOK.add("dup_4_weighted_jaccard", _DOCS + _WEIGHTS + f", v as (select doc_id, ('0x' || substr(sha256(gram), 1, 8))::bigint as v from g), sg as (select doc_id, {_SIG_COLS} from v group by doc_id)"
+          + _CANDIDATES + _SCORED + " select a, b, round(similarity, 6) as similarity from sc")
 def scored_candidates(s, d):
-    _, g, w, u = _weighted(s, d)
-    return D.scores(_candidates(s, d), g, w, u).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    p, reps, n = _sets(s, d)
+    pairs = cut(_candidates(reps), shared_dir(s, "pairs"), "pairs")
+    asked = p.join(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi")
+    w = cut(S.weighted_sets(asked, S.gram_weights(p, n), S.unseen_weight(n)), shared_dir(s, "weighted"), "sets")
+    return S.scored(pairs, w, w).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @BOOK.add("dup_5_exact_hash", _DOCS + _PROFILE + ", h as (select doc_id, sha256(body) as h from pb) select doc_id, min(doc_id) over (partition by h) as first_doc, count(*) over (partition by h)::bigint as copies from h")
@@ -108,23 +128,35 @@ def _(s, d):
     return D.scopes(g, w, u).groupBy("scope").agg(F.countDistinct("doc_id").alias("docs"), F.count("*").alias("grams"))
 
 
-@BOOK.add("dup_9_weight_generation", _DOCS + _WEIGHTS + " select 'g1' as model_id, count(*)::bigint as grams, round(sum(weight), 3) as total, round(0.1 + ln(max((select n from nd)) + 1), 6) as unseen from w")
+def _reports(s, d):
+    return table(s, d, "documents").select("doc_id", "text", F.col("source").alias("company"))
+
+
+@BOOK.add("dup_9_weight_generation", _DOCS + _WEIGHTS + " select 'generation-0' as model_id, count(*)::bigint as grams, round(sum(weight), 3) as total, round(0.1 + ln(max((select n from nd)) + 1), 6) as unseen from w")
 def _(s, d):
-    n, _, w, u = _weighted(s, d)
-    return w.agg(F.count("*").alias("grams"), F.round(F.sum("weight"), 3).alias("total")).select(F.lit("g1").alias("model_id"), "grams", "total", F.round(u, 6).alias("unseen"))
+    index = DuplicateIndex(s, shared_dir(s, "index"))
+    index.ensure(_reports(s, d))
+    at = index.active()
+    return index.weights(at).agg(F.count("*").alias("grams"), F.round(F.sum("weight"), 3).alias("total")).select(F.lit(at.generation).alias("model_id"), "grams", "total", F.lit(round(at.unseen, 6)).alias("unseen"))
 
 
-@BOOK.add("dup_10_incremental_index", "select doc_id from documents where doc_id % 3 = 0")
+@BOOK.add("dup_10_incremental_index", """with n as (select count(*) as n, count(*) filter (doc_id % 3 <> 0) as early, count(*) filter (doc_id % 50 = 7) as edited from documents)
+select * from (select 1 as call, 'generation-0' as generation, early::bigint as written, early::bigint as indexed from n union all select 2, 'generation-0', (n - early)::bigint, n::bigint from n
+union all select 3, 'generation-0', 0::bigint, n::bigint from n union all select 4, 'generation-0', edited::bigint, n::bigint from n union all select 5, 'generation-1', n::bigint, n::bigint from n)""")
 def _(s, d):
-    now = table(s, d, "documents").select("doc_id", F.sha2("text", 256).alias("fingerprint"), F.lit(1).alias("version"))
-    state = now.withColumn("fingerprint", F.when(F.col("doc_id") % 3 == 0, "old").otherwise(F.col("fingerprint")))
-    return D.changed(now, state, ["doc_id", "fingerprint", "version"]).select("doc_id")
+    """Documents arrive in two calls, come again unchanged, then some with an edited text, and last the weights are refreshed."""
+    index, docs, rows = DuplicateIndex(s, shared_dir(s, "index")), _reports(s, d), []
+    edited = docs.withColumn("text", F.when(F.col("doc_id") % 50 == 7, F.concat("text", F.lit("\nedited line"))).otherwise(F.col("text")))
+    for call, (now, refresh) in enumerate([(docs.filter("doc_id % 3 <> 0"), False), (docs, False), (docs, False), (edited, False), (edited, True)], 1):
+        done = index.ensure(now, refresh)
+        rows.append((call, done.generation, done.written, index.documents().count()))
+    return s.createDataFrame(rows, "call int, generation string, written long, indexed long")
 
 
-@BOOK.add("dup_11_exact_route", """with h as (select doc_id, sha256(lower(regexp_replace(text, '\\s+', '', 'g'))) as h from documents), f as (select h, min(doc_id) as b from h group by h)
-select count(*) filter (doc_id <> b)::bigint as settled, count(*) filter (doc_id = b)::bigint as rest from h join f using (h)""")
+@BOOK.add("dup_11_exact_route", _DOCS + _PROFILE + """, f as (select body, min(doc_id) as b from pb group by body)
+select count(*) filter (doc_id <> b)::bigint as settled, count(*) filter (doc_id = b)::bigint as rest from pb join f using (body)""")
 def _(s, d):
-    h = table(s, d, "documents").select("doc_id", F.sha2(F.lower(F.regexp_replace("text", r"\s+", "")), 256).alias("hash"))
+    h = _profile(s, d).select("doc_id", F.col("text_hash").alias("hash"))
     first = h.groupBy("hash").agg(F.min("doc_id").alias("doc_id"))
     hit, rest = D.exact_route(h, first)
     return hit.agg(F.count("*").alias("settled")).join(rest.agg(F.count("*").alias("rest")))
@@ -147,10 +179,33 @@ def _(s, d):
     return _strict(s, d).groupBy("a").agg(F.count("*").alias("compared"), F.round(F.max("similarity"), 6).alias("best"))
 
 
-@BOOK.add("dup_14_scored_matches", _STRICT + " select a, b, round(100 * similarity, 2) as percent from sc where round(100 * similarity, 2) >= 20")
+_ALL_PAIRS = """, rp as (select min(doc_id) as doc_id from pb group by body), rg as (select g.* from g join rp using (doc_id)),
+sh as (select x.doc_id as a, y.doc_id as b, sum(weight) as s from rg x join rg y using (gram) join w using (gram) where x.doc_id < y.doc_id group by 1, 2),
+sc as (select a, b, s / greatest(1e-12, ta.total + tb.total - s) as similarity from sh join tot ta on ta.doc_id = a join tot tb on tb.doc_id = b)"""
+
+
+@BOOK.add("dup_13_over_threshold", _DOCS + _WEIGHTS + _ALL_PAIRS + " select a, b, round(similarity, 6) as similarity from sc where similarity >= 0.9")
 def _(s, d):
-    none = s.createDataFrame([], "a long, b long")
-    return D.matches(_strict(s, d), none, none, 20.0).select("a", "b", "percent")
+    """All pairs of different texts at 90 percent or more, from the heaviest grams of each; copies are held by the smallest id."""
+    p, reps, n = _sets(s, d)
+    w = cut(S.weighted_sets(reps, S.gram_weights(p, n), S.unseen_weight(n)), shared_dir(s, "weighted"), "sets")
+    pairs = S.over_threshold(w, w, 0.9).filter("a < b")
+    return S.scored(pairs, w, w).filter("similarity >= 0.9").select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@BOOK.add("dup_14_scored_matches", _DOCS + _WEIGHTS + _ALL_PAIRS + r""", de as (select pb.doc_id, body, source as company from pb join documents using (doc_id)),
+cl as (select body, company, min(doc_id) as lo, max(doc_id) as hi, count(*) as copies from de group by 1, 2),
+ex as (select d.doc_id, case when lo <> d.doc_id then lo when hi <> d.doc_id then hi end as other, copies, d.company = cl.company as same_company from de d join cl using (body)),
+st as (select * from ex where other is not null),
+tw as (select a, b, similarity from sc union all select b, a, similarity from sc),
+fi as (select body, min(doc_id) as rep from pb group by body),
+ne as (select d.doc_id, cl.lo as other, cl.copies, d.company = cl.company as same_company, similarity from de d join fi fa on fa.body = d.body join tw on tw.a = fa.rep join fi fb on fb.rep = tw.b join cl on cl.body = fb.body where similarity >= 0.9 and d.doc_id not in (select doc_id from st)),
+al as (select doc_id, other, 100.0::double as similarity, copies, true as exact, same_company from st union all select doc_id, other, round(100 * similarity, 2), copies, false, same_company from ne)
+select doc_id, other, similarity, copies::bigint as copies, exact, same_company, row_number() over (partition by doc_id order by exact desc, similarity desc, other)::int as rank from al""")
+def _(s, d):
+    index = DuplicateIndex(s, shared_dir(s, "index"))
+    index.ensure(_reports(s, d))
+    return index.check(_reports(s, d), 90.0, "strict").select("doc_id", "other", "similarity", "copies", "exact", "same_company", "rank")
 
 
 @BOOK.add("dup_15_corpus_compare", _STRICT + " select b, count(*) filter (similarity >= 0.05)::bigint as close, round(avg(similarity), 6) as mean from sc group by b")
@@ -168,6 +223,18 @@ def _(s, d):
     return out.select("a", "b", F.size("only_a").alias("only_a"))
 
 
+@BOOK.add("dup_16_ordered_differences", _DOCS + _PROFILE + r""", e as (select doc_id, p, len(p) as n, len(list_distinct(p)) = 1 as same from pb)
+select doc_id, case when n = 0 then [] when same then [p[1][1:450]] else [p[1][1:450], ''] end as before,
+       case when n = 0 then ['note' || doc_id] when same then ['note' || doc_id] else ['', 'note' || doc_id] end as after from e where n <> 0
+union all select doc_id, [''], ['note' || doc_id] from e where n = 0""")
+def _(s, d):
+    """Each document against itself without its first paragraph and with a note at its end."""
+    p = _profile(s, d).select("doc_id", "paragraphs")
+    now = F.when(F.size("paragraphs") > 0, F.slice("paragraphs", F.lit(2), F.greatest(F.size("paragraphs") - 1, F.lit(0)))).otherwise(F.col("paragraphs"))
+    x = S.ordered_differences(F.col("paragraphs"), F.array_append(now, F.concat(F.lit("note"), F.col("doc_id").cast("string"))))
+    return p.select("doc_id", x.alias("x")).select("doc_id", F.transform("x", lambda y: y["before"]).alias("before"), F.transform("x", lambda y: y["after"]).alias("after"))
+
+
 @BOOK.add("dup_17_name_conflict", r"""with n as (select doc_id, source as company_key, lower(regexp_replace(split_part(text, chr(10), 1), '\s+', '', 'g')) as title_key from documents),
 r as (select doc_id from labels where toxic = 1) select n.doc_id, min(o.doc_id) as other, count(*)::bigint as conflicts from n join n o using (company_key, title_key) where n.doc_id <> o.doc_id and o.doc_id not in (select doc_id from r) group by n.doc_id""")
 def _(s, d):

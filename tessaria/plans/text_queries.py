@@ -197,11 +197,13 @@ def _(s, d):
 
 
 @BOOK.add("txt_25_sanitise", r"""
-select doc_id, sha256(trim(regexp_replace(replace(t, 'idiot', '[removed]'), '\n{3,}', chr(10) || chr(10), 'g'))) as digest
-from (select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(array_to_string(list_filter(string_split(text, chr(10)), lambda x: not regexp_matches(x, '(?i)licen[sc]e')), chr(10)),
-  '(?s)\$\$(.+?)\$\$', '\1', 'g'), '\$([^$\n]*[\\^_=][^$\n]*)\$', '\1', 'g'), '\$([A-Za-z][^$ \t\r\n]{0,20})\$', '\1', 'g'), '\\[()\[\]]', '', 'g'), '\\([A-Za-z]+)', '\1', 'g') as t from documents)""")
+select doc_id, sha256(trim(regexp_replace(replace(t || chr(10) || '((' || doc_id || ') ÷ (n_2)) ÷ (√(b)) costs $' || doc_id || ', not $9.', 'idiot', '[removed]'), '\n{3,}', chr(10) || chr(10), 'g'))) as digest
+from (select doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: not regexp_matches(x, '(?i)licen[sc]e')), chr(10)) as t from documents)""")
 def _(s, d):
-    return table(s, d, "documents").select("doc_id", F.sha2(T.sanitised(F.col("text"), [r"(?i)licen[sc]e"], {"idiot": "[removed]"}), 256).alias("digest"))
+    # Documents hold no formula; each gets one, and two prices.
+    i = F.col("doc_id").cast("string")
+    made = F.concat(F.col("text"), F.lit("\n" + r"\[ \frac{\frac{\text{"), i, F.lit(r"}}{n_{2}}}{\sqrt{b}} \] costs $"), i, F.lit(", not $9."))
+    return table(s, d, "documents").select("doc_id", F.sha2(T.sanitised(made, [r"(?i)licen[sc]e"], {"idiot": "[removed]"}), 256).alias("digest"))
 
 
 @BOOK.add("txt_26_citations", """

@@ -70,6 +70,19 @@ def test_math_text_keeps_currency(spark):
         r"$$\frac{\text{a}}{b}$$ and $x_1 = 2$": "(a) ÷ (b) and x_1 = 2",
         r"\(x^{2}\) or \[y^{a+b}\] of $V$": "x^2 or y^(a+b) of V",
         r"\begin{aligned}\sqrt{\frac{a}{b}} \cdot \sum x \\ \unknown\end{aligned}": "√((a) ÷ (b)) × 求和 x \n unknown",
+        "It cost $100 (fee = 2%), later $90.": "It cost $100 (fee = 2%), later $90.",
+        "pay $5 for file_a or $6 for file_b": "pay $5 for file_a or $6 for file_b",
+        "海外报价为$100/台，公式为 $收入/销量$。": "海外报价为$100/台，公式为 收入/销量。",
+        "$a + b$ and $2x + 1$, a &= b, R&D": "a + b and 2x + 1, a = b, R&D",
+        "$x$ costs $3, a run $$$ of three $$$ stays, so does \\$ and $ alone": "x costs $3, a run $$$ of three $$$ stays, so does $ and $ alone",
+        "\\[\n\\Delta \\text{Profit} = \\Delta \\text{Price} \\times \\text{Quantity Sold}\n\\]\n其中，\\(\\Delta \\text{Price}\\) 是变动量。": "Δ Profit = Δ Price × Quantity Sold\n其中，Δ Price 是变动量。",
+        r"\[ TAM = \sum (需求 \times (1 + 增长率)^n) \]": "TAM = 求和 (需求 × (1 + 增长率)^n)",
+        r"$$ CAGR=\left(\frac{V_{t}}{V_{0}}\right)^{\frac{1}{n}}-1 $$": "CAGR=((V_t) ÷ (V_0))^((1) ÷ (n))-1",
+        r"单价=\frac{\text{收入}}{\text{销量}}，阈值\geq 15\%。": "单价=(收入) ÷ (销量)，阈值≥ 15%。",
+        r"\begin{align*}a & b \\ c &= {d}\end{align*} \begin{foo}": "a   b \n c = {d} begin{foo}",
+        r"\sqrt{\text{a {b} c}} x_{i_{j}} \frac{a}b \frac {a} {b^{c}} }": "√(a {b} c) x_i_j (a)b (a) ÷ (b^c) }",
+        r"\text{never {closes": "{never {closes",
+        "\\frac{" * 3000 + "a" + "}{b}" * 3000: "(" * 3000 + "a" + ") ÷ (b)" * 3000,
         r"\frac{\frac{\frac{\frac{\frac{a}{b}}{c}}{d}}{e}}{f}": "(((((a) ÷ (b)) ÷ (c)) ÷ (d)) ÷ (e)) ÷ (f)",
     }
     rows = spark.createDataFrame(list(cases.items()), "text string, want string").select(T.plain_math(F.col("text")).alias("got"), "want", "text").collect()
