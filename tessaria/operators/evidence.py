@@ -55,10 +55,18 @@ def fingerprint(ev: DataFrame, columns=FINGERPRINTED) -> DataFrame:
     return ev.withColumn("fingerprint", F.sha2(F.concat_ws("\u001f", *(F.coalesce(c, F.lit("")) for c in columns)), 256))
 
 
-def batch_fingerprint(fingerprinted: DataFrame, keys: list[str]) -> DataFrame:
-    """EVD-4: a hash over the sorted row fingerprints of each batch, with the batch's key."""
-    rows = fingerprinted.groupBy(*keys).agg(F.array_sort(F.collect_list("fingerprint")).alias("f"))
-    return rows.select(*keys, F.sha2(F.concat_ws(",", *(F.col(k).cast("string") for k in keys), F.array_join("f", ",")), 256).alias("batch_fingerprint"))
+def batch_fingerprint(fingerprinted: DataFrame, keys: list[str], briefs: DataFrame | None = None) -> DataFrame:
+    """EVD-4: a hash of each batch over its key, its brief (briefs(keys, brief), none counts as empty) and all its row fingerprints, whatever their order.
+
+    Fingerprints are summed as four numbers of 60 bits each and counted, in partial aggregates, so no batch is gathered;
+    batches with equal rows, repeated ones as often, have equal hashes.
+    """
+    part = lambda i: F.conv(F.substring("fingerprint", 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")
+    rows = fingerprinted.groupBy(*keys).agg(F.count("*").alias("n"), *(F.sum(part(i)).alias(f"s{i}") for i in range(4)))
+    if briefs is not None:
+        rows = rows.join(briefs.select(*keys, "brief"), keys, "left")
+    brief = F.coalesce("brief", F.lit("")) if briefs is not None else F.lit("")
+    return rows.select(*keys, F.sha2(F.concat_ws(",", *(F.col(k).cast("string") for k in keys), brief, *(F.col(c).cast("string") for c in ("n", "s0", "s1", "s2", "s3"))), 256).alias("batch_fingerprint"))
 
 
 def exact_quotes(ev: DataFrame, terms: DataFrame | None = None, important: str = r"(?i)\b(?:record|first|largest|must|never)\b", most: int = 5) -> DataFrame:

@@ -183,9 +183,18 @@ def calculation_series(wide: DataFrame, keys: list[str], units: dict[str, str])
     return long.withColumn("unit", F.create_map(*(F.lit(x) for kv in units.items() for x in kv))[F.col("label")])
 
 
-def merge_provenance(series: DataFrame, signature: list[str]) -> DataFrame:
-    """SER-8: equal signatures become one row with the union of excerpts and ids, the smallest id as its id."""
-    return series.groupBy(*signature).agg(F.min("id").alias("id"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("excerpts")))).alias("excerpts"), F.array_sort(F.collect_set("id")).alias("ids"))
+def merge_provenance(series: DataFrame, signature: list[str]) -> tuple[DataFrame, DataFrame]:
+    """SER-8: (merged, members) of series (signature, id, grade, excerpts, refs). merged has a row per signature: the smallest id, the best (first)
+    grade, and how many ids, excerpts and references it joins; members has these as rows (signature, kind, value), each once. A signature of any
+    number of series is never gathered into one row. Null values are left out; null signatures are one."""
+    rows = series.select(*signature, "id", "grade", F.explode(F.concat(
+        F.array(F.struct(F.lit("id").alias("kind"), F.col("id").cast("string").alias("value"))),
+        *(F.transform(F.coalesce(c, F.expr("cast(array() as array<string>)")), lambda x, k=k: F.struct(F.lit(k).alias("kind"), x.alias("value"))) for c, k in (("excerpts", "excerpt"), ("refs", "reference"))))).alias("x"))
+    rows = rows.select(*signature, "id", "grade", "x.kind", "x.value").filter("value is not null")
+    members = rows.groupBy(*signature, "kind", "value").agg(F.min("id").alias("id"), F.min("grade").alias("grade"))
+    n = lambda k: F.count_if(F.col("kind") == k)
+    merged = members.groupBy(*signature).agg(F.min("id").alias("id"), F.min("grade").alias("grade"), n("id").alias("n_ids"), n("excerpt").alias("n_excerpts"), n("reference").alias("n_references"))
+    return merged, members.select(*signature, "kind", "value")
 
 
 def thin(candidates: DataFrame, per_chapter: int = 3) -> DataFrame:

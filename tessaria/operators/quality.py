@@ -88,9 +88,13 @@ def references(docs: DataFrame, heading: str = r"(?i)^#+\s*(?:references|sources
 
 
 def merge_sources(refs: DataFrame) -> DataFrame:
-    """QLT-8: sources by canonical URL with the references "chapter-number" to them: refs (chapter_no, number, url)."""
+    """QLT-8: refs (chapter_no, number, url) as rows (url_key, ref, cited, mentions): each reference "chapter-number" to a source once, with the number of
+    references that its source has and how often they are given. Sources are canonical URLs; one that very many chapters cite stays many rows."""
     r = refs.withColumn("url_key", T.url_for_grading(F.col("url"))).withColumn("ref", F.concat_ws("-", F.col("chapter_no").cast("string"), F.col("number").cast("string")))
-    return r.groupBy("url_key").agg(F.array_sort(F.collect_set("ref")).alias("refs"), F.count("*").alias("n"))
+    once = r.groupBy("url_key", "ref").agg(F.count("*").alias("given"))
+    per = once.groupBy("url_key").agg(F.count("*").alias("cited"), F.sum("given").alias("mentions"))
+    same = once.withColumnRenamed("url_key", "k")
+    return same.join(per, F.col("k").eqNullSafe(F.col("url_key"))).select("url_key", "ref", "cited", "mentions")
 
 
 def outline(docs: DataFrame, limit: int = 400) -> DataFrame:

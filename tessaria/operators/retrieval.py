@@ -157,21 +157,46 @@ def last_answer(turns: DataFrame) -> DataFrame:
     return t.groupBy("conv_id").agg(F.max_by(F.struct("turn", "text"), "turn").alias("x")).select("conv_id", "x.turn", "x.text")
 
 
+def pack_ranked(items: DataFrame, keys: list[str], rank: Column, budget: int) -> DataFrame:
+    """The items (keys, n, ...) of each group that greedy packing by `rank` takes: in order, one that doesn't fit is passed over; n is 1 or more.
+
+    What is left only shrinks, so of items of one size only the first budget / n can be taken. A limit within each
+    (group, size) leaves at most budget * ln(budget) candidates of a group, however large it is, and these are packed.
+    """
+    kept = items.filter(F.col("n") <= budget).withColumn("rank", rank)
+    w = Window.partitionBy(*keys, "n").orderBy("rank")
+    kept = kept.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= budget).filter(F.col("k") * F.col("n") <= budget).drop("k")
+    rest = [c for c in kept.columns if c not in (*keys, "rank", "n")]
+    per = kept.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", "n", *rest))).alias("s"))
+    ok = _skipped(F.transform("s", lambda x: x["n"].cast("int")), F.lit(budget).cast("long"))
+    return per.select(*keys, F.explode(F.arrays_zip(F.col("s").alias("s"), ok.alias("ok"))).alias("x")).filter("x.ok").select(*keys, "x.s.*")
+
+
 def ranked_evidence(evidence: DataFrame, budget: int) -> DataFrame:
-    """RET-10: evidence per chapter by score (nulls last), numbered before packing, so numbers stay when items are passed over."""
-    w = Window.partitionBy("project_id", "chapter_no").orderBy(F.desc_nulls_last("score"), "id")
-    ranked = evidence.withColumn("citation", F.row_number().over(w))
-    per = ranked.groupBy("project_id", "chapter_no").agg(F.array_sort(F.collect_list(F.struct("citation", "id", "excerpt"))).alias("s"))
-    ok = pack_skip(F.transform("s", lambda x: F.coalesce(x["excerpt"], F.lit(""))), budget)
-    return per.select("project_id", "chapter_no", F.explode(F.arrays_zip(F.col("s").alias("s"), ok.alias("ok"))).alias("x")).filter("x.ok").select("project_id", "chapter_no", F.col("x.s.citation").alias("citation"), F.col("x.s.id").alias("id"))
+    """RET-10: evidence (project_id, chapter_no, id, score, excerpt) by score (nulls last, ties by id), numbered before packing, so numbers stay when items are passed over.
+
+    Rows without an excerpt are no evidence. A number is one more than the rows before it; rows are counted between the
+    ranks that were taken, in partial aggregates, so no chapter is sorted whole. Ids are unique in a chapter.
+    """
+    keys = ["project_id", "chapter_no"]
+    rank = F.struct(F.col("score").isNull().alias("last"), (-F.coalesce("score", F.lit(0.0))).alias("score"), F.col("id").alias("id"))
+    rows = evidence.filter(F.coalesce("excerpt", F.lit("")) != "").select(*keys, "id", "score", F.length("excerpt").alias("n"))
+    taken = pack_ranked(rows, keys, rank, budget).select(*keys, "rank", "id")
+    bounds = taken.groupBy(*keys).agg(F.array_sort(F.collect_list("rank")).alias("ranks"))
+    # A row stands before the taken one whose rank is the first that is above its own.
+    at = rows.withColumn("rank", rank).join(bounds, keys).select(*keys, F.size(F.filter("ranks", lambda x: x <= F.col("rank"))).alias("slot"))
+    slots = at.groupBy(*keys, "slot").agg(F.count("*").alias("rows"))
+    own = taken.withColumn("slot", F.row_number().over(Window.partitionBy(*keys).orderBy("rank")))
+    w = Window.partitionBy(*keys).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    before = slots.withColumn("before", F.coalesce(F.sum("rows").over(w), F.lit(0))).select(*keys, "slot", "before")
+    return own.join(before, [*keys, "slot"]).select(*keys, (F.col("before") + 1).cast("int").alias("citation"), "id")
 
 
 def relevant_records(records: DataFrame, rules: DataFrame, budget: int) -> DataFrame:
-    """RET-11: records whose type a chapter allows (rules(chapter_no, record_type, priority)), by priority, within the budget."""
-    r = records.join(rules, "record_type")
-    per = r.groupBy("project_id", "chapter_no").agg(F.array_sort(F.collect_list(F.struct("priority", "id", "text"))).alias("s"))
-    ok = pack_skip(F.transform("s", lambda x: x["text"]), budget)
-    return per.select("project_id", "chapter_no", F.explode(F.arrays_zip(F.col("s").alias("s"), ok.alias("ok"))).alias("x")).filter("x.ok").select("project_id", "chapter_no", F.col("x.s.priority").alias("priority"), F.col("x.s.id").alias("id"))
+    """RET-11: records whose type a chapter allows (rules(chapter_no, record_type, priority)), by priority and id, whole texts within the budget; empty ones are left out."""
+    keys = ["project_id", "chapter_no"]
+    r = records.filter(F.coalesce("text", F.lit("")) != "").select("project_id", "record_type", "id", F.length("text").alias("n")).join(rules, "record_type")
+    return pack_ranked(r.select(*keys, "priority", "id", "n"), keys, F.struct("priority", "id"), budget).select(*keys, "priority", "id")
 
 
 def digest_lines(docs: DataFrame, budget: int, opening: float = 0.32, decisions: float = 0.38, tables: float = 0.17) -> DataFrame:

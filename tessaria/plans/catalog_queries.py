@@ -295,10 +295,20 @@ def _(s, d):
     return table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.array_join(Q.new_numbers(F.concat(F.lit("About "), k, F.lit(" or "), c), source), ",").alias("fresh"))
 
 
-@BOOK.add("qlt_8_reference_separation", rf"""with p as (select page_id % 10 as chapter_no, page_id as number, url_key from ({_KEY_GRADING})) select url_key, string_agg(distinct chapter_no || '-' || number, ',' order by chapter_no || '-' || number) as refs, count(*)::bigint as n from p group by url_key""")
+@BOOK.add("qlt_8_reference_separation", rf"""with p as (select page_id % 10 as chapter_no, page_id as number, url_key from ({_KEY_GRADING})), o as (select distinct url_key, chapter_no || '-' || number as ref from p),
+c as (select url_key, count(*)::bigint as mentions from p group by url_key), n as (select url_key, count(*)::bigint as cited from o group by url_key)
+select o.url_key, o.ref, n.cited, c.mentions from o join n on n.url_key is not distinct from o.url_key join c on c.url_key is not distinct from o.url_key""")
 def _(s, d):
-    r = table(s, d, "pages").select((F.col("page_id") % 10).alias("chapter_no"), F.col("page_id").alias("number"), "url")
-    return Q.merge_sources(r).select("url_key", F.array_join("refs", ",").alias("refs"), "n")
+    return Q.merge_sources(table(s, d, "pages").select((F.col("page_id") % 10).alias("chapter_no"), F.col("page_id").alias("number"), "url"))
+
+
+@BOOK.add("qlt_8_reference_sections", """select doc_id, sha256(text || chr(10) || '# Appendix' || chr(10) || 'end') as body, '[' || doc_id || '] source' as line from documents""")
+def _(s, d):
+    """Each document with a list of sources, and an appendix after it."""
+    i = F.col("doc_id").cast("string")
+    made = table(s, d, "documents").select("doc_id", F.concat(F.col("text"), F.lit("\n## Sources\n\n["), i, F.lit("] source\n# Appendix\nend")).alias("text"))
+    body, lines = Q.references(made)
+    return body.select("doc_id", F.sha2("text", 256).alias("body")).join(lines.select("doc_id", "line"), "doc_id")
 
 
 @BOOK.add("qlt_9_outline", f"""with recursive {_LINES}, b as (select doc_id, pos, length(line) as n, sum((line like '#%')::int) over (partition by doc_id order by pos rows unbounded preceding) as head from l where trim(line) <> ''),

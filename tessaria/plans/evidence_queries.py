@@ -11,10 +11,10 @@ from .text_queries import _NUM, _UNIT
 BOOK = Book()
 
 #: Evidence made of pages and documents; the same SQL runs in both engines.
-EV = """select p.page_id as id, p.page_id % 5 as project_id, p.page_id % 10 + 1 as chapter_no, left(d.text, 40) as title, case when p.page_id % 13 = 0 then null else p.url end as url,
+EV = """select p.page_id as id, p.page_id % 5 as project_id, p.page_id % 10 + 1 as chapter_no, split_part(d.text, chr(10), 1) as title, case when p.page_id % 13 = 0 then null else p.url end as url,
   case when p.page_id % 6 = 0 then null when p.page_id % 6 = 1 then 'Valley University' else regexp_extract(p.url, '://([^/?#:]+)', 1) end as publisher,
   case when p.page_id % 9 = 0 then 'annual_report' when p.page_id % 9 = 1 then 'academic' else 'web' end as source_type, d.lang as search_query, (p.page_id * 37 % 100) / cast(100 as double) as score,
-  case when p.page_id % 11 = 0 then '' else left(d.text, 300) end as excerpt
+  case when p.page_id % 11 = 0 then '' else d.text end as excerpt
 from {pages} p join {documents} d on d.doc_id = case when p.page_id % 4 = 0 then p.page_id - p.page_id % 80 else p.page_id end"""
 _EV = EV.format(pages="pages", documents="documents")
 #: Measured claims made of orders.
@@ -58,9 +58,11 @@ def _(s, d):
     return E.fingerprint(_ev(s, d)).select("id", "fingerprint")
 
 
-@BOOK.add("evd_4_batch_fingerprint", f"with {_FP} select project_id, chapter_no, sha256(project_id || ',' || chapter_no || ',' || string_agg(fingerprint, ',' order by fingerprint)) as batch_fingerprint from fp group by project_id, chapter_no")
+@BOOK.add("evd_4_batch_fingerprint", f"with {_FP} select project_id, chapter_no, sha256(concat_ws(',', project_id, chapter_no, case when chapter_no <> 3 then 'brief ' || chapter_no else '' end, count(*), " + ", ".join(f"sum(('0x' || substr(fingerprint, {1 + 15 * i}, 15))::bigint)" for i in range(4)) + ")) as batch_fingerprint from fp group by project_id, chapter_no")
 def _(s, d):
-    return E.batch_fingerprint(E.fingerprint(_ev(s, d)), ["project_id", "chapter_no"])
+    ev = E.fingerprint(_ev(s, d))
+    briefs = ev.filter("chapter_no <> 3").select("project_id", "chapter_no", F.concat(F.lit("brief "), F.col("chapter_no").cast("string")).alias("brief")).distinct()
+    return E.batch_fingerprint(ev, ["project_id", "chapter_no"], briefs)
 
 
 @BOOK.add("evd_5_exact_quotes", rf"""

@@ -174,10 +174,14 @@ def _(s, d):
     return X.calculation_series(g, ["seg"], {"n": "orders", "total": "USD"})
 
 
-@BOOK.add("ser_8_merge_provenance", "select o_custkey % 50 as seg, year(o_orderdate)::int as y, min(o_orderkey) as id, count(distinct o_orderstatus)::int as n_excerpts, count(*)::int as n_ids from orders group by 1, 2")
+@BOOK.add("ser_8_merge_provenance", """with m as (select o_custkey % 50 as seg, year(o_orderdate)::int as y, o_orderkey as id, o_orderpriority as grade, o_orderstatus as excerpt, 'c' || o_custkey as ref from orders),
+p as (select distinct seg, y, 'id' as kind, id::varchar as value from m union all select distinct seg, y, 'excerpt', excerpt from m union all select distinct seg, y, 'reference', ref from m),
+g as (select seg, y, min(id) as id, min(grade) as grade from m group by 1, 2)
+select p.seg, p.y, g.id, g.grade, count(*) filter (kind = 'id')::bigint as n_ids, count(*) filter (kind = 'excerpt')::bigint as n_excerpts, count(*) filter (kind = 'reference')::bigint as n_references, min(value) as first_value, count(*)::bigint as members from p join g using (seg, y) group by 1, 2, 3, 4""")
 def _(s, d):
-    r = table(s, d, "orders").select((F.col("o_custkey") % 50).alias("seg"), F.year("o_orderdate").alias("y"), F.col("o_orderkey").alias("id"), F.array("o_orderstatus").alias("excerpts"))
-    return X.merge_provenance(r, ["seg", "y"]).select("seg", "y", "id", F.size("excerpts").alias("n_excerpts"), F.size("ids").alias("n_ids"))
+    r = table(s, d, "orders").select((F.col("o_custkey") % 50).alias("seg"), F.year("o_orderdate").alias("y"), F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("grade"), F.array("o_orderstatus").alias("excerpts"), F.array(F.concat(F.lit("c"), F.col("o_custkey").cast("string"))).alias("refs"))
+    merged, members = X.merge_provenance(r, ["seg", "y"])
+    return merged.join(members.groupBy("seg", "y").agg(F.min("value").alias("first_value"), F.count("*").alias("members")), ["seg", "y"])
 
 
 @BOOK.add("ser_9_thinning", """with c as (select o_orderkey as id, o_custkey % 5 + 1 as chapter_no, case when o_orderkey % 2 = 0 then 'scalar' else 'series' end as kind, o_custkey || '-' || o_orderstatus as signature, o_orderstatus as unit, o_custkey % 11 as value from orders),

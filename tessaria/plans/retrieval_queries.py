@@ -145,20 +145,19 @@ r as (select {keys}, k, {out}, n <= {budget} as ok, case when n <= {budget} then
 select {keys}, {out} from r where ok"""
 
 
-EVIDENCE = """select page_id as id, page_id % 5 as project_id, page_id % 10 + 1 as chapter_no, url, case when page_id % 7 = 0 then null else (page_id * 37 % 100) / 100.0D end as score, left(html, 900) as excerpt from {pages}"""
+EVIDENCE = """select page_id as id, page_id % 5 as project_id, page_id % 10 + 1 as chapter_no, url, case when page_id % 7 = 0 then null else (page_id * 37 % 100) / 100.0D end as score, html as excerpt from {pages}"""
 _EV = EVIDENCE.replace("100.0D", "100.0::double").replace("{pages}", "pages")
 
 
-@BOOK.add("ret_10_ranked_evidence", _pack_sql(f"select *, length(excerpt) as n, row_number() over (partition by project_id, chapter_no order by score desc nulls last, id)::int as citation from ({_EV})", "project_id, chapter_no", "citation", 4000, "citation, id"))
+@BOOK.add("ret_10_ranked_evidence", _pack_sql(f"select *, length(excerpt) as n, row_number() over (partition by project_id, chapter_no order by score desc nulls last, id)::int as citation from ({_EV}) where excerpt <> ''", "project_id, chapter_no", "citation", 12000, "citation, id"))
 def _(s, d):
-    return R.ranked_evidence(derived(s, d, EVIDENCE, "pages"), 4000)
+    return R.ranked_evidence(derived(s, d, EVIDENCE, "pages"), 12000)
 
 
-@BOOK.add("ret_11_relevant_records", _pack_sql("select doc_id % 5 as project_id, c as chapter_no, p as priority, doc_id as id, length(left(text, 2000)) as n from documents join (select * from (values ('en', 1, 1), ('de', 1, 2), ('fr', 2, 1)) v(record_type, c, p)) on lang = record_type", "project_id, chapter_no", "priority, id", 20000, "priority, id"))
+@BOOK.add("ret_11_relevant_records", _pack_sql("select doc_id % 5 as project_id, c as chapter_no, p as priority, doc_id as id, length(text) as n from documents join (select * from (values ('en', 1, 1), ('de', 1, 2), ('fr', 2, 1)) v(record_type, c, p)) on lang = record_type where text <> ''", "project_id, chapter_no", "priority, id", 20000, "priority, id"))
 def _(s, d):
     rules = s.createDataFrame([("en", 1, 1), ("de", 1, 2), ("fr", 2, 1)], "record_type string, chapter_no int, priority int")
-    r = table(s, d, "documents").select((F.col("doc_id") % 5).alias("project_id"), F.col("lang").alias("record_type"), F.col("doc_id").alias("id"), F.left("text", F.lit(2000)).alias("text"))
-    return R.relevant_records(r, rules, 20000)
+    return R.relevant_records(table(s, d, "documents").select((F.col("doc_id") % 5).alias("project_id"), F.col("lang").alias("record_type"), F.col("doc_id").alias("id"), "text"), rules, 20000)
 
 
 @BOOK.add("ret_12_digest", _pack_sql("""select doc_id, kind, pos, length(line) as n from (select doc_id, pos, line, case when pos < 3 then '0 opening' when regexp_matches(line, '(?i)\\b(?:decision|recommend|must|should)\\b') then '1 decision' when line like '% | %' then '2 table' else '3 other' end as kind
