@@ -3,7 +3,8 @@
 Stages: toxicity (documents predicted toxic go), near-dedup (one document of each near-duplicate class stays),
 benchmark decontamination (documents with a benchmark window go), secret scans (secrets are masked in the text), and
 mixing (documents are read, and repeated, to the target weights of their sources). All but the last return the columns
-of documents. Rows without a doc_id pass the filters, an empty table stays empty.
+of documents. Rows are judged and removed as rows: of two that share a doc_id, or have none, one may go and the other
+stay; rows with the same id and text are copies of each other. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -25,9 +26,25 @@ BROADCAST_IDS = 1_000_000
 NEAR_PERCENT = 80
 
 
-def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    ids = cut(ids.distinct(), shared_dir(docs.sparkSession), name)
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(*COLUMNS)
+#: Row ids that stand for rows without an id of their own lie below this.
+LOWEST_ID = -(1 << 62)
+
+
+def _without(docs: DataFrame, rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """docs without the rows that have the same keys (never null) as a row of rows."""
+    rows = cut(rows.select(*keys).distinct(), shared_dir(docs.sparkSession), name)
+    return docs.join(F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows, keys, "left_anti").select(*COLUMNS)
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with row_id: their doc_id where it comes once; rows that share one, or have none, get a number by id and text below all ids, equal rows once."""
+    ids = docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").select(F.col("doc_id").alias("again"))
+    ids = cut(ids, shared_dir(docs.sparkSession), "repeated")
+    if ids.isEmpty():
+        return docs.withColumn("row_id", F.col("doc_id"))
+    shared = docs.join(ids, docs.doc_id.eqNullSafe(ids.again), "left_semi").withColumn("row_id", F.lit(LOWEST_ID) - F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2))
+    own = docs.join(ids, docs.doc_id.eqNullSafe(ids.again), "left_anti").withColumn("row_id", F.col("doc_id"))
+    return own.unionByName(shared.dropDuplicates(["row_id"]))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,12 +53,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, near_duplicates(docs, percent=NEAR_PERCENT).filter("not kept").select("doc_id"), "copies")
+    docs = _numbered(docs)
+    found = near_duplicates(docs.select(F.col("row_id").alias("doc_id"), "text"), percent=NEAR_PERCENT)
+    return _without(docs, found.filter("not kept").select(F.col("doc_id").alias("row_id")), ["row_id"], "copies")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.filter("contaminated").select("doc_id"), "contaminated")
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("contaminated")
+    return _without(docs.withColumn("text_key", F.xxhash64("doc_id", "text")), found, ["text_key"], "contaminated")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
