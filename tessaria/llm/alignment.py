@@ -35,7 +35,7 @@ _AFTER = re.compile(f"(?<=[^{SPACE}])[{SPACE}]")
 #: A pair of ids is a * PAIR + b.
 PAIR = 1 << 32
 #: Code points of a block, segments that a worker remembers for long, and the longest one that it does.
-BLOCK_CHARS, KNOWN, KNOWN_CHARS = 1_000_000, 80_000, 64
+BLOCK_CHARS, KNOWN, KNOWN_CHARS = 1_000_000, 110_000, 64
 #: A group with more links than this is expanded from its distinct ids.
 LARGE_GROUP = 4096
 

@@ -50,3 +50,23 @@ def test_pipeline(spark, tmp_path):
         if k < 4:
             assert {(r["doc_id"], r["text"]) for r in kept.collect()} >= {(None, t) for t in odd[:2]} | {(5000, t) for t in odd[2:]}
     assert {r["doc_id"] for r in pipeline.run(spark, str(tmp_path)).collect()} == set(after)
+
+
+def test_rows_that_share_an_id_are_judged_apart(spark, tmp_path):
+    rng = random.Random(8)
+    leak, base, other = prose(rng, 30), prose(rng, 80), prose(rng, 60)
+    words = base.split(" ")
+    words[40] = "changed"
+    texts = [(1, base), (5, f"{prose(rng, 15)} {leak} {prose(rng, 15)}"), (5, prose(rng, 40)), (6, " ".join(words)), (6, other), (None, other), (None, leak), (None, prose(rng, 25)), (7, prose(rng, 33)), (7, None), (8, "")]
+    rows = [(i, t, "en", f"s{k}", len(t or "")) for k, (i, t) in enumerate(texts)] + [(7, texts[8][1], "en", "again", 1)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    key = lambda r: (r[0], r[1])
+    clean = sorted((key(r) for r in pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()), key=str)
+    assert clean == sorted((key(r) for r in rows if leak not in (r[1] or "")), key=str)
+    kept = [key(r) for r in pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect()]
+    # One row of each class of a brute-force version over rows that are numbered apart, whatever their ids.
+    classes = {}
+    for x in brute_near([(k, *r[1:]) for k, r in enumerate(rows)]):
+        classes.setdefault(x[2], set()).add(key(rows[x[0]]))
+    assert len(kept) == len(classes) and all(sum(k in c for k in kept) == 1 for c in classes.values())
