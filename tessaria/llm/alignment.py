@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, carried, cut, shared_dir, table
+from .token_counts import PATTERN
 
 #: Vocabularies, on a path that every worker can read.
 BYTE_BPE, PIECE_BPE = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
@@ -35,7 +37,7 @@ _AFTER = re.compile(f"(?<=[^{SPACE}])[{SPACE}]")
 #: A pair of ids is a * PAIR + b.
 PAIR = 1 << 32
 #: Code points of a block, segments that a worker remembers for long, and the longest one that it does.
-BLOCK_CHARS, KNOWN, KNOWN_CHARS = 1_000_000, 110_000, 64
+BLOCK_CHARS, KNOWN, KNOWN_CHARS = 700_000, 60_000, 64
 #: A group with more links than this is expanded from its distinct ids.
 LARGE_GROUP = 4096
 
@@ -51,6 +53,7 @@ class Tokenizers:
     """Both tokenizers: ids of texts with a space before them, and the bytes of each id."""
 
     def __init__(self, byte_bpe: str, piece_bpe: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads of each worker would take time and memory of the others
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -73,10 +76,27 @@ class Tokenizers:
         glue = "".join(sorted({c for p in kept for c in _AFTER.findall(p)}))
         more = f"(?:[{re.escape(glue)}][{SPACE}]*[^{SPACE}]*)*" if glue else ""
         self.segment = re.compile(f"[{SPACE}]*[^{SPACE}]+{more}|[{SPACE}]+")
-        byte_level = json.loads(self.a.to_str())["pre_tokenizer"] or {}
+        written = json.loads(self.a.to_str())
+        byte_level = written["pre_tokenizer"] or {}
+        self.ranked = self._ranked(written, vocabulary) if byte_level.get("use_regex", True) and byte_level.get("type") == "ByteLevel" and not byte_level.get("add_prefix_space") and not written["normalizer"] else None
+        if self.ranked is not None:
+            self.a = None
         self.apart = byte_level.get("type") == "ByteLevel" and byte_level.get("use_regex", True) and not any("\n" in p for p in kept)
 
+    def _ranked(self, written: dict, vocabulary: dict[str, int]):
+        """The same tokenizer by ranks, which returns plain lists: only where ids rise in the order of the merges."""
+        import tiktoken
+
+        special = {t["id"] for t in written["added_tokens"]}
+        merged = [vocabulary["".join(m if isinstance(m, list) else m.split(" ", 1))] for m in written["model"]["merges"]]
+        ranks = {self.a_bytes[i]: i for i in vocabulary.values() if i not in special}
+        if merged != sorted(merged) or len(merged) + 256 != len(ranks) or max(ranks[bytes([b])] for b in range(256)) >= min(merged, default=256):
+            return None
+        return tiktoken.Encoding("given", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
     def ids_a(self, texts: list[str]) -> list[list[int]]:
+        if self.ranked is not None:
+            return [self.ranked.encode_ordinary(t) for t in texts]
         some = (self.a.encode_batch_fast(texts[k : k + 500], add_special_tokens=False) for k in range(0, len(texts), 500))
         return [e.ids for x in some for e in x]
 
