@@ -187,9 +187,12 @@ def merge_provenance(series: DataFrame, signature: list[str]) -> tuple[DataFrame
     """SER-8: (merged, members) of series (signature, id, grade, excerpts, refs). merged has a row per signature: the smallest id, the best (first)
     grade, and how many ids, excerpts and references it joins; members has these as rows (signature, kind, value), each once. A signature of any
     number of series is never gathered into one row. Null values are left out; null signatures are one."""
+    def named(values: str, kind: str) -> Column:
+        return F.transform(F.coalesce(values, F.expr("cast(array() as array<string>)")), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("value")))
+
     rows = series.select(*signature, "id", "grade", F.explode(F.concat(
         F.array(F.struct(F.lit("id").alias("kind"), F.col("id").cast("string").alias("value"))),
-        *(F.transform(F.coalesce(c, F.expr("cast(array() as array<string>)")), lambda x, k=k: F.struct(F.lit(k).alias("kind"), x.alias("value"))) for c, k in (("excerpts", "excerpt"), ("refs", "reference"))))).alias("x"))
+        named("excerpts", "excerpt"), named("refs", "reference"))).alias("x"))
     rows = rows.select(*signature, "id", "grade", "x.kind", "x.value").filter("value is not null")
     members = rows.groupBy(*signature, "kind", "value").agg(F.min("id").alias("id"), F.min("grade").alias("grade"))
     n = lambda k: F.count_if(F.col("kind") == k)
