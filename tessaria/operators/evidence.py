@@ -6,6 +6,8 @@ hint lists are parameters. "First" always means by (id).
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -96,18 +98,31 @@ def relevance(ev: DataFrame, core: Column, chapter: Column) -> DataFrame:
     return ev.withColumn("relevance", score).withColumn("obvious_low", low).drop("_h")
 
 
-def claim_keys(ev: DataFrame, metrics=METRICS) -> DataFrame:
-    """EVD-7: (id, metric, year, unit, subject, value) of every measured value in sentences that name a metric."""
+#: Places that a claim may be about, and marks of provinces, which may be followed by one more.
+PLACES = ("全球", "中国", "全国", "长三角", "珠三角")
+PROVINCES = "京津沪渝粤浙苏鲁豫川鄂湘闽皖冀晋辽吉黑陕甘青琼云贵桂内蒙宁新藏"
+
+
+def place_pattern(places: tuple[str, ...] = PLACES, marks: str = PROVINCES, after: str = "省") -> str:
+    """A pattern of the first place in a text: names of any number of words, longer ones before those they begin with."""
+    names = [re.escape(p) for p in sorted(places, key=lambda p: (-len(p), p))] + ([f"[{marks}]{after}?"] if marks else [])
+    return "|".join(names)
+
+
+def claim_keys(ev: DataFrame, metrics=METRICS, places: str | None = None) -> DataFrame:
+    """EVD-7: (id, metric, year, unit, geography, subject, value) of every measured value in sentences that name a metric.
+    Geography is the first match of `places` (see place_pattern) in the sentence, or empty."""
     s = ev.select("id", "chapter_no", F.explode(T.sentences(F.col("excerpt"), ends=".!?;。！？；", least=8, most=500)).alias("s"))
     metric = F.lower(F.regexp_extract("s", rf"(?i)\b({'|'.join(metrics)})\b", 1))
     s = s.withColumn("metric", metric).filter("metric <> ''")
     subject = T.bare(F.regexp_replace(F.regexp_extract("s", rf"(?is)^(.*?)\b(?:{'|'.join(metrics)})\b", 1), T.YEAR, ""))
+    s = s.withColumn("geography", F.regexp_extract("s", places or place_pattern(), 0))
     s = s.withColumn("year", F.regexp_extract("s", T.YEAR, 1)).withColumn("subject", F.right(subject, F.lit(30)))
-    s = s.select("id", "chapter_no", "metric", "year", "subject", F.explode(T.measures(F.col("s"))).alias("m"))
-    return s.select("id", "chapter_no", "metric", "year", "subject", F.col("m.unit").alias("unit"), T.safe_number(F.col("m.value")).alias("value"))
+    s = s.select("id", "chapter_no", "metric", "year", "geography", "subject", F.explode(T.measures(F.col("s"))).alias("m"))
+    return s.select("id", "chapter_no", "metric", "year", "geography", "subject", F.col("m.unit").alias("unit"), T.safe_number(F.col("m.value")).alias("value"))
 
 
-CLAIM = ("chapter_no", "metric", "year", "unit", "subject")
+CLAIM = ("chapter_no", "metric", "year", "unit", "geography", "subject")
 
 
 def conflicts(claims: DataFrame, keys=CLAIM) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import json_text as J
 from ..functions import text as T
+from . import containment as C
 
 
 def rule_candidates(graded: DataFrame, rules: list[tuple[str, str]], default: str = "risk", per_row: int = 3, missing: str = r"(?i)not available|unknown|暂无|缺失") -> DataFrame:
@@ -215,12 +217,51 @@ def selection_state(series: DataFrame, saved: DataFrame) -> DataFrame:
     return out.select("chart_id", state.alias("state"))
 
 
+def block_form(c: Column) -> Column:
+    """How excerpts and blocks are compared: without white space, markdown marks and citation numbers."""
+    return F.regexp_replace(c, r"(?U)[\s#*_`|]|\[\d+(?:-\d+)?\]", "")
+
+
+def _excerpts(series: DataFrame, least: int) -> DataFrame:
+    form = F.array_sort(F.array_distinct(F.filter(F.transform("excerpts", lambda e: block_form(F.coalesce(e, F.lit("")))), lambda e: e != "")))
+    s = series.withColumn("parts", form)
+    return s.filter((F.size("parts") > 0) & F.forall("parts", lambda e: F.length(e) >= least))
+
+
+def _standing(parts: DataFrame, block_rows: DataFrame) -> DataFrame:
+    texts = block_rows.select("chapter_no", F.col("block_id").alias("key"), block_form(F.col("text")).alias("text"))
+    return C.contained(parts.select("chapter_no", F.explode("parts").alias("needle")), texts, ("chapter_no",)).withColumnRenamed("key", "block_id")
+
+
 def bind_series(series: DataFrame, block_rows: DataFrame, least: int = 6) -> DataFrame:
-    """SER-11: (series_id, block_id) where every excerpt of the series stands in exactly one block of its chapter."""
-    key = lambda c: F.lower(F.regexp_replace(c, r"\s+", ""))
-    s = series.filter(F.forall("excerpts", lambda e: F.length(e) >= least)).join(block_rows.withColumn("body", key(F.col("text"))).select("chapter_no", "block_id", "body"), "chapter_no")
-    s = s.filter(F.forall("excerpts", lambda e: F.contains(F.col("body"), key(e))))
-    return s.groupBy("series_id").agg(F.count("*").alias("n"), F.min("block_id").alias("block_id")).filter("n = 1").select("series_id", "block_id")
+    """SER-11: (series_id, block_id) of series(series_id, chapter_no, excerpts) whose excerpts all stand in exactly one
+    of block_rows(chapter_no, block_id, text) of the chapter. An excerpt of fewer than `least` characters, or a series
+    without any, binds nowhere; letters are compared as they are.
+
+    Excerpts find their blocks by containment. Series with the same excerpts are one class, and a class looks only at the
+    blocks of its rarest excerpt, so neither common excerpts nor a chapter with all blocks multiply series by blocks."""
+    s = _excerpts(series, least).select("series_id", "chapter_no", "parts")
+    classes = s.select("chapter_no", "parts").distinct()
+    hits = _standing(classes, block_rows)
+    often = hits.groupBy("chapter_no", "needle").agg(F.count("*").alias("n"))
+    each = classes.select("chapter_no", "parts", F.explode("parts").alias("needle"))
+    rare = each.join(often, ["chapter_no", "needle"], "left").groupBy("chapter_no", "parts").agg(F.min_by("needle", F.struct("n", "needle")).alias("needle"), F.count_if(F.col("n").isNull()).alias("missing"))
+    maybe = rare.filter("missing = 0").join(hits, ["chapter_no", "needle"]).select("chapter_no", "parts", "block_id")
+    held = maybe.select("chapter_no", "parts", "block_id", F.explode("parts").alias("needle")).join(hits, ["chapter_no", "needle", "block_id"])
+    held = held.groupBy("chapter_no", "parts", "block_id").agg(F.count("*").alias("n")).filter(F.col("n") == F.size("parts"))
+    bound = held.groupBy("chapter_no", "parts").agg(F.count("*").alias("n"), F.min("block_id").alias("block_id")).filter("n = 1")
+    return s.join(bound, ["chapter_no", "parts"]).select("series_id", "block_id")
+
+
+def place_series(series: DataFrame, block_rows: DataFrame, least: int = 6) -> DataFrame:
+    """SER-11: (series_id, ordinal) of the last block that an excerpt stands in, for series each of whose excerpts stands
+    in exactly one of block_rows(chapter_no, block_id, ordinal, text); the others go to the chapter's end (null)."""
+    s = _excerpts(series, least).select("series_id", "chapter_no", "parts")
+    hits = _standing(s.select("chapter_no", "parts").distinct(), block_rows).join(block_rows.select("chapter_no", "block_id", "ordinal"), ["chapter_no", "block_id"])
+    single = hits.groupBy("chapter_no", "needle").agg(F.count("*").alias("n"), F.max("ordinal").alias("ordinal")).filter("n = 1")
+    at = s.select("series_id", "chapter_no", F.size("parts").alias("size"), F.explode("parts").alias("needle")).join(single, ["chapter_no", "needle"])
+    at = at.groupBy("series_id", "size").agg(F.count("*").alias("n"), F.max("ordinal").alias("ordinal")).filter("n = size")
+    return series.select("series_id").join(at.select("series_id", "ordinal"), "series_id", "left")
 
 
 def ledger(series: DataFrame) -> DataFrame:
@@ -228,13 +269,6 @@ def ledger(series: DataFrame) -> DataFrame:
     return series.select("series_id", F.posexplode("points").alias("i", "p"), F.coalesce("status", F.lit("unconfirmed")).alias("status")).select("series_id", "i", F.col("p.label").alias("period"), F.col("p.value").alias("value"), "status")
 
 
-def json_candidates(rows: DataFrame, column: str = "answer", wrappers: tuple[str, ...] = ("items", "records", "results")) -> DataFrame:
-    """TXT-29: (id, evidence_id, quote) from a JSON array, one object, or a list under a wrapper key; rows without
-    evidence id or quote are no candidates, what is no JSON gives none."""
-    item = "struct<evidence_id:string,quote:string>"
-    text = F.trim(column)
-    as_list = F.from_json(text, f"array<{item}>")
-    wrapped = F.coalesce(*(F.from_json(F.get_json_object(text, f"$.{w}"), f"array<{item}>") for w in wrappers))
-    listed = F.when(F.startswith(text, F.lit("[")), as_list).otherwise(F.coalesce(wrapped, F.array(F.from_json(text, item))))
-    out = rows.select("id", F.explode(listed).alias("x")).select("id", "x.evidence_id", "x.quote")
-    return out.filter((F.coalesce("evidence_id", F.lit("")) != "") & (F.coalesce("quote", F.lit("")) != ""))
+def json_candidates(rows: DataFrame, column: str = "answer", fields: tuple[str, str] = ("evidence_id", "exact_quote")) -> DataFrame:
+    """TXT-29: (id, evidence_id, quote, row) of the JSON rows in an answer's prose; see functions.json_text."""
+    return rows.select("id", F.explode(J.json_rows(F.col(column), fields)).alias("x")).select("id", "x.evidence_id", "x.quote", "x.row")

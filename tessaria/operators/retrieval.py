@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType
 from pyspark.sql.window import Window
 
+from . import containment as C
+
 
 def blocks(docs: DataFrame) -> DataFrame:
     """SRC-3: (doc_id, ordinal, locator, text) of non-empty lines; a table row ("a | b | a") keeps distinct cells."""
@@ -108,13 +110,14 @@ def bm25(texts: DataFrame, queries: DataFrame, key: str, k: int = 10, k1: float
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-def entity_in_query(queries: DataFrame, entities: DataFrame, least: int = 4) -> DataFrame:
-    """RET-3: queries whose text contains exactly one entity key of `least` characters or more: (query_id, entity).
+def entity_in_query(queries: DataFrame, entities: DataFrame, least: int = 4, longest: bool = False) -> DataFrame:
+    """RET-3: (query_id, entity) of queries(query_id, text) that name exactly one entity of entities(entity, key).
 
-    Entities are a dimension; each query's words are matched by equality, so keys are single words here."""
-    words = queries.select("query_id", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("key"))
-    hit = words.join(entities.filter(F.length("key") >= least), "key").groupBy("query_id").agg(F.countDistinct("entity").alias("n"), F.min("entity").alias("entity"))
-    return hit.filter("n = 1").select("query_id", "entity")
+    A key of `least` letters or more is named where its letters stand in the query's, spaces, marks and case aside, so
+    keys may have several words. With `longest`, a key inside a longer one that is named too does not count."""
+    names = entities.select("entity", F.col("key").alias("name"))
+    hits = C.mentions(queries.select(F.col("query_id").alias("key"), "text"), names, least, longest)
+    return hits.groupBy(F.col("key").alias("query_id")).agg(F.countDistinct("entity").alias("n"), F.min("entity").alias("entity")).filter("n = 1").select("query_id", "entity")
 
 
 def broad_coverage(docs_wanted: DataFrame, chunk_rows: DataFrame, limit: int = 40_000) -> DataFrame:
@@ -123,9 +126,40 @@ def broad_coverage(docs_wanted: DataFrame, chunk_rows: DataFrame, limit: int = 4
     return chunk_rows.join(docs_wanted, "doc_id", "left_semi").withColumn("total", F.sum(F.length("text")).over(total)).filter(F.col("total") <= limit).drop("total")
 
 
-def scope_status(hits: Column, follows_up: Column, previous: Column) -> Column:
-    """RET-5: resolved, follow_up, ambiguous or unknown from the number of entities named and earlier scope."""
-    return F.when(hits == 1, "resolved").when(hits > 1, "ambiguous").when(follows_up & previous.isNotNull(), "follow_up").otherwise("unknown")
+#: Words by which a question goes on from the last one, and by which it asks about all companies.
+FOLLOW_UP = ("它", "这家", "该企业", "该公司", "继续", "那么", "那应该")
+ACROSS = ("哪些企业", "所有企业", "各企业", "85家", "跨企业")
+
+
+def resolve_scope(queries: DataFrame, reports: DataFrame, follow_up: tuple[str, ...] = FOLLOW_UP, across: tuple[str, ...] = ACROSS, least: int = 2) -> DataFrame:
+    """RET-5: (query_id, status, reason, report_id, n_reports) of queries(query_id, text, document_id, previous) over
+    reports(report_id, document_id, aliases). `previous` holds the documents of the last answer.
+
+    A chosen document_id decides, unless an alias of another document is named ("refused", "mismatch"). Else the reports
+    with a named alias count, else with a word of `follow_up` those of `previous`, else a word of `across` is "refused"
+    as "across", and the rest is "unknown" as "unnamed". One report is "resolved", several are "ambiguous", none is
+    "unknown" as "no_report". The reason of a resolved query says how: "chosen", "alias" or "follow_up". Null aliases,
+    and aliases of fewer than `least` letters, name nothing. Reports without an id don't exist."""
+    r = reports.filter(F.col("report_id").isNotNull())
+    names = r.select("document_id", F.explode("aliases").alias("name")).filter(F.col("name").isNotNull())
+    named = C.mentions(queries.select(F.col("query_id").alias("key"), "text"), names.select(F.col("document_id").alias("entity"), "name"), least)
+    named = named.select(F.col("key").alias("query_id"), F.col("entity").alias("named")).distinct()
+    q = queries.select("query_id", "text", F.col("document_id").alias("chosen"), "previous")
+    other = named.join(q.select("query_id", "chosen"), "query_id").groupBy("query_id").agg(F.count("*").alias("n_named"), F.bool_or(F.col("named") != F.col("chosen")).alias("differs"))
+    q = q.join(other, "query_id", "left")
+    says = lambda words: F.exists(F.array(*(F.lit(w) for w in words)), lambda w: F.contains(F.coalesce("text", F.lit("")), w)) if words else F.lit(False)
+    goes_on = says(follow_up) & (F.coalesce(F.size("previous"), F.lit(0)) > 0)
+    how = F.when(F.col("chosen").isNotNull(), F.when(F.col("differs"), "mismatch").otherwise("chosen")).when(F.col("n_named") > 0, "alias").when(goes_on, "follow_up").when(says(across), "across").otherwise("unnamed")
+    q = q.select("query_id", "chosen", "previous", how.alias("how"))
+    wanted = q.filter("how = 'chosen'").select("query_id", F.col("chosen").alias("document_id"))
+    wanted = wanted.unionByName(q.filter("how = 'alias'").select("query_id").join(named, "query_id").select("query_id", F.col("named").alias("document_id")))
+    wanted = wanted.unionByName(q.filter("how = 'follow_up'").select("query_id", F.explode(F.array_distinct("previous")).alias("document_id")))
+    found = wanted.join(r.select("document_id", "report_id").distinct(), "document_id").groupBy("query_id").agg(F.countDistinct("report_id").alias("n"), F.min("report_id").alias("one"))
+    out = q.select("query_id", "how").join(found, "query_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    refused, unnamed = F.col("how").isin("mismatch", "across"), F.col("how") == "unnamed"
+    status = F.when(refused, "refused").when(unnamed | (F.col("n") == 0), "unknown").when(F.col("n") > 1, "ambiguous").otherwise("resolved")
+    reason = F.when(refused | unnamed, F.col("how")).when(F.col("n") == 0, "no_report").when(F.col("n") > 1, "several_reports").otherwise(F.col("how"))
+    return out.select("query_id", status.alias("status"), reason.alias("reason"), F.when(status == "resolved", F.col("one")).alias("report_id"), F.col("n").alias("n_reports"))
 
 
 def module_filter(block_rows: DataFrame, rules: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -83,20 +83,28 @@ def _(s, d):
     return E.relevance(_ev(s, d), a("en", "valley", "thing", "eder"), a("that", "be", "by")).select("id", F.round("relevance", 6).alias("relevance"), "obvious_low")
 
 
-_CK = rf"""e as ({_CLAIMS}), s as (select id, chapter_no, trim(unnest(string_split_regex(regexp_replace(excerpt, '([.!?;])', '\1' || chr(10), 'g'), '\n+'))) as s from e),
+_PLACES = ("East Asia", "Asia", "Western Europe")
+_PLACED = "select id, project_id, chapter_no, replace(excerpt, ' sold.', case id % 4 when 0 then ' sold in East Asia.' when 1 then ' sold in Asia, not in Western Europe.' when 2 then ' sold in Western Europe.' else ' sold.' end) as excerpt from ({}) c"
+
+
+def _placed(s, d):
+    return derived(s, d, _PLACED.replace("({})", "(" + CLAIMS.replace("{s}", "string") + ")"), "orders")
+
+
+_CK = rf"""e as (select *, ['East Asia', 'Asia', 'Western Europe', ''][id % 4 + 1] as geography from ({_PLACED.format(_CLAIMS)})), s as (select id, chapter_no, geography, trim(unnest(string_split_regex(regexp_replace(excerpt, '([.!?;])', '\1' || chr(10), 'g'), '\n+'))) as s from e),
 m as (select *, lower(regexp_extract(s, '(?i)\b(revenue|demand|capacity|price|cost)\b', 1)) as metric, regexp_extract(s, '((?:19|20)[0-9]{{2}})', 1) as year,
   right(lower(regexp_replace(regexp_replace(regexp_extract(s, '(?is)^(.*?)\b(?:revenue|demand|capacity|price|cost)\b', 1), '\b(?:19|20)[0-9]{{2}}\b', '', 'g'), '[\s!-/:-@\[-`{{-~]+', '', 'g')), 30) as subject from s where length(s) >= 8),
-ck as (select id, chapter_no, metric, year, subject, unnest(regexp_extract_all(s, '(?:^|[^A-Za-z0-9_.,])({_NUM})\s*({_UNIT})', 1))::double as value, 'thousand' as unit from m where metric <> '')"""
+ck as (select id, chapter_no, geography, metric, year, subject, unnest(regexp_extract_all(s, '(?:^|[^A-Za-z0-9_.,])({_NUM})\s*({_UNIT})', 1))::double as value, 'thousand' as unit from m where metric <> '')"""
 
 
-@BOOK.add("evd_7_claim_keys", f"with {_CK} select id, metric, year, subject, unit, value from ck")
+@BOOK.add("evd_7_claim_keys", f"with {_CK} select id, metric, year, geography, subject, unit, value from ck")
 def _(s, d):
-    return E.claim_keys(_claims(s, d)).select("id", "metric", "year", "subject", "unit", F.col("value").cast("double").alias("value"))
+    return E.claim_keys(_placed(s, d), places=E.place_pattern(_PLACES, "")).select("id", "metric", "year", "geography", "subject", "unit", F.col("value").cast("double").alias("value"))
 
 
-@BOOK.add("evd_8_conflicts", f"with {_CK}, x as (select chapter_no, metric, year, unit, subject from ck group by all having count(distinct value) > 1) select distinct id from ck join x using (chapter_no, metric, year, unit, subject)")
+@BOOK.add("evd_8_conflicts", f"with {_CK}, x as (select chapter_no, metric, year, unit, geography, subject from ck group by all having count(distinct value) > 1) select distinct id from ck join x using (chapter_no, metric, year, unit, geography, subject)")
 def _(s, d):
-    return E.conflicts(E.claim_keys(_claims(s, d)))
+    return E.conflicts(E.claim_keys(_placed(s, d), places=E.place_pattern(_PLACES, "")))
 
 
 _DU = rf"du as (select id, case when k <> '' and min(id) over (partition by project_id, chapter_no, k) < id then min(id) over (partition by project_id, chapter_no, k) end as duplicate_of from (select *, lower(regexp_replace(excerpt, '\s+', '', 'g')) as k from ({_EV})))"

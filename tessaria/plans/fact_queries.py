@@ -200,11 +200,15 @@ def _(s, d):
     return X.selection_state(p.filter("chart_id % 5 <> 0"), saved)
 
 
-@BOOK.add("ser_11_series_binding", f"with y as ({_YEARLY}) select record_id as series_id, record_id as block_id from y")
+@BOOK.add("ser_11_series_binding", r"""
+with b as (select doc_id, regexp_replace(text, '[\s#*_`|]|\[[0-9]+(-[0-9]+)?\]', '', 'g') as body, string_split(text, chr(10)) as l from documents),
+e as (select doc_id, regexp_replace(coalesce(l[1], ''), '[\s#*_`|]|\[[0-9]+(-[0-9]+)?\]', '', 'g') as e1, regexp_replace(coalesce(l[2], ''), '[\s#*_`|]|\[[0-9]+(-[0-9]+)?\]', '', 'g') as e2 from b)
+select e.doc_id as series_id, min(b.doc_id) as block_id from e join b on contains(body, e1) and contains(body, e2) where e1 || e2 <> '' and (e1 = '' or length(e1) >= 6) and (e2 = '' or length(e2) >= 6) group by 1 having count(*) = 1""")
 def _(s, d):
-    r = _records(s, d)
-    series = r.select(F.col("record_id").alias("series_id"), F.col("seg").alias("chapter_no"), F.array(F.col("quote")).alias("excerpts"))
-    return X.bind_series(series, r.select(F.col("seg").alias("chapter_no"), F.col("record_id").alias("block_id"), F.upper(F.concat(F.lit("So:  "), "quote")).alias("text")))
+    # Series quote the first two lines of a document; all documents are blocks of one chapter.
+    docs, lines = table(s, d, "documents").withColumn("chapter_no", F.lit(1)), F.split("text", "\n")
+    series = docs.select(F.col("doc_id").alias("series_id"), "chapter_no", F.array(F.get(lines, F.lit(0)), F.get(lines, F.lit(1))).alias("excerpts"))
+    return X.bind_series(series, docs.select("chapter_no", F.col("doc_id").alias("block_id"), "text"))
 
 
 @BOOK.add("ser_12_ledger", f"with y as ({_YEARLY}) select 's' || seg as series_id, y as period, v::double as value, case when seg = '1' then 'checked' else 'unconfirmed' end as status from y")
@@ -213,13 +217,18 @@ def _(s, d):
     return X.ledger(g.withColumn("status", F.when(F.col("series_id") == "s1", "checked"))).select("series_id", "period", "value", "status")
 
 
-@BOOK.add("txt_29_json_candidates", "select o_orderkey as id, 'e' || o_custkey as evidence_id, 'q' || o_orderkey as quote from orders where o_orderkey % 4 < 3")
+@BOOK.add("txt_29_json_candidates", "select o_orderkey as id, 'e' || o_custkey as evidence_id, 'q\"]} ' || o_orderkey as quote from orders where o_orderkey % 8 < 6 union all select o_orderkey, 'x', 'second' from orders where o_orderkey % 8 = 5")
 def _(s, d):
     k, c = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
-    one = F.concat(F.lit('{"evidence_id": "e'), c, F.lit('", "quote": "q'), k, F.lit('"}'))
-    m = F.col("o_orderkey") % 4
-    a = F.when(m == 0, F.concat(F.lit("["), one, F.lit(', {"evidence_id": "x"}]'))).when(m == 1, F.concat(F.lit('{"records": ['), one, F.lit("]}"))).when(m == 2, one).otherwise("no json")
-    return X.json_candidates(table(s, d, "orders").select(F.col("o_orderkey").alias("id"), a.alias("answer")))
+    one = F.concat(F.lit('{"evidence_id": "e'), c, F.lit('", "exact_quote": "q\\"]} '), k, F.lit('"}'))
+    forms = [("[", ', {"evidence_id": "x"}]'), ('{"records": [', "]}"), ("Here [as asked] it is: ", ". I hope {this} helps."),
+             ('```json\n{"data": {"result": {"items": [', "]}}}\n```"), ('{"note": 1} {"notes": [1, 2]} then ', ""), ('{"candidates": [', ', {"evidence_id": "x", "exact_quote": "second"}, 7]}'),
+             ("no json [", " never closed"), ("{'python': [", "]}")]
+    answer = F.lit(None).cast("string")
+    for i, (before, after) in enumerate(forms):
+        body = one if i < 6 else F.lit("{")
+        answer = F.when(F.col("o_orderkey") % 8 == i, F.concat(F.lit(before), body, F.lit(after))).otherwise(answer)
+    return X.json_candidates(table(s, d, "orders").select(F.col("o_orderkey").alias("id"), answer.alias("answer"))).select("id", "evidence_id", "quote")
 
 
 # ---- calculators ------------------------------------------------------------------------------------------------------

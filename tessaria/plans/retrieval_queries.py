@@ -75,14 +75,18 @@ def _(s, d):
     return R.bm25(table(s, d, "documents"), q, "doc_id").select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
-@BOOK.add("ret_3_entity_resolution", r"""
-with w as (select distinct doc_id as query_id, unnest(string_split_regex(lower(text), '[^\p{L}\p{N}]+')) as key from documents),
-e as (select distinct split_part(p_name, ' ', 1) as key, split_part(p_name, ' ', 1) as entity from part where length(split_part(p_name, ' ', 1)) >= 4 union select distinct c, c from (select unnest(['idiot', 'trash', 'moron', 'clown']) as c))
-select query_id, min(entity) as entity from w join e using (key) group by query_id having count(distinct entity) = 1""")
-def _(s, d):
-    names = table(s, d, "part").select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("key")).distinct()
-    more = s.createDataFrame([("idiot",), ("trash",), ("moron",), ("clown",)], "key string")
-    e = names.unionByName(more).distinct().withColumn("entity", F.col("key"))
+_LETTERS = r"lower(regexp_replace({}, '[^\p{{L}}\p{{M}}\p{{N}}_]', '', 'g'))"
+
+
+@BOOK.add("ret_3_entity_resolution", rf"""
+with w as (select item_id, string_split(text, ' ') as w from benchmark), e as (select item_id as entity, {_LETTERS.format("array_to_string(w[1:4], ' ')")} as key from w union select c, c from (select unnest(['idiot', 'trash', 'moron', 'clown']) as c)),
+d as (select doc_id, {_LETTERS.format('text')} as t from documents)
+select doc_id as query_id, min(entity) as entity from d join e on length(key) >= 4 and contains(t, key) group by doc_id having count(distinct entity) = 1""")
+def _(s, d):
+    # Entities are known by the first four words of a benchmark item, and by four words of abuse.
+    items = table(s, d, "benchmark").select(F.col("item_id").cast("string").alias("entity"), F.array_join(F.slice(F.split("text", " "), 1, 4), " ").alias("key"))
+    more = s.createDataFrame([("idiot",), ("trash",), ("moron",), ("clown",)], "entity string")
+    e = items.unionByName(more.withColumn("key", F.col("entity")))
     return R.entity_in_query(table(s, d, "documents").select(F.col("doc_id").alias("query_id"), "text"), e)
 
 
@@ -93,15 +97,22 @@ def _(s, d):
     return out.groupBy(F.col("doc_id").alias("conv_id")).agg(F.count("*").alias("turns"), F.sum(F.length("text")).alias("chars"))
 
 
-@BOOK.add("ret_5_scope_status", r"""
-with h as (select conv_id, turn, (regexp_matches(text, '\bthe\b'))::int + (regexp_matches(text, '\bund\b'))::int as hits, lag(role) over (partition by conv_id order by turn) as previous from conversations)
-select conv_id, turn, case when hits = 1 then 'resolved' when hits > 1 then 'ambiguous' when turn % 2 = 0 and previous is not null then 'follow_up' else 'unknown' end as status from h""")
-def _(s, d):
-    from pyspark.sql.window import Window
-
-    hits = F.col("text").rlike(r"\bthe\b").cast("int") + F.col("text").rlike(r"\bund\b").cast("int")
-    prev = F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn"))
-    return table(s, d, "conversations").withColumn("p", prev).select("conv_id", "turn", R.scope_status(hits, F.col("turn") % 2 == 0, F.col("p")).alias("status"))
+@BOOK.add("ret_5_scope_status", rf"""
+with r as (select doc_id, {_LETTERS.format("array_to_string(string_split(text, ' ')[1:3], ' ')")} as a, {_LETTERS.format("coalesce(string_split(text, ' ')[5], '')")} as b from documents where lang = 'en'),
+q as (select conv_id, turn, text, {_LETTERS.format('text')} as t, case when turn % 4 = 3 then conv_id % 50 end as chosen from conversations),
+n as (select conv_id, turn, count(distinct doc_id) as n, bool_or(doc_id <> chosen) as differs, min(doc_id) as one from q join r on (length(a) >= 9 and contains(t, a)) or (length(b) >= 9 and contains(t, b)) group by 1, 2),
+h as (select q.*, n.n, n.one, case when chosen is not null then case when differs then 'mismatch' else 'chosen' end when n.n > 0 then 'alias' when contains(text, 'it ') and turn > 0 then 'follow_up' when contains(text, 'Wh') then 'across' else 'unnamed' end as how from q left join n using (conv_id, turn)),
+p as (select h.*, case how when 'chosen' then (select count(distinct doc_id) from r where doc_id = chosen) when 'alias' then n when 'follow_up' then (select count(distinct doc_id) from r where doc_id in (conv_id, conv_id + 3)) else 0 end as k,
+  case how when 'chosen' then chosen when 'alias' then one when 'follow_up' then (select min(doc_id) from r where doc_id in (conv_id, conv_id + 3)) end as rid from h)
+select conv_id, turn, case when how in ('mismatch', 'across') then 'refused' when how = 'unnamed' or k = 0 then 'unknown' when k > 1 then 'ambiguous' else 'resolved' end as status,
+  case when how in ('mismatch', 'across', 'unnamed') then how when k = 0 then 'no_report' when k > 1 then 'several_reports' else how end as reason, case when k = 1 then rid end as report_id from p""")
+def _(s, d):
+    # A report is known by its first three words and by its fifth; a conversation's earlier answer came from two reports.
+    w = F.split("text", " ")
+    reports = table(s, d, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("report_id"), F.col("doc_id").alias("document_id"), F.array(F.array_join(F.slice(w, 1, 3), " "), F.get(w, F.lit(4))).alias("aliases"))
+    key, conv = F.struct("conv_id", "turn"), F.col("conv_id")
+    q = table(s, d, "conversations").select(key.alias("query_id"), "text", F.when(F.col("turn") % 4 == 3, conv % 50).alias("document_id"), F.when(F.col("turn") > 0, F.array(conv, conv + 3)).alias("previous"))
+    return R.resolve_scope(q, reports, ("it ",), ("Wh",), least=9).select("query_id.*", "status", "reason", "report_id")
 
 
 @BOOK.add("ret_6_module_filter", "select source, count(*)::bigint as docs from documents where lang in ('de', 'fr') group by source")
