@@ -233,18 +233,6 @@ def progress(chapters: DataFrame, share: int = 9, all_of: int = 11) -> DataFrame
     return n.select("project_id", F.when(F.col("done") >= all_of, 100).otherwise(F.least(F.lit(99), F.col("done") * share)).cast("int").alias("progress"))
 
 
-def snapshot(tables: dict[str, DataFrame], path: str, version: str) -> None:
-    """CAT-7: writes each table's rows under version_id=...; nothing is written over."""
-    for name, df in tables.items():
-        df.write.mode("errorifexists").parquet(f"{path}/{name}/version_id={version}")
-
-
-def restore(spark, path: str, names: list[str], version: str, backup: str, current: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """CAT-8: backs the current tables up as another version, then gives back those of the version asked for."""
-    snapshot(current, path, backup)
-    return {n: spark.read.parquet(f"{path}/{n}/version_id={version}") for n in names}
-
-
 def versions(rows: DataFrame) -> DataFrame:
     """CAT-9: versions per project, newest first, the latest flagged."""
     w = Window.partitionBy("project_id").orderBy(F.desc("created"), F.desc("version_id"))
