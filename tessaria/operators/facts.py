@@ -171,11 +171,64 @@ def audited_facts(facts: DataFrame, ev: DataFrame) -> DataFrame:
     return f.filter(F.contains("excerpt", F.col("quote")) & own & (F.size(T.measures(F.col("quote"))) > 0)).drop("excerpt")
 
 
+#: Words that say nothing about what is measured.
+FILLERS = r"(?i)\b(?:in|was|is|were|are|and|reached|rose|fell|of|at|to|the|it|then|while)\b|[为达是约至和年]"
+
+
+def _quoted(records: DataFrame, ev: DataFrame, least: int) -> DataFrame:
+    """Records without a conflict whose quote of `least` characters or more stands in every evidence row that they name."""
+    r = records.filter(~F.coalesce("conflict", F.lit(False)) & (F.length(F.trim("quote")) >= least))
+    r = r.withColumn("quote", F.trim("quote")).withColumn("evidence_ids", F.array_distinct(F.filter("evidence_ids", lambda i: i.isNotNull())))
+    named = r.select("record_id", "quote", F.size("evidence_ids").alias("n"), F.explode("evidence_ids").alias("id")).join(ev.select("id", "excerpt").dropDuplicates(["id"]), "id")
+    held = named.filter(F.contains("excerpt", F.col("quote"))).groupBy("record_id", "n").agg(F.count("*").alias("found")).filter("found = n")
+    return r.join(held.select("record_id"), "record_id", "left_semi")
+
+
+def fact_cards(records: DataFrame, ev: DataFrame, least: int = 6) -> DataFrame:
+    """SER-5: (record_id, kind, metric, unit, labels, values) from records(record_id, metric, quote, conflict, evidence_ids,
+    claims, value, unit, period), whose record_id is unique, and usable evidence(id, excerpt).
+
+    `claims` (array<struct<whole, value, unit>>) must be as many as the quote's measured values; each value that stands once
+    in the quote as a claim has it makes a "card". Without claims, value and unit must be those of exactly one measured value.
+    A value's label is the last year before it in the quote, else the record's period; its metric the words since the value
+    before, or the record's if it is alone or no words are left. Two values or more with a year each, all different, of one
+    unit and one metric make a "series" besides, in order of years; a value without words of its own, or with the end of the
+    first one's, has the metric that came before. Quotes that pair years and values at a distance give nothing."""
+    q = _quoted(records, ev, least).filter(~ambiguous_pairing(F.col("quote"))).withColumn("found", T.measures(F.col("quote"))).withColumn("pieces", F.split("quote", T.MEASURE, -1))
+    same = lambda m, value, unit: (T.safe_number(m["value"]) == T.safe_number(value)) & (m["unit"] == unit)
+    once = lambda m: F.size(F.filter("found", lambda o: o["whole"] == m["whole"])) == 1
+    claimed = lambda m: F.exists("claims", lambda c: (c["whole"] == m["whole"]) & same(m, c["value"], c["unit"]))
+    has_claims = F.coalesce(F.size("claims"), F.lit(0)) > 0
+    alone = F.size(F.filter("found", lambda m: same(m, F.col("value"), F.col("unit")))) == 1
+    q = q.filter(F.when(has_claims, F.size("claims") == F.size("found")).otherwise(alone))
+    clean = lambda t: T.collapse(F.regexp_replace(F.regexp_replace(F.regexp_replace(t, T.YEAR, " "), FILLERS, " "), r"[\p{Punct}，。；：、]+", " "))
+    q = q.withColumn("names", F.transform("pieces", lambda t: F.lower(clean(t))))
+    last = lambda a: F.get(a, F.size(a) - 1)
+    kept = lambda m: F.when(has_claims, once(m) & claimed(m)).otherwise(same(m, F.col("value"), F.col("unit")))
+
+    def point(m, i):
+        year = last(F.regexp_extract_all(F.array_join(F.slice("pieces", 1, i + 1), " "), F.lit(T.YEAR), F.lit(1)))
+        own = last(F.filter(F.slice("names", 1, i + 1), lambda n: n != ""))
+        first = F.get(F.filter("names", lambda n: n != ""), F.lit(0))
+        signature = F.when(F.endswith(first, own), first).otherwise(own)
+        name = F.when((F.size("found") == 1) | (F.get("names", i) == ""), F.col("metric")).otherwise(F.get("names", i))
+        return F.struct(kept(m).alias("ok"), year.alias("year"), F.coalesce(year, "period").alias("label"), name.alias("name"), signature.alias("signature"), T.safe_number(m["value"]).alias("value"), m["unit"].alias("unit"))
+
+    p = q.select("record_id", "metric", F.filter(F.transform("found", point), lambda x: x["ok"]).alias("x"))
+    cards = p.select("record_id", F.explode("x").alias("c")).select("record_id", F.lit("card").alias("kind"), F.col("c.name").alias("metric"), "c.unit", F.array("c.label").alias("labels"), F.array("c.value").alias("values"))
+    dated = p.withColumn("x", F.array_sort(F.transform(F.filter("x", lambda c: c["year"].isNotNull() & c["signature"].isNotNull()), lambda c: F.struct(c["year"].alias("year"), c["value"].alias("value"), c["unit"].alias("unit"), c["signature"].alias("signature")))))
+    one = lambda f: F.size(F.array_distinct(F.col(f"x.{f}"))) == 1
+    series = dated.filter((F.size("x") >= 2) & (F.size(F.array_distinct("x.year")) == F.size("x")) & one("unit") & one("signature"))
+    return cards.unionByName(series.select("record_id", F.lit("series").alias("kind"), "metric", F.col("x.unit")[0].alias("unit"), F.col("x.year").alias("labels"), F.col("x.value").alias("values")))
+
+
 def audited_growth(growth_rows: DataFrame, atoms: DataFrame) -> DataFrame:
-    """SER-6: growth rows all of whose points have a record that is still there and states that value and unit."""
-    p = growth_rows.select(*SERIES, F.explode("points").alias("p")).select(*SERIES, F.col("p.year").alias("year"), F.col("p.value").alias("value"), F.explode("p.record_ids").alias("record_id"))
-    a = atoms.filter("reason is null").select("record_id", F.col("value").alias("v"), F.col("unit").alias("u"))
-    ok = p.join(a, "record_id", "left").groupBy(*SERIES).agg(F.bool_and(F.coalesce((F.col("v") == F.col("value")) & (F.col("u") == F.col("unit")), F.lit(False))).alias("audited"))
+    """SER-6: growth rows all of whose points have records that are still there, say so, and whose quotes state that value
+    and unit themselves. A point without records drops its row."""
+    p = growth_rows.select(*SERIES, F.explode("points").alias("p")).select(*SERIES, F.col("p.year").alias("year"), F.col("p.value").alias("value"), F.explode_outer("p.record_ids").alias("record_id"))
+    a = atoms.filter("reason is null").select("record_id", F.col("value").alias("v"), F.col("unit").alias("u"), "quote")
+    states = F.exists(T.measures(F.col("quote")), lambda m: (T.safe_number(m["value"]) == F.col("value")) & (m["unit"] == F.col("unit")))
+    ok = p.join(a, "record_id", "left").groupBy(*SERIES).agg(F.bool_and(F.coalesce((F.col("v") == F.col("value")) & (F.col("u") == F.col("unit")) & states, F.lit(False))).alias("audited"))
     return growth_rows.join(ok.filter("audited").select(*SERIES), SERIES, "left_semi")
 
 

@@ -162,6 +162,26 @@ def _(s, d):
     return X.audited_facts(f, _evidence(s, d)).select("record_id")
 
 
+#: Two years of a segment in one sentence; the second one's unit or metric differs in some segments.
+TWO_YEARS = """select concat('t', seg, '-', y) as record_id, seg, y, v, y2, v2, concat('In ', y, ' the revenue was ', v, ' thousand, in ', y2, case when seg = '4' then ' the cost' else ' the revenue' end, ' was ', v2, case when seg = '3' then ' million.' else ' thousand.' end) as quote from (
+ select seg, y, v, lead(y) over (partition by seg order by y) as y2, lead(v) over (partition by seg order by y) as v2 from ({yearly}) z) t where y2 is not null and v <> v2"""
+
+
+@BOOK.add("ser_5_cards_and_series", f"""with t as ({TWO_YEARS.format(yearly=_YEARLY)}), ok as (select *, case when seg = '4' then 'cost' else 'revenue' end as m2, case when seg = '3' then 'million' else 'thousand' end as u2 from t where seg not in ('2', '5', '7'))
+select record_id, 'card' as kind, 'revenue' as metric, 'thousand' as unit, y as labels, v as "values" from ok union all select record_id, 'card', m2, u2, y2, v2 from ok
+union all select record_id, 'series', 'Sales', 'thousand', y || ',' || y2, v || ',' || v2 from ok where seg not in ('3', '4')""")
+def _(s, d):
+    # Segment 2 claims one of its two values only, the evidence of segment 5 says something else, segment 7 is in conflict.
+    r = derived(s, d, TWO_YEARS.replace("{yearly}", YEARLY.replace("{s}", "string")), "orders")
+    claim = lambda v, u: F.struct(F.concat_ws(" ", v, u).alias("whole"), F.col(v).alias("value"), u.alias("unit"))
+    first, second = claim("v", F.lit("thousand")), claim("v2", F.when(F.col("seg") == "3", "million").otherwise("thousand"))
+    records = r.select("record_id", F.lit("Sales").alias("metric"), "quote", (F.col("seg") == "7").alias("conflict"), F.array("record_id").alias("evidence_ids"), F.when(F.col("seg") == "2", F.array(first)).otherwise(F.array(first, second)).alias("claims"),
+                       F.lit(None).cast("string").alias("value"), F.lit(None).cast("string").alias("unit"), F.lit(None).cast("string").alias("period"))
+    ev = r.select(F.col("record_id").alias("id"), F.when(F.col("seg") == "5", "Nothing of it.").otherwise(F.concat(F.lit("Report. "), "quote")).alias("excerpt"))
+    joined = lambda c: F.array_join(c, ",")
+    return X.fact_cards(records, ev).select("record_id", "kind", "metric", "unit", joined("labels").alias("labels"), joined(F.transform("values", lambda v: v.cast("long").cast("string"))).alias("values"))
+
+
 @BOOK.add("ser_6_audited_growth", f"with y as ({_YEARLY}) select 'source|o' || seg || '|seg' || seg as scope_key from y where {_OK} and seg <> '9' group by seg having count(*) >= 2")
 def _(s, d):
     a = _atoms(s, d)

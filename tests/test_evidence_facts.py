@@ -89,3 +89,21 @@ def test_quality_rules(spark):
     d = spark.createDataFrame([(1, "Too short"), (2, "A long text " * 20 + "ends well."), (3, None)], "doc_id long, text string")
     got = {r["doc_id"]: r["i"] for r in d.select("doc_id", Q.blocking(Q.chapter_rules(F.col("text")), Q.content_rules(F.col("text"))).alias("i")).collect()}
     assert got == {1: ["unfinished", "too_short"], 2: [], 3: []}
+
+
+def test_cards_account_for_every_value_of_a_quote(spark):
+    claim = lambda *c: [dict(zip(("whole", "value", "unit"), x)) for x in c]
+    two = claim(("5 thousand", "5", "thousand"), ("6 thousand", "6", "thousand"))
+    rows = [("a", "In 2020 the revenue was 5 thousand, in 2021 it was 6 thousand.", ["1"], False, two, None, None, None), ("b", "In 2020 the revenue was 5 thousand, in 2021 it was 6 thousand.", ["1"], False, two[:1], None, None, None),
+            ("c", "In 2020 the revenue was 5 thousand, the cost 6 thousand.", ["1"], False, two, None, None, None), ("d", "The price was 7 thousand.", ["1"], False, None, "7.0", "thousand", "2019"),
+            ("e", "The price was 7 thousand.", ["1"], False, None, "8", "thousand", None), ("f", "The price was 7 thousand, or 7 thousand.", ["1"], False, None, "7", "thousand", None),
+            ("g", "The price was 7 thousand.", ["1", "2"], False, None, "7", "thousand", None), ("h", "The price was 7 thousand.", ["1"], True, None, "7", "thousand", None), ("i", None, ["1"], False, two, None, None, None),
+            ("j", "The price was 7 thousand.", [], False, None, "7", "thousand", None), ("k", "The price was 7 thousand.", None, None, [], "7", "thousand", None),
+            ("l", "In 2021 the steel revenue was 6 thousand and in 2020 the revenue was 5 thousand.", ["1"], False, two, None, None, None)]
+    r = spark.createDataFrame(rows, "record_id string, quote string, evidence_ids array<string>, conflict boolean, claims array<struct<whole:string,value:string,unit:string>>, value string, unit string, period string").withColumn("metric", F.lit("Base"))
+    ev = spark.createDataFrame([("1", " ".join(x[1] or "" for x in rows)), ("2", None)], "id string, excerpt string")
+    got = sorted((x["record_id"], x["kind"], x["metric"], tuple(x["labels"]), tuple(int(v) for v in x["values"])) for x in X.fact_cards(r, ev).collect())
+    assert got == [("a", "card", "Base", ("2021",), (6,)), ("a", "card", "revenue", ("2020",), (5,)), ("a", "series", "Base", ("2020", "2021"), (5, 6)),
+                   ("c", "card", "cost", ("2020",), (6,)), ("c", "card", "revenue", ("2020",), (5,)), ("d", "card", "Base", ("2019",), (7,)),
+                   ("l", "card", "revenue", ("2020",), (5,)), ("l", "card", "steel revenue", ("2021",), (6,)), ("l", "series", "Base", ("2020", "2021"), (5, 6))]
+    assert X.fact_cards(r.limit(0), ev).count() == 0
