@@ -134,8 +134,13 @@ def conflicts(claims: DataFrame, keys=CLAIM) -> DataFrame:
 def duplicate_owner(ev: DataFrame) -> DataFrame:
     """EVD-9: adds duplicate_of: the first row of the chapter with the same excerpt, white space and case aside."""
     key = F.lower(F.regexp_replace(F.coalesce("excerpt", F.lit("")), r"\s+", ""))
-    first = F.min("id").over(Window.partitionBy("project_id", "chapter_no", "_k"))
-    return ev.withColumn("_k", key).withColumn("duplicate_of", F.when((F.col("_k") != "") & (first < F.col("id")), first)).drop("_k")
+    place = ["project_id", "chapter_no", "_k"]
+    # Firsts are minima, taken before the shuffle; rows without an excerpt don't meet them, and a key of many rows is split by the join.
+    keyed = ev.withColumn("_k", F.when(key != "", F.sha2(key, 256)))
+    firsts = keyed.filter(F.col("_k").isNotNull()).groupBy(*place).agg(F.min("id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in place[:2]] + [F.col("a._k") == F.col("b._k")]
+    out = keyed.alias("a").join(firsts.alias("b"), same, "left")
+    return out.select(*(F.col(f"a.`{c}`") for c in ev.columns if c != "duplicate_of"), F.when(F.col("b._first") < F.col("a.id"), F.col("b._first")).alias("duplicate_of"))
 
 
 def triage(rows: DataFrame) -> DataFrame:
