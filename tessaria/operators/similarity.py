@@ -157,3 +157,49 @@ def scope_minima(paragraphs: Column, grams: Column, w: Column, unseen: float, mo
         return pd.Series(out)
 
     return run(paragraphs, grams, w)
+
+
+def score_at(scores: DataFrame, rank: int, zeros: int) -> float:
+    """The score (0 to 1) at a rank counted from 0 in rising order, after `zeros` pairs that score 0 and have no row.
+
+    Found by three counts over 10,000 cells each, every one within the cell before, so no sort of all pairs and no table of
+    different scores is held; the least score of the last cell, 1e-12 wide, is returned.
+    """
+    if rank < zeros:
+        return 0.0
+    rank -= zeros
+    for scale in (1e4, 1e8, 1e12):
+        cell = F.floor(F.col("similarity") * scale)
+        for k, n in sorted(scores.groupBy(cell.alias("k")).agg(F.count("*").alias("n")).collect()):
+            if rank < n:
+                scores = scores.filter(cell == k)
+                break
+            rank -= n
+        else:
+            raise ValueError("rank beyond the number of pairs")
+    return scores.agg(F.min("similarity")).first()[0]
+
+
+def calibration(scores: DataFrame, n_docs: int, revised: DataFrame, high: float = 0.9) -> DataFrame:
+    """DUP-21: one row over all pairs of n_docs documents: documents, pairs, median, p95 (the score at floor(0.95 (pairs - 1))),
+    maximum, pairs_at_90, synthetic_append_min; all scores in percent.
+
+    scores (similarity) has each pair with a shared gram once, others score 0. revised (similarity) compares every document
+    with its own revision. Without pairs, or without documents, figures are 0.
+    """
+    pairs = n_docs * (n_docs - 1) // 2
+    zeros = pairs - scores.count()
+    at = lambda rank: 100 * score_at(scores, rank, zeros) if pairs else 0.0
+    median, p95 = (at((pairs - 1) // 2) + at(pairs // 2)) / 2, at(int((pairs - 1) * 0.95))
+    zero = F.lit(0.0)
+    top = scores.agg((100 * F.coalesce(F.max("similarity"), zero)).alias("maximum"), F.count_if(F.col("similarity") >= high).alias("pairs_at_90"))
+    low = revised.agg((100 * F.coalesce(F.min("similarity"), zero)).alias("synthetic_append_min"))
+    return top.join(low).select(F.lit(n_docs).cast("long").alias("documents"), F.lit(pairs).cast("long").alias("pairs"), F.lit(float(median)).alias("median"), F.lit(float(p95)).alias("p95"), "maximum", "pairs_at_90", "synthetic_append_min")
+
+
+def revision_scores(profile: DataFrame, weights: DataFrame, unseen: float, added: str) -> DataFrame:
+    """DUP-21: (a, similarity) of each document (doc_id, body) with itself after a paragraph was added at its end; grams
+    that only the revision has weigh `unseen`."""
+    now = F.when(F.col("body") == "", F.lit(added)).otherwise(F.concat("body", F.lit("\n" + added)))
+    old, new = (weighted_sets(profile.select("doc_id", gram_ids(x).alias("grams")), weights, unseen) for x in (F.col("body"), now))
+    return scored(profile.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")), old, new).select("a", "similarity")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import dedup as D
+from ..operators import repetition as R
 from ..operators import similarity as S
 from ..operators.duplicate_index import DuplicateIndex
 from ..sources.shared import cut, shared_dir
@@ -283,6 +284,42 @@ def _(s, d):
     return D.calibration(D.strict_scores(g.select("doc_id").distinct(), g, w, u), n)
 
 
+#: A paragraph that stands for a revision.
+_ADDED = "revision:twoauditsayear,checkedeachquarter."
+_PAIRS_21 = """, sh as (select x.doc_id as a, y.doc_id as b, sum(weight) as s from g x join g y using (gram) join w using (gram) where x.doc_id < y.doc_id group by 1, 2),
+sc as (select x.doc_id as a, y.doc_id as b, coalesce(s, 0) / greatest(1e-12, x.total + y.total - coalesce(s, 0)) as similarity from tot x join tot y on x.doc_id < y.doc_id left join sh on sh.a = x.doc_id and sh.b = y.doc_id)"""
+
+
+def _all_pairs(s, d):
+    """Scores of all pairs of benchmark items with a shared gram, each once; their profiles, weights and number."""
+    p = cut(_profile(s, d, "benchmark").select("doc_id", "body"), shared_dir(s, "calibration"), "bodies")
+    n = p.count()
+    sets = p.select("doc_id", S.gram_ids(F.col("body")).alias("grams"))
+    weights = cut(S.gram_weights(sets, n), shared_dir(s, "calibration"), "weights")
+    w = cut(S.weighted_sets(sets, weights, S.unseen_weight(n)), shared_dir(s, "calibration"), "sets")
+    g = w.select("doc_id", F.explode("grams").alias("gram"))
+    near = g.withColumnRenamed("doc_id", "a").join(g.withColumnRenamed("doc_id", "b"), "gram").filter("a < b").select("a", "b").distinct()
+    return cut(S.scored(near, w, w), shared_dir(s, "calibration"), "scores"), p, weights, n
+
+
+@BOOK.add("dup_21_quantiles", _BENCH + _WEIGHTS + _PAIRS_21 + f""", o as (select similarity, row_number() over (order by similarity) - 1 as k, count(*) over () as n from sc),
+rv as (select doc_id, list_distinct(list_transform(range(1, length(x) - 3), lambda i: substring(x, i, 5))) as l from (select doc_id, case when body = '' then '{_ADDED}' else body || chr(10) || '{_ADDED}' end as x from pb)),
+rg as (select doc_id, unnest(l) as gram from rv), sy as (select rg.doc_id, coalesce(sum(w.weight) filter (g.gram is not null), 0) as s, sum(coalesce(w.weight, (select 0.1 + ln(n + 1) from nd))) as t
+       from rg left join w using (gram) left join g on g.doc_id = rg.doc_id and g.gram = rg.gram group by 1)
+select (select count(*) from src)::bigint as documents, count(*)::bigint as pairs, round(100 * median(similarity), 6) as median, round(100 * max(similarity) filter (k = floor((n - 1) * 0.95)), 6) as p95, round(100 * max(similarity), 6) as maximum,
+ count(*) filter (similarity >= 0.9)::bigint as pairs_at_90, round(100 * (select min(s / (total + t - s)) from sy join tot using (doc_id)), 6) as synthetic_append_min from o""")
+def _(s, d):
+    scores, p, weights, n = _all_pairs(s, d)
+    out = S.calibration(scores, n, S.revision_scores(p, weights, S.unseen_weight(n), _ADDED))
+    return out.select("documents", "pairs", *(F.round(c, 6).alias(c) for c in ("median", "p95", "maximum")), "pairs_at_90", F.round("synthetic_append_min", 6).alias("synthetic_append_min"))
+
+
+@BOOK.add("dup_21_top_pairs", _BENCH + _WEIGHTS + _PAIRS_21 + " select a, b, round(similarity, 6) as similarity from sc where similarity > 0 order by round(similarity, 6) desc, a, b limit 5")
+def _(s, d):
+    scores = _all_pairs(s, d)[0].select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return scores.orderBy(F.desc("similarity"), "a", "b").limit(5)
+
+
 @BOOK.add("dup_22_exact_paragraphs", r"""
 with b as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents),
 k as (select *, regexp_replace(line, '\s+', '', 'g') as key from b), p as (select *, length(key) >= 40 and not regexp_matches(line, '^\s*(?:[#|>]|[-*+]\s|[0-9]+[.)]\s)') as prose from k),
@@ -319,6 +356,44 @@ def _(s, d):
     return D.cross_document_repeats(D.sentence_rows(table(s, d, "documents")))
 
 
+#: Documents of a source as chapters of one report, each with a heading left bare, four data rows that others of its source may have too, and an end.
+CHAPTERS = r"""select source as report, doc_id as chapter, coalesce(text, '') || concat('{nl}## Figures{nl}- level 1: ', doc_id % 20, ' [', doc_id % 9, ']{nl}2. **level 2**: ', doc_id % 40, ' units;{nl}| level 3 | ', doc_id % 80, ' |{nl}* level 4: ', doc_id % 160) as text from {documents}"""
+_CHAPTERS = r"""with l0 as (select doc_id, source, string_split(coalesce(text, ''), chr(10)) as l from documents), l1 as (select doc_id, source, unnest(l) as line, generate_subscripts(l, 1) as pos from l0),
+k as (select *, regexp_replace(line, '\[[0-9]+(-[0-9]+)?\]|[\s\x{3000}*`]', '', 'g') as key from l1),
+sn as (select *, row_number() over (partition by source, key order by doc_id, pos) as rn from k where length(key) >= 25),
+dr as (select doc_id, source, unnest([1, 2, 3, 4]) as level, unnest([doc_id % 20, doc_id % 40, doc_id % 80, doc_id % 160]) as v from documents),
+dn as (select *, row_number() over (partition by source, level, v order by doc_id) as rn from dr)"""
+
+
+def _chapters(s, d):
+    t = table(s, d, "documents")
+    return s.sql(CHAPTERS.replace("{nl}", "\\n"), documents=t)
+
+
+# The SQL counts levels and values; it knows nothing of marks, units and citations in the rows.
+@BOOK.add("dup_24_repeated_rows", _CHAPTERS + r""", kept as (select doc_id, pos, line from k where length(key) < 25 union all select doc_id, pos, line from sn where rn = 1),
+rows as (select doc_id, level, case level when 1 then '- level 1: ' || v || ' [' || doc_id % 9 || ']' when 2 then '2. **level 2**: ' || v || ' units;' when 3 then '| level 3 | ' || v || ' |' else '* level 4: ' || v end as line from dn where rn = 1),
+al as (select doc_id, pos, trim(line, ' ') as line from kept union all select doc_id, 1000000 + level, line from rows union all select distinct doc_id, 1000000, '## Figures' from rows),
+tx as (select doc_id, regexp_replace(string_agg(line, chr(10) order by pos), '^\s+|\s+$', '', 'g') as text from al group by 1),
+gone as (select doc_id, count(*) as n from (select doc_id from sn where rn > 1 union all select doc_id from dn where rn > 1) group by 1)
+select source as report, doc_id as chapter, sha256(coalesce(tx.text, '')) as digest, coalesce(n, 0)::bigint as removed from documents left join tx using (doc_id) left join gone using (doc_id)""")
+def _(s, d):
+    return R.without_repeats(_chapters(s, d)).select("report", "chapter", F.sha2("text", 256).alias("digest"), "removed")
+
+
+@BOOK.add("dup_25_issues", _CHAPTERS + r""", p as (select doc_id, count(*) filter (rn > 1) as repeated, coalesce(sum(length(key)) filter (rn > 1), 0) as repeated_chars, sum(length(key)) as chars from sn group by 1),
+r as (select doc_id, count(*) filter (rn > 1) as repeated_rows from dn group by 1)
+select source as report, doc_id as chapter, coalesce(repeated, 0)::bigint as repeated, coalesce(repeated_chars, 0)::bigint as repeated_chars, coalesce(repeated_rows, 0)::bigint as repeated_rows,
+ coalesce(repeated >= 3 and repeated_chars >= greatest(120, 0.25 * chars), false) as prose_issue, coalesce(repeated_rows >= 3, false) as rows_issue from documents left join p using (doc_id) left join r using (doc_id)""")
+def _(s, d):
+    return R.issues(_chapters(s, d)).drop("chars")
+
+
+@BOOK.add("dup_26_locations", _CHAPTERS + r""" select key as sentence, doc_id, (pos - 1)::int as pos, count(*) over (partition by key)::bigint as n from (select doc_id, pos, regexp_replace(line, '\[[0-9]+(-[0-9]+)?\]|[\s\x{3000}]', '', 'g') as key from l1) where length(key) >= 26 qualify count(*) over (partition by key) > 1""")
+def _(s, d):
+    return R.locations(table(s, d, "documents")).select("sentence", "doc_id", "pos", "n")
+
+
 def flagship(s, d):
     """Scored candidate pairs of near-duplicate documents, most similar first."""
     return scored_candidates(s, d).orderBy(F.desc("similarity"), "a", "b")
