@@ -48,6 +48,19 @@ def table_capture(blocks: DataFrame) -> DataFrame:
     return blocks.filter(F.contains("text", F.lit(" | "))).select("doc_id", "ordinal", F.posexplode(F.split("text", r" \| ")).alias("col", "text"))
 
 
+def table_cells(blocks: DataFrame) -> DataFrame:
+    """SRC-8: (doc_id, ordinal, table, row, col, header, text): table rows in succession are a table (counted from 1 in a
+    document), whose first row gives each cell its header (null in columns beyond it). All cells stay, repeated ones too."""
+    order = Window.partitionBy("doc_id").orderBy("ordinal")
+    b = blocks.withColumn("cells", F.when(F.contains("text", F.lit(" | ")), F.split("text", r" \| ")))
+    new = F.col("cells").isNotNull() & F.lag("cells").over(order).isNull()
+    b = b.withColumn("table", F.count_if(new).over(order)).filter("cells is not null")
+    own = Window.partitionBy("doc_id", "table").orderBy("ordinal")
+    b = b.withColumn("row", F.row_number().over(own)).withColumn("headers", F.first("cells").over(own))
+    b = b.select("doc_id", "ordinal", F.col("table").cast("int").alias("table"), "row", "headers", F.posexplode("cells").alias("col", "text"))
+    return b.select("doc_id", "ordinal", "table", "row", "col", F.get("headers", "col").alias("header"), "text")
+
+
 def entity(blocks: DataFrame, documents: DataFrame, looks: str, first: int = 35) -> DataFrame:
     """SRC-9: (doc_id, entity): the first of `first` blocks that looks like one, else the cleaned name, else a label."""
     seen = blocks.filter((F.col("ordinal") < first) & F.col("text").rlike(looks)).groupBy("doc_id").agg(F.min_by(F.regexp_extract("text", looks, 0), "ordinal").alias("e"))
@@ -146,6 +159,18 @@ def live_cache(cache: DataFrame, now: Column) -> DataFrame:
     return cache.filter(F.col("expires") > now)
 
 
+def put_cache(cache: DataFrame, answers: DataFrame, now: Column, lifetimes: dict[str, str], lifetime: str = "7 days") -> DataFrame:
+    """SRC-21: the cache (cache_key, provider, answer, stored, expires) after answers (provider, dataset, params, answer,
+    asked) were put: per key the last one asked (ties by the greater answer) replaces what was there, whether that has
+    expired or not. Entries live for their provider's lifetime (an interval), else for `lifetime`."""
+    age = F.expr(f"interval {lifetime}")
+    for name, span in lifetimes.items():
+        age = F.when(F.col("provider") == name, F.expr(f"interval {span}")).otherwise(age)
+    last = answers.withColumn("cache_key", cache_key(F.col("provider"), F.col("dataset"), F.col("params"))).groupBy("cache_key", "provider").agg(F.max(F.struct("asked", "answer")).alias("x"))
+    fresh = last.select("cache_key", "provider", F.col("x.answer").alias("answer"), now.alias("stored"), (now + age).alias("expires"))
+    return cache.join(fresh.select("cache_key"), "cache_key", "left_anti").unionByName(fresh)
+
+
 def insert_absent(new: DataFrame, old: DataFrame, keys: list[str]) -> DataFrame:
     """SRC-22, MRG-2: old rows and those new ones whose key is not there yet (first of equal keys, by all columns)."""
     w = Window.partitionBy(*keys).orderBy(*[c for c in new.columns if c not in keys])
@@ -202,6 +227,14 @@ def apply_changes(edits: DataFrame, changes: DataFrame) -> DataFrame:
     return j.select("block_id", F.coalesce("c.text", edits["text"]).alias("text"), F.coalesce("c.module", edits["module"]).alias("module"), deleted.alias("deleted"))
 
 
+def refused_changes(changes: DataFrame, blocks: DataFrame) -> DataFrame:
+    """CAT-2: changes that can't be made, with a reason: edits of an image's text, and changes of blocks that don't exist.
+    blocks have (block_id, kind), one row each."""
+    j = changes.join(blocks.select("block_id", F.coalesce("kind", F.lit("paragraph")).alias("_kind")), "block_id", "left")
+    reason = F.when(F.col("_kind").isNull(), "no_block").when((F.col("action") == "edit") & (F.col("_kind") == "image") & F.col("text").isNotNull(), "image_text")
+    return j.withColumn("reason", reason).filter("reason is not null").drop("_kind")
+
+
 def new_ordinals(added: DataFrame, blocks: DataFrame) -> DataFrame:
     """CAT-2: added rows (doc_id, seq, text) with ordinals after the last one of their document."""
     top = blocks.groupBy("doc_id").agg(F.max("ordinal").alias("top"))

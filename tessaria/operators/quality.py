@@ -28,6 +28,32 @@ def chapter_rules(text: Column, stray: str = r"(?i)\b(?:todo|tbd|lorem ipsum|und
     })
 
 
+#: Sections on market size, what names a series' scope in a list row, and geographies before it (fixed patterns).
+MARKET_HEADING = "市场规模.*(?:增速|增长)|市场规模与增速"
+SERIES_SCOPE = r"([A-Za-z一-鿿][A-Za-z0-9一-鿿·（）()\-/]{1,29}?)(?:市场规模|市场[：:])"
+GEOGRAPHY = "^(?:中国|国内|全国|全球)"
+
+
+def series_rules(chapters: DataFrame, early: tuple[int, ...] = (1, 2), least: int = 3, heading: str = MARKET_HEADING, scope: str = SERIES_SCOPE, geography: str = GEOGRAPHY) -> DataFrame:
+    """QLT-1: (report, chapter, year_table, mixed_scopes) of chapters (report, chapter, text): whether a section on market
+    size in one of the `early` chapters lists `least` years or more, and whether a section's rows name several scopes.
+
+    Rows are list items with a year. A row's scope is the name before the measure after its year, geographies aside;
+    rows without a name say nothing. Chapters without such a section have false for both.
+    """
+    keys = ["report", "chapter"]
+    lines = chapters.select(*keys, F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\r?\n")).alias("pos", "line"))
+    title = F.when(F.col("line").rlike(r"^\s*#{1,6}\s+"), F.struct("pos", F.col("line").rlike(heading).alias("market")))
+    lines = lines.withColumn("section", F.last(title, ignorenulls=True).over(Window.partitionBy(*keys).orderBy("pos")))
+    rows = lines.filter("section.market").filter(F.col("line").rlike(r"^\s*[-*+]\s+.*20[0-9]{2}年"))
+    said = F.regexp_replace(F.regexp_replace("line", r"^\s*[-*+]\s+", ""), r"^.*?20[0-9]{2}年[，,:：\s]*", "")
+    name = F.nullif(F.regexp_replace(F.regexp_replace(F.regexp_extract(said, scope, 1), geography, ""), "^[的：: ]+|[的：: ]+$", ""), F.lit(""))
+    found = rows.withColumn("scope", name).groupBy(*keys, "section.pos").agg(F.count("*").alias("n"), F.countDistinct("scope").alias("scopes"))
+    found = found.groupBy(*keys).agg(F.max("n").alias("n"), F.max("scopes").alias("scopes"))
+    out = chapters.select(*keys).join(found, keys, "left")
+    return out.select(*keys, (F.col("chapter").isin(*early) & (F.coalesce("n", F.lit(0)) >= least)).alias("year_table"), (F.coalesce("scopes", F.lit(0)) > 1).alias("mixed_scopes"))
+
+
 def content_rules(text: Column, echo: str = r"(?i)^\s*(?:as an assistant|here is the|sure,)", least: int = 80) -> Column:
     """QLT-2: echo of instructions, too short, a question spliced into the text."""
     return named({"echo": text.rlike(echo), "too_short": F.length(F.trim(text)) < least, "spliced_question": text.rlike(r"[a-z]\?[a-z]")})
@@ -57,13 +83,27 @@ def blocking(*families: Column) -> Column:
     return F.array_distinct(F.concat(*families))
 
 
-def without_conclusions(docs: DataFrame, heading: str, line: str, note: str) -> DataFrame:
-    """QLT-6: drops sections whose heading matches and lines that match; where something went, one note closes the text."""
+def _tables(rows: DataFrame) -> DataFrame:
+    """`table`: the position of the first of two or more table rows in succession, null elsewhere; `place` counts them from 1."""
+    rows = rows.withColumn("bar", F.col("line").rlike(r"^\s*\|.+\|\s*$"))
+    order = Window.partitionBy("doc_id").orderBy("pos")
+    rows = rows.withColumn("start", F.last(F.when(F.col("bar") & ~F.coalesce(F.lag("bar").over(order), F.lit(False)), F.col("pos")), ignorenulls=True).over(order))
+    rows = rows.withColumn("start", F.when(F.col("bar"), F.col("start")))
+    size = F.count("*").over(Window.partitionBy("doc_id", "start"))
+    return rows.withColumn("table", F.when(F.col("bar") & (size > 1), F.col("start"))).withColumn("place", F.when(F.col("table").isNotNull(), F.col("pos") - F.col("start") + 1)).drop("bar", "start")
+
+
+def without_conclusions(docs: DataFrame, heading: str, line: str, note: str, header: str | None = None) -> DataFrame:
+    """QLT-6: drops sections whose heading matches, lines that match and, with `header`, tables of two rows or more whose
+    first two match it; where something went, one note closes the text. A document of which nothing stays is the note."""
     b = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
     w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     head = F.startswith("line", F.lit("#"))
     b = b.withColumn("in_bad", F.coalesce(F.last(F.when(head, F.col("line").rlike(heading)), ignorenulls=True).over(w), F.lit(False)))
     b = b.withColumn("gone", F.col("in_bad") | F.col("line").rlike(line))
+    if header is not None:
+        top = F.bool_or((F.col("place") <= 2) & F.col("line").rlike(header)).over(Window.partitionBy("doc_id", "table"))
+        b = _tables(b).withColumn("gone", F.col("gone") | (F.col("table").isNotNull() & F.coalesce(top, F.lit(False))))
     out = b.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.when(~F.col("gone"), F.struct("pos", "line")))).alias("s"), F.bool_or("gone").alias("cut"))
     text = F.array_join(F.transform("s", lambda x: x["line"]), "\n")
     return out.select("doc_id", F.when(F.col("cut"), F.concat_ws("\n", F.nullif(text, F.lit("")), F.lit(note))).otherwise(text).alias("text"), "cut")

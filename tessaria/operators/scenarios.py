@@ -50,6 +50,41 @@ def market(facts: DataFrame) -> DataFrame:
     return w.select("scenario", "tam", "sam", F.least("demand_ceiling", "capacity_ceiling").alias("som"), "demand_ceiling", "capacity_ceiling", binding.alias("binding"), status.alias("status"), "gaps", "pending")
 
 
+def market_problems(facts: DataFrame, scenarios: DataFrame, currency: str = "元") -> DataFrame:
+    """CAL-1: (scenario, key, problem), a row for each fault of a fact (scenario, key, value, unit, scope, year) against its
+    scenario (scenario, base_unit, demand_unit, scope, year; one row each): unknown key, unit, scope, year, percentage
+    over 100, or no scenario. What is null doesn't agree. Scenarios without a row here may be calculated."""
+    s = scenarios.select("scenario", "base_unit", "demand_unit", F.col("scope").alias("_scope"), F.col("year").alias("_year"), F.lit(True).alias("_known"))
+    f = facts.join(s, "scenario", "left")
+    key = F.col("key")
+    want = F.when(key == "base", F.col("base_unit")).when(key == "unit_demand", F.concat("demand_unit", F.lit("/"), "base_unit")).when(key == "unit_price", F.concat(F.lit(currency + "/"), "demand_unit")).when(key == "effective_capacity", F.col("demand_unit")).otherwise("%")
+    known, differs = F.col("_known").isNotNull() & key.isin(*MARKET), lambda a, b: ~F.coalesce(a == b, F.lit(False))
+    rules = {"no_scenario": F.col("_known").isNull(), "unknown_key": F.col("_known").isNotNull() & ~F.coalesce(key.isin(*MARKET), F.lit(False)), "unit": known & differs(F.col("unit"), want),
+             "scope": known & differs(F.col("scope"), F.col("_scope")), "year": known & differs(F.col("year"), F.col("_year")), "percentage": known & F.endswith(key, F.lit("_pct")) & (F.col("value") > 100)}
+    return f.select("scenario", "key", F.explode(F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in rules.items())))).alias("problem"))
+
+
+def city_problems(cells: DataFrame, indicators: DataFrame, cities: DataFrame, scenarios: DataFrame) -> DataFrame:
+    """CAL-3: (scenario, indicator, city, problem): weights that don't sum to 100, indicators or cities that repeat, cities
+    without a name, and cells (scenario, indicator, city, unit, scope) of a city or an indicator that isn't declared, in another
+    unit, or of another scope (an empty one agrees). indicators have (scenario, indicator, weight decimal, unit), cities
+    (scenario, city), scenarios (scenario, scope). Scenarios without a row here may be scored."""
+    none = F.lit(None).cast("string")
+    rows = lambda df, problem, indicator=none, city=none: df.select("scenario", indicator.alias("indicator"), city.alias("city"), problem.alias("problem"))
+    weights = indicators.groupBy("scenario").agg(F.sum("weight").alias("w")).filter("w is null or w <> 100")
+    twice = indicators.groupBy("scenario", "indicator").agg(F.count("*").alias("n")).filter("n > 1")
+    known = cities.groupBy("scenario", "city").agg(F.count("*").alias("n"))
+    out = rows(weights, F.lit("weights")).unionByName(rows(twice, F.lit("indicator_repeats"), F.col("indicator")))
+    out = out.unionByName(rows(known.filter("n > 1"), F.lit("city_repeats"), city=F.col("city"))).unionByName(rows(known.filter("coalesce(trim(city), '') = ''"), F.lit("no_name"), city=F.col("city")))
+    units = indicators.groupBy("scenario", "indicator").agg(F.min("unit").alias("_unit"), F.lit(True).alias("_indicator"))
+    c = cells.join(units, ["scenario", "indicator"], "left").join(known.select("scenario", "city", F.lit(True).alias("_city")), ["scenario", "city"], "left")
+    c = c.join(scenarios.select("scenario", F.col("scope").alias("_scope")), "scenario", "left")
+    other = (F.coalesce("scope", F.lit("")) != "") & ~F.coalesce(F.col("scope") == F.col("_scope"), F.lit(False))
+    rules = {"unknown_indicator": F.col("_indicator").isNull(), "unknown_city": F.col("_city").isNull(), "unit": F.col("_indicator").isNotNull() & ~F.coalesce(F.col("unit") == F.col("_unit"), F.lit(False)), "scope": other}
+    c = c.withColumn("problem", F.explode(F.array_compact(F.array(*(F.when(x, F.lit(n)) for n, x in rules.items())))))
+    return out.unionByName(rows(c, F.col("problem"), F.col("indicator"), F.col("city")))
+
+
 def finance(facts: DataFrame) -> DataFrame:
     """CAL-2: profit, break-even, cash cycle and funding floor. Gaps (or capacity or price not above 0) block, pending
     facts do not; break-even is null without a positive contribution."""

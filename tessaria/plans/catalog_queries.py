@@ -63,6 +63,17 @@ def _(s, d):
     return K.table_capture(b).groupBy("doc_id").agg(F.countDistinct("ordinal").alias("table_rows"), F.count("*").alias("cells"))
 
 
+@BOOK.add("src_8_table_cells", """with r as (select doc_id, unnest(range(0, 2 + doc_id % 3)) as i from documents)
+select doc_id, (t + 1)::int as "table", (i + 1)::int as row, c::int as col, case when c < 2 then 'h' || t || c end as header, case when i = 0 then 'h' || t || c else 'same' || (doc_id % 7) end as text
+from (select r.*, unnest([0, 1]) as t from r), (select unnest([0, 1, 2]) as c) where c < 2 or i = 2""")
+def _(s, d):
+    """Each document ends in two tables with a line between; their third row has a cell more than the header."""
+    i, own = F.col("doc_id"), F.concat(F.lit("same"), (F.col("doc_id") % 7).cast("string"))
+    rows = lambda t: F.transform(F.sequence(F.lit(0), (i % 3 + 1).cast("int")), lambda x: F.when(x == 0, f"h{t}0 | h{t}1").when(x == 2, F.concat_ws(" | ", own, own, own)).otherwise(F.concat_ws(" | ", own, own)))
+    lines = F.concat(F.transform(F.split("text", "\n"), lambda x: F.replace(x, F.lit(" | "), F.lit(" "))), rows(0), F.array(F.lit("between")), rows(1))
+    return K.table_cells(_docs(s, d).select("doc_id", F.posexplode(lines).alias("ordinal", "text"))).drop("ordinal")
+
+
 _LOOKS = r"[A-Z][a-z]*(?:tion|ment|heit)"
 
 
@@ -148,6 +159,18 @@ def _(s, d):
     return K.live_cache(c, F.lit(top) - F.expr("interval 3 days")).select("cache_key")
 
 
+@BOOK.add("src_21_cache_writes", """with a as (select event_type as provider, user_id, max(ts) as asked, arg_max(event_id, (ts, lpad(event_id::varchar, 20, '0'))) as answer from events where event_id % 2 = 1 group by 1, 2),
+o as (select event_type as provider, user_id from events where event_id % 2 = 0 group by 1, 2), n as (select provider, sha256('["' || provider || '","d","' || user_id || '"]') as cache_key, answer::varchar as answer, case provider when 'click' then 30 else 7 end as days from a)
+select cache_key, answer, days::int as days from n union all select sha256('["' || provider || '","d","' || user_id || '"]'), 'old', 1 from o anti join a using (provider, user_id)""")
+def _(s, d):
+    """Events ask: even ones are in the cache, odd ones are put, the last of a key wins; days are how long an entry lives from now."""
+    now, old = F.lit("2025-01-01 00:00:00").cast("timestamp"), F.col("event_id") % 2 == 0
+    e = table(s, d, "events").select(F.col("event_type").alias("provider"), F.lit("d").alias("dataset"), F.col("user_id").cast("string").alias("params"), F.lpad(F.col("event_id").cast("string"), 20, "0").alias("answer"), F.col("ts").alias("asked"), "event_id")
+    cache = e.filter(old).select(K.cache_key(F.col("provider"), F.col("dataset"), F.col("params")).alias("cache_key"), "provider", F.lit("old").alias("answer"), (now - F.expr("interval 6 days")).alias("stored"), (now + F.expr("interval 1 day")).alias("expires")).distinct()
+    out = K.put_cache(cache, e.filter(~old), now, {"click": "30 days"})
+    return out.select("cache_key", F.regexp_replace("answer", "^0+(?=.)", "").alias("answer"), F.datediff("expires", now).alias("days"))
+
+
 @BOOK.add("src_22_insert_absent", "select count(*)::bigint as n, sum(v)::bigint as total from (select o_orderkey as k, 0 as v from orders where o_orderkey % 2 = 0 union all select o_orderkey, 1 from orders where o_orderkey % 2 = 1 and o_orderkey % 3 = 0)")
 def _(s, d):
     o = table(s, d, "orders")
@@ -204,6 +227,22 @@ def _(s, d):
     return K.apply_changes(_edits(s, d), c.unionByName(more)).select("block_id", "text", "deleted")
 
 
+@BOOK.add("cat_2_refused", "select doc_id as block_id, 1 as seq, case when quality = 0 and toxic is distinct from 1 then 'image_text' else 'no_block' end as reason from labels where toxic = 1 or quality = 0 and doc_id % 3 <> 0")
+def _(s, d):
+    """Labels as blocks: toxic ones are gone, those of low quality are images; every third change is to the trash."""
+    lab = table(s, d, "labels")
+    changes = lab.select(F.col("doc_id").alias("block_id"), F.lit(1).alias("seq"), F.when(F.col("doc_id") % 3 == 0, "trash").otherwise("edit").alias("action"), F.lit("new").alias("text"), F.lit(None).cast("string").alias("module"))
+    blocks = lab.filter("toxic is distinct from 1").select(F.col("doc_id").alias("block_id"), F.when(F.col("quality") == 0, "image").alias("kind"))
+    return K.refused_changes(changes, blocks).select("block_id", "seq", "reason")
+
+
+@BOOK.add("cat_2_new_ordinals", "select o_custkey as doc_id, o_orderkey as seq, (coalesce((select count(*) from customer where c_custkey = o_custkey and c_nationkey % 2 = 0), 0) + row_number() over (partition by o_custkey order by o_orderkey) - 1)::int as ordinal from orders")
+def _(s, d):
+    """Orders as rows added to customers, every other nation's of which have a block already."""
+    old = table(s, d, "customer").filter("c_nationkey % 2 = 0").select(F.col("c_custkey").alias("doc_id"), F.lit(0).alias("ordinal"))
+    return K.new_ordinals(table(s, d, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("seq"), F.lit("x").alias("text")), old).select("doc_id", "seq", "ordinal")
+
+
 @BOOK.add("cat_3_catalogue", "select d.doc_id, coalesce(case when quality = 1 then 'T' || d.doc_id end, source) as title, coalesce(n_name, 'unknown') as company from documents d left join labels l using (doc_id) left join nation on n_nationkey = d.doc_id % 40 where toxic is distinct from 1")
 def _(s, d):
     lab = table(s, d, "labels")
@@ -259,6 +298,14 @@ def _(s, d):
     return _docs(s, d).select("doc_id", F.array_join(Q.chapter_rules(F.col("text")), ",").alias("issues"))
 
 
+@BOOK.add("qlt_1_series_rules", "select o_custkey as report, o_orderkey as chapter, false as year_table, o_orderkey % 7 = 0 as mixed_scopes from orders where o_orderkey not in (1, 2) union all select o_custkey, o_orderkey, o_custkey % 3 > 0, false from orders where o_orderkey in (1, 2)")
+def _(s, d):
+    """Orders as chapters: two to four years of one market, with and without its country, of another in every seventh, below a heading on market growth and above one on other things."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    text = F.concat(F.lit("# 概况\n- 2019年甲市场规模1亿\n### 市场规模与增长\n- 2021年中国设备市场规模1亿\n- 2022年："), F.when(k % 7 == 0, "零件").otherwise("设备"), F.lit("市场规模2亿\n"), F.repeat(F.lit("* 2023年：3亿\n"), (c % 3).cast("int")), F.lit("文字2024年\n## 其他\n- 2020年乙市场：4亿"))
+    return Q.series_rules(table(s, d, "orders").select(c.alias("report"), k.alias("chapter"), text.alias("text")))
+
+
 @BOOK.add("qlt_2_content_rules", "select doc_id, concat_ws(',', case when regexp_matches(text, '(?i)^\\s*(?:as an assistant|here is the|sure,)') then 'echo' end, case when length(trim(text)) < 80 then 'too_short' end, case when regexp_matches(text, '[a-z]\\?[a-z]') then 'spliced_question' end) as issues from documents")
 def _(s, d):
     return _docs(s, d).select("doc_id", F.array_join(Q.content_rules(F.col("text")), ",").alias("issues"))
@@ -288,6 +335,14 @@ def _(s, d):
     return out.filter("text <> 'Note'").select("doc_id", "cut", F.length("text").cast("long").alias("chars"))
 
 
+@BOOK.add("qlt_6_tables", """select doc_id, true as cut, sha256(case when doc_id % 3 = 0 then '| a | b |' || chr(10) || 'between' || chr(10) || '| Score |' || chr(10) || 'Note' when doc_id % 3 = 1 then text || chr(10) || '| a | b |' || chr(10) || '| 1 | 2 |' || chr(10) || '| Score | 3 |' || chr(10) || 'Note' else 'Note' end) as digest from documents""")
+def _(s, d):
+    """A table by its header, a table whose third row only looks like one, a single row, and documents of which nothing stays."""
+    n = F.col("doc_id") % 3
+    made = F.when(n == 0, F.lit("| a | b |\nbetween\n| Score |\n# Conclusion\nx")).when(n == 1, F.concat("text", F.lit("\n| a | b |\n| 1 | 2 |\n| Score | 3 |\n# Conclusion\n| 5 |"))).otherwise("| a |\n| Score |\n| 7 |")
+    return Q.without_conclusions(_docs(s, d).select("doc_id", made.alias("text")), "Conclusion", "^never$", "Note", header="Score").select("doc_id", "cut", F.sha2("text", 256).alias("digest"))
+
+
 @BOOK.add("qlt_7_new_numbers", "select o_orderkey as id, case when o_custkey % 3 = 0 and o_custkey <> o_orderkey then o_custkey::varchar else '' end as fresh from orders")
 def _(s, d):
     k, c = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")

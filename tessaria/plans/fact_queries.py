@@ -275,6 +275,38 @@ def _(s, d):
     return m.select("scenario", *(F.round(F.col(c).cast("double"), 4).alias(c) for c in ("tam", "sam", "som")), "binding", "status")
 
 
+@BOOK.add("cal_1_market_checks", f"""with b as ({_BRANDS}), f as (select *, unnest(['base', 'unit_demand', 'unit_price', 'acquisition_rate_pct', 'effective_capacity', 'mood']) as key from b where k % 7 <> 3),
+p as (select scenario, key, case when key = 'mood' then 'unknown_key' end as a, case when key = 'unit_price' and k % 3 = 0 then 'unit' end as u, case when key <> 'mood' and k % 5 = 1 then 'scope' end as sc, case when key = 'base' and k % 4 = 1 then 'year' end as y, case when key = 'acquisition_rate_pct' and n > 100 then 'percentage' end as pc from f)
+select scenario, key, unnest(list_filter([a, u, sc, y, pc], lambda x: x is not null)) as problem from p
+union all select scenario, unnest(['base', 'unit_demand', 'unit_price', 'acquisition_rate_pct', 'effective_capacity', 'mood']), 'no_scenario' from b where k % 7 = 3""")
+def _(s, d):
+    b = derived(s, d, BRANDS, "lineitem", "part")
+    l, k = F.lit, F.col("k")
+    units = {"base": l("site"), "unit_demand": l("t/site"), "unit_price": F.when(k % 3 == 0, "元").otherwise("元/t"), "acquisition_rate_pct": l("%"), "effective_capacity": l("t"), "mood": l("good")}
+    x = F.explode(F.array(*(F.struct(l(n).alias("key"), u.alias("unit")) for n, u in units.items()))).alias("x")
+    facts = b.select("scenario", "k", F.col("n").cast("decimal(20,6)").alias("value"), x).select("scenario", "x.key", "value", "x.unit", F.when(k % 5 == 1, "abroad").otherwise("home").alias("scope"), F.when((k % 4 == 1) & (F.col("x.key") == "base"), 2023).otherwise(2024).alias("year"))
+    return C.market_problems(facts, b.filter("k % 7 <> 3").select("scenario", l("site").alias("base_unit"), l("t").alias("demand_unit"), l("home").alias("scope"), l(2024).alias("year")))
+
+
+@BOOK.add("cal_3_city_checks", """select n_regionkey as scenario, null::varchar as indicator, null::varchar as city, 'weights' as problem from nation where n_regionkey in (1, 3) group by 1
+union all select n_regionkey, 'b', null, 'indicator_repeats' from nation where n_regionkey = 3 group by 1
+union all select n_regionkey, null, n_name, 'city_repeats' from nation where n_nationkey % 6 = 5
+union all select n_regionkey, 'c', n_name, 'unknown_indicator' from nation
+union all select n_regionkey, i, n_name, 'unknown_city' from nation, (select unnest(['a', 'b', 'c']) as i) where n_nationkey % 6 = 4
+union all select n_regionkey, 'b', n_name, 'unit' from nation where n_nationkey % 4 = 0
+union all select n_regionkey, 'a', n_name, 'scope' from nation where n_nationkey % 5 = 2""")
+def _(s, d):
+    n, k = table(s, d, "nation").select(F.col("n_regionkey").alias("scenario"), F.col("n_name").alias("city"), F.col("n_nationkey").alias("k")), F.col("k")
+    of = lambda *x: F.explode(F.array(*(F.struct(F.lit(a).alias("indicator"), F.lit(b).cast("decimal(9,3)").alias("weight")) for a, b in x))).alias("x")
+    regions = n.select("scenario").distinct()
+    indicators = regions.select("scenario", of(("a", "60"), ("b", "40"))).unionByName(regions.filter("scenario = 3").select("scenario", of(("b", "40"))))
+    indicators = indicators.select("scenario", "x.indicator", F.when((F.col("scenario") == 1) & (F.col("x.indicator") == "a"), F.lit("59.999").cast("decimal(9,3)")).otherwise(F.col("x.weight")).alias("weight"), F.lit("km").alias("unit"))
+    cells = n.select("scenario", "city", "k", F.explode(F.array(*map(F.lit, "abc"))).alias("indicator"))
+    cells = cells.select("scenario", "indicator", "city", F.when((k % 4 == 0) & (F.col("indicator") == "b"), "mi").otherwise("km").alias("unit"), F.when((k % 5 == 2) & (F.col("indicator") == "a"), "other").otherwise("").alias("scope"))
+    cities = n.filter("k % 6 <> 4").select("scenario", "city")
+    return C.city_problems(cells, indicators, cities.unionByName(n.filter("k % 6 = 5").select("scenario", "city")), regions.withColumn("scope", F.lit("all")))
+
+
 @BOOK.add("cal_2_finance", f"""with b as ({_BRANDS}), v as (select *, q * price::double as revenue, q * cost::double + 100000 + 50000 as total, price - cost as con, k % 5 = 0 as open from b)
 select scenario, case when not open then revenue end as revenue, case when not open then revenue - total end as operating_profit, case when not open and con > 0 then round(150000.0 / con, 4)::double end as breakeven_quantity, case when not open then 75.0::double end as ccc_days,
  case when not open then round(500000 + greatest(0, revenue * 90 / 365 + total * 15 / 365 - 6000.0 * 30 / 365), 2)::double end as funding_floor, case when open or k % 5 in (1, 2) then 'open' else 'checkable' end as status from v""")

@@ -40,6 +40,13 @@ def _(s, d):
     return table(s, d, "documents").select("doc_id", *(F.sha2(f(c), 256).alias(n) for n, f in (("collapsed", T.collapse), ("bare", T.bare), ("no_marks", T.no_marks))))
 
 
+@BOOK.add("txt_5_key_cleaners", r"""
+select doc_id, sha256(lower(regexp_replace(text, '[^\p{L}\p{M}\p{N}]+', '', 'g'))) as letters, sha256(lower(regexp_replace(replace(replace(text, '*', ''), '_', ''), '[\s\x{a0},，`]+', '', 'g'))) as no_list_marks from documents""")
+def _(s, d):
+    c = F.col("text")
+    return table(s, d, "documents").select("doc_id", F.sha2(T.letters_and_digits(c), 256).alias("letters"), F.sha2(T.no_list_marks(c), 256).alias("no_list_marks"))
+
+
 def _split_sql(ends: str, least: int, most: str = "", cut: str = "", text: str = "text") -> str:
     """Sentences in DuckDB, whose patterns have no look-behind: an end mark is followed by a line break first."""
     piece = f"trim(x{cut})" if not cut else f"left(trim(x), {cut})"
@@ -221,6 +228,28 @@ def _(s, d):
     return table(s, d, "documents").select("doc_id", T.heading(line).alias("heading"))
 
 
+@BOOK.add("txt_26_by_chapter", """
+select distinct chapter_no::bigint as chapter_no, source::bigint as source from (
+  select o_orderkey % 4 as chapter_no, unnest(list_concat([o_custkey], range(o_orderkey, o_orderkey + 1 + o_custkey % 20))) as source from orders where o_orderkey % 4 <> 0
+  union all select o_custkey % 12, o_orderkey from orders where o_orderkey % 4 = 0 and o_custkey % 12 between 1 and 10)""")
+def _(s, d):
+    """Chapters cite a customer and a range of orders, and a span of years that is none; the summary cites chapter and order."""
+    k, c = F.col("o_orderkey").cast("string"), F.col("o_custkey")
+    own = F.concat(F.lit("See ["), c.cast("string"), F.lit("], ["), k, F.lit("-"), (F.col("o_orderkey") + c % 20).cast("string"), F.lit("] of [1000-2025] and [9-1]."))
+    summary = F.concat(F.lit("As in ["), (c % 12).cast("string"), F.lit("-"), k, F.lit("] and ["), k, F.lit("]."))
+    no = F.col("o_orderkey") % 4
+    return T.cited_sources(table(s, d, "orders").select(no.alias("chapter_no"), F.when(no == 0, summary).otherwise(own).alias("content")))
+
+
+@BOOK.add("txt_27_outer_heading", r"""
+select doc_id, sha256(case doc_id % 4 when 0 then chr(10) || text when 1 then text when 2 then '## Other words' || chr(10) || text else 'A line' || chr(10) || '# ' || source || chr(10) || text end) as digest from documents""")
+def _(s, d):
+    """Documents under a heading that repeats their source, that counts a chapter, another one, and one below a line of text."""
+    n = F.col("doc_id") % 4
+    head = F.when(n == 0, F.concat(F.lit("\n# 第一章 "), "source", F.lit(" ##\n"))).when(n == 1, F.lit("### 3章: more\n")).when(n == 2, F.lit("## Other words\n")).otherwise(F.concat(F.lit("A line\n# "), "source", F.lit("\n")))
+    return table(s, d, "documents").select("doc_id", F.sha2(T.without_outer_heading(F.concat(head, "text"), F.concat(F.lit("一、"), "source")), 256).alias("digest"))
+
+
 @BOOK.add("txt_28_redaction", r"""
 select doc_id, sha256(regexp_replace(regexp_replace(text, '(?i)((?:api[_-]?key|token|secret|password|passwd)["'']?\s*[:=]\s*["'']?)[A-Za-z0-9._~+/=-]+', '\1***', 'g'), '\b[0-9a-f]{40}\b', '***', 'g')) as digest,
        regexp_matches(text, '(?i)(?:api[_-]?key|token|secret|password|passwd)["'']?\s*[:=]') as had from documents""")
