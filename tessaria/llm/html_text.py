@@ -2,13 +2,15 @@
 
 A page is read into leaf blocks: runs of text between block-level tags, with the tags and attributes above them. Each
 block has features of its ancestors, its text and its links; a chain over the blocks of a page says which are main
-text, with weights for features and for neighbouring labels, and Viterbi decoding picks the likeliest labelling.
+text, which are reader comments and which are neither, with weights for features and for neighbouring labels, and
+Viterbi decoding picks the likeliest labelling. That comments go on once they have begun is a weight of the chain.
 
 The field is trained by maximum likelihood on labelled pages: a bounded sample of the given pages, labelled where
 their mark-up says what a block is (an article or main element, against navigation, header, footer, side and form
 elements), and small pages written and labelled here, which show what the given ones may lack: other wraps, comments
-without a mark. The marks that the labels came from are hidden in much of the training, so text, links, place and
-neighbours learn to speak without them.
+without a mark, articles with sections named as comments are. The marks that the labels came from are hidden in much of
+the training, so text, links, place and neighbours learn to speak without them. Words of headings and other short blocks
+are features; which of them tell is learned.
 """
 
 from __future__ import annotations
@@ -57,10 +59,7 @@ _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))
 _HIDDEN = re.compile(r"""\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _CLOSE = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
-#: Headings of reader comments, and words with which comments and their controls go (both fixed lists of ours).
-_TALK = re.compile(r"\b(comments?|responses|replies|reader (letters|opinions)|discussion|join the conversation|kommentare?|commentaires?|comentarios?)\b", re.I)
-_SAID = re.compile(r"\b(reply|replied|upvotes?|downvotes?|(said|wrote|says|writes)( on [^.]{3,30})?:|posted by|posted on|(minutes?|hours?|days?|weeks?|months?|years?) ago|report abuse|flag this|log in to comment|great article|thanks for (sharing|this))", re.I)
-_HEADING = re.compile(r"own:<(h[1-6]|summary|legend|strong|b|div|p|header|span)>|own:none")
+_SHORT = re.compile(r"[^\W\d_]+|\d+")
 
 
 def blocks_of(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
@@ -138,29 +137,34 @@ def blocks_of(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
 
 
 def features(blocks: list[tuple[tuple[str, ...], str, int]], hide: frozenset[str] = frozenset()) -> list[list[str]]:
-    """The features of each block; marks in `hide` are left out. A block knows whether a heading of reader comments
-    stands before it and no heading of another kind since."""
+    """The features of each block; marks in `hide` are left out."""
     out = []
-    talk = False
+    shapes: list[str] = []
     for i, (marks, text, linked) in enumerate(blocks):
         words = text.count(" ") + 1
-        f = {"bias", f"words:{min(7, int(math.log2(words)))}", f"links:{min(4, int(5 * linked / max(1, len(text))))}"}
+        size = min(7, int(math.log2(words)))
+        f = {"bias", f"words:{size}", f"links:{min(4, int(5 * linked / max(1, len(text))))}"}
         own = [m for m in marks if m[0] == "<" and m[1:-1] in BLOCK]
         own = f"own:{own[-1]}" if own else "own:none"
         f.add(own)
         f |= {f"in:{m}" for m in marks if m not in hide}
-        f.add(f"stop:{text[-1] in '.!?:;…。！？\"”»'}")
+        ends = text[-1] in ".!?:;…。！？\"”»'"
+        f.add(f"stop:{ends}")
         if "©" in text or "copyright" in text.lower():
             f.add("copyright")
-        if words <= 6 and _TALK.search(text) and text[-1] not in ".!?" and _HEADING.fullmatch(own):
-            talk = True
-            f.add("comments heading")
-        elif own in ("own:<h1>", "own:<h2>", "own:<footer>"):
-            talk = False
-        elif talk:
-            f |= {"after comments heading", f"after comments heading, {own}"}
-        if _SAID.search(text):
-            f |= {"said", f"said, words:{min(7, int(math.log2(words)))}"} | ({"said, after comments heading"} if talk else set())
+        if words <= 8 and not ends:
+            title = "heading" if words <= 6 and own[5:7] in ("<h", "<s") else "short"
+            said = _SHORT.findall(text.lower())
+            f |= {f"{title} word:{'#' if w[0].isdigit() else w}" for w in said} | {f"{title} words:{min(4, len(said))}, {own}"}
+        elif ":" in text[:40]:
+            f |= {"speaker"} | {f"speaker word:{w}" for w in _SHORT.findall(text[: text.index(":")].lower())}
+        elif words <= 8:
+            f |= {f"short sentence word:{w}" for w in _SHORT.findall(text.lower())}
+        shapes.append(f"{own} {words <= 5}")
+        if i:
+            f.add(f"after:{shapes[i - 1]}, words:{size}")
+        if i > 1 and shapes[i] == shapes[i - 2] != shapes[i - 1]:
+            f.add(f"alternates:{shapes[i]}")
         if i == 0:
             f.add("first")
         if i == len(blocks) - 1:
@@ -169,66 +173,75 @@ def features(blocks: list[tuple[tuple[str, ...], str, int]], hide: frozenset[str
     return out
 
 
+#: Labels of blocks.
+OTHER, MAIN, COMMENT = range(3)
+
+
 class Field:
-    """A chain over two labels: weight[feature] speaks for main text, turn[a, b] for label b after label a."""
+    """A chain over labels: weight[feature][a] speaks for label a, turn[a, b] for label b after label a."""
 
-    def __init__(self, weight: dict[str, float], turn: np.ndarray) -> None:
+    def __init__(self, weight: dict[str, tuple[float, ...]], turn: np.ndarray) -> None:
         self.weight, self.turn = weight, turn
 
     def decode(self, rows: list[list[str]]) -> list[int]:
         """The likeliest labels (Viterbi)."""
-        w = self.weight
-        (t00, t01), (t10, t11) = self.turn.tolist()
-        back: list[tuple[int, int]] = []
-        a = b = 0.0
-        for i, f in enumerate(rows):
-            s = sum(w.get(x, 0.0) for x in f)
-            if i == 0:
-                a, b = 0.0, s
-                continue
-            p0, p1 = (0 if a + t00 >= b + t10 else 1), (0 if a + t01 > b + t11 else 1)
-            a, b = max(a + t00, b + t10), max(a + t01, b + t11) + s
-            back.append((p0, p1))
-        label = int(b >= a)
-        out = [label]
+        turn = self.turn.T.tolist()
+        labels = range(len(turn))
+        none = (0.0,) * len(turn)
+        back: list[list[int]] = []
+        best: list[float] = []
+        for f in rows:
+            here = [sum(x) for x in zip(none, *(self.weight[x] for x in f if x in self.weight))]
+            if best:
+                come = [[best[a] + row[a] for a in labels] for row in turn]
+                back.append([max(labels, key=x.__getitem__) for x in come])
+                here = [h + max(x) for h, x in zip(here, come)]
+            best = here
+        if not rows:
+            return []
+        out = [max(labels, key=best.__getitem__)]
         for p in reversed(back):
-            label = p[label]
-            out.append(label)
-        return out[::-1] if rows else []
+            out.append(p[out[-1]])
+        return out[::-1]
 
 
-def train(pages: list[tuple[list[list[str]], list[int]]], rounds: int = 60, rate: float = 0.3, l2: float = 1e-3) -> Field:
+def train(pages: list[tuple[list[list[str]], list[int]]], rounds: int = 60, rate: float = 0.3, l2: float = 1e-3, least: int = 4) -> Field:
     """Maximum likelihood with a Gaussian prior, by Adagrad over whole passes; forward-backward in numpy over all pages
-    of a length at once."""
-    names = sorted({x for rows, _ in pages for f in rows for x in f})
+    of a length at once. Features of fewer than `least` pages are left out."""
+    seen: dict[str, int] = {}
+    for rows, _ in pages:
+        for x in {x for f in rows for x in f}:
+            seen[x] = seen.get(x, 0) + 1
+    names = sorted(x for x, n in seen.items() if n >= least)
     index = {x: i for i, x in enumerate(names)}
-    weight, turn = np.zeros(len(names)), np.zeros((2, 2))
-    gw, gt = np.full(len(names), 1e-8), np.full((2, 2), 1e-8)
+    labels = range(3)
+    weight, turn = np.zeros((3, len(names))), np.zeros((3, 3))
+    gw, gt = np.full(weight.shape, 1e-8), np.full(turn.shape, 1e-8)
     groups: dict[int, list] = {}
     for rows, y in pages:
         if rows:
-            groups.setdefault(len(rows), []).append((rows, y))
+            groups.setdefault(len(rows), []).append(([[index[x] for x in f if x in index] for f in rows], y))
     packed = []
     for n, members in groups.items():
-        flat = [index[x] for rows, _ in members for f in rows for x in f]
+        flat = [x for rows, _ in members for f in rows for x in f]
         owner = np.repeat(np.arange(len(members) * n), [len(f) for rows, _ in members for f in rows])
-        packed.append((n, np.array(flat), owner, np.array([y for _, y in members])))
+        packed.append((n, np.array(flat, np.int64), owner, np.array([y for _, y in members])))
     total = sum(len(y) for *_, y in packed)
     for _ in range(rounds):
         dw, dt = -l2 * weight * total, -l2 * turn * total
         for n, flat, owner, y in packed:
             m = len(y)
-            s = np.bincount(owner, weight[flat], minlength=m * n).reshape(m, n)
-            e = np.stack([np.zeros_like(s), s], axis=2)
-            fwd, bwd = np.zeros((m, n, 2)), np.zeros((m, n, 2))
+            e = np.stack([np.bincount(owner, weight[a][flat], minlength=m * n).reshape(m, n) for a in labels], axis=2)
+            fwd, bwd = np.zeros((m, n, 3)), np.zeros((m, n, 3))
             fwd[:, 0] = e[:, 0]
             for i in range(1, n):
                 fwd[:, i] = np.logaddexp.reduce(fwd[:, i - 1, :, None] + turn[None], axis=1) + e[:, i]
             for i in range(n - 2, -1, -1):
                 bwd[:, i] = np.logaddexp.reduce(turn[None] + (e[:, i + 1] + bwd[:, i + 1])[:, None, :], axis=2)
             z = np.logaddexp.reduce(fwd[:, -1], axis=1)
-            p = np.exp(fwd[..., 1] + bwd[..., 1] - z[:, None])
-            dw += np.bincount(flat, (y - p).ravel()[owner], minlength=len(names))
+            p = np.exp(fwd + bwd - z[:, None, None])
+            for a in labels:
+                dw[a] += np.bincount(flat, ((y == a) - p[..., a]).ravel()[owner], minlength=len(names))
             if n > 1:
                 pair = np.exp(fwd[:, :-1, :, None] + turn + (e[:, 1:] + bwd[:, 1:])[:, :, None, :] - z[:, None, None, None])
                 dt -= pair.sum(axis=(0, 1))
@@ -237,7 +250,7 @@ def train(pages: list[tuple[list[list[str]], list[int]]], rounds: int = 60, rate
         gt += dt * dt
         weight += rate * dw / np.sqrt(gw)
         turn += rate * dt / np.sqrt(gt)
-    return Field({x: float(v) for x, v in zip(names, weight) if abs(v) > 1e-6}, turn)
+    return Field({x: tuple(map(float, weight[:, i])) for x, i in index.items() if np.abs(weight[:, i]).max() > 1e-6}, turn)
 
 
 def labels_by_markup(blocks: list[tuple[tuple[str, ...], str, int]]) -> list[int] | None:
@@ -252,7 +265,7 @@ def labels_by_markup(blocks: list[tuple[tuple[str, ...], str, int]]) -> list[int
 
 _SENTENCE = "The river rose in the night and by the morning the lower fields were under water, as the farmers had feared."
 _LONG = f"{_SENTENCE} Nobody in the village could remember a flood so late in the year. {_SENTENCE}"
-#: Parts of pages and their labels: 1 for main text. Written here.
+#: Parts of pages and their labels: 1 for main text, 2 for reader comments. Written here.
 PARTS: tuple[tuple[str, int], ...] = (
     ("<nav><ul><li><a href='/'>Home</a></li><li><a href='/n'>News</a></li><li><a href='/s'>Sport</a></li></ul></nav>", 0),
     ("<div class='menu'><a href='/a'>About us</a> <a href='/c'>Contact</a></div>", 0),
@@ -274,14 +287,14 @@ PARTS: tuple[tuple[str, int], ...] = (
     ("<p>It was over by noon.</p>", 1),
     ("<div class='share'><a href='/f'>Share</a> <a href='/m'>Mail</a></div>", 0),
     ("<div class='related'><h3>Related</h3><a href='/3'>Floods of the past</a></div>", 0),
-    (f"<div class='comments'><h3>2 comments</h3><div class='comment'><p>Anna: {_SENTENCE}</p></div><div class='comment'><p>So sorry to hear this!</p></div></div>", 0),
-    (f"<section id='comments'><p>{_LONG}</p></section>", 0),
+    (f"<div class='comments'><h3>2 comments</h3><div class='comment'><p>Anna: {_SENTENCE}</p></div><div class='comment'><p>So sorry to hear this!</p></div></div>", 2),
+    (f"<section id='comments'><p>{_LONG}</p></section>", 2),
     # Comments without a mark of their own, as they may stand inside an article.
-    (f"<section><h3>Comments</h3><p>{_SENTENCE}</p><p>So sorry to hear this!</p></section>", 0),
-    (f"<h3>3 comments</h3><ul><li>Ben wrote: {_SENTENCE}</li><li>{_LONG}</li></ul>", 0),
-    (f"<h4>Reader comments</h4><p><b>Carla</b> 3 days ago</p><p>{_SENTENCE}</p><p>Reply</p>", 0),
-    (f"<div><div>Discussion (12)</div><div>{_SENTENCE}</div><div>Great article, thanks for sharing.</div></div>", 0),
-    (f"<div><p>Dora said: {_SENTENCE}</p><p><a href='#r'>Reply</a></p></div>", 0),
+    (f"<section><h3>Comments</h3><p>{_SENTENCE}</p><p>So sorry to hear this!</p></section>", 2),
+    (f"<h3>3 comments</h3><ul><li>Ben wrote: {_SENTENCE}</li><li>{_LONG}</li></ul>", 2),
+    (f"<h4>Reader comments</h4><p><b>Carla</b> 3 days ago</p><p>{_SENTENCE}</p><p>Reply</p>", 2),
+    (f"<div><div>Discussion (12)</div><div>{_SENTENCE}</div><div>Great article, thanks for sharing.</div></div>", 2),
+    (f"<div><p>Dora said: {_SENTENCE}</p><p><a href='#r'>Reply</a></p></div>", 2),
     ("<footer>&copy; 2020 The Daily Valley. All rights reserved.</footer>", 0),
     ("<div class='footer'><p>Copyright The Daily Valley</p></div>", 0),
 )
@@ -292,7 +305,7 @@ def written_pages(n: int, seed: int) -> list[tuple[list, list[int]]]:
     """Pages put together from the labelled parts, with their blocks and labels."""
     rng = np.random.default_rng(seed)
     before, inside, after = PARTS[:9], PARTS[9:18], (*PARTS[18:], *PARTS[4:7])
-    talk = [part for part in PARTS if "omments</h" in part[0] or "Discussion" in part[0] or "said:" in part[0]]
+    talk = [part for part in PARTS if part[1] == COMMENT and "class='comments'" not in part[0] and "id='comments'" not in part[0]]
     out = []
     for _ in range(n):
         blocks, labels = [], []
@@ -315,31 +328,62 @@ def written_pages(n: int, seed: int) -> list[tuple[list, list[int]]]:
 
 #: Marks that the labels of given pages are made from, by element.
 TELLING = tuple(f"<{t}>" for t in sorted(KEPT | DROPPED))
-_TALKS = ("Comments", "4 comments", "Reader comments", "Join the conversation", "Responses (7)")
+#: Headings of comments and of sections of articles that sound alike, names, times and controls of comments (written here).
+_TALKS = ("Comments", "4 comments", "Comments (2)", "Reader comments", "Join the conversation", "Responses (7)", "Discussion (12)", "3 replies", "Kommentare", "Commentaires", "Comentarios")
+_SECTIONS = ("Discussion", "Discussion of the results", "Results and discussion", "Comments on the method", "Comment", "Responses to the survey", "Replies of the ministry", "The conversation", "Diskussion", "Reader habits", "General comments on both")
+_WHO = ("Anna", "Ben K.", "Carla_88", "Dora Maar", "user4711", "J. Smith", "Guest", "mike")
+_WHEN = ("3 days ago", "2 hours ago", "1 week ago", "on March 4, 2021 at 10:22", "2020-05-06 12:30", "12 May 2019", "yesterday")
+_DO = ("Reply", "Reply Report", "Like (3) Reply", "Flag", "Permalink")
+_SAYS = ("So sorry to hear this!", "Thanks, this helped me a lot.", "I have read this twice and still can't agree.", "Great article.", "This is not what happened where I live, sadly.")
+
+
+def _place(blocks: list, labels: list[int]) -> tuple[list[int], tuple[str, ...]]:
+    main = [i for i, y in enumerate(labels) if y == MAIN]
+    return main, tuple(m for m in blocks[main[-1]][0] if m not in ("<p>", "<li>", "<ul>"))
 
 
 def commented(blocks: list, labels: list[int], rng: np.random.Generator) -> tuple[list, list[int]]:
-    """A labelled page with some of its own main text again as unmarked reader comments at the end of its article."""
-    main = [i for i, y in enumerate(labels) if y]
-    marks = tuple(m for m in blocks[main[-1]][0] if m not in ("<p>", "<li>", "<ul>"))
-    added = [((*marks, "<h3>"), _TALKS[int(rng.integers(len(_TALKS)))], 0)]
+    """A labelled page with unmarked reader comments at the end of its article: under a heading, or with who and when, or
+    both; what they say is text of the page or written here."""
+    main, marks = _place(blocks, labels)
+    pick = lambda x: x[int(rng.integers(len(x)))]
+    headed, signed = rng.random() < 0.75, rng.random() < 0.5
+    added = [((*marks, pick(("<h2>", "<h3>", "<h4>"))), pick(_TALKS), 0)] if headed else []
+    control = rng.random() < 0.4
     for i in rng.choice(main, size=min(len(main), int(rng.integers(1, 5)))):
-        text = blocks[int(i)][1]
-        added.append(((*marks, "<p>"), text if rng.random() < 0.5 else text.split(". ")[0] + ".", 0))
+        text = blocks[int(i)][1] if rng.random() < 0.6 else pick(_SAYS)
+        text = text if rng.random() < 0.5 else text.split(". ")[0].rstrip(".") + "."
+        if signed or not headed:
+            added.append(((*marks, pick(("<p>", "<div>"))), f"{pick(_WHO)} {pick(_WHEN)}" if rng.random() < 0.7 else pick(_WHO), 0))
+        added.append(((*marks, "<p>"), text, 0))
+        if control:
+            added.append(((*marks, "<p>"), pick(_DO), 0))
     at = main[-1] + 1
-    return blocks[:at] + added + blocks[at:], labels[:at] + [0] * len(added) + labels[at:]
+    return blocks[:at] + added + blocks[at:], labels[:at] + [COMMENT] * len(added) + labels[at:]
+
+
+def sectioned(blocks: list, labels: list[int], rng: np.random.Generator) -> tuple[list, list[int]]:
+    """A labelled page whose article has some more headings, which belong to it."""
+    main, marks = _place(blocks, labels)
+    for i in sorted({int(i) for i in rng.choice(main, size=min(len(main), int(rng.integers(1, 3))))}, reverse=True):
+        head = ((*(m for m in marks if m[:2] != "<h"), ("<h2>", "<h3>", "<h4>")[int(rng.integers(3))]), _SECTIONS[int(rng.integers(len(_SECTIONS)))], 0)
+        blocks, labels = blocks[:i] + [head] + blocks[i:], labels[:i] + [MAIN] + labels[i:]
+    return blocks, labels
 
 
 def fit(pages: DataFrame, sample: int = 400, page_chars: int = 100_000, written: int = 600, seed: int = 9) -> Field:
     """Trains on at most `sample` pages of at most page_chars characters, chosen by a hash of their id, and `written`
     pages made here. Labels of the given pages come from their mark-up; half the time the marks they came from are
-    hidden, all or each by chance, so the field cannot only repeat that rule, and some get comments without a mark."""
+    hidden, all or each by chance, so the field cannot only repeat that rule; some get comments without a mark, and some
+    sections of the article under headings such as comments have."""
     chosen = pages.select("page_id", "html").filter(F.length("html") <= page_chars).orderBy(F.xxhash64("page_id", F.lit(seed)), "html").limit(sample).collect()
-    given = [(b, y) for r in chosen if (b := blocks_of(r["html"])) and (y := labels_by_markup(b))]
+    given = [(b, [COMMENT if "hint:comment" in m and not z else z for (m, *_), z in zip(b, y)]) for r in chosen if (b := blocks_of(r["html"])) and (y := labels_by_markup(b))]
     rng = np.random.default_rng(seed)
     made = []
     for k, (blocks, y) in enumerate([*given, *given, *written_pages(written, seed)]):
-        if k < len(given) and rng.random() < 0.5:
+        if MAIN in y and rng.random() < 0.5:
+            blocks, y = sectioned(blocks, y, rng)
+        if k < 2 * len(given) and rng.random() < 0.4:
             blocks, y = commented(blocks, y, rng)
         share = (0.0, 0.25, 1.0)[int(rng.integers(3))]
         hide = {t for t in TELLING if rng.random() < share}
@@ -351,7 +395,7 @@ def fit(pages: DataFrame, sample: int = 400, page_chars: int = 100_000, written:
 
 def main_text(page: str | None, field: Field) -> str:
     blocks = blocks_of(page)
-    return "\n\n".join(b[1] for b, y in zip(blocks, field.decode(features(blocks))) if y)
+    return "\n\n".join(b[1] for b, y in zip(blocks, field.decode(features(blocks))) if y == MAIN)
 
 
 def _extract(shared):
