@@ -137,6 +137,15 @@ def by_precedence(rows: DataFrame, keys: list[str], order: dict[str, int]) -> Da
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.coalesce(rank, F.lit(99)), "id"))).filter("_r = 1").drop("_r")
 
 
+def query_budget(chapters: DataFrame, saved: DataFrame, most: int, reduced: int = 3) -> DataFrame:
+    """SRC-18: (project_id, chapter_no, budget): web queries left to a chapter, one less in chapter `reduced` if structured
+    rows (project_id, chapter_no) were saved for it, but one at least."""
+    have = saved.select("project_id", "chapter_no").distinct().withColumn("_saved", F.lit(1))
+    out = chapters.join(have, ["project_id", "chapter_no"], "left")
+    less = F.when(F.col("chapter_no") == reduced, F.coalesce("_saved", F.lit(0))).otherwise(0)
+    return out.select("project_id", "chapter_no", F.greatest(F.lit(1), F.lit(most) - less).alias("budget"))
+
+
 def requirements(chapters: DataFrame, rules: DataFrame) -> DataFrame:
     """SRC-19: datasets that a chapter in a geography needs; a rule without geography holds for all."""
     return chapters.join(rules.withColumnRenamed("geography", "rule_geography"), "chapter_no").filter("rule_geography is null or rule_geography = geography").select("project_id", "chapter_no", "dataset").distinct()

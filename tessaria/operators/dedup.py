@@ -158,6 +158,22 @@ def name_conflicts(rows: DataFrame, incoming: DataFrame, retired: DataFrame) ->
     return incoming.join(live, ["company_key", "title_key"]).filter("doc_id <> other").select("doc_id", "other")
 
 
+def name_check(rows: DataFrame, incoming: DataFrame) -> DataFrame:
+    """DUP-17: (doc_id, problem, other) for incoming documents (doc_id, company_key, title_key, target: the document to be
+    updated or null) against rows (doc_id, company_key, title_key, deleted, superseded).
+
+    A target must be there, not deleted and of the same company, else `invalid_version` with it; the others of equal
+    company and title are `name_conflict`, but for the target, the document itself, and those both deleted and superseded.
+    Both are rows; an invalid target does not hide conflicts. Null keys match nothing.
+    """
+    r = rows.select(F.col("doc_id").alias("other"), F.col("company_key").alias("_company"), F.col("title_key").alias("_title"), F.coalesce("deleted", F.lit(False)).alias("_deleted"), F.coalesce("superseded", F.lit(False)).alias("_superseded"))
+    t = incoming.filter("target is not null").join(r, F.col("target") == F.col("other"), "left")
+    bad = t.filter(F.col("other").isNull() | F.col("_deleted") | ~F.coalesce(F.col("company_key") == F.col("_company"), F.lit(False)))
+    live = r.filter(~(F.col("_deleted") & F.col("_superseded")))
+    same = incoming.join(live, (F.col("company_key") == F.col("_company")) & (F.col("title_key") == F.col("_title"))).filter("other <> doc_id and (target is null or other <> target)")
+    return bad.select("doc_id", F.lit("invalid_version").alias("problem"), F.col("target").alias("other")).unionByName(same.select("doc_id", F.lit("name_conflict").alias("problem"), "other"))
+
+
 def inventory(documents: DataFrame, labels: DataFrame, state: DataFrame, reports: DataFrame, companies: DataFrame, superseded: DataFrame) -> DataFrame:
     """DUP-18: documents with label, state, report and company, and whether another version replaced them."""
     old = superseded.select(F.col("previous_document_id").alias("doc_id")).distinct().withColumn("superseded", F.lit(True))

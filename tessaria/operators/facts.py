@@ -34,6 +34,16 @@ def accepted_candidates(candidates: DataFrame, ev: DataFrame, types: list[str])
     return c.withColumn("reason", reason).drop("excerpt")
 
 
+def supported_by_quote(candidates: DataFrame, columns: dict[str, str | None]) -> DataFrame:
+    """FCT-3: candidates whose claims (columns: what stands instead) the quote doesn't hold are replaced, as are null and empty
+    ones; case, white space, commas and marks of emphasis don't matter. Rows stay."""
+    said = T.no_list_marks(F.coalesce("quote", F.lit("")))
+    def held(c):
+        key = T.no_list_marks(F.coalesce(c, F.lit("")))
+        return F.when((key != "") & F.contains(said, key), T.collapse(F.col(c)))
+    return candidates.withColumns({c: F.coalesce(held(c), F.lit(instead).cast("string")) for c, instead in columns.items()})
+
+
 def balanced_sample(ev: DataFrame, per_chapter: int = 2, rows: int = 30, chars: int = 22_000) -> DataFrame:
     """FCT-4: per project, the best rows of each chapter first, then the rest by order, as far as both limits allow."""
     best = [F.desc_nulls_last("score"), F.col("id")]

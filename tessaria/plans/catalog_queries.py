@@ -139,6 +139,13 @@ def _(s, d):
     return K.by_precedence(r, ["k"], {"P": 0, "F": 1, "O": 2}).select("k", "id")
 
 
+@BOOK.add("src_18_query_budget", "select o_custkey as project_id, o_orderkey % 5 as chapter_no, case when o_orderkey % 5 = 3 and max(o_orderkey) % 2 = 0 then 3 else 4 end::int as budget from orders group by 1, 2")
+def _(s, d):
+    """Chapters of customers; structured rows were saved where the last order's key is even."""
+    ch = table(s, d, "orders").groupBy(F.col("o_custkey").alias("project_id"), (F.col("o_orderkey") % 5).alias("chapter_no")).agg(F.max("o_orderkey").alias("last"))
+    return K.query_budget(ch, ch.filter("last % 2 = 0"), 4)
+
+
 @BOOK.add("src_19_requirements", "select c_custkey as project_id, c_custkey % 4 as chapter_no, 'd' || (c_custkey % 4) as dataset from customer where c_custkey % 4 in (1, 2) and (c_custkey % 4 = 1 or c_nationkey = 3)")
 def _(s, d):
     ch = table(s, d, "customer").select(F.col("c_custkey").alias("project_id"), (F.col("c_custkey") % 4).alias("chapter_no"), F.col("c_nationkey").cast("string").alias("geography"))

@@ -243,6 +243,17 @@ def _(s, d):
     return D.name_conflicts(n, n, table(s, d, "labels").filter("toxic = 1")).groupBy("doc_id").agg(F.min("other").alias("other"), F.count("*").alias("conflicts"))
 
 
+@BOOK.add("dup_17_name_check", r"""with n as (select doc_id, source as company_key, lower(regexp_replace(split_part(text, chr(10), 1), '\s+', '', 'g')) as title_key, coalesce(toxic = 1, false) as deleted, doc_id % 2 = 0 as superseded from documents left join labels using (doc_id)),
+i as (select *, case when doc_id % 3 = 0 then doc_id - 1 end as target from n)
+select i.doc_id, 'name_conflict' as problem, n.doc_id as other from i join n using (company_key, title_key) where n.doc_id <> i.doc_id and n.doc_id is distinct from i.target and not (n.deleted and n.superseded)
+union all select i.doc_id, 'invalid_version', i.target from i left join n on n.doc_id = i.target where i.target is not null and (n.doc_id is null or n.deleted or n.company_key <> i.company_key)""")
+def _(s, d):
+    """Every document comes again; every third would update the one before it; toxic ones are deleted, even ones superseded."""
+    title = F.lower(F.regexp_replace(F.split_part("text", F.lit("\n"), F.lit(1)), r"\s+", ""))
+    n = table(s, d, "documents").join(table(s, d, "labels"), "doc_id", "left").select("doc_id", F.col("source").alias("company_key"), title.alias("title_key"), (F.col("toxic") == 1).alias("deleted"), (F.col("doc_id") % 2 == 0).alias("superseded"))
+    return D.name_check(n, n.select("doc_id", "company_key", "title_key", F.when(F.col("doc_id") % 3 == 0, F.col("doc_id") - 1).alias("target")))
+
+
 @BOOK.add("dup_18_inventory", """select d.doc_id, d.source as name, coalesce(case when l.quality = 1 then 'L' || d.lang end, n.n_name, 'unknown') as company, coalesce(l.toxic = 1, false) as deleted, o.p is not null as superseded
 from documents d left join labels l using (doc_id) left join nation n on n.n_nationkey = d.doc_id % 40 left join (select distinct doc_id - 1 as p from documents where doc_id % 10 = 0) o on o.p = d.doc_id""")
 def _(s, d):

@@ -59,6 +59,15 @@ def _(s, d):
     return X.accepted_candidates(c, _evidence(s, d), ["market"]).select("record_id", "reason")
 
 
+@BOOK.add("fct_3_supported_claims", """select o_orderkey as id, case when o_custkey % 3 = 0 then 'North, Land' end as geography, case when o_orderkey % 2 = 0 then o_orderpriority else 'as quoted' end as scope from orders""")
+def _(s, d):
+    """Quotes name their geography in every third case, with other signs, and their scope in every second."""
+    o, k = table(s, d, "orders"), F.col("o_orderkey")
+    quote = F.concat(F.when(F.col("o_custkey") % 3 == 0, "In **NORTH land** ").otherwise("In South "), F.when(k % 2 == 0, F.col("o_orderpriority")).otherwise(F.lit("they")), F.lit(" sold 3 t"))
+    c = o.select(k.alias("id"), quote.alias("quote"), F.lit(" North,  Land ").alias("geography"), F.when(k % 4 == 1, "").otherwise(F.col("o_orderpriority")).alias("scope"))
+    return X.supported_by_quote(c, {"geography": None, "scope": "as quoted"}).select("id", "geography", "scope")
+
+
 @BOOK.add("fct_4_balanced_sample", f"""with e as (select *, id % 97 / 97.0::double as score from ({_CLAIMS})), c as (select *, row_number() over (partition by project_id, chapter_no order by score desc, id) as k from e),
 p as (select *, row_number() over (partition by project_id order by (k > 2)::int, score desc, id) as place, sum(length(excerpt)) over (partition by project_id order by (k > 2)::int, score desc, id rows unbounded preceding) as used from c) select id, project_id from p where place <= 30 and used <= 2200""")
 def _(s, d):

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from tessaria.functions import text as T
 from tessaria.operators import catalog as K
+from tessaria.operators import dedup as D
+from tessaria.operators import facts as X
 from tessaria.operators import quality as Q
 from tessaria.operators import scenarios as C
 
@@ -84,3 +86,21 @@ def test_city_inputs_are_checked(spark):
     got = _set(C.city_problems(cells, ind, cities, spark.createDataFrame([("s", "all")], "scenario string, scope string")))
     assert got == {("w", None, None, "weights"), ("u", None, None, "weights"), ("v", "a", None, "indicator_repeats"), ("w", None, "x", "city_repeats"), ("v", None, " ", "no_name"),
                    ("s", "b", "x", "unit"), ("s", "c", "x", "unknown_indicator"), ("s", "a", "z", "unknown_city"), ("s", "a", "z", "scope")}
+
+
+def test_names_are_checked_against_targets(spark):
+    kind = "doc_id int, company_key string, title_key string, deleted boolean, superseded boolean"
+    rows = spark.createDataFrame([(1, "c", "t", False, False), (2, "c", "t", True, True), (3, "c", "t", True, False), (4, "d", "t", None, None), (5, "c", None, False, False)], kind)
+    new = spark.createDataFrame([(9, "c", "t", None), (8, "c", "t", 1), (7, "c", "u", 3), (6, "c", "u", 4), (10, "c", "u", 77), (5, "c", None, None), (1, "c", "t", 3)], "doc_id int, company_key string, title_key string, target int")
+    assert _set(D.name_check(rows, new)) == {(9, "name_conflict", 1), (9, "name_conflict", 3), (8, "name_conflict", 3), (7, "invalid_version", 3), (6, "invalid_version", 4), (10, "invalid_version", 77), (1, "invalid_version", 3)}
+
+
+def test_claims_that_a_quote_does_not_hold_are_replaced(spark):
+    c = spark.createDataFrame([(1, "In **North land**, 3 t", " north  Land", "t"), (2, "In South", "North", None), (3, None, "North", ""), (4, "x", "", "x")], "id int, quote string, geography string, scope string")
+    assert _set(X.supported_by_quote(c, {"geography": None, "scope": "as quoted"}).drop("quote")) == {(1, "north Land", "t"), (2, None, "as quoted"), (3, None, "as quoted"), (4, None, "x")}
+
+
+def test_query_budget(spark):
+    ch = spark.createDataFrame([(1, 3), (1, 4), (2, 3)], "project_id int, chapter_no int")
+    saved = spark.createDataFrame([(1, 3), (1, 3), (1, 4)], "project_id int, chapter_no int")
+    assert _set(K.query_budget(ch, saved, 4)) == {(1, 3, 3), (1, 4, 4), (2, 3, 4)} and _set(K.query_budget(ch, saved, 1)) == {(1, 3, 1), (1, 4, 1), (2, 3, 1)}
