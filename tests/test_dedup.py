@@ -64,3 +64,9 @@ def test_lineage_and_decisions(spark):
     assert got == {(5, 4), (5, 3), (5, 1)}
     f = spark.createDataFrame([(True, True, False, False, False), (False, False, False, True, True), (False,) * 5], "name_conflict boolean, file_match boolean, exact_match boolean, similar_outside boolean, needs_review boolean")
     assert [r["decision"] for r in D.publication_decision(f).collect()] == ["reject_name", "reject_similar", "accept"]
+
+
+def test_distinct_windows_are_counted_within_the_row(spark):
+    """A document's windows are one array: no row for each, and so no exchange."""
+    df = spark.createDataFrame([(1, "abcabcabc"), (2, "ab"), (3, "")], "doc_id long, body string").select("doc_id", D.gram_array(3).alias("g")).select("doc_id", F.size("g").alias("n"), F.array_min("g").alias("first"))
+    assert sorted(map(tuple, df.collect())) == [(1, 3, "abc"), (2, 1, "ab"), (3, 1, "")]
