@@ -6,6 +6,7 @@ import time as clock
 from datetime import datetime, timedelta, timezone
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessaria.streaming import ingest as I
 
@@ -108,3 +109,30 @@ def test_ingest_finds_copies_and_near_copies(spark, tmp_path, files):
     shutil.rmtree(tmp_path / "state" / "commits" / f".{last}.crc", ignore_errors=True)
     (tmp_path / "state" / "commits" / f".{last}.crc").unlink(missing_ok=True)
     assert run() == got and spark.read.parquet(f"{out}/decisions").count() == len(rows)
+
+
+def test_sketches_lose_no_similar_pair(spark):
+    """Pairs at or over the threshold pass; most others of the same size don't, so their texts are not shuffled."""
+    from tessaria.operators import similarity as S
+
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    cases = []
+    for n in (1, 4, 60, 900, 4000):
+        for cut in (0, 1, n // 40, n // 21, n // 10, n):
+            a = text(n)
+            cases.append((a, a[: n - cut] + text(cut)))
+    d = spark.createDataFrame(cases, "a string, b string").select("a", "b", S.gram_ids(F.col("a")).alias("x"), S.gram_ids(F.col("b")).alias("y"))
+    may = S.may_reach(S.sketch(F.col("x")), F.size("x"), S.sketch(F.col("y")), F.size("y"), 0.9)
+    rows = d.select("a", "b", S.text_jaccard("a", "b").alias("s"), may.alias("may")).collect()
+    grams = lambda b: {b[i : i + 5] for i in range(max(1, len(b) - 4))}
+    for r in rows:
+        x, y = grams(r["a"]), grams(r["b"])
+        assert r["s"] == len(x & y) / len(x | y) and (r["may"] or r["s"] < 0.9)
+    assert sum(r["s"] >= 0.9 for r in rows) > 5 and not any(r["may"] for r in rows if r["s"] < 0.1 and len(r["a"]) >= 900)
+
+
+def test_the_ingest_index_stores_no_sets(spark, tmp_path):
+    write(spark, tmp_path / "in", documents(), DOCS)
+    I.ingest(I.read_files(spark, str(tmp_path / "in"), DOCS), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    assert not [t for _, t in spark.read.parquet(str(tmp_path / "out" / "docs")).dtypes if t.startswith("array")]
