@@ -89,6 +89,8 @@ class Index:
     xs: np.ndarray | None = None
     ys: np.ndarray | None = None
     no_terms: float = 0.0
+    many: np.ndarray | None = None  # postings in a cell
+    tells: np.ndarray | None = None  # how well the term of a posting tells the classes apart
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of a text's known terms, and its TF-IDF vector of length 1 over them."""
@@ -101,10 +103,10 @@ class Index:
 
     def nearest(self, i: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The k examples of largest cosine above 0 (ties: first in the index), their cosines and telling shares."""
-        n_cells = self.cells[i + 1] - self.cells[i]
-        c, of = _ranges(self.cells[i], self.cells[i + 1]), np.repeat(np.arange(len(i)), n_cells)
-        block = self.block_of[c]
-        bound = np.bincount(block, w[of] * self.most[c], minlength=-(-len(self.ids) // self.block))
+        lo, hi = self.cells[i], self.cells[i + 1]
+        c = _ranges(lo, hi)
+        block, weight, many = self.block_of[c], np.repeat(w, hi - lo), self.many[c]
+        bound = np.bincount(block, weight * self.most[c], minlength=-(-len(self.ids) // self.block))
         n, least, opened = len(self.ids), 0.0, []
         cosine, told = np.zeros(n), np.zeros(n)
         closed = bound > 0
@@ -119,11 +121,11 @@ class Index:
                 break
             closed &= ~some
             at = np.flatnonzero(some[block])
-            p = _ranges(self.lo[c[at]], self.lo[c[at] + 1])
-            t = np.repeat(of[at], self.lo[c[at] + 1] - self.lo[c[at]])
-            example, part = self.postings[p], w[t] * self.weights[p]
+            first, size = self.lo[c[at]], many[at]
+            p = _ranges(first, first + size)
+            example, part = self.postings[p], np.repeat(weight[at], size) * self.weights[p]
             cosine += np.bincount(example, part, minlength=n)
-            opened.append((example, part, t))
+            opened.append((example, part, p))
             least = np.partition(cosine, n - self.k)[n - self.k] if n > self.k else 0.0
             if least <= 0.0:
                 least = np.finfo(float).tiny
@@ -131,9 +133,9 @@ class Index:
         at = at[np.argsort(-cosine[at], kind="stable")][: self.k]
         near = np.zeros(n, bool)
         near[at] = True
-        for example, part, t in opened:
-            mine = near[example]
-            told += np.bincount(example[mine], part[mine] * self.telling[i[t[mine]]], minlength=n)
+        for example, part, p in opened:
+            mine = np.flatnonzero(near[example])
+            told += np.bincount(example[mine], part[mine] * self.tells[p[mine]], minlength=n)
         return at, cosine[at], told[at]
 
     def vote(self, i: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray, float]:
@@ -218,8 +220,9 @@ def _index(terms: np.ndarray, idf: np.ndarray, learn: list, held: list, weight:
     order = np.lexsort((example, term))
     term, example, weights = term[order], example[order], weights[order]
     new = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (example[1:] // block != example[:-1] // block))))
-    index.postings, index.weights = example.astype(np.int32), weights
+    index.postings, index.weights, index.tells = example, weights, index.telling[term]
     index.lo, index.block_of = np.append(new, len(term)), example[new] // block
+    index.many = np.diff(index.lo)
     index.cells, index.most = np.searchsorted(term[new], np.arange(len(terms) + 1)), np.maximum.reduceat(weights, new)
     index.damp = 0.3 * float(np.median([index.vote(*vectors[x[0]])[2] for x in held if len(vectors[x[0]][0])] or [1.0]))
     known = [x for x in held if len(vectors[x[0]][0])]
