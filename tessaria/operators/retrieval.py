@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType
@@ -97,16 +101,76 @@ def term_statistics(texts: DataFrame, key: str) -> tuple[DataFrame, DataFrame, D
     return postings, postings.groupBy("term").agg(F.count("*").alias("df")), t.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
 
 
-def bm25(texts: DataFrame, queries: DataFrame, key: str, k: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+#: Terms of all queries, each as often as it is asked for, up to which they are sent to the workers, some 100 bytes each.
+MOST_ASKED = 1_000_000
+
+
+def _best(shared, names: list[str], k: int, k1: float, b: float):
+    """A task's k best texts of each query; of texts that may tie more may stay, but no more than k of one score."""
+    def run(batches):
+        at, ends, who, idf, queries, avg = shared.value
+        keys, q, score = None, np.zeros(0, np.int64), np.zeros(0)
+        least = np.zeros(len(queries))
+        for batch in batches:
+            found, rows, scores = [], [], []
+            for row, (words, n) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                tf = Counter(filter(at.__contains__, words))
+                if tf:
+                    t, f = np.array([at[w] for w in tf]), np.array(list(tf.values()), float)
+                    part = idf[t] * f * (k1 + 1) / (f + k1 * (1 - b + b * n / avg))
+                    s = np.bincount(np.concatenate([who[ends[i] : ends[i + 1]] for i in t]), np.repeat(part, ends[t + 1] - ends[t]), len(queries))
+                    good = np.flatnonzero((s > 0) & (s >= least - 2e-9))
+                    found.append(good)
+                    rows.append(np.full(len(good), row))
+                    scores.append(s[good])
+            if not found:
+                continue
+            new = batch.column(0).take(pa.array(np.concatenate(rows), pa.int64()))
+            keys = new if keys is None else pa.concat_arrays([keys, new])
+            q, score = np.concatenate([q, *found]), np.concatenate([score, *scores])
+            by_key = np.argsort(np.asarray(pa.compute.sort_indices(keys)), kind="stable")
+            order = np.lexsort((by_key, -score, q))
+            q, score = q[order], score[order]
+            places = np.arange(len(q))
+            first = np.maximum.accumulate(np.where(np.append(True, q[1:] != q[:-1]), places, 0))
+            same = np.maximum.accumulate(np.where(np.append(True, (q[1:] != q[:-1]) | (score[1:] != score[:-1])), places, 0))
+            kth = places - first == k - 1
+            least[q[kth]] = score[kth]
+            stays = (score >= least[q] - 2e-9) & (places - same < k)
+            q, score, keys = q[stays], score[stays], keys.take(pa.array(order[stays]))
+        if keys is not None:
+            yield pa.RecordBatch.from_arrays([queries.take(pa.array(q)), keys, pa.array(score)], names=names)
+
+    return run
+
+
+def bm25(texts: DataFrame, queries: DataFrame, key: str, k: int = 10, k1: float = 1.5, b: float = 0.75, most: int = MOST_ASKED) -> DataFrame:
     """RET-2: (query_id, key, score, rank): the k best texts of each query over its distinct terms. Statistics are those
-    of all texts. Queries' terms meet postings by equality; the size of neither side is assumed."""
+    of all texts. Up to `most` terms of queries (counted) are sent to the workers, and a task keeps its k best texts of each, so neither postings
+    nor scores are shuffled; more, or texts that share a key, meet postings by equality. Both give the same rows."""
+    best = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), key)
+    terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    if terms.count() <= most and texts.groupBy(key).count().filter("count > 1").isEmpty():
+        t = texts.select(key, tokens(F.col("text")).alias("t")).withColumn("len", F.size("t"))
+        n, avg = t.agg(F.count("*"), F.avg("len")).first()  # one row of two numbers
+        df = t.select(F.explode(F.array_distinct("t")).alias("term")).join(F.broadcast(terms.select("term").distinct()), "term").groupBy("term").agg(F.count("*").alias("df"))
+        found = terms.join(df, "term").sort("term").toArrow()  # bounded by `most`
+        words, codes = np.unique(np.array(found.column("term").to_pylist(), object), return_inverse=True)
+        order = np.argsort(codes, kind="stable")
+        ids = pa.compute.unique(found.column("query_id"))
+        who = np.asarray(pa.compute.index_in(found.column("query_id"), ids, skip_nulls=False)).astype(np.int64)[order]
+        of = np.zeros(len(words))
+        of[codes] = found.column("df").to_numpy()
+        sent = (dict(zip(words.tolist(), range(len(words)), strict=True)), np.searchsorted(codes[order], np.arange(len(words) + 1)), who, np.log(1 + (n - of + 0.5) / (of + 0.5)), ids, avg or 1.0)
+        kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, `{key}` {texts.schema[key].dataType.simpleString()}, score double"
+        scored = t.select(key, "t", "len").mapInArrow(_best(texts.sparkSession.sparkContext.broadcast(sent), ["query_id", key, "score"], k, k1, b), kinds)
+        return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     postings, df, totals = term_statistics(texts, key)
     n, avg = totals.first()  # one row of two numbers
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).join(df, "term")
+    asked = terms.join(df, "term")
     idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(avg or 1.0)))
     scored = postings.join(asked, "term").groupBy("query_id", key).agg(F.sum(part).alias("score")).filter("score > 0")
-    best = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), key)
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
