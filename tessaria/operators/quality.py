@@ -39,19 +39,23 @@ def series_rules(chapters: DataFrame, early: tuple[int, ...] = (1, 2), least: in
     size in one of the `early` chapters lists `least` years or more, and whether a section's rows name several scopes.
 
     Rows are list items with a year. A row's scope is the name before the measure after its year, geographies aside;
-    rows without a name say nothing. Chapters without such a section have false for both.
+    rows without a name say nothing. Chapters without such a section have false for both. A chapter is judged within its row.
     """
     keys = ["report", "chapter"]
-    lines = chapters.select(*keys, F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\r?\n")).alias("pos", "line"))
-    title = F.when(F.col("line").rlike(r"^\s*#{1,6}\s+"), F.struct("pos", F.col("line").rlike(heading).alias("market")))
-    lines = lines.withColumn("section", F.last(title, ignorenulls=True).over(Window.partitionBy(*keys).orderBy("pos")))
-    rows = lines.filter("section.market").filter(F.col("line").rlike(r"^\s*[-*+]\s+.*20[0-9]{2}年"))
-    said = F.regexp_replace(F.regexp_replace("line", r"^\s*[-*+]\s+", ""), r"^.*?20[0-9]{2}年[，,:：\s]*", "")
-    name = F.nullif(F.regexp_replace(F.regexp_replace(F.regexp_extract(said, scope, 1), geography, ""), "^[的：: ]+|[的：: ]+$", ""), F.lit(""))
-    found = rows.withColumn("scope", name).groupBy(*keys, "section.pos").agg(F.count("*").alias("n"), F.countDistinct("scope").alias("scopes"))
-    found = found.groupBy(*keys).agg(F.max("n").alias("n"), F.max("scopes").alias("scopes"))
-    out = chapters.select(*keys).join(found, keys, "left")
-    return out.select(*keys, (F.col("chapter").isin(*early) & (F.coalesce("n", F.lit(0)) >= least)).alias("year_table"), (F.coalesce("scopes", F.lit(0)) > 1).alias("mixed_scopes"))
+    rows = chapters.select(*keys, F.split(F.coalesce("text", F.lit("")), r"\r?\n").alias("lines"))
+    heads = F.array_compact(F.transform("lines", lambda x, i: F.when(x.rlike(r"^\s*#{1,6}\s+"), i)))
+    rows = rows.select(*keys, "lines", heads.alias("heads"))
+    sections = F.transform("heads", lambda a, i: F.struct(a.alias("a"), F.coalesce(F.get("heads", i + 1), F.size("lines")).alias("b")))
+    market = F.filter(sections, lambda s: F.get("lines", s["a"]).rlike(heading))
+    items = F.transform(market, lambda s: F.filter(F.slice("lines", s["a"] + 1, s["b"] - s["a"]), lambda x: x.rlike(r"^\s*[-*+]\s+.*20[0-9]{2}年")))
+
+    def name(line: Column) -> Column:
+        said = F.regexp_replace(F.regexp_replace(line, r"^\s*[-*+]\s+", ""), r"^.*?20[0-9]{2}年[，,:：\s]*", "")
+        return F.nullif(F.regexp_replace(F.regexp_replace(F.regexp_extract(said, scope, 1), geography, ""), "^[的：: ]+|[的：: ]+$", ""), F.lit(""))
+
+    counts = F.transform(items, lambda s: F.struct(F.size(s).alias("n"), F.size(F.array_distinct(F.array_compact(F.transform(s, name)))).alias("scopes")))
+    most = lambda field: F.coalesce(F.array_max(F.transform("counts", lambda s: s[field])), F.lit(0))
+    return rows.select(*keys, counts.alias("counts")).select(*keys, (F.col("chapter").isin(*early) & (most("n") >= least)).alias("year_table"), (most("scopes") > 1).alias("mixed_scopes"))
 
 
 def content_rules(text: Column, echo: str = r"(?i)^\s*(?:as an assistant|here is the|sure,)", least: int = 80) -> Column:

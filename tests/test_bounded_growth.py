@@ -34,3 +34,10 @@ def test_issues_find_keys_once_and_count_within_unnamed_reports(spark):
     assert plan.count("Generate ") == 1 and plan.count("Join ") == 1
     n = len(long.replace(" ", "")) + 1
     assert {r["chapter"]: (r["repeated"], r["repeated_chars"], r["chars"], r["repeated_rows"], r["prose_issue"]) for r in df.collect()} == {1: (0, 0, 2 * n, 1, False), 2: (3, 3 * n, 3 * n, 1, True), 3: (0, 0, n, 0, False), 4: (0, 0, 0, 0, False)}
+
+
+def test_series_rules_need_neither_sort_nor_exchange(spark):
+    text = "### 市场规模与增长\n- 2021年设备市场规模1亿\n- 2022年：零件市场规模2亿\n# 其他\n- 2023年：3亿"
+    df = Q.series_rules(spark.createDataFrame([("r", 1, text), (None, 2, text), ("r", 3, None)], "report string, chapter long, text string"))
+    assert not any(x in _plan(df) for x in ("Window", "Join", "Aggregate", "Generate"))
+    assert sorted((r["chapter"], r["year_table"], r["mixed_scopes"]) for r in df.collect()) == [(1, False, True), (2, False, True), (3, False, False)]
