@@ -41,3 +41,10 @@ def test_series_rules_need_neither_sort_nor_exchange(spark):
     df = Q.series_rules(spark.createDataFrame([("r", 1, text), (None, 2, text), ("r", 3, None)], "report string, chapter long, text string"))
     assert not any(x in _plan(df) for x in ("Window", "Join", "Aggregate", "Generate"))
     assert sorted((r["chapter"], r["year_table"], r["mixed_scopes"]) for r in df.collect()) == [(1, False, True), (2, False, True), (3, False, False)]
+
+
+def test_repetition_scores_do_not_join_keys_with_their_places(spark):
+    s = spark.createDataFrame([(1, 0, "A long sentence!", "k"), (1, 1, "A long sentence.....", "k"), (2, 0, "a longsentence", "k"), (2, 1, "Another", "j")], "doc_id long, pos int, sentence string, key string")
+    df = D.repetition_scores(s)
+    assert _plan(df).count("Join ") == 1
+    assert {r["doc_id"]: (r["chars"], r["repeated"], r["repeated_chars"]) for r in df.collect()} == {1: (36, 1, 20), 2: (21, 1, 14)}
