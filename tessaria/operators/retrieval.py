@@ -95,10 +95,16 @@ def tokens(c: Column) -> Column:
 
 
 def term_statistics(texts: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """RET-1: postings(key, term, tf, len), df(term, df), and totals (n, average length) as one row."""
+    """RET-1: postings(key, term, tf, len), df(term, df), and totals (n, average length) as one row.
+
+    df is counted from each text's distinct terms, so postings are not shuffled for it; texts that share a key count as one."""
     t = texts.select(key, tokens(F.col("text")).alias("t")).withColumn("len", F.size("t"))
     postings = t.select(key, "len", F.explode("t").alias("term")).groupBy(key, "len", "term").agg(F.count("*").alias("tf"))
-    return postings, postings.groupBy("term").agg(F.count("*").alias("df")), t.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+    # The outer explode keeps Spark from cutting each text a second time to leave out those without a term.
+    terms = texts.select(key, F.explode_outer(F.array_distinct(tokens(F.col("text")))).alias("term")).filter("term is not null")
+    if not texts.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        terms = terms.distinct()
+    return postings, terms.groupBy("term").agg(F.count("*").alias("df")), t.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
 
 
 #: Terms of all queries, each as often as it is asked for, up to which they are sent to the workers, some 100 bytes each.

@@ -48,3 +48,12 @@ def test_repetition_scores_do_not_join_keys_with_their_places(spark):
     df = D.repetition_scores(s)
     assert _plan(df).count("Join ") == 1
     assert {r["doc_id"]: (r["chars"], r["repeated"], r["repeated_chars"]) for r in df.collect()} == {1: (36, 1, 20), 2: (21, 1, 14)}
+
+
+def test_document_frequencies_do_not_shuffle_postings(spark):
+    d = spark.createDataFrame([(1, "alpha beta alpha"), (2, "alpha"), (3, None), (4, "")], "doc_id long, text string")
+    df = T.term_statistics(d, "doc_id")[1]
+    assert _plan(df).count("Aggregate ") == 1
+    assert {r["term"]: r["df"] for r in df.collect()} == {"alpha": 2, "beta": 1}
+    twice = d.unionByName(spark.createDataFrame([(1, "alpha gamma")], "doc_id long, text string"))
+    assert {r["term"]: r["df"] for r in T.term_statistics(twice, "doc_id")[1].collect()} == {"alpha": 2, "beta": 1, "gamma": 1}
