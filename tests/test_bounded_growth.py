@@ -57,3 +57,8 @@ def test_document_frequencies_do_not_shuffle_postings(spark):
     assert {r["term"]: r["df"] for r in df.collect()} == {"alpha": 2, "beta": 1}
     twice = d.unionByName(spark.createDataFrame([(1, "alpha gamma")], "doc_id long, text string"))
     assert {r["term"]: r["df"] for r in T.term_statistics(twice, "doc_id")[1].collect()} == {"alpha": 2, "beta": 1, "gamma": 1}
+
+
+def test_math_text_reads_a_run_of_words_as_one_token():
+    assert len(M._TOKEN.findall("one two  three\nfour")) == 1
+    assert M.read_math("$ a  b $ \\$5 and \\$$x$ \\( c \\) d") == "a  b $5 and $x c d"
