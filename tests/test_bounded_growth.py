@@ -62,3 +62,12 @@ def test_document_frequencies_do_not_shuffle_postings(spark):
 def test_math_text_reads_a_run_of_words_as_one_token():
     assert len(M._TOKEN.findall("one two  three\nfour")) == 1
     assert M.read_math("$ a  b $ \\$5 and \\$$x$ \\( c \\) d") == "a  b $5 and $x c d"
+
+
+def test_short_data_rows_have_no_key_and_chapters_are_cut_once(spark):
+    rows = [(1, "- 1\n- 22\n- key 333\n| 4 |"), (2, "- 1\n- 22\n- key 333\n| 4 |\nown"), (3, None)]
+    d = spark.createDataFrame([("r", *x) for x in rows], "report string, chapter long, text string")
+    assert {r["chapter"]: r["repeated_rows"] for r in R.issues(d).collect()} == {1: 0, 2: 1, 3: 0}
+    df = R.without_repeats(d)
+    assert "Window" not in _plan(df) and _plan(df).count("Join ") == 2
+    assert {r["chapter"]: (r["text"], r["removed"]) for r in df.collect()} == {1: (rows[0][1], 0), 2: ("- 1\n- 22\n| 4 |\nown", 1), 3: ("", 0)}
